@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import merkle, mixing, sharding
 
-MODULES = (sharding,)
+MODULES = (mixing, sharding, merkle)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
