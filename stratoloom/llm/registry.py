@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, merkle, mixing, sharding
+from . import jaccard_join, merkle, mixing, near_vectors, sharding
 
-MODULES = (mixing, sharding, jaccard_join, merkle)
+MODULES = (near_vectors, mixing, sharding, jaccard_join, merkle)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
