@@ -278,6 +278,20 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
     )
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component: those of its smallest id.
+
+    All columns stay.  Of rows that repeat an id one stays; rows with a null id stay.
+    """
+    parts = cut(jaccard_join(docs, size, percent, key, text))
+    gone = parts.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
+    named = parts.where("doc_id IS NOT NULL")
+    if named.count() == named.select("doc_id").distinct().count():
+        return kept
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(kept.where(F.col(key).isNull()))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents joined on 4-word shingles at a Jaccard similarity of 0.85 or more."""
     return jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)

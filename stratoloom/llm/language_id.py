@@ -187,6 +187,28 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     return rows.mapInArrow(read, out)
 
 
+def keep_identified(docs: DataFrame, model: dict, text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """The rows of ``docs`` that have a language, all columns kept, ``lang`` set to it if the table has it.
+
+    Rows are judged as in predict(): only texts that are null or hold no letter go
+    (every row, if the model has learned no language).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, at = docs.columns, docs.columns.index(text)
+    types = [to_arrow_type(f.dataType) for f in docs.schema.fields]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for batch in batches:
+            found = [reader.predict(x.as_py())[0] for x in batch.column(at)]
+            columns = list(batch.columns)
+            if lang in names:
+                columns[names.index(lang)] = pa.array(found, types[names.index(lang)])
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([f != "und" for f in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     """Whether a row is kept from learning: crc32 of its key as text is 2 modulo 4."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -125,6 +125,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return taken.select(*kept, "taken").unionAll(known.where("size = 0").select(*kept, F.lit(0).cast("long").alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """The mix as documents: each row of ``docs`` as often as the mix takes its words, to the nearest whole.
+
+    Columns stay as they are and texts stay whole; rows the mix hardly takes, and
+    rows without words, are left out.  Rows equal in key and size are taken alike.
+    """
+    taken = mix(docs, key, text, source, weights, cap).where("size > 0").select(
+        F.col("doc_id").alias("__key"), F.col("size").alias("__size"), F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int").alias("__copies")
+    )
+    times = taken.groupBy("__key", "__size").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
+    rows = docs.join(times, F.col(key).eqNullSafe(F.col("__key")) & (words(F.col(text)) == F.col("__size")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 def op4_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3, at most three times each."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
