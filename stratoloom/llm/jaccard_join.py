@@ -9,6 +9,10 @@ meet only over a shared one.  Where they meet, a member is opened only if the
 other group's full union holds enough of its tokens; opened members are counted
 against each other exactly.
 
+Between sets of which one is no larger, the smaller needs only a shorter prefix
+(its "index" prefix), and sizes must be near; pairs of groups without such
+members are never opened.
+
 The order puts tokens that many documents have last, by counts in a fixed table
 of counters.  Any order gives exact results; this one keeps the passages that
 many documents share out of the prefixes.
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -28,10 +32,14 @@ from ..operators.components import connected_components
 from .shingles import U, mix, shingle_sets
 from .tables import table
 
-#: Bits of the counters' table (4 MB of 32-bit counts), dealt in parts.
-BITS, PARTS = 20, 64
+#: Bits of the counters' table (8 MB as it is sent out), dealt in parts.
+BITS, PARTS = 22, 64
 #: Members of a group, about, at most.
 GROUP = 256
+#: Bits of the filter of ids (4 MB, in the same parts) that spares texts of unopened groups a shuffle.
+FILTER = 25
+#: Sets and tokens of a bundle of groups that are opened in one place, so that each set travels once.
+BUNDLE_SETS, BUNDLE_TOKENS = 8192, 1 << 23
 #: Shared tokens that are counted in one matrix product.
 WIDTH = 4096
 
@@ -41,8 +49,42 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
+def indexed(n, percent: int):
+    """The tokens that a set of n shares at least with any set no smaller that is as similar."""
+    return -(-2 * percent * n // (100 + percent))
+
+
+def _slots(h: np.ndarray) -> list[np.ndarray]:
+    """Two places in the filter for each hash."""
+    return [(h >> U(64 - FILTER)).astype(np.int64), (h & U((1 << FILTER) - 1)).astype(np.int64)]
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids in ``ids`` (rep): a bit table of fixed size."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER, bool)
+        for batch in batches:
+            for at in _slots(mix(batch.column(0).to_numpy().view(U))):
+                bits[at] = True
+        if bits.any():
+            parts = np.packbits(bits).reshape(PARTS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "bits"])
+
+    def join(rows: pa.Table) -> pa.Table:
+        every = np.bitwise_or.reduce([np.frombuffer(b.as_buffer(), np.uint8) for b in rows.column("bits")])
+        return pa.table({"part": rows.column("part")[:1].cast(pa.int32()), "bits": pa.array([every.tobytes()], pa.binary())})
+
+    shape = "part int, bits binary"
+    found = np.zeros((PARTS, (1 << FILTER) // 8 // PARTS), np.uint8)
+    for part, bits in ids.select("rep").mapInArrow(mark, shape).groupBy("part").applyInArrow(join, shape).collect():  # PARTS rows, 4 MB
+        found[part] = np.frombuffer(bits, np.uint8)
+    return found.reshape(-1)
+
+
 def _counts(docs: DataFrame, size: int) -> np.ndarray:
-    """In how many documents, about, the tokens of each counter are: a table of fixed size."""
+    """In how many documents, about, the tokens of each counter are, as levels: a table of fixed size."""
+    cells = (1 << BITS) // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
@@ -56,31 +98,42 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
             if many:
                 total += np.bincount((np.concatenate(many) >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         if total.any():
-            parts = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+            parts = [_narrow(p).tobytes() for p in total.reshape(PARTS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros((1 << BITS) // PARTS, np.int64)
+        total = np.zeros(cells, np.int64)
         for b in rows.column("counts"):
-            total += np.frombuffer(b.as_buffer(), np.uint32)
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        return pa.table({"part": rows.column("part")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            raw = b.as_buffer()
+            total += np.frombuffer(raw, f"u{len(raw) // cells}")
+        return pa.table({"part": rows.column("part")[:1].cast(pa.int32()), "counts": pa.array([_levels(total).tobytes()], pa.binary())})
 
     shape = "part int, counts binary"
-    table = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint32)
-    for part, counts in docs.select("text").mapInArrow(count, shape).groupBy("part").applyInArrow(add, shape).collect():  # PARTS rows, 4 MB
-        table[part] = np.frombuffer(counts, np.uint32)
+    table = np.zeros((PARTS, cells), np.uint16)
+    for part, counts in docs.select("text").mapInArrow(count, shape).groupBy("part").applyInArrow(add, shape).collect():  # PARTS rows, 8 MB
+        table[part] = np.frombuffer(counts, np.uint16)
     return table.reshape(-1)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in as few bytes as the largest needs."""
+    return counts.astype(next(f"u{size}" for size in (1, 2, 4, 8) if counts.max() < 1 << 8 * size))
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """16-bit levels that never fall as counts rise: exact up to 4096, then a 512th of a doubling each."""
+    return np.where(counts <= 4096, counts, 4096 + np.floor(512 * (np.log2(np.maximum(counts, 1)) - 12))).astype(np.uint16)
+
+
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n, hi and lo (the set's 128-bit hash), least (its least mixed token), prefix."""
     counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, size))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
+        order, seen = counts.value, set()
         for batch in batches:
             n, hi, lo, least, prefixes = [], [], [], [], []
+            named = batch.column("doc_id").is_valid().to_pylist()
             for s in shingle_sets(batch.column("text"), size):
                 n.append(len(s))
                 if not len(s):
@@ -90,6 +143,11 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 hi.append(int(mixed.sum().view(np.int64)))
                 lo.append(int(mix(s + U(0x632BE59BD9B4E019)).sum().view(np.int64)))
                 least.append(int(mixed.min().view(np.int64)))
+                if (hi[-1], lo[-1]) in seen:  # a copy in this task: its prefix is there already
+                    prefixes.append(s[:0].view(np.int64))
+                    continue
+                if named[len(n) - 1]:
+                    seen.add((hi[-1], lo[-1]))
                 rare = np.argsort(order[(s >> U(64 - BITS)).astype(np.int64)], kind="stable")
                 prefixes.append(s[rare[: len(s) - needed(len(s), percent) + 1]].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
@@ -174,50 +232,85 @@ def open_groups(a: tuple[list, list, list], b: tuple[list, list, list] | None, p
 
 
 def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """Opens the pairs of groups: rows (a, b, side, rep, copies, tokens), a pair's together."""
+    """Opens bundles: rows (x, y, gid, partners, rep, copies, tokens), of one x and y together.
+
+    A group is opened against each of its partners, itself among them if it has
+    several members.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        now, sides = None, {}
+        now, groups, partners = None, {}, {}
 
-        def close() -> None:
-            if now is not None and 0 in sides and (1 in sides or now[0] == now[1]):
-                out.extend(open_groups(sides[0], sides.get(1), percent))
+        def close() -> Iterator[pa.RecordBatch]:
+            for a, others in partners.items():
+                for b in others:
+                    if b in groups:
+                        out.extend(open_groups(groups[a], None if a == b else groups[b], percent))
+                    if len(out) >= 10_000:
+                        yield _links(out)
+                        out.clear()
 
         for batch in batches:
             values = batch.column("tokens").values.to_numpy()
             ends = batch.column("tokens").offsets.to_numpy()
-            names = [batch.column(c).to_pylist() for c in ("a", "b", "side", "rep", "copies")]
-            for k, (p, q, side, rep, copies) in enumerate(zip(*names, strict=True)):
-                if (p, q) != now:
-                    close()
-                    now, sides = (p, q), {}
-                ids, many, sets = sides.setdefault(side, ([], [], []))
+            names = [batch.column(c).to_pylist() for c in ("x", "y", "gid", "partners", "rep", "copies")]
+            for k, (x, y, gid, others, rep, copies) in enumerate(zip(*names, strict=True)):
+                if (x, y) != now:
+                    yield from close()
+                    now, groups, partners = (x, y), {}, {}
+                ids, many, sets = groups.setdefault(gid, ([], [], []))
+                partners[gid] = others
                 if not ids or ids[-1] != rep:
                     ids.append(rep), many.append(copies), sets.append(values[ends[k] : ends[k + 1]].view(U).copy())
-            if len(out) >= 10_000:
-                yield _links(out)
-                out.clear()
-        close()
+        yield from close()
         yield _links(out)
 
-    dealt = rows.repartition("a", "b").sortWithinPartitions("a", "b", "side", "rep")
+    dealt = rows.repartition("x", "y").sortWithinPartitions("x", "y", "gid", "rep")
     return dealt.mapInArrow(verify, "rep long, root long, links long")
 
 
+def _bundles(meet: DataFrame, members: DataFrame) -> DataFrame:
+    """Where groups are opened: x, y, gid, partners.
+
+    Groups that meet, over any number of steps, are one bundle if it is small
+    enough for a task; in larger ones each pair of groups is a bundle.
+    """
+    parts = connected_components(meet, "a", "b")
+    met = meet.join(parts, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("part"))
+    groups = met.select("part", F.col("a").alias("gid")).unionAll(met.select("part", F.col("b").alias("gid"))).distinct()
+    sizes = groups.join(members, "gid").groupBy("part").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    small = (F.col("sets") <= BUNDLE_SETS) & (F.col("tokens") <= BUNDLE_TOKENS)
+    judged = cut(sizes.select("part", small.alias("small")))
+    whole = met.join(judged.where("small"), "part").groupBy("part", F.col("a").alias("gid")).agg(F.collect_list("b").alias("partners"))
+    together = groups.join(judged.where("small"), "part").join(whole, ["part", "gid"], "left")
+    none = F.array().cast("array<bigint>")
+    apart = met.join(judged.where("NOT small"), "part")
+    return (
+        together.select(F.col("part").alias("x"), F.lit(0).cast("long").alias("y"), "gid", F.coalesce("partners", none).alias("partners"))
+        .unionAll(apart.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("a").alias("gid"), F.array("b").alias("partners")))
+        .unionAll(apart.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("b").alias("gid"), none.alias("partners")))
+    )
+
+
 def _links(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "root", "links"])
 
 
-def _met(tokens: DataFrame) -> DataFrame:
-    """Pairs of groups (a < b) that share a token of the matrix ``tokens`` (token, gid)."""
-    every = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"), F.count("*").alias("n")).where("low < high")
-    two = every.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    more = tokens.join(every.where("n > 2").select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_set("gid")).alias("gids"))
-    first = more.select("gids", F.posexplode("gids").alias("k", "a"))
-    rest = first.select("a", F.explode(F.expr("slice(gids, k + 2, size(gids))")).alias("b"))
-    return two.unionAll(rest).distinct()
+def _met(matrix: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (a <= b) to open: they share a token of ``matrix`` (token, gid, n, index), and sizes allow a link."""
+    own = F.when(F.col("index"), F.col("n"))
+    held = matrix.repartition("token").groupBy("token", "gid").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min(own).alias("index_low"), F.max(own).alias("index_high")
+    )
+    shared = held.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1")
+    lists = shared.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("gid", "low", "high", "index_low", "index_high"))).alias("held"))
+    first = lists.select("held", F.posexplode("held").alias("k", "x"))
+    # a smaller set of one side, indexed here, against a larger of the other
+    fits = "{0}.index_low <= {1}.high AND 100 * {0}.index_high >= " + str(percent) + " * {1}.low"
+    rest = first.select("x", F.explode(F.expr(f"filter(slice(held, k + 2, size(held)), y -> ({fits.format('x', 'y')}) OR ({fits.format('y', 'x')}))")).alias("y"))
+    return rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,37 +328,49 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
     one node of the components.  Only the two named columns are read, whatever
     others are called; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = cut(_sets(docs, size, percent))
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = sets.where(usable).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("least").alias("least"))
-    blocks = classes.groupBy("least").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("blocks"))
-    gid = F.xxhash64("least", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # ids that repeat with other texts make a representative ambiguous: the set's hash is part of its name
-    members = cut(classes.join(blocks, "least").select("hi", "lo", "rep", "copies", gid.alias("gid")))
-    matrix = sets.where(usable).join(members, ["hi", "lo"]).where(F.col("doc_id") == F.col("rep")).select(F.explode("prefix").alias("token"), "gid")
-    pairs = _met(matrix)
+    classes = sets.where(usable).groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("least").alias("least"), F.first("n").alias("n"))
+    classes = cut(classes)
+    blocks = classes.groupBy("least").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("blocks")).where("blocks > 1")
+    blocks = cut(blocks.withColumnRenamed("least", "__least"))
+    if blocks.count() < 100_000:
+        blocks = F.broadcast(blocks)
+    # equal sets are in the same group, whichever row they come from
+    gid = F.xxhash64("least", F.pmod(F.xxhash64("hi"), F.coalesce("blocks", F.lit(1))))
+    members = cut(classes.join(blocks, F.col("least") == F.col("__least"), "left").select("hi", "lo", "rep", "copies", "n", gid.alias("gid")))
+    tokens_of = sets.where(usable).join(blocks, F.col("least") == F.col("__least"), "left")
+    matrix = tokens_of.select(gid.alias("gid"), "n", F.posexplode("prefix").alias("k", "token")).select(
+        "token", "gid", "n", (F.col("k") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))).alias("index")
+    )
+    pairs = _met(matrix, percent)
     alone = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     meet = cut(pairs.unionAll(alone))
-    sides = meet.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("gid")).unionAll(meet.where("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("gid")))
-    wanted = sides.select("gid").distinct()
-    opened = members.join(wanted, "gid", "left_semi")
+    opened = cut(members.join(_bundles(meet, members), "gid").select("x", "y", "gid", "partners", "rep", "copies", "hi"))
+    weight = opened.agg(F.sum(F.lit(100) + 8 * F.size("partners"))).first()[0] or 0
+    few = F.broadcast(opened) if weight <= 1 << 24 else opened  # bytes, about
+    wanted = spark.sparkContext.broadcast(_id_filter(opened))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
-            low = 0
-            while low < batch.num_rows:  # a few at a time: sets take more room than texts
+            ids = mix(batch.column("doc_id").fill_null(0).to_numpy().view(U))
+            maybe = np.ones(len(ids), bool)
+            for at in _slots(ids):
+                maybe &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            batch = batch.filter(pa.array(maybe))
+            for low in range(0, batch.num_rows, 500):  # a few at a time: sets take more room than texts
                 part = batch.slice(low, 500)
-                low += 500
                 found = list(shingle_sets(part.column("text"), size))
                 hi = [int(mix(s ^ U(0x2545F4914F6CDD1D)).sum().view(np.int64)) for s in found]
                 ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                flat = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hi, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rep", "hi", "tokens"])
 
-    some = docs.join(opened.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    full = some.mapInArrow(tokens, "rep long, hi long, tokens array<long>")
-    rows = sides.join(members, "gid").join(full, ["rep", "hi"]).select("a", "b", "side", "rep", "copies", "tokens")
+    full = docs.mapInArrow(tokens, "rep long, hi long, tokens array<long>")
+    rows = full.join(few, ["rep", "hi"]).select("x", "y", "gid", "partners", "rep", "copies", "tokens")
     found = cut(_verify(rows, percent))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
