@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,13 +124,15 @@ def learned_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def fused(parts: list[DataFrame], scores: DataFrame) -> DataFrame:
     """(cell, v): vectors of the modalities, weighed by the softmax of scores (cell, s array)."""
+    def weigh(i: int):
+        return lambda x: x * F.col("p")[i]
+
     e = F.transform("s", lambda x: F.exp(x - F.array_max("s")))
     out = scores.select("cell", e.alias("e")).select("cell", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
-    total = None
     for i, part in enumerate(parts):
         out = out.join(part.select("cell", F.col("v").alias(f"v{i}")), "cell")
-        term = F.transform(f"v{i}", lambda x, i=i: x * F.col("p")[i])
-        total = term if total is None else F.zip_with(total, term, lambda a, b: a + b)
+    terms = [F.transform(f"v{i}", weigh(i)) for i in range(len(parts))]
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), terms)
     return out.select("cell", total.alias("v"))
 
 
@@ -222,7 +226,7 @@ def weighted_neighbours(reps: tuple[DataFrame, DataFrame], k: int, wide: int, di
     union = knn(unit[0], unit[0], wide - 1, itself=False).select("src", "dst").unionAll(knn(unit[1], unit[1], wide - 1, itself=False).select("src", "dst")).distinct()
     both = with_distance(with_distance(union, unit[0], "a"), unit[1], "b").join(weights.withColumnRenamed("cell", "src"), "src")
     part = lambda d, i: F.col(f"w{i}") * F.exp(-(F.col(d) - F.col(f"d{i}")) / (F.col(f"bw{i}") - F.col(f"d{i}")))
-    top = strong = both.select("src", "dst", (part("a", 0) + part("b", 1)).alias("w"))
+    strong = both.select("src", "dst", (part("a", 0) + part("b", 1)).alias("w"))
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.col("w").desc(), "dst"))
     top = strong.withColumn("place", place).where(F.col("place") <= k)
     return top.withColumn("dist", F.sqrt(F.least(F.greatest((1 - F.col("w")) / 2, F.lit(0.0)), F.lit(1.0))))

@@ -12,9 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL, FEATURE = Window.partitionBy("cell"), Window.partitionBy("feature")
-
-
 def filter_features(counts: DataFrame, min_cells: int | None = None, min_counts: float | None = None, fraction: float | None = None, n_cells: int | None = None) -> DataFrame:
     """Rows of features found in at least ``min_cells`` cells (or a fraction of them) with a total of ``min_counts``."""
     if fraction is not None:
@@ -115,7 +112,7 @@ def flip(points: DataFrame, axis: str = "x") -> DataFrame:
 
 def normalize_total(counts: DataFrame, target: float | None = 1e4) -> DataFrame:
     """Each cell's counts scaled to the total ``target``; by default (None) the median of the cells' totals."""
-    total = F.sum("x").over(CELL)
+    total = F.sum("x").over(Window.partitionBy("cell"))
     if target is not None:
         return counts.withColumn("x", F.col("x") / total * target)
     median = counts.groupBy("cell").agg(F.sum("x").alias("t")).where("t > 0").agg(F.percentile("t", F.lit(0.5)).alias("__median"))
@@ -139,7 +136,7 @@ def feature_stats(counts: DataFrame, n_cells: int, ddof: int = 1) -> DataFrame:
     The variance is summed from squared distances to the mean, not from
     differences of large sums.
     """
-    mean = counts.withColumn("mean", F.sum("x").over(FEATURE) / n_cells)
+    mean = counts.withColumn("mean", F.sum("x").over(Window.partitionBy("feature")) / n_cells)
     square = F.sum((F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))) + (n_cells - F.count("*")) * F.first("mean") * F.first("mean")
     return mean.groupBy("feature").agg(F.count("*").alias("n"), F.first("mean").alias("mean"), F.sqrt(square / max(1, n_cells - ddof)).alias("std"))
 
@@ -159,12 +156,12 @@ def densify(scaled: DataFrame, cells: DataFrame) -> DataFrame:
 
 def clr_all(counts: DataFrame, n_features: int) -> DataFrame:
     """Centred log-ratio over all features: ln(1 + x / exp(sum of ln(1 + x) / features))."""
-    return counts.withColumn("x", F.log1p(F.col("x") / F.exp(F.sum(F.log1p("x")).over(CELL) / n_features)))
+    return counts.withColumn("x", F.log1p(F.col("x") / F.exp(F.sum(F.log1p("x")).over(Window.partitionBy("cell")) / n_features)))
 
 
 def clr_present(counts: DataFrame) -> DataFrame:
     """Centred log-ratio over what is present: ln(x / geometric mean of the cell's counts), with the mean as ``gmean``."""
-    centre = F.avg(F.log("x")).over(CELL)
+    centre = F.avg(F.log("x")).over(Window.partitionBy("cell"))
     return counts.where("x > 0").select("cell", "feature", (F.log("x") - centre).alias("x"), F.exp(centre).alias("gmean"))
 
 
@@ -183,12 +180,12 @@ def tfidf(counts: DataFrame, n_cells: int, kind: str = "plain", idf: DataFrame |
     """
     if kind == "guarded":
         known = tfidf_fit(counts, n_cells, 1e-8) if idf is None else idf
-        tf = counts.withColumn("tf", F.col("x") / (F.sum("x").over(CELL) + 1e-8))
+        tf = counts.withColumn("tf", F.col("x") / (F.sum("x").over(Window.partitionBy("cell")) + 1e-8))
         return tf.join(known, "feature").select("cell", "feature", (F.col("tf") * F.col("idf")).alias("x"))
-    tf, inverse = F.col("x") / F.sum("x").over(CELL), F.lit(float(n_cells)) / F.sum("x").over(FEATURE)
+    tf, inverse = F.col("x") / F.sum("x").over(Window.partitionBy("cell")), F.lit(float(n_cells)) / F.sum("x").over(Window.partitionBy("feature"))
     if kind == "documents":
-        weighed = counts.where("x <> 0").withColumn("x", F.col("x") * F.log(F.lit(float(n_cells)) / F.count("*").over(FEATURE)))
-        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(CELL))
+        weighed = counts.where("x <> 0").withColumn("x", F.col("x") * F.log(F.lit(float(n_cells)) / F.count("*").over(Window.partitionBy("feature"))))
+        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("cell")))
         return weighed.withColumn("x", F.when(norm == 0, 0.0).otherwise(F.col("x") / norm))
     value = {"plain": tf * inverse, "log": tf * F.log1p(inverse), "scaled": F.log1p(F.lit(1e4) * tf * inverse)}[kind]
     return counts.withColumn("x", value)
@@ -196,7 +193,7 @@ def tfidf(counts: DataFrame, n_cells: int, kind: str = "plain", idf: DataFrame |
 
 def l1_log(counts: DataFrame, factor: float = 1e4) -> DataFrame:
     """ln(1 + factor * share of the cell)."""
-    return counts.withColumn("x", F.log1p(F.col("x") / F.sum(F.abs("x")).over(CELL) * factor))
+    return counts.withColumn("x", F.log1p(F.col("x") / F.sum(F.abs("x")).over(Window.partitionBy("cell")) * factor))
 
 
 # variable features
