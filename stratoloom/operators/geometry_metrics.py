@@ -25,8 +25,8 @@ def label_distances(points: DataFrame) -> DataFrame:
     # enough query blocks for all cores, one table of the others for each block of them
     split = 8
     own = F.pmod(F.xxhash64("cell"), F.col("blocks") * split)
-    a = dealt.select("grp", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("j"), F.lit(0).alias("side"), "cell", "label", "v")
-    b = dealt.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") * split - 1)).cast("long").alias("i"), F.pmod(F.xxhash64("cell"), F.col("blocks")).alias("j"), F.lit(1).alias("side"), "cell", "label", "v")
+    a = dealt.select("grp", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "cell", "label", "v")
+    b = dealt.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") * split - 1)).alias("i"), F.pmod(F.xxhash64("cell"), F.col("blocks")).alias("j"), F.lit(1).alias("side"), "cell", "label", "v")
 
     def meet(tile: pd.DataFrame) -> pd.DataFrame:
         left, right = tile[tile["side"] == 0], tile[tile["side"] == 1].sort_values("cell", ignore_index=True)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graphs, preparation
+from . import graphs, metrics, preparation
 
-MODULES = (preparation, graphs)
+MODULES = (preparation, graphs, metrics)
 QUERIES = {name: f for m in MODULES for name, f in m.Q.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.SQL.items()}
