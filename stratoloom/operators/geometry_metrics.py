@@ -31,15 +31,15 @@ def label_distances(points: DataFrame) -> DataFrame:
     def meet(tile: pd.DataFrame) -> pd.DataFrame:
         left, right = tile[tile["side"] == 0], tile[tile["side"] == 1].sort_values("cell", ignore_index=True)
         if not len(left) or not len(right):
-            return pd.DataFrame({"cell": np.zeros(0, np.int64), "label": [], "grp": [], "other": [], "total": np.zeros(0)})
+            return pd.DataFrame({"cell": pd.Series(dtype="int64"), "label": pd.Series(dtype="str"), "grp": pd.Series(dtype="str"), "other": pd.Series(dtype="str"), "total": pd.Series(dtype="float64")})
         names, codes = np.unique(right["label"].to_numpy(str), return_inverse=True)
         one = np.zeros((len(right), len(names)))
         one[np.arange(len(right)), codes] = 1
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         sums = np.concatenate([distances(x[k : k + STRIPE], y, "euclidean") @ one for k in range(0, len(x), STRIPE)])
         return pd.DataFrame({
-            "cell": np.repeat(left["cell"].to_numpy(), len(names)), "label": np.repeat(left["label"].to_numpy(), len(names)), "grp": left["grp"].iloc[0],
-            "other": np.tile(names, len(left)), "total": sums.reshape(-1),
+            "cell": np.repeat(left["cell"].to_numpy(), len(names)), "label": np.repeat(left["label"].to_numpy(object), len(names)), "grp": left["grp"].iloc[0],
+            "other": np.tile(names.astype(object), len(left)), "total": sums.reshape(-1),
         })
 
     sums = a.unionAll(b).groupBy("grp", "i", "j").applyInPandas(meet, "cell long, label string, grp string, other string, total double")
