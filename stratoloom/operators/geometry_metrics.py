@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -132,28 +130,31 @@ def neighbour_conservation(x: DataFrame, y: DataFrame, fraction: float = 0.01) -
 
 
 def _closer(x: DataFrame, y: DataFrame, metric: str) -> DataFrame:
-    """(cell, share): how many points of y are nearer to a point of x than its true match (same id), over all."""
-    right = y.select("cell", "v").toPandas().sort_values("cell", ignore_index=True) if y.count() * 8 * 512 <= 1 << 28 else None
-    if right is None:
-        raise ValueError("matching needs both modalities of a sample to fit one executor")
-    shared = x.sparkSession.sparkContext.broadcast(right)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = shared.value["cell"].to_numpy()
-        b = np.stack(shared.value["v"].to_numpy())
-        if metric == "cosine":
-            b = b / np.sqrt((b * b).sum(axis=1, keepdims=True))
-        for part in batches:
-            for low in range(0, len(part), STRIPE):
-                q = part.iloc[low : low + STRIPE]
-                a = np.stack(q["v"].to_numpy())
-                if metric == "cosine":
-                    a = a / np.sqrt((a * a).sum(axis=1, keepdims=True))
-                d = distances(a, b, metric)
-                own = d[np.arange(len(q)), np.searchsorted(ids, q["cell"].to_numpy())]
-                yield pd.DataFrame({"cell": q["cell"].to_numpy(), "share": (d < own[:, None]).mean(axis=1)})
-
-    return x.select("cell", "v").mapInPandas(count, "cell long, share double")
+    """(cell, share): how many points of y are nearer to a point of x than its true match (same id), over all.
+
+    Blocks of x, each point with its match, meet blocks of y; a task returns a count for each point.
+    """
+    count = y.count()
+    blocks, parts = max(1, -(-count // BLOCK)), max(1, -(-x.count() // STRIPE))
+    deal = lambda n: F.pmod(F.xxhash64("cell"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    both = x.select("cell", "v").join(y.select("cell", F.col("v").alias("w")), "cell")
+    a = both.select(F.lit(0).alias("side"), deal(parts).alias("i"), every(blocks).alias("j"), "cell", "v", "w")
+    b = y.select(F.lit(1).alias("side"), every(parts).alias("i"), deal(blocks).alias("j"), "cell", "v", F.lit(None).cast("array<double>").alias("w"))
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.sqrt((v * v).sum(axis=1, keepdims=True)) if metric == "cosine" else v
+
+    def meet(tile: pd.DataFrame) -> pd.DataFrame:
+        q, c = tile[tile["side"] == 0], tile[tile["side"] == 1]
+        if not len(q) or not len(c):
+            return pd.DataFrame({"cell": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+        v, w = unit(np.stack(q["v"].to_numpy())), unit(np.stack(q["w"].to_numpy()))
+        own = np.array([distances(v[k : k + 1], w[k : k + 1], metric)[0, 0] for k in range(len(q))])
+        return pd.DataFrame({"cell": q["cell"].to_numpy(), "n": (distances(v, unit(np.stack(c["v"].to_numpy())), metric) < own[:, None]).sum(axis=1)})
+
+    met = a.unionByName(b).groupBy("i", "j").applyInPandas(meet, "cell long, n long")
+    return met.groupBy("cell").agg((F.sum("n") / count).alias("share"))
 
 
 def foscttm(x: DataFrame, y: DataFrame, metric: str = "euclidean") -> DataFrame:
