@@ -42,7 +42,7 @@ def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -
     return inner.crossJoin(degree).select((F.col("inner") / F.col("m2") - resolution * F.col("dd") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
     """(cell, cluster): local moves that raise modularity, over edges (src, dst, w) in both directions.
 
     In each round a point may join the neighbouring cluster of largest gain; points

@@ -36,6 +36,7 @@ def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     inside = df.withColumn(
         "__inside", F.coalesce(F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)), F.lit(0))
     )
+    # without keys the buckets' totals, about the square root of the rows, are one group
     same = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in group]
     return (
         inside.join(starts, same)
