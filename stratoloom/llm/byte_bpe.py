@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..lineage import cut
-from .tables import table
+from .tables import small_batches, table
 
 #: Code points of a chunk, and how far it reads on into the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Bytes of texts or ids of one Arrow batch that go out together, unless a single one is longer.
-BATCH = 1 << 24
+BATCH = 1 << 22
 #: A run of one class longer than this is merged here, not by the library, whose regular expressions have limits.
 LONG = 50_000
 
@@ -104,6 +104,7 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", tex
     result each, as often as they occur; null ids are kept.  Only the two named
     columns are read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(lines)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     of_key = rows.schema["doc_id"].dataType
@@ -179,6 +180,7 @@ def decode(coded: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", id
     Null ids decode to no bytes; an id outside the vocabulary is an error.  An
     empty table gives no rows.
     """
+    small_batches(coded.sparkSession)
     ranks = coded.sparkSession.sparkContext.broadcast(lines)
     rows = coded.select(F.col(key).alias("doc_id"), "n_tokens", F.col(ids).alias("ids"))
     of_key = rows.schema["doc_id"].dataType

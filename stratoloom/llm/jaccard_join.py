@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..operators.components import connected_components
 from .shingles import U, mix, shingle_sets
-from .tables import table
+from .tables import small_batches, table
 
 #: Bits of the counters' table (8 MB as it is sent out), dealt in parts.
 BITS, PARTS = 22, 64
@@ -324,11 +324,12 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
 
     Defined cases: a text without words, or null, links with nothing and is its
     own component; rows with a null id are left out of every comparison and are
-    their own component (null); rows that repeat an id are rows of their own and
-    one node of the components.  Only the two named columns are read, whatever
+    their own component (null); rows that repeat an id are rows of their own,
+    each in the component of its own text.  Only the two named columns are read, whatever
     others are called; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = cut(_sets(docs, size, percent))
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .sharding import unit_hash
-from .tables import table
+from .tables import small_batches, table
 
 #: Documents of a language to learn from, about, at most; languages, the most frequent first.
 SAMPLE, LANGUAGES = 3000, 128
@@ -23,7 +23,7 @@ WORDS, GRAMS = 50_000, 20_000
 #: Lengths of n-grams, longest first; a word's ends count as characters.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Unseen words a worker remembers.
-MEMORY = 100_000
+MEMORY = 50_000
 
 _run = re.compile(r"[^\W\d_]+")
 
@@ -48,6 +48,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     bounded by these parameters: WORDS words and GRAMS n-grams of each length for
     a language.  Words that only one occurrence supports aren't known.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows
     langs = sorted(r["lang"] for r in sizes)
@@ -171,6 +172,7 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     good languages the first by code point stands.  Keys may be null or repeat.
     An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of learn()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *kept)
     names = [c for c in rows.columns if c != "text"]
@@ -193,6 +195,7 @@ def keep_identified(docs: DataFrame, model: dict, text: str = "text", lang: str
     Rows are judged as in predict(): only texts that are null or hold no letter go
     (every row, if the model has learned no language).
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index(text)
     types = [to_arrow_type(f.dataType) for f in docs.schema.fields]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .sharding import unit_hash
-from .tables import table
+from .tables import small_batches, table
 
 # The base shapes, and the least length of what they must hold.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -68,6 +68,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     come from about ``sample`` documents, by the hash of their key; the counts of
     pairs that reach the driver have a fixed size.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     share = min(1.0, sample / max(1, rows.count()))
     chosen = rows.where(unit_hash(F.concat(F.lit("secret:"), F.coalesce("key", F.lit("null")))) < share).select("text")
@@ -125,6 +126,7 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text:
     empty and holds nothing.  Only the two named columns are read, keys may be
     null or repeat, and an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     out = rows.select("doc_id").schema
@@ -169,6 +171,7 @@ def redact_secrets(docs: DataFrame, ratios: np.ndarray, text: str = "text", n_ch
 
     All rows and columns stay; null texts stay null.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     shape = docs.schema
     names, types = docs.columns, [to_arrow_type(f.dataType) for f in shape.fields]
