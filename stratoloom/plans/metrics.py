@@ -123,7 +123,9 @@ query("e18_cross_validation", with_roles("emb", body=", f AS (SELECT cell, v, gt
 query("e18_leave_batch_out", with_roles("emb", body=nearest("g", "emb", "emb", 5, where="a.batch <> b.batch") + ", vt AS (SELECT src, gt, count(*) AS n FROM g JOIN emb ON dst = cell GROUP BY ALL), pr AS (SELECT any_value(e.gt) AS label, arg_max(vt.gt, n * 1000 - vt.gt) AS pred FROM vt JOIN emb e ON e.cell = src GROUP BY src)" + F1 + SCORES))(
     lambda s, d: rounded(geo.cross_validation(labelled(s, d, batch="batch"), batch=True), "accuracy", "kappa", "macro_f1", "weighted_f1")
 )
-query("e17_label_transfer", None)(lambda s, d: geo.label_transfer(labelled(s, d).where("cell % 3 = 0"), labelled(s, d).where("cell % 3 = 1")))
+query("e17_label_transfer", with_roles("emb", body="".join(nearest(f"g{p}", f"(SELECT * FROM emb WHERE cell % 3 = {p})", f"(SELECT * FROM emb WHERE cell % 3 = {1 - p})", 10) + f", v{p} AS (SELECT src, gt, count(*) AS n FROM g{p} JOIN emb ON dst = cell GROUP BY ALL), p{p} AS (SELECT any_value(e.gt) AS label, arg_max(v{p}.gt, n * 1000 - v{p}.gt) AS pred FROM v{p} JOIN emb e ON e.cell = src GROUP BY src), f{p} AS (SELECT avg(2 * hit / (t + q)) AS f FROM (SELECT k, count(*) FILTER (label = k)::DOUBLE AS t, count(*) FILTER (pred = k) AS q, count(*) FILTER (label = k AND pred = k) AS hit FROM p{p}, (SELECT label AS k FROM p{p} UNION SELECT pred FROM p{p}) GROUP BY k))" for p in (0, 1)) + " SELECT round((f0.f + f1.f) / 2, 6) AS label_transfer FROM f0, f1"))(
+    lambda s, d: rounded(geo.label_transfer(labelled(s, d).where("cell % 3 = 0"), labelled(s, d).where("cell % 3 = 1")), "label_transfer")
+)
 query("e20_auc", "WITH b AS (SELECT o_totalprice AS score, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS p FROM orders GROUP BY ALL), c AS (SELECT *, coalesce(sum(n - p) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b) SELECT round(sum(p * (below + (n - p) / 2.0::DOUBLE)) / (sum(p) * sum(n - p))::DOUBLE, 6) AS auc FROM c")(
     lambda s, d: rounded(geo.auc(roles.table(s, d, "orders").select(F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").alias("positive"))), "auc")
 )
@@ -160,7 +162,9 @@ query("l5_kbet_by_label", with_roles("emb", body=KNN20 + """, lz AS (SELECT gt,
 tk AS (SELECT src, dst FROM (SELECT src, dst, k0, row_number() OVER (PARTITION BY src ORDER BY dst) AS p FROM g JOIN emb ON cell = src JOIN ok USING (gt)) WHERE p <= least(k0, 50))""" + CHI.format("tk") + " SELECT gt AS label, round(avg((chi2 > 5.991464547107979)::INT), 6) AS kbet FROM ch JOIN emb ON cell = src WHERE k >= 5 GROUP BY gt"))(
     lambda s, d: rounded(mix.kbet_by_label(knn20(s, d), emb(s, d).select("cell", F.col("gt").alias("label"), "batch")), "kbet")
 )
-query("l6_graph_connectivity", None)(lambda s, d: mix.graph_connectivity(labelled(s, d)))
+query("l6_graph_connectivity", with_roles("emb", body=nearest("g", "emb", "emb", 14, where="a.cell <> b.cell") + """, e AS (SELECT src, dst FROM g JOIN emb p ON p.cell = src JOIN emb q ON q.cell = dst WHERE p.gt = q.gt), l AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r(x, y) AS (SELECT cell, cell FROM emb UNION SELECT r.x, l.dst FROM r JOIN l ON r.y = l.src), c AS (SELECT x, min(y) AS c FROM r GROUP BY x), z AS (SELECT gt, c, count(*) AS n FROM c JOIN emb ON cell = x GROUP BY ALL)
+SELECT round(avg(s), 6) AS graph_connectivity FROM (SELECT max(n) / sum(n)::DOUBLE AS s FROM z GROUP BY gt)""", recursive=True))(lambda s, d: rounded(mix.graph_connectivity(labelled(s, d)), "graph_connectivity"))
 MORAN = nearest("g", "coords", "coords", 3, where="a.cell <> b.cell") + ", z AS (SELECT cell, pred - (SELECT avg(pred) FROM emb) AS z FROM emb), sm AS (SELECT sum(1 / 3.0::DOUBLE) AS s0, sum(p.z * q.z / 3) AS c, sum(power(p.z - q.z, 2) / 3) AS gp FROM g JOIN z p ON p.cell = src JOIN z q ON q.cell = dst), sq AS (SELECT sum(z * z) AS sq, count(*) AS n FROM z)"
 query("l7_moran_geary", with_roles("coords", body=MORAN + " SELECT round(n / s0 * c / sq, 6) AS morans_i, round((n - 1) / (2 * s0) * gp / sq, 6) AS gearys_c FROM sm, sq"))(
     lambda s, d: rounded(mix.moran_geary(neighbours.knn(coords(s, d), coords(s, d), 3, itself=False), emb(s, d).select("cell", F.col("pred").alias("value"))), "morans_i", "gearys_c")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import cluster, graph, prep, recipes
 from ..sources import roles
 from ..sources.roles import with_roles
-from .graphs import coords, emb, knn20, m1, m2, nearest
-from .preparation import rounded
+from .graphs import KNN20, coords, emb, knn20, m1, m2, nearest
+from .preparation import PEAKS, rounded
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -77,8 +77,15 @@ query("c11_split_and_merge", None)(lambda s, d: recipes.split_and_merge(roles.co
 query("c14_background_means", None)(lambda s, d: recipes.background_means(roles.adt(s, d)))
 query("t2_linear_surrogate", None)(lambda s, d: recipes.linear_surrogate((m1(s, d), m2(s, d)), coords(s, d), 32))
 query("c13_change_threshold", None)(lambda s, d: s.createDataFrame([(recipes.change_threshold(Q["b5_differential_expression"](s, d)),)], "delta double"))
-query("j20_align_reference", None)(lambda s, d: recipes.align_reference(*(regions(s, d, k) for k in (0, 1)), "atac"))
-query("g5_typed_propagation", None)(lambda s, d: typed(s, d))
+query("j20_align_reference", with_roles("peaks", body=PEAKS.replace("FROM peaks", "FROM (SELECT * FROM peaks WHERE dataset < 2)") + """, inside AS (SELECT p.*, m."start" AS q_start, m."end" AS q_end FROM peaks p JOIN merged m ON p.dataset < 2 AND p.seqname = m.seqname AND p."start" >= m."start" AND p."end" <= m."end"),
+kept AS (SELECT seqname, q_start, q_end FROM inside GROUP BY ALL HAVING count(DISTINCT dataset) = 2 AND q_end - q_start > 20 AND q_end - q_start < 10000)
+SELECT dataset::INT AS dataset, cell, seqname || ':' || q_start || '-' || q_end AS feature, count(*) AS x FROM inside JOIN kept USING (seqname, q_start, q_end) GROUP BY ALL"""))(
+    lambda s, d: recipes.align_reference(*(regions(s, d, k) for k in (0, 1)), "atac")
+)
+query("g5_typed_propagation", with_roles("coords", body=KNN20 + """, s AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), t AS (SELECT s.dst AS cell, coalesce(sum(c.x) FILTER (p.batch = q.batch), 0) AS v2, coalesce(sum(c.y) FILTER (p.batch = q.batch), 0) AS v3, coalesce(sum(c.x) FILTER (p.batch <> q.batch), 0) AS v4, coalesce(sum(c.y) FILTER (p.batch <> q.batch), 0) AS v5
+FROM s JOIN emb p ON p.cell = src JOIN emb q ON q.cell = dst JOIN coords c ON c.cell = src GROUP BY s.dst) SELECT cell, round(x, 6) AS v0, round(y, 6) AS v1, round(v2, 6) AS v2, round(v3, 6) AS v3, round(v4, 6) AS v4, round(v5, 6) AS v5 FROM t JOIN coords USING (cell)"""))(
+    lambda s, d: rounded(typed(s, d).select("cell", *[F.col("v")[i].alias(f"v{i}") for i in range(6)]), *[f"v{i}" for i in range(6)])
+)
 
 
 def regions(s, d, dataset: int):
