@@ -38,8 +38,8 @@ BITS, PARTS = 22, 64
 GROUP = 256
 #: Bits of the filter of ids (4 MB, in the same parts) that spares texts of unopened groups a shuffle.
 FILTER = 25
-#: Sets and tokens of a bundle of groups that are opened in one place, so that each set travels once.
-BUNDLE_SETS, BUNDLE_TOKENS = 8192, 1 << 23
+#: Sets and tokens, about, of a block of groups that meet; two blocks are opened in one place, so that a set travels once a block.
+BLOCK_SETS, BLOCK_TOKENS = 2048, 1 << 22
 #: Shared tokens that are counted in one matrix product.
 WIDTH = 4096
 
@@ -273,24 +273,22 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
 def _bundles(meet: DataFrame, members: DataFrame) -> DataFrame:
     """Where groups are opened: x, y, gid, partners.
 
-    Groups that meet, over any number of steps, are one bundle if it is small
-    enough for a task; in larger ones each pair of groups is a bundle.
+    Groups that meet, over any number of steps, are dealt into blocks of bounded
+    size, and every two blocks between which groups meet are a bundle.  A set goes
+    to as many bundles as its blocks have, not to each partner.
     """
     parts = connected_components(meet, "a", "b")
     met = meet.join(parts, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("part"))
     groups = met.select("part", F.col("a").alias("gid")).unionAll(met.select("part", F.col("b").alias("gid"))).distinct()
     sizes = groups.join(members, "gid").groupBy("part").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    small = (F.col("sets") <= BUNDLE_SETS) & (F.col("tokens") <= BUNDLE_TOKENS)
-    judged = cut(sizes.select("part", small.alias("small")))
-    whole = met.join(judged.where("small"), "part").groupBy("part", F.col("a").alias("gid")).agg(F.collect_list("b").alias("partners"))
-    together = groups.join(judged.where("small"), "part").join(whole, ["part", "gid"], "left")
-    none = F.array().cast("array<bigint>")
-    apart = met.join(judged.where("NOT small"), "part")
-    return (
-        together.select(F.col("part").alias("x"), F.lit(0).cast("long").alias("y"), "gid", F.coalesce("partners", none).alias("partners"))
-        .unionAll(apart.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("a").alias("gid"), F.array("b").alias("partners")))
-        .unionAll(apart.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("b").alias("gid"), none.alias("partners")))
-    )
+    blocks = F.greatest(F.ceil(F.col("sets") / F.lit(BLOCK_SETS)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)))
+    dealt = met.join(sizes.select("part", blocks.alias("blocks")), "part")
+    block = lambda gid: F.pmod(F.xxhash64(gid), F.col("blocks"))
+    p, q = block("a"), block("b")
+    placed = cut(dealt.select("a", "b", F.col("part").alias("x"), (F.least(p, q) * F.col("blocks") + F.greatest(p, q)).alias("y")))
+    partners = placed.groupBy("x", "y", F.col("a").alias("gid")).agg(F.collect_list("b").alias("partners"))
+    there = placed.select("x", "y", F.col("a").alias("gid")).unionAll(placed.select("x", "y", F.col("b").alias("gid"))).distinct()
+    return there.join(partners, ["x", "y", "gid"], "left").select("x", "y", "gid", F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"))
 
 
 def _links(out: list[tuple[int, int, int]]) -> pa.RecordBatch:

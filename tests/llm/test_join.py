@@ -49,11 +49,11 @@ def corpus(seed, n=160):
     return out[:n]
 
 
-@pytest.mark.parametrize(("size", "percent", "group", "bundle"), [(4, 85, 256, 8192), (5, 80, 4, 8192), (3, 60, 4, 1)])
+@pytest.mark.parametrize(("size", "percent", "group", "bundle"), [(4, 85, 256, 2048), (5, 80, 4, 20), (3, 60, 4, 1)])
 def test_jaccard(spark, monkeypatch, size, percent, group, bundle):
     """All links and components, whatever the sizes of groups and bundles."""
     monkeypatch.setattr(jaccard_join, "GROUP", group)
-    monkeypatch.setattr(jaccard_join, "BUNDLE_SETS", bundle)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", bundle)
     texts = corpus(size)
     rows = list(zip(random.Random(1).sample(range(10_000), len(texts)), texts, strict=True))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_join(documents(spark, texts, [i for i, _ in rows]), size, percent).collect()}
