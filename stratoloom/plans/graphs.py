@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, graph, neighbours, reduce
+from ..operators import cluster, graph, neighbours, prep, reduce
 from ..sources import roles
 from ..sources.roles import with_roles
-from .preparation import rounded
+from .preparation import cells_of, rounded
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -75,17 +75,17 @@ query("j4_correlation_knn", with_roles("emb", body=", c AS (SELECT cell, list_tr
 RADIUS = """, r AS (SELECT a.cell AS src, b.cell AS dst, list_distance(a.v, b.v) AS dist FROM coords a, coords b WHERE a.cell <> b.cell AND list_distance(a.v, b.v) < 0.02),
 k AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS p FROM r) WHERE p <= 50 UNION ALL SELECT cell, cell FROM coords)"""
 query("j5_radius_graph", with_roles("coords", body=RADIUS + " SELECT src, dst FROM k"))(lambda s, d: neighbours.within_radius(coords(s, d).select("cell", "x", "y"), 0.02, 50).select("src", "dst"))
-B0, B1 = ", b0 AS (SELECT * FROM emb WHERE batch = 0)", ", b1 AS (SELECT * FROM emb WHERE batch = 1)"
+B0, B1 = ", b0 AS (SELECT * FROM emb WHERE batch = 0)", ", b1 AS (SELECT * FROM emb WHERE batch <> 0)"
 query("j7_cross_knn", with_roles("emb", body=B0 + B1 + nearest("g", "b0", "b1", 10) + " SELECT src, dst, place::INT AS place FROM g"))(
-    lambda s, d: neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch = 1"), 10).drop("dist")
+    lambda s, d: neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch <> 0"), 10).drop("dist")
 )
 query("j9_manhattan_knn", with_roles("emb", body=B0 + B1 + unit("u0", "b0") + unit("u1", "b1") + nearest("g", "u0", "u1", 10, "list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])))") + " SELECT src, dst, round(dist, 6) AS dist FROM g"))(
-    lambda s, d: rounded(neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch = 1"), 10, "unit_manhattan").drop("place"), "dist")
-)
-query("j12_mutual_neighbours", with_roles("emb", body=unit("u", "emb") + "".join(nearest(f"g{p}{q}", f"(SELECT * FROM u WHERE batch = {p})", f"(SELECT * FROM u WHERE batch = {q})", 5) for p in range(3) for q in range(3) if p != q) + " " + " UNION ALL ".join(
-    f"SELECT f.src AS a, f.dst AS b, {p} AS batch_a, {q} AS batch_b FROM g{p}{q} f JOIN g{q}{p} r ON f.src = r.dst AND f.dst = r.src" for p in range(3) for q in range(p + 1, 3))))(
-    lambda s, d: neighbours.mutual_across(emb(s, d), neighbours.bridge_pairs([0, 1, 2], []), 5)
+    lambda s, d: rounded(neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch <> 0"), 10, "unit_manhattan").drop("place"), "dist")
 )
+MUTUAL = unit("u", "emb") + "".join(nearest(f"g{p}{q}", f"(SELECT * FROM u WHERE batch = {p})", f"(SELECT * FROM u WHERE batch = {q})", 5) for p in range(3) for q in range(3) if p != q) + ", mm AS (" + " UNION ALL ".join(
+    f"SELECT f.src AS a, f.dst AS b, {p} AS batch_a, {q} AS batch_b FROM g{p}{q} f JOIN g{q}{p} r ON f.src = r.dst AND f.dst = r.src" for p in range(3) for q in range(p + 1, 3)) + ")"
+BATCHES = neighbours.bridge_pairs([0, 1, 2], [])
+query("j12_mutual_neighbours", with_roles("emb", body=MUTUAL + " SELECT a, b, batch_a, batch_b FROM mm"))(lambda s, d: neighbours.mutual_across(emb(s, d), BATCHES, 5))
 query("j13_shared_neighbours", with_roles("emb", body=KNN20 + ", s AS (SELECT a.src, b.src AS dst, count(*) AS w FROM g a JOIN g b ON a.dst = b.dst GROUP BY ALL) SELECT s.* FROM s JOIN g x ON s.src = x.src AND s.dst = x.dst JOIN g y ON s.src = y.dst AND s.dst = y.src WHERE s.src <> s.dst"))(
     lambda s, d: neighbours.shared_neighbours(knn20(s, d))
 )
@@ -98,22 +98,26 @@ query("j15_matching", with_roles("m1", "m2", body=MATCH + " SELECT src, dst, rou
 query("e16_matching_score", with_roles("m1", "m2", body=MATCH + " SELECT round(avg(coalesce(score, 0)), 6) AS matching_score FROM m1 LEFT JOIN m ON m.src = m1.cell AND m.dst = m1.cell"))(
     lambda s, d: rounded(m1(s, d).select("cell").join(neighbours.matching(m1(s, d), m2(s, d), 5).where("src = dst"), F.col("cell") == F.col("src"), "left").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("matching_score")), "matching_score")
 )
-query("j26_nearest_place", with_roles("coords", body=nearest("g", "(SELECT * FROM coords WHERE cell % 2 = 1)", "(SELECT * FROM coords WHERE cell % 2 = 0)", 1) + " SELECT src, dst FROM g"))(
-    lambda s, d: neighbours.nth_neighbour(neighbours.knn(coords(s, d).where("cell % 2 = 1"), coords(s, d).where("cell % 2 = 0"), 1)).select("src", "dst")
+query("j26_nearest_place", with_roles("coords", body=nearest("g", "(SELECT coords.* FROM coords JOIN emb USING (cell) WHERE batch <> 0)", "(SELECT coords.* FROM coords JOIN emb USING (cell) WHERE batch = 0)", 1) + " SELECT src, dst FROM g"))(
+    lambda s, d: neighbours.nth_neighbour(neighbours.knn(coords(s, d).where("grp <> 0"), coords(s, d).where("grp = 0"), 1)).select("src", "dst")
 )
 GRAPH3D = unit("u1", "m1") + unit("u2", "m2") + """, c AS (SELECT coords.*, batch FROM coords JOIN emb USING (cell))""" + nearest("s", "c", "c", 4, where="a.cell <> b.cell AND a.batch = b.batch") + nearest("f1", "u1", "u1", 3, COSINE, "a.batch <> b.batch") + nearest("f2", "u2", "u2", 3, COSINE, "a.batch <> b.batch")
 query("j28_spatial_feature_graph", with_roles("m1", "m2", "coords", body=GRAPH3D + " SELECT src, dst, 1 AS sign FROM s UNION ALL SELECT src, dst, -1 FROM (SELECT src, dst FROM f1 UNION SELECT src, dst FROM f2)"))(
     lambda s, d: neighbours.spatial_and_feature_graph(coords(s, d), [m(s, d).withColumnRenamed("batch", "grp") for m in (m1, m2)], 4, 3)
 )
-MNN = B0 + B1 + unit("u0", "b0") + unit("u1", "b1") + nearest("f", "u0", "u1", 5) + nearest("r", "u1", "u0", 5) + nearest("i", "coords", "coords", 3, where="a.cell <> b.cell") + """, mm AS (SELECT f.src AS a, f.dst AS b FROM f JOIN r ON f.src = r.dst AND f.dst = r.src),
-e AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE AS w FROM i UNION ALL SELECT cell, cell, 1.0 FROM coords UNION ALL SELECT a, b, 0.8 FROM mm UNION ALL SELECT b, a, 0.8 FROM mm) GROUP BY ALL)"""
+MNN = MUTUAL + nearest("i", "coords", "coords", 3, where="a.cell <> b.cell") + """, e AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 1.0::DOUBLE AS w FROM i UNION ALL SELECT cell, cell, 1.0 FROM coords UNION ALL SELECT a, b, 0.8 FROM mm UNION ALL SELECT b, a, 0.8 FROM mm) GROUP BY ALL)"""
+
+
+def counted(s, d):
+    """The points that have counts."""
+    return emb(s, d).join(roles.counts(s, d).select("cell").distinct(), "cell", "left_semi")
 
 
 def merged_graph(s, d):
-    """Spatial neighbours with loops, joined by mutual neighbours of two batches."""
+    """Spatial neighbours with loops, joined by mutual neighbours of every two batches."""
     c = coords(s, d)
     intra = neighbours.knn(c, c, 3, itself=False).select("src", "dst").unionAll(c.select(F.col("cell").alias("src"), F.col("cell").alias("dst")))
-    return graph.merged(intra, neighbours.mutual_across(emb(s, d), [(0, 1)], 5), 0.8)
+    return graph.merged(intra, neighbours.mutual_across(emb(s, d), BATCHES, 5), 0.8)
 
 
 query("j29_merged_graph", with_roles("coords", body=MNN + " SELECT src, dst, round(w, 6) AS w FROM e"))(lambda s, d: rounded(merged_graph(s, d), "w"))
@@ -166,10 +170,10 @@ def measured(s, d):
 
 query("g7_modality_components", f"SELECT batch::BIGINT AS batch, (SELECT min(batch) FROM {MEASURED})::BIGINT AS component FROM {MEASURED} GROUP BY batch")(lambda s, d: graph.modality_components(measured(s, d)))
 query("g8_bridge_batches", f"SELECT batch, count(*) AS modalities, count(*) >= 2 AS bridge FROM {MEASURED} GROUP BY batch")(lambda s, d: graph.bridge_batches(measured(s, d)))
-query("g15_smoothed_counts", with_roles("counts", "emb", body=nearest("g", "(SELECT * FROM emb WHERE cell BETWEEN 1 AND 100)", "(SELECT * FROM emb WHERE cell BETWEEN 1 AND 100)", 10) + " SELECT src AS cell, feature, round(sum(x) / 10, 6) AS x FROM g JOIN counts ON counts.cell = dst GROUP BY ALL"))(
-    lambda s, d: rounded(graph.smoothed_counts(neighbours.knn(emb(s, d).where("cell BETWEEN 1 AND 100"), emb(s, d).where("cell BETWEEN 1 AND 100"), 10), roles.counts(s, d), 10), "x")
+query("g15_smoothed_counts", with_roles("counts", "emb", body=", em AS (SELECT * FROM emb WHERE cell IN (SELECT cell FROM counts))" + nearest("g", "em", "em", 10) + " SELECT src AS cell, feature, round(sum(x) / 10, 6) AS x FROM g JOIN counts ON counts.cell = dst GROUP BY ALL"))(
+    lambda s, d: rounded(graph.smoothed_counts(neighbours.knn(counted(s, d), counted(s, d), 10), roles.counts(s, d), 10), "x")
 )
-query("g16_impute", with_roles("adt", "m1", "m2", body=unit("u1", "m1") + unit("u2", "m2") + "".join(nearest(f"g{i}", f"(SELECT * FROM u{i} WHERE cell >= 150 AND cell < 250)", f"(SELECT * FROM u{i} WHERE cell < 150)", 10, "list_sum(list_transform(range(1, 33), lambda i: abs(a.v[i] - b.v[i])))") for i in (1, 2)) + """
+query("g16_impute", with_roles("adt", "m1", "m2", body=unit("u1", "m1") + unit("u2", "m2") + "".join(nearest(f"g{i}", f"(SELECT * FROM u{i} WHERE cell NOT IN (SELECT cell FROM adt))", f"(SELECT * FROM u{i} WHERE cell IN (SELECT cell FROM adt))", 10, "list_sum(list_transform(range(1, 33), lambda i: abs(a.v[i] - b.v[i])))") for i in (1, 2)) + """
 SELECT cell, feature, round(sum(x) / 2, 6) AS x FROM (SELECT src AS cell, feature, sum(x) / 10 AS x FROM g1 JOIN adt ON adt.cell = dst GROUP BY ALL UNION ALL SELECT src, feature, sum(x) / 10 FROM g2 JOIN adt ON adt.cell = dst GROUP BY ALL) GROUP BY ALL"""))(
     lambda s, d: rounded(impute_two(s, d), "x")
 )
@@ -177,15 +181,15 @@ SELECT cell, feature, round(sum(x) / 2, 6) AS x FROM (SELECT src AS cell, featur
 
 def impute_two(s, d):
     """Both modalities of the target cells against those of the measured ones."""
-    out = None
+    out, known = None, roles.adt(s, d).select("cell").distinct()
     for m in (m1(s, d), m2(s, d)):
-        part = graph.impute(m.where("cell >= 150 AND cell < 250"), [(m.where("cell < 150"), roles.adt(s, d))], 10)
+        part = graph.impute(m.join(known, "cell", "left_anti"), [(m.join(known, "cell", "left_semi"), roles.adt(s, d))], 10)
         out = part if out is None else out.unionAll(part)
     return out.groupBy("cell", "feature").agg((F.sum("x") / 2).alias("x"))
 
 
-query("g17_merged_vectors", with_roles("m1", "m2", body=" SELECT m1.cell, round((m1.v[1] + m2.v[1]) / 2, 6) AS v0, round((m1.v[32] + m2.v[32]) / 2, 6) AS v31 FROM m1 JOIN m2 USING (cell)"))(
-    lambda s, d: rounded(graph.merged_vectors([m1(s, d), m2(s, d)], 32).select("cell", F.col("v")[0].alias("v0"), F.col("v")[31].alias("v31")), "v0", "v31")
+query("g17_merged_vectors", with_roles("m1", "m2", body=" SELECT m1.cell, (k - 1)::INT AS d, round((m1.v[k] + m2.v[k]) / 2, 6) AS x FROM m1 JOIN m2 USING (cell), range(1, 33) r(k)"))(
+    lambda s, d: rounded(graph.merged_vectors([m1(s, d), m2(s, d)], 32).select("cell", F.posexplode("v").alias("d", "x")), "x")
 )
 query("g18_attention", with_roles("coords", body=SYM + """, s AS (SELECT sym.src, sym.dst, exp(CASE WHEN p.x + q.y >= 0 THEN p.x + q.y ELSE 0.2 * (p.x + q.y) END) AS e FROM sym JOIN coords p ON p.cell = sym.src JOIN coords q ON q.cell = sym.dst)
 SELECT src, dst, round(e / sum(e) OVER (PARTITION BY dst), 6) AS w FROM s"""))(
@@ -195,12 +199,12 @@ query("g19_learned_graph", with_roles("coords", body=nearest("g", "coords", "coo
 l AS (SELECT * FROM h UNION ALL SELECT cell, cell, 1.0 FROM coords), dg AS (SELECT src, sum(w) AS d FROM l GROUP BY src) SELECT l.src, l.dst, round(w / sqrt(p.d * q.d), 6) AS w FROM l JOIN dg p ON p.src = l.src JOIN dg q ON q.src = l.dst"""))(
     lambda s, d: rounded(graph.learned_graph(neighbours.knn(coords(s, d), coords(s, d), 3, itself=False).select("src", "dst", (F.when((F.col("src") + F.col("dst")) % 3 == 0, -1.0).otherwise(1.0) * (F.col("place") + 1)).alias("w")), coords(s, d)), "w")
 )
-query("g20_fused", with_roles("m1", "m2", body=", p AS (SELECT m1.cell, exp(m1.v[1]) / (exp(m1.v[1]) + exp(m2.v[1])) AS a, m1.v AS x, m2.v AS y FROM m1 JOIN m2 USING (cell)) SELECT cell, round(a * x[1] + (1 - a) * y[1], 6) AS v0, round(a * x[9] + (1 - a) * y[9], 6) AS v8 FROM p"))(
-    lambda s, d: rounded(graph.fused([m1(s, d), m2(s, d)], m1(s, d).select("cell", F.col("v")[0].alias("a")).join(m2(s, d).select("cell", F.col("v")[0].alias("b")), "cell").select("cell", F.array("a", "b").alias("s"))).select("cell", F.col("v")[0].alias("v0"), F.col("v")[8].alias("v8")), "v0", "v8")
+query("g20_fused", with_roles("m1", "m2", body=", p AS (SELECT m1.cell, exp(m1.v[1]) / (exp(m1.v[1]) + exp(m2.v[1])) AS a, m1.v AS x, m2.v AS y FROM m1 JOIN m2 USING (cell)) SELECT cell, (k - 1)::INT AS d, round(a * x[k] + (1 - a) * y[k], 6) AS x FROM p, range(1, 33) r(k)"))(
+    lambda s, d: rounded(graph.fused([m1(s, d), m2(s, d)], m1(s, d).select("cell", F.col("v")[0].alias("a")).join(m2(s, d).select("cell", F.col("v")[0].alias("b")), "cell").select("cell", F.array("a", "b").alias("s"))).select("cell", F.posexplode("v").alias("d", "x")), "x")
 )
 for _kind, _sql in (("eq", "exp(-power(list_distance(a.v, b.v), 2))"), ("cauchy", "1 / (1 + power(list_distance(a.v, b.v), 2))"), ("laplacian", "exp(-(abs(a.v[1] - b.v[1]) + abs(a.v[2] - b.v[2])))"), ("matern32", "(1 + sqrt(3.0::DOUBLE) * list_distance(a.v, b.v)) * exp(-sqrt(3.0::DOUBLE) * list_distance(a.v, b.v))")):
-    query(f"n22_kernel_{_kind}", with_roles("coords", body=f" SELECT a.cell, b.cell AS point, round({_sql}, 6) AS k FROM coords a, coords b WHERE b.cell < 16"))(
-        lambda s, d, kind=_kind: rounded(coords(s, d).select("cell", "v").crossJoin(F.broadcast(coords(s, d).where("cell < 16").select(F.col("cell").alias("point"), F.col("v").alias("p")))).select("cell", "point", graph.kernel(kind, F.col("v"), F.col("p")).alias("k")), "k")
+    query(f"n22_kernel_{_kind}", with_roles("coords", body=f" SELECT a.cell, b.cell AS point, round({_sql}, 6) AS k FROM coords a, (SELECT x * 4 + y AS cell, [x / 3.0::DOUBLE, y / 3.0::DOUBLE] AS v FROM range(4) p(x), range(4) q(y)) b"))(
+        lambda s, d, kind=_kind: rounded(coords(s, d).select("cell", "v").crossJoin(F.broadcast(prep.inducing_points(s, 4, 1.0).select(F.round(F.col("x") * 12 + F.col("y") * 3).cast("long").alias("point"), F.array("x", "y").alias("p")))).select("cell", "point", graph.kernel(kind, F.col("v"), F.col("p")).alias("k")), "k")
     )
 WNN = "".join(unit(f"u{i}", f"m{i + 1}") + nearest(f"g{i}", f"u{i}", f"u{i}", 19, where="a.cell <> b.cell") for i in (0, 1))
 BW = "".join(f""", s{i} AS (SELECT a.src, b.src AS dst, count(*) AS n FROM g{i} a JOIN g{i} b ON a.dst = b.dst GROUP BY ALL), r{i} AS (SELECT src, dst, rank() OVER (PARTITION BY src ORDER BY n / (40.0::DOUBLE - n)) AS r FROM s{i}),
@@ -228,10 +232,10 @@ SELECT src, dst, round(w, 6) AS w, round(sqrt(least(greatest((1 - w) / 2, 0), 1)
     lambda s, d: rounded(graph.weighted_neighbours((m1(s, d), m2(s, d)), 20, 200, 32).select("src", "dst", "w", "dist"), "w", "dist")
 )
 query("d1_pca", None)(lambda s, d: reduce.pca(emb(s, d), 10)[0])
-query("d3_lsi", None)(lambda s, d: reduce.Lsi(10).fit(roles.counts(s, d), 100).transform(roles.counts(s, d)))
+query("d3_lsi", None)(lambda s, d: reduce.Lsi(10).fit(roles.counts(s, d), cells_of(s, d)).transform(roles.counts(s, d)))
 query("d5_centre_batches", None)(lambda s, d: reduce.centre_batches(emb(s, d)))
-query("n14_row_z_scores", with_roles("emb", body=", z AS (SELECT cell, v, list_avg(v) AS m, list_stddev_samp(v) AS sd FROM emb) SELECT cell, round((v[1] - m) / sd, 6) AS z0, round((v[64] - m) / sd, 6) AS z63 FROM z"))(
-    lambda s, d: rounded(emb(s, d).select("cell", reduce.row_z_scores(F.col("v")).alias("z")).select("cell", F.col("z")[0].alias("z0"), F.col("z")[63].alias("z63")), "z0", "z63")
+query("n14_row_z_scores", with_roles("emb", body=", z AS (SELECT cell, v, list_avg(v) AS m, list_stddev_samp(v) AS sd FROM emb) SELECT cell, (k - 1)::INT AS d, round((v[k] - m) / sd, 6) AS x FROM z, range(1, 65) r(k)"))(
+    lambda s, d: rounded(emb(s, d).select("cell", F.posexplode(reduce.row_z_scores(F.col("v"))).alias("d", "x")), "x")
 )
 query("c1_communities", None)(lambda s, d: cluster.communities(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0))))
 query("c3_spectral", None)(lambda s, d: cluster.spectral(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0)), 5))
@@ -240,8 +244,8 @@ query("c5_mixture", None)(lambda s, d: cluster.mixture(roles.coordinates(emb(s,
 query("c12_nearest_centroid", with_roles("emb", body=", c AS (SELECT gt AS k, " + ", ".join(f"avg(v[{i}]) AS c{i}" for i in range(1, 65)) + " FROM emb GROUP BY gt), p AS (SELECT cell, k, " + " + ".join(f"power(v[{i}] - c{i}, 2)" for i in range(1, 65)) + " AS d FROM emb, c) SELECT cell, arg_min(k, d) AS cluster FROM p GROUP BY cell"))(
     lambda s, d: cluster.nearest_centroid(emb(s, d), cluster.centroids(emb(s, d), "gt", 64).select("cluster", "c"))
 )
-query("a8_covariances", with_roles("emb", body=", l AS (SELECT cell, gt, i, v[i + 1] AS x FROM emb, range(0, 4) r(i)) SELECT a.gt AS cluster, a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM l a JOIN l b USING (cell) GROUP BY ALL"))(
-    lambda s, d: rounded(cluster.covariances(emb(s, d).withColumn("v", F.slice("v", 1, 4)), "gt"), "cov")
+query("a8_covariances", with_roles("m1", body=", l AS (SELECT cell, gt, i, v[i + 1] AS x FROM m1, range(0, 32) r(i)) SELECT a.gt AS cluster, a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM l a JOIN l b USING (cell) GROUP BY ALL"))(
+    lambda s, d: rounded(cluster.covariances(m1(s, d), "gt"), "cov")
 )
 query("c9_modularity", with_roles("emb", body=KNN20 + """, s AS (SELECT src, dst, 1.0::DOUBLE AS w FROM g UNION SELECT dst, src, 1.0 FROM g), e AS (SELECT s.*, p.gt AS c1, q.gt AS c2 FROM s JOIN emb p ON p.cell = src JOIN emb q ON q.cell = dst), dd AS (SELECT sum(d * d) AS dd FROM (SELECT c1, sum(w) AS d FROM e GROUP BY c1))
 SELECT round(sum(w) FILTER (c1 = c2) / sum(w) - any_value(dd) / (sum(w) * sum(w)), 6) AS modularity FROM e, dd"""))(

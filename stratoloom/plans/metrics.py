@@ -123,8 +123,8 @@ query("e18_cross_validation", with_roles("emb", body=", f AS (SELECT cell, v, gt
 query("e18_leave_batch_out", with_roles("emb", body=nearest("g", "emb", "emb", 5, where="a.batch <> b.batch") + ", vt AS (SELECT src, gt, count(*) AS n FROM g JOIN emb ON dst = cell GROUP BY ALL), pr AS (SELECT any_value(e.gt) AS label, arg_max(vt.gt, n * 1000 - vt.gt) AS pred FROM vt JOIN emb e ON e.cell = src GROUP BY src)" + F1 + SCORES))(
     lambda s, d: rounded(geo.cross_validation(labelled(s, d, batch="batch"), batch=True), "accuracy", "kappa", "macro_f1", "weighted_f1")
 )
-query("e17_label_transfer", with_roles("emb", body="".join(nearest(f"g{p}", f"(SELECT * FROM emb WHERE cell % 3 = {p})", f"(SELECT * FROM emb WHERE cell % 3 = {1 - p})", 10) + f", v{p} AS (SELECT src, gt, count(*) AS n FROM g{p} JOIN emb ON dst = cell GROUP BY ALL), p{p} AS (SELECT any_value(e.gt) AS label, arg_max(v{p}.gt, n * 1000 - v{p}.gt) AS pred FROM v{p} JOIN emb e ON e.cell = src GROUP BY src), f{p} AS (SELECT avg(2 * hit / (t + q)) AS f FROM (SELECT k, count(*) FILTER (label = k)::DOUBLE AS t, count(*) FILTER (pred = k) AS q, count(*) FILTER (label = k AND pred = k) AS hit FROM p{p}, (SELECT label AS k FROM p{p} UNION SELECT pred FROM p{p}) GROUP BY k))" for p in (0, 1)) + " SELECT round((f0.f + f1.f) / 2, 6) AS label_transfer FROM f0, f1"))(
-    lambda s, d: rounded(geo.label_transfer(labelled(s, d).where("cell % 3 = 0"), labelled(s, d).where("cell % 3 = 1")), "label_transfer")
+query("e17_label_transfer", with_roles("emb", body="".join(nearest(f"g{p}", f"(SELECT * FROM emb WHERE (batch = 0) = ({p} = 0))", f"(SELECT * FROM emb WHERE (batch = 0) <> ({p} = 0))", 10) + f", v{p} AS (SELECT src, gt, count(*) AS n FROM g{p} JOIN emb ON dst = cell GROUP BY ALL), p{p} AS (SELECT any_value(e.gt) AS label, arg_max(v{p}.gt, n * 1000 - v{p}.gt) AS pred FROM v{p} JOIN emb e ON e.cell = src GROUP BY src), f{p} AS (SELECT avg(2 * hit / (t + q)) AS f FROM (SELECT k, count(*) FILTER (label = k)::DOUBLE AS t, count(*) FILTER (pred = k) AS q, count(*) FILTER (label = k AND pred = k) AS hit FROM p{p}, (SELECT label AS k FROM p{p} UNION SELECT pred FROM p{p}) GROUP BY k))" for p in (0, 1)) + " SELECT round((f0.f + f1.f) / 2, 6) AS label_transfer FROM f0, f1"))(
+    lambda s, d: rounded(geo.label_transfer(labelled(s, d, batch="batch").where("batch = 0"), labelled(s, d, batch="batch").where("batch <> 0")), "label_transfer")
 )
 query("e20_auc", "WITH b AS (SELECT o_totalprice AS score, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS p FROM orders GROUP BY ALL), c AS (SELECT *, coalesce(sum(n - p) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b) SELECT round(sum(p * (below + (n - p) / 2.0::DOUBLE)) / (sum(p) * sum(n - p))::DOUBLE, 6) AS auc FROM c")(
     lambda s, d: rounded(geo.auc(roles.table(s, d, "orders").select(F.col("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").alias("positive"))), "auc")
@@ -147,8 +147,8 @@ query("w7_spearman", with_roles("counts", body=PRICES + ", k AS (SELECT feature,
 query("e24_metacell_correlation", with_roles("emb", body=", l AS (SELECT cell, gt, i, v[i] AS x FROM emb, range(1, 65) r(i)), m AS (SELECT gt, i, avg(x) AS m FROM l GROUP BY ALL) SELECT cell, round(corr(x, m), 6) AS pearson FROM l JOIN m USING (gt, i) GROUP BY cell"))(
     lambda s, d: rounded(geo.metacell_correlation(labelled(s, d)), "pearson")
 )
-query("e22_correlation_distance", with_roles("m1", "m2", body="".join(f", l{i} AS (SELECT cell, k, v[k] AS x FROM m{i}, range(1, 9) r(k)), r{i} AS (SELECT a.k, b.k AS e, corr(a.x, b.x) AS r FROM l{i} a JOIN l{i} b USING (cell) GROUP BY ALL)" for i in (1, 2)) + " SELECT round(1 - sum(p.r * q.r) / (sqrt(sum(p.r * p.r)) * sqrt(sum(q.r * q.r))), 6) AS cmd FROM r1 p JOIN r2 q USING (k, e)"))(
-    lambda s, d: rounded(geo.correlation_matrix_distance(*(m(s, d).withColumn("v", F.slice("v", 1, 8)) for m in (m1, m2))), "cmd")
+query("e22_correlation_distance", with_roles("m1", "m2", body="".join(f", l{i} AS (SELECT cell, k, v[k] AS x FROM m{i}, range(1, 33) r(k)), r{i} AS (SELECT a.k, b.k AS e, corr(a.x, b.x) AS r FROM l{i} a JOIN l{i} b USING (cell) GROUP BY ALL)" for i in (1, 2)) + " SELECT round(1 - sum(p.r * q.r) / (sqrt(sum(p.r * p.r)) * sqrt(sum(q.r * q.r))), 6) AS cmd FROM r1 p JOIN r2 q USING (k, e)"))(
+    lambda s, d: rounded(geo.correlation_matrix_distance(m1(s, d), m2(s, d)), "cmd")
 )
 # mixing
 LISI = KNN20 + ", lc AS (SELECT src, {0} AS label, count(*) AS n FROM g JOIN emb ON dst = cell GROUP BY ALL), li AS (SELECT src, 1 / sum(power(n / 20.0::DOUBLE, 2)) AS l FROM lc GROUP BY src)"

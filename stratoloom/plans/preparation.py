@@ -35,6 +35,11 @@ def cells_of(s, d) -> int:
     return roles.table(s, d, "supplier").count()
 
 
+def regions_of(s, d) -> list[int]:
+    """The batches, one for each region that has a supplier."""
+    return sorted(r[0] for r in roles.cell_batches(s, d).select("batch").distinct().collect())
+
+
 N_CELLS = "(SELECT count(*) FROM supplier)"
 
 query("s1_counts", with_roles("counts", body=" SELECT cell, feature, x FROM counts"))(roles.counts)
@@ -166,26 +171,26 @@ PEAKS = """, o AS (SELECT seqname, "start", "end", max("end") OVER (PARTITION BY
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" >= reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seqname ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM o),
 merged AS (SELECT seqname, min("start") AS "start", max("end") AS "end", count(*) AS n FROM i GROUP BY seqname, island)"""
 query("a9_merge_intervals", with_roles("peaks", body=PEAKS + ' SELECT seqname, "start", "end", n FROM merged'))(lambda s, d: align.merge_intervals(roles.peaks(s, d)))
-query("j18_contained", with_roles("peaks", body=""", q AS (SELECT seqname, "start" AS q_start, "start" + 40 AS q_end FROM peaks WHERE event_id % 7 = 0) SELECT event_id, q_start, q_end FROM peaks p JOIN q ON p.seqname = q.seqname AND p."start" >= q_start AND p."end" <= q_end"""))(
-    lambda s, d: align.contained(roles.peaks(s, d).where("event_id % 7 = 0").select("seqname", "start", (F.col("start") + 40).alias("end")), roles.peaks(s, d)).select("event_id", "q_start", "q_end")
+query("j18_contained", with_roles("peaks", body=""", q AS (SELECT seqname, "start" AS q_start, "start" + 40 AS q_end FROM peaks) SELECT event_id, q_start, q_end FROM peaks p JOIN q ON p.seqname = q.seqname AND p."start" >= q_start AND p."end" <= q_end"""))(
+    lambda s, d: align.contained(roles.peaks(s, d).select("seqname", "start", (F.col("start") + 40).alias("end")), roles.peaks(s, d)).select("event_id", "q_start", "q_end")
 )
 query("j19_align_peaks", with_roles("peaks", body=PEAKS + """, inside AS (SELECT p.*, m."start" AS q_start, m."end" AS q_end FROM peaks p JOIN merged m ON p.seqname = m.seqname AND p."start" >= m."start" AND p."end" <= m."end"),
 kept AS (SELECT seqname, q_start, q_end FROM inside GROUP BY ALL HAVING count(DISTINCT dataset) = 3 AND q_end - q_start > 20 AND q_end - q_start < 10000)
 SELECT dataset, cell, seqname || ':' || q_start || '-' || q_end AS feature, count(*) AS x FROM inside JOIN kept USING (seqname, q_start, q_end) GROUP BY ALL"""))(
     lambda s, d: align.align_peaks(roles.peaks(s, d).withColumn("x", F.lit(1)), 3)
 )
-query("j16_shared_names", with_roles("counts", "cell_batches", body=", f AS (SELECT DISTINCT batch, feature FROM counts JOIN cell_batches USING (cell)) SELECT feature FROM f GROUP BY feature HAVING count(*) = 5"))(
-    lambda s, d: align.shared_names([roles.counts(s, d).join(roles.cell_batches(s, d).where(F.col("batch") == b), "cell", "left_semi") for b in range(5)])
+query("j16_shared_names", with_roles("counts", "cell_batches", body=", f AS (SELECT DISTINCT batch, feature FROM counts JOIN cell_batches USING (cell)) SELECT feature FROM f GROUP BY feature HAVING count(*) = (SELECT count(DISTINCT batch) FROM cell_batches)"))(
+    lambda s, d: align.shared_names([roles.counts(s, d).join(roles.cell_batches(s, d).where(F.col("batch") == b), "cell", "left_semi") for b in regions_of(s, d)])
 )
 query("j21_shared_cells", "SELECT s_suppkey AS cell FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)")(
     lambda s, d: align.shared_cells([roles.table(s, d, "supplier").select(F.col("s_suppkey").alias("cell")), roles.adt(s, d)])
 )
-query("j24_first_batch", "SELECT cell, arg_min(batch, i * 100 + batch) AS batch FROM (SELECT s_suppkey AS cell, 1 AS batch, 0 AS i FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT user_id, 2, 1 FROM events) GROUP BY cell")(
-    lambda s, d: align.first_batch([roles.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("cell"), F.lit(1).alias("batch")), roles.adt(s, d).select("cell", F.lit(2).alias("batch")).distinct()])
+query("j24_first_batch", "SELECT cell, arg_min(batch, i * 100 + batch) AS batch FROM (SELECT s_suppkey AS cell, 1 AS batch, 0 AS i FROM supplier UNION ALL SELECT user_id, 2, 1 FROM events) GROUP BY cell")(
+    lambda s, d: align.first_batch([roles.table(s, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.lit(1).alias("batch")), roles.adt(s, d).select("cell", F.lit(2).alias("batch")).distinct()])
 )
-query("u1_concat_batches", with_roles("counts", "cell_batches", body=""", two AS (SELECT c.*, batch FROM counts c JOIN cell_batches USING (cell) WHERE batch IN (0, 1)), shared AS (SELECT feature FROM two GROUP BY feature HAVING count(DISTINCT batch) = 2)
+query("u1_concat_batches", with_roles("counts", "cell_batches", body=""", two AS (SELECT c.*, batch FROM counts c JOIN cell_batches USING (cell) ), shared AS (SELECT feature FROM two GROUP BY feature HAVING count(DISTINCT batch) = (SELECT count(DISTINCT batch) FROM two))
 SELECT cell || '-' || batch AS cell, feature, x, batch FROM two WHERE feature IN (SELECT feature FROM shared)"""))(
-    lambda s, d: align.concat_batches([roles.counts(s, d).join(roles.cell_batches(s, d).where(F.col("batch") == b), "cell", "left_semi") for b in (0, 1)], [0, 1])
+    lambda s, d: align.concat_batches([roles.counts(s, d).join(roles.cell_batches(s, d).where(F.col("batch") == b), "cell", "left_semi") for b in regions_of(s, d)], regions_of(s, d))
 )
 query("u2_stack_batches", with_roles("emb", body=" SELECT cell, gt, batch AS src FROM emb"))(
     lambda s, d: align.stack_batches(align.split_batches(roles.embeddings(s, d).select("cell", "gt", "batch"), [0, 1, 2])).select("cell", "gt", "src")

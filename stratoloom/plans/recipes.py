@@ -30,6 +30,11 @@ def suppliers(s, d):
     return roles.table(s, d, "supplier").select(F.col("s_suppkey").alias("cell"))
 
 
+def rich(s, d):
+    """(cell) of the suppliers that a model is trained on."""
+    return roles.table(s, d, "supplier").where("s_acctbal >= 4500").select(F.col("s_suppkey").alias("cell"))
+
+
 def users(s, d):
     """(cell) of all users."""
     return roles.adt(s, d).select("cell").distinct()
@@ -38,11 +43,11 @@ def users(s, d):
 query("p25_super_resolution", with_roles("coords", body=nearest("g", "coords", "coords", 1, where="a.cell <> b.cell") + ", s AS (SELECT quantile_cont(dist, 0.5) / 4 AS s FROM g), o AS (SELECT * FROM (VALUES (0, 0, 0), (1, -1, -1), (2, -1, 1), (3, 1, -1), (4, 1, 1)) t(corner, a, b)) SELECT cell, corner, round(x + a * s, 6) AS x, round(y + b * s, 6) AS y FROM coords, s, o"))(
     lambda s, d: rounded(recipes.super_resolution(coords(s, d).select("cell", "x", "y")), "x", "y")
 )
-query("n15_normalise_others", with_roles("counts", body=f""", tr AS (SELECT * FROM counts WHERE cell % 2 = 0), md AS (SELECT quantile_cont(t, 0.5) AS m FROM (SELECT sum(x) AS t FROM tr GROUP BY cell)), n AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0),
-lg AS (SELECT cell, feature, ln(1 + x / (sum(x) OVER (PARTITION BY cell) / m)) AS x FROM counts, md), tm AS (SELECT *, sum(x) OVER (PARTITION BY feature) / n AS mean FROM lg, n WHERE cell % 2 = 0),
+query("n15_normalise_others", with_roles("counts", body=f""", rich AS (SELECT s_suppkey AS cell FROM supplier WHERE s_acctbal >= 4500), tr AS (SELECT * FROM counts WHERE cell IN (FROM rich)), md AS (SELECT quantile_cont(t, 0.5) AS m FROM (SELECT sum(x) AS t FROM tr GROUP BY cell)), n AS (SELECT count(*) AS n FROM rich),
+lg AS (SELECT cell, feature, ln(1 + x / (sum(x) OVER (PARTITION BY cell) / m)) AS x FROM counts, md), tm AS (SELECT *, sum(x) OVER (PARTITION BY feature) / n AS mean FROM lg, n WHERE cell IN (FROM rich)),
 st AS (SELECT feature, any_value(mean) AS mean, sqrt((sum((x - mean) * (x - mean)) + (any_value(n) - count(*)) * any_value(mean) * any_value(mean)) / (any_value(n) - 1)) AS std FROM tm GROUP BY feature)
-SELECT cell, feature, round((x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS x FROM lg JOIN st USING (feature) WHERE cell % 2 = 1"""))(
-    lambda s, d: rounded(recipes.Normaliser().fit(roles.counts(s, d).where("cell % 2 = 0"), suppliers(s, d).where("cell % 2 = 0").count()).transform(roles.counts(s, d).where("cell % 2 = 1")).select("cell", "feature", "x"), "x")
+SELECT cell, feature, round((x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS x FROM lg JOIN st USING (feature) WHERE cell NOT IN (FROM rich)"""))(
+    lambda s, d: rounded(recipes.Normaliser().fit(roles.counts(s, d).join(rich(s, d), "cell", "left_semi"), rich(s, d).count()).transform(roles.counts(s, d).join(rich(s, d), "cell", "left_anti")).select("cell", "feature", "x"), "x")
 )
 query("n4_densify", with_roles("adt", body=f""", n AS (SELECT count(DISTINCT cell) AS n FROM adt), m AS (SELECT *, sum(x) OVER (PARTITION BY feature) / n AS mean FROM adt, n), st AS (SELECT feature, any_value(mean) AS mean, sqrt((sum((x - mean) * (x - mean)) + (any_value(n) - count(*)) * any_value(mean) * any_value(mean)) / (any_value(n) - 1)) AS std FROM m GROUP BY feature)
 SELECT c.cell, st.feature, round((coalesce(a.x, 0) - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS x FROM (SELECT DISTINCT cell FROM adt) c, st LEFT JOIN adt a ON a.cell = c.cell AND a.feature = st.feature"""))(
@@ -77,10 +82,10 @@ query("c11_split_and_merge", None)(lambda s, d: recipes.split_and_merge(roles.co
 query("c14_background_means", None)(lambda s, d: recipes.background_means(roles.adt(s, d)))
 query("t2_linear_surrogate", None)(lambda s, d: recipes.linear_surrogate((m1(s, d), m2(s, d)), coords(s, d), 32))
 query("c13_change_threshold", None)(lambda s, d: s.createDataFrame([(recipes.change_threshold(Q["b5_differential_expression"](s, d)),)], "delta double"))
-query("j20_align_reference", with_roles("peaks", body=PEAKS.replace("FROM peaks", "FROM (SELECT * FROM peaks WHERE dataset < 2)") + """, inside AS (SELECT p.*, m."start" AS q_start, m."end" AS q_end FROM peaks p JOIN merged m ON p.dataset < 2 AND p.seqname = m.seqname AND p."start" >= m."start" AND p."end" <= m."end"),
+query("j20_align_reference", with_roles("peaks", body=PEAKS + """, inside AS (SELECT p.* REPLACE ((dataset <> 0)::INT AS dataset), m."start" AS q_start, m."end" AS q_end FROM peaks p JOIN merged m ON p.seqname = m.seqname AND p."start" >= m."start" AND p."end" <= m."end"),
 kept AS (SELECT seqname, q_start, q_end FROM inside GROUP BY ALL HAVING count(DISTINCT dataset) = 2 AND q_end - q_start > 20 AND q_end - q_start < 10000)
-SELECT dataset::INT AS dataset, cell, seqname || ':' || q_start || '-' || q_end AS feature, count(*) AS x FROM inside JOIN kept USING (seqname, q_start, q_end) GROUP BY ALL"""))(
-    lambda s, d: recipes.align_reference(*(regions(s, d, k) for k in (0, 1)), "atac")
+SELECT dataset, cell, seqname || ':' || q_start || '-' || q_end AS feature, count(*) AS x FROM inside JOIN kept USING (seqname, q_start, q_end) GROUP BY ALL"""))(
+    lambda s, d: recipes.align_reference(regions(s, d, "dataset = 0"), regions(s, d, "dataset <> 0"), "atac")
 )
 query("g5_typed_propagation", with_roles("coords", body=KNN20 + """, s AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), t AS (SELECT s.dst AS cell, coalesce(sum(c.x) FILTER (p.batch = q.batch), 0) AS v2, coalesce(sum(c.y) FILTER (p.batch = q.batch), 0) AS v3, coalesce(sum(c.x) FILTER (p.batch <> q.batch), 0) AS v4, coalesce(sum(c.y) FILTER (p.batch <> q.batch), 0) AS v5
 FROM s JOIN emb p ON p.cell = src JOIN emb q ON q.cell = dst JOIN coords c ON c.cell = src GROUP BY s.dst) SELECT cell, round(x, 6) AS v0, round(y, 6) AS v1, round(v2, 6) AS v2, round(v3, 6) AS v3, round(v4, 6) AS v4, round(v5, 6) AS v5 FROM t JOIN coords USING (cell)"""))(
@@ -88,9 +93,9 @@ FROM s JOIN emb p ON p.cell = src JOIN emb q ON q.cell = dst JOIN coords c ON c.
 )
 
 
-def regions(s, d, dataset: int):
-    """Counts on regions of one dataset."""
-    return roles.peaks(s, d).where(F.col("dataset") == dataset).select("cell", F.concat("seqname", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("feature"), F.lit(1).alias("x"))
+def regions(s, d, which: str):
+    """Counts on regions of some datasets."""
+    return roles.peaks(s, d).where(which).select("cell", F.concat("seqname", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("feature"), F.lit(1).alias("x"))
 
 
 def typed(s, d):
