@@ -18,8 +18,8 @@ from .tables import small_batches, table
 
 #: Documents of a language to learn from, about, at most; languages, the most frequent first.
 SAMPLE, LANGUAGES = 3000, 128
-#: Words of a language that are known, and n-grams of each length, the most frequent first.
-WORDS, GRAMS = 50_000, 20_000
+#: Words of a language that are known, and n-grams of each length, the most frequent first; and all of them together.
+WORDS, GRAMS, ENTRIES = 50_000, 20_000, 1_000_000
 #: Lengths of n-grams, longest first; a word's ends count as characters.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Unseen words a worker remembers.
@@ -46,7 +46,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Counts come from about ``sample`` documents of each of the ``LANGUAGES`` most
     frequent languages, chosen by the hash of the key.  What reaches the driver is
     bounded by these parameters: WORDS words and GRAMS n-grams of each length for
-    a language.  Words that only one occurrence supports aren't known.
+    a language, fewer with many languages, ENTRIES in all.  Words that only one
+    occurrence supports aren't known.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
@@ -83,9 +84,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*[(*k, n) for k, n in found.items()], strict=True)) or [(), (), (), ()], (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "length", "gram", "n"])
 
     grams = words.mapInArrow(split, shape).groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+    n_words = min(WORDS, ENTRIES * 2 // 5 // len(langs))
+    n_grams = min(GRAMS, ENTRIES * 3 // 5 // len(LENGTHS) // len(langs))
     rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "gram"))
     every = words.where("n > 1").unionAll(grams).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "length")))
-    kept = every.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, WORDS).otherwise(GRAMS)).drop("rank").toArrow()
+    kept = every.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, n_words).otherwise(n_grams)).drop("rank").toArrow()
     return _model(langs, kept)
 
 
