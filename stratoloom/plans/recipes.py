@@ -45,7 +45,7 @@ query("p25_super_resolution", with_roles("coords", body=nearest("g", "coords", "
 )
 query("n15_normalise_others", with_roles("counts", body=f""", rich AS (SELECT s_suppkey AS cell FROM supplier WHERE s_acctbal >= 4500), tr AS (SELECT * FROM counts WHERE cell IN (FROM rich)), md AS (SELECT quantile_cont(t, 0.5) AS m FROM (SELECT sum(x) AS t FROM tr GROUP BY cell)), n AS (SELECT count(*) AS n FROM rich),
 lg AS (SELECT cell, feature, ln(1 + x / (sum(x) OVER (PARTITION BY cell) / m)) AS x FROM counts, md), tm AS (SELECT *, sum(x) OVER (PARTITION BY feature) / n AS mean FROM lg, n WHERE cell IN (FROM rich)),
-st AS (SELECT feature, any_value(mean) AS mean, sqrt((sum((x - mean) * (x - mean)) + (any_value(n) - count(*)) * any_value(mean) * any_value(mean)) / (any_value(n) - 1)) AS std FROM tm GROUP BY feature)
+st AS (SELECT feature, any_value(mean) AS mean, sqrt((sum((x - mean) * (x - mean)) + (any_value(n) - count(*)) * any_value(mean) * any_value(mean)) / greatest(1, any_value(n) - 1)) AS std FROM tm GROUP BY feature)
 SELECT cell, feature, round((x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS x FROM lg JOIN st USING (feature) WHERE cell NOT IN (FROM rich)"""))(
     lambda s, d: rounded(recipes.Normaliser().fit(roles.counts(s, d).join(rich(s, d), "cell", "left_semi"), rich(s, d).count()).transform(roles.counts(s, d).join(rich(s, d), "cell", "left_anti")).select("cell", "feature", "x"), "x")
 )
