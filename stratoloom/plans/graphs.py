@@ -79,6 +79,7 @@ B0, B1 = ", b0 AS (SELECT * FROM emb WHERE batch = 0)", ", b1 AS (SELECT * FROM
 query("j7_cross_knn", with_roles("emb", body=B0 + B1 + nearest("g", "b0", "b1", 10) + " SELECT src, dst, place::INT AS place FROM g"))(
     lambda s, d: neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch <> 0"), 10).drop("dist")
 )
+query("j8_approximate_knn", None)(lambda s, d: neighbours.approximate_knn(emb(s, d), emb(s, d), 10, 1.2, 0.6))
 query("j9_manhattan_knn", with_roles("emb", body=B0 + B1 + unit("u0", "b0") + unit("u1", "b1") + nearest("g", "u0", "u1", 10, "list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])))") + " SELECT src, dst, round(dist, 6) AS dist FROM g"))(
     lambda s, d: rounded(neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch <> 0"), 10, "unit_manhattan").drop("place"), "dist")
 )

@@ -127,6 +127,16 @@ def test_knn_paths_agree(spark, monkeypatch):
             assert sorted((r[0], r[1]) for r in whole) == want
 
 
+def test_approximate_knn(spark):
+    """Most of the true neighbours are found, and none that isn't one of the points within reach."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((150, 6))
+    points = spark.createDataFrame([(i, v[i].tolist()) for i in range(150)], "cell long, v array<double>")
+    exact = {(r["src"], r["dst"]) for r in neighbours.knn(points, points, 5).collect()}
+    found = {(r["src"], r["dst"]) for r in neighbours.approximate_knn(points, points, 5, 10.0, 2.0).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
 def test_votes_and_components(spark):
     """The smallest of tied labels wins; components carry their smallest node."""
     edges = spark.createDataFrame([(9, j) for j in range(5)], "src long, dst long")
