@@ -217,7 +217,7 @@ def dispersion_features(logged: DataFrame, n_top: int, n_cells: int, bins: int =
         single = std.isNull()
         score = (F.col("d") - F.when(single, 0.0).otherwise(mean)) / F.when(single, mean).otherwise(std)
     else:
-        binned = disp.withColumn("bin", F.ntile(bins).over(Window.orderBy("m", "feature")))
+        binned = disp.withColumn("bin", F.ntile(bins).over(Window.orderBy(F.round(F.expm1("m"), 9), "feature")))
         medians = binned.groupBy("bin").agg(F.percentile("d", F.lit(0.5)).alias("median"))
         spread = binned.join(medians, "bin").withColumn("off", F.abs(F.col("d") - F.col("median")))
         binned = spread.join(spread.groupBy("bin").agg(F.percentile("off", F.lit(0.5)).alias("mad")), "bin")

@@ -195,5 +195,16 @@ def label_report(s, d) -> DataFrame:
     ])
 
 
-query("b1_label_report", None)(label_report)
-query("b2_batch_report", None)(batch_report)
+def long_sql(parts: list[tuple[str, tuple[str, ...]]]) -> str:
+    """The columns of one-row queries as rows."""
+    return " UNION ALL ".join(f"SELECT '{c}' AS metric, {c}::DOUBLE AS value FROM ({sql})" for sql, columns in parts for c in columns)
+
+
+query("b1_label_report", long_sql([
+    (SQL["m3_m10_pair_metrics"], ("precision", "recall", "f_measure", "jaccard", "dice", "fmi", "ari")), (SQL["m1_purity"], ("purity",)),
+    (SQL["m9_m14_information"], ("nmi", "homogeneity", "completeness", "v_measure")), (SQL["m11_adjusted_information"], ("ami",)),
+    (with_roles("emb", body=sil("emb", "gt::VARCHAR") + " SELECT round(avg(s), 6) AS silhouette FROM sl"), ("silhouette",)),
+    (SQL["e8_e9_dispersion"], ("calinski_harabasz", "davies_bouldin")), (SQL["l2_clisi"], ("clisi",)), (SQL["l7_moran_geary"], ("morans_i", "gearys_c")),
+]))(lambda s, d: rounded(label_report(s, d), "value"))
+BATCH_SIL = with_roles("emb", body=sil("emb", "batch::VARCHAR", "gt::VARCHAR") + ", gb AS (SELECT grp, count(DISTINCT label) AS b, count(*) AS n FROM pt GROUP BY grp) SELECT round(avg(m), 6) AS silhouette_batch FROM (SELECT grp, avg(1 - abs(s)) AS m FROM sl GROUP BY grp) JOIN gb USING (grp) WHERE b > 1 AND b < n")
+query("b2_batch_report", long_sql([(BATCH_SIL, ("silhouette_batch",)), (SQL["l1_ilisi"], ("ilisi",)), (SQL["l4_kbet"], ("kbet",)), (SQL["l6_graph_connectivity"], ("graph_connectivity",))]))(lambda s, d: rounded(batch_report(s, d), "value"))

@@ -144,7 +144,11 @@ z AS (SELECT feature, m, d, stddev_samp(d) OVER (PARTITION BY bin) AS sd, avg(d)
 SELECT feature, round(m, 6) AS mean, round((d - CASE WHEN sd IS NULL THEN 0 ELSE av END) / CASE WHEN sd IS NULL THEN av ELSE sd END, 6) AS score FROM z"""))(
     lambda s, d: rounded(prep.dispersion_features(prep.log1p(roles.counts(s, d)), 300, cells_of(s, d)).select("feature", "mean", "score"), "mean", "score")
 )
-query("p8_dispersion_percentile", None)(lambda s, d: prep.dispersion_features(prep.log1p(roles.counts(s, d)), 300, cells_of(s, d), flavour="percentile"))
+query("p8_dispersion_percentile", with_roles("counts", body=f""", m AS (SELECT *, sum(x) OVER (PARTITION BY feature) / {N_CELLS} AS mean FROM counts), st AS (SELECT feature, any_value(mean) AS mean, (sum((x - mean) * (x - mean)) + ({N_CELLS} - count(*)) * any_value(mean) * any_value(mean)) / ({N_CELLS} - 1) AS var FROM m GROUP BY feature),
+b AS (SELECT feature, ln(1 + mean) AS m, var / mean AS d, ntile(20) OVER (ORDER BY round(mean, 9), feature) AS bin FROM st), q AS (SELECT bin, quantile_cont(d, 0.5) AS md FROM b GROUP BY bin), o AS (SELECT b.*, md, abs(d - md) AS o FROM b JOIN q USING (bin)), w AS (SELECT bin, quantile_cont(o, 0.5) AS mad FROM o GROUP BY bin)
+SELECT feature, round(m, 6) AS mean, round((d - md) / CASE WHEN mad = 0 THEN NULL ELSE mad END, 5) AS score FROM o JOIN w USING (bin)"""))(
+    lambda s, d: rounded(prep.dispersion_features(prep.log1p(roles.counts(s, d)), 300, cells_of(s, d), flavour="percentile").select("feature", "mean", F.round("score", 5).alias("score")), "mean")
+)
 query("p5_stabilised_features", None)(lambda s, d: prep.stabilised_features(roles.counts(s, d), 300, cells_of(s, d)))
 query("p6_features_by_batch", None)(lambda s, d: prep.features_by_batch(roles.counts(s, d), roles.cell_batches(s, d), 300))
 
