@@ -9,9 +9,8 @@ meet only over a shared one.  Where they meet, a member is opened only if the
 other group's full union holds enough of its tokens; opened members are counted
 against each other exactly.
 
-Between sets of which one is no larger, the smaller needs only a shorter prefix
-(its "index" prefix), and sizes must be near; pairs of groups without such
-members are never opened.
+How early they must share it depends on both sizes; pairs of groups that share
+their tokens too late, or whose sizes differ too much, are never opened.
 
 The order puts tokens that many documents have last, by counts in a fixed table
 of counters.  Any order gives exact results; this one keeps the passages that
@@ -39,7 +38,7 @@ GROUP = 256
 #: Bits of the filter of ids (4 MB, in the same parts) that spares texts of unopened groups a shuffle.
 FILTER = 25
 #: Sets and tokens, about, of a block of groups that meet; two blocks are opened in one place, so that a set travels once a block.
-BLOCK_SETS, BLOCK_TOKENS = 2048, 1 << 22
+BLOCK_SETS, BLOCK_TOKENS = 4096, 1 << 23
 #: Shared tokens that are counted in one matrix product.
 WIDTH = 4096
 
@@ -49,11 +48,6 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def indexed(n, percent: int):
-    """The tokens that a set of n shares at least with any set no smaller that is as similar."""
-    return -(-2 * percent * n // (100 + percent))
-
-
 def _slots(h: np.ndarray) -> list[np.ndarray]:
     """Two places in the filter for each hash."""
     return [(h >> U(64 - FILTER)).astype(np.int64), (h & U((1 << FILTER) - 1)).astype(np.int64)]
@@ -297,17 +291,19 @@ def _links(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _met(matrix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (a <= b) to open: they share a token of ``matrix`` (token, gid, n, index), and sizes allow a link."""
-    own = F.when(F.col("index"), F.col("n"))
-    held = matrix.repartition("token").groupBy("token", "gid").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min(own).alias("index_low"), F.max(own).alias("index_high")
-    )
+    """Pairs of groups (a < b) to open: they share a token of ``matrix`` (token, gid, n, k) early enough.
+
+    Sets of n and m tokens that link share at least percent / (100 + percent) * (n
+    + m), so the first token they share, in the global order, has at most n (or m)
+    less that many tokens before it.  For groups the test takes the least place and
+    the sizes that allow most.
+    """
+    held = matrix.repartition("token").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("k"))
     shared = held.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1")
-    lists = shared.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("gid", "low", "high", "index_low", "index_high"))).alias("held"))
-    first = lists.select("held", F.posexplode("held").alias("k", "x"))
-    # a smaller set of one side, indexed here, against a larger of the other
-    fits = "{0}.index_low <= {1}.high AND 100 * {0}.index_high >= " + str(percent) + " * {1}.low"
-    rest = first.select("x", F.explode(F.expr(f"filter(slice(held, k + 2, size(held)), y -> ({fits.format('x', 'y')}) OR ({fits.format('y', 'x')}))")).alias("y"))
+    lists = shared.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("gid", "low", "high", "k"))).alias("held"))
+    first = lists.select("held", F.posexplode("held").alias("i", "x"))
+    early = "{0}.k * " + str(100 + percent) + " <= 100 * {0}.high - " + str(percent) + " * {1}.low"
+    rest = first.select("x", F.explode(F.expr(f"filter(slice(held, i + 2, size(held)), y -> ({early.format('x', 'y')}) AND ({early.format('y', 'x')}))")).alias("y"))
     return rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
 
 
@@ -341,9 +337,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
     gid = F.xxhash64("least", F.pmod(F.xxhash64("hi"), F.coalesce("blocks", F.lit(1))))
     members = cut(classes.join(blocks, F.col("least") == F.col("__least"), "left").select("hi", "lo", "rep", "copies", "n", gid.alias("gid")))
     tokens_of = sets.where(usable).join(blocks, F.col("least") == F.col("__least"), "left")
-    matrix = tokens_of.select(gid.alias("gid"), "n", F.posexplode("prefix").alias("k", "token")).select(
-        "token", "gid", "n", (F.col("k") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))).alias("index")
-    )
+    matrix = tokens_of.select(gid.alias("gid"), "n", F.posexplode("prefix").alias("k", "token"))
     pairs = _met(matrix, percent)
     alone = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     meet = cut(pairs.unionAll(alone))
