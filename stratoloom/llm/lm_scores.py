@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..lineage import cut
 from .tables import small_batches, table
 
-#: Symbols of the shared vocabulary: the beginning of a text, any other character, and the most frequent characters.
+#: Symbols that the uniform distribution has at least, and, where a vocabulary is bounded, the beginning of a text, any other character, and the most frequent characters.
 SYMBOLS = 128
 BEGIN, OTHER = 0, 1
 #: Characters that are counted at once, unless a text is longer.
 CHUNK = 1 << 20
+#: Bits of a code point, so that a trigram is one number; the beginning of a text is a symbol beyond all code points.
+BITS, START = 21, 0x110000
+#: Characters of a block of documents that are counted, and scored, in one place, about.
+BLOCK_CHARS = 1 << 21
 
 
 def _points(text: str) -> np.ndarray:
@@ -129,13 +134,114 @@ def score(docs: DataFrame, symbol: np.ndarray, target: np.ndarray, background: n
     return rows.mapInArrow(read, out)
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", symbols: int = SYMBOLS) -> DataFrame:
+def _grams(text: str) -> np.ndarray:
+    """The trigrams that end in each character of a text, as numbers."""
+    s = np.concatenate([np.array([START, START], np.int64), _points(text).astype(np.int64)])
+    return s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:]
+
+
+def _tally(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams of the texts, in order, and their counts."""
+    keys, counts, held, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+    for k, t in enumerate(texts):
+        held.append(_grams(t))
+        size += len(t)
+        if size >= CHUNK or k == len(texts) - 1:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            keys.append(key), counts.append(n)
+            held, size = [], 0
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    return key, total
+
+
+def gram_counts(blocks: DataFrame) -> DataFrame:
+    """(block, gram, target, everything): counts of the trigrams of each block of rows (block, text, target)."""
+
+    def count(rows: pa.Table) -> pa.Table:
+        held: tuple[list[str], list[str]] = ([], [])
+        for x, target in zip(rows.column("text"), rows.column("target").to_pylist(), strict=True):
+            held[target].append(x.as_py() or "")
+        found = [_tally(texts) for texts in held]
+        grams = np.union1d(found[0][0], found[1][0])
+        counts = np.zeros((2, len(grams)), np.int64)
+        for row, (gram, n) in zip(counts, found, strict=True):
+            row[np.searchsorted(grams, gram)] = n
+        block = np.full(len(grams), rows.column("block")[0].as_py(), np.int32)
+        return pa.table({"block": block, "gram": grams, "target": counts[1], "everything": counts.sum(axis=0)})
+
+    return blocks.groupBy("block").applyInArrow(count, "block int, gram long, target long, everything long")
+
+
+MODELS = ("target", "everything")
+
+
+def _interpolated(grams: DataFrame, context: str) -> DataFrame:
+    """``grams`` with the probability p_* of each under both models, from counts and the shorter context's low_*, by Witten-Bell."""
+    seen = grams.groupBy(context).agg(*[f(v).alias(f"{name}_{v}") for v in MODELS for name, f in (("n", F.sum), ("kinds", lambda v: F.count_if(F.col(v) > 0)))])
+    out = grams.join(seen, context)
+    for v in MODELS:
+        n, kinds, low = F.col(f"n_{v}"), F.col(f"kinds_{v}"), F.col(f"low_{v}")
+        out = out.withColumn(f"p_{v}", (F.col(v) + kinds * low) / F.greatest(n + kinds, F.lit(1)) + F.when(n + kinds == 0, low).otherwise(0.0))
+    return out
+
+
+def gram_losses(counted: DataFrame) -> DataFrame:
+    """(gram, loss_target, loss_background): -ln p(c | a, b) of every trigram that occurs, as in ``losses``, over all characters.
+
+    Counts stay in tables keyed by trigram, bigram and character.  The uniform
+    distribution has a symbol for each character that occurs, and SYMBOLS at least.
+    """
+    sums = [F.sum(v).alias(v) for v in MODELS]
+    lowest = F.lit((1 << BITS) - 1)
+    three = counted.groupBy("gram").agg(*sums).withColumn("ab", F.shiftright("gram", BITS)).withColumn("bc", F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)))
+    two = three.groupBy("bc").agg(*sums).withColumn("b", F.shiftright("bc", BITS)).withColumn("c", F.col("bc").bitwiseAND(lowest))
+    one = cut(two.groupBy("c").agg(*sums))
+    uniform = F.lit(1.0 / max(SYMBOLS, one.count() + 2))
+    p1 = _interpolated(one.select("*", F.lit(0).alias("none"), *[uniform.alias(f"low_{v}") for v in MODELS]), "none")
+    lows = [F.col(f"p_{v}").alias(f"low_{v}") for v in MODELS]
+    p2 = _interpolated(two.join(p1.select("c", *lows), "c"), "b")
+    p3 = _interpolated(three.join(p2.select("bc", *lows), "bc"), "ab")
+    return p3.select("gram", (-F.log("p_target")).alias("loss_target"), (-F.log("p_everything")).alias("loss_background"))
+
+
+def score_blocks(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """``score`` of rows (block, doc_id, text), by the losses (block, gram, loss_target, loss_background) of the trigrams of their block."""
+    out = blocks.select("doc_id").schema
+    for name, kind in (("n_tokens", "long"), ("loss_target", "double"), ("loss_background", "double"), ("score", "double")):
+        out = out.add(name, kind)
+    types = [to_arrow_type(f.dataType) for f in out.fields]
+
+    def read(rows: pa.Table, losses: pa.Table) -> pa.Table:
+        losses = losses.sort_by("gram")
+        grams, target, background = (losses.column(c).to_numpy() for c in ("gram", "loss_target", "loss_background"))
+        found = []
+        for x in rows.column("text"):
+            at = np.searchsorted(grams, _grams(x.as_py() or ""))
+            if len(at):
+                t, b = target[at], background[at]
+                found.append((len(at), t.mean(), b.mean(), (t - b).mean()))
+            else:
+                found.append((0, None, None, None))
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        ids = rows.column("doc_id").cast(types[0])
+        return pa.table([ids, *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names=[f.name for f in out.fields])
+
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(read, out)
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", symbols: int | None = None) -> DataFrame:
     """Scores all of ``docs`` by models of the rows named in ``targets`` and of all rows.
 
-    The models are matched: one vocabulary (the corpus's most frequent
-    characters), one order, one smoothing; both count every text in full.  What
-    is gathered is counts of trigrams from every partition; what is sent out has
-    at most ``symbols``^3 cells, whatever the input.
+    The models are matched: one vocabulary (every character that occurs), one
+    order, one smoothing; both count every text in full.  Documents are dealt
+    into blocks of about BLOCK_CHARS characters.  Counts of trigrams stay in
+    tables that grow with the input; each block gets the losses of the trigrams
+    that occur in it, and nothing is gathered in one place.
+
+    With ``symbols`` the vocabulary is bounded to the most frequent characters,
+    and tables of ``symbols``^3 cells are sent to every worker.
 
     ``targets`` needs the column ``key``; repeated and null keys there count
     nothing more.  Without target rows the target model is uniform.  Null texts
@@ -143,12 +249,18 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    symbol = vocabulary(rows, "text", symbols)
     # the labels grow with the corpus: the same join at every size, not a broadcast that stops fitting
     named = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id")).distinct().withColumn("target", F.lit(True)).hint("merge")
-    marked = rows.join(named, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    target, background = (losses(c, symbols) for c in trigram_counts(marked, symbol, symbols))
-    return score(rows, symbol, target, background, symbols=symbols)
+    if symbols is not None:
+        symbol = vocabulary(rows, "text", symbols)
+        marked = rows.join(named, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+        target, background = (losses(c, symbols) for c in trigram_counts(marked, symbol, symbols))
+        return score(rows, symbol, target, background, symbols=symbols)
+    characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-characters // BLOCK_CHARS)))).cast("int"))
+    marked = blocks.join(named, "doc_id", "left").select("block", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counted = cut(gram_counts(marked))
+    return score_blocks(blocks, counted.select("block", "gram").join(gram_losses(counted), "gram"))
 
 
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

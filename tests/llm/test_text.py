@@ -145,6 +145,42 @@ def test_scores(spark):
     assert lm_scores.cross_entropy_difference(empty(spark), empty(spark)).count() == 0
 
 
+def test_scores_of_scripts(spark, monkeypatch):
+    """No character is given up, however many there are and however rows are dealt into blocks."""
+    monkeypatch.setattr(lm_scores, "BLOCK_CHARS", 200)
+    dice = random.Random(3)
+    scripts = [[chr(0x4E00 + 7 * k) for k in range(150)], [chr(0x3B1 + k) for k in range(20)], [chr(0x430 + k) for k in range(30)], list("abcdefgh")]
+    texts = ["".join(dice.choices(s, k=dice.randint(1, 120))) for s in scripts for _ in range(9)] + [None, ""]
+    docs, good = documents(spark, texts), range(0, len(texts), 2)
+    got = {r["doc_id"]: r for r in lm_scores.cross_entropy_difference(docs, docs.where("doc_id % 2 = 0")).collect()}
+    kinds = len({c for t in texts for c in t or ""})
+    assert kinds > 126 and len(got) == len(texts)
+
+    def model(rows):
+        seen = {}
+        for t in rows:
+            s = ["", "", *(t or "")]
+            for i in range(2, len(s)):
+                for n in range(3):
+                    after = seen.setdefault(tuple(s[i - n : i]), {})
+                    after[s[i]] = after.get(s[i], 0) + 1
+
+        def p(context, c):
+            low = p(context[1:], c) if context else 1 / (kinds + 2)
+            after = seen.get(context, {})
+            return (after.get(c, 0) + len(after) * low) / (sum(after.values()) + len(after)) if after else low
+
+        return p
+
+    target, background = model([texts[k] for k in good]), model(texts)
+    for k, t in enumerate(texts):
+        s = ["", "", *(t or "")]
+        for name, p in (("loss_target", target), ("loss_background", background)):
+            want = [-np.log(p(tuple(s[i - 2 : i]), s[i])) for i in range(2, len(s))]
+            assert got[k][name] == (pytest.approx(np.mean(want)) if want else None)
+        assert got[k]["n_tokens"] == len(t or "")
+
+
 PRIVATE = [
     "Mail Anna.B@Mail3.Example.com or anna.b@mail3.example.com, call +1 (017) 555-7713 or +1 017 555 7713.",
     "Mr. John Smith met Mrs Jane Doe; господин Иван Петров. 4111 1111 1111 1111, 4111111111111111, 10.0.0.1, 123-45-6789",
