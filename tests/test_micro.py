@@ -4,11 +4,14 @@ import math
 
 import numpy as np
 import pytest
+from conftest import DATA
 
 from stratoloom.functions.statistics import chi2_critical, chi2_tail, signed_rank_tail
 from stratoloom.operators import align, cluster, graph, label_metrics, mixing_metrics, neighbours, prep, reduce
 from stratoloom.operators.components import connected_components
 from stratoloom.operators.running import running_sum
+from stratoloom.plans.catalogue import QUERIES
+from stratoloom.sources import roles
 
 
 def table(spark, clusters, labels):
@@ -137,6 +140,26 @@ def test_approximate_knn(spark):
     assert len(found & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_approximate_knn_registered(spark, size):
+    """With the query's own parameters every point of the embeddings has 10 neighbours, 0.9 of them true ones."""
+    points = roles.embeddings(spark, f"{DATA}/{size}")
+    exact = {(r["src"], r["dst"]) for r in neighbours.knn(points, points, 10).collect()}
+    rows = QUERIES["j8_approximate_knn"](spark, f"{DATA}/{size}").collect()
+    assert len(rows) == len(exact) == 10 * points.count() and {r["place"] for r in rows} == set(range(1, 11))
+    assert len({(r["src"], r["dst"]) for r in rows} & exact) >= 0.9 * len(exact)
+
+
+def test_approximate_knn_sparse(spark):
+    """Neighbours beyond the reach, and buckets that miss, are made up for."""
+    v = np.random.default_rng(9).standard_normal((150, 6))
+    points = spark.createDataFrame([(i, v[i].tolist()) for i in range(150)], "cell long, v array<double>")
+    exact = {(r["src"], r["dst"]) for r in neighbours.knn(points, points, 5).collect()}
+    for reach, bucket in ((0.1, 2.0), (100.0, 0.1)):
+        found = {(r["src"], r["dst"]) for r in neighbours.approximate_knn(points, points, 5, reach, bucket).collect()}
+        assert len(found) == 750 and len(found & exact) >= 0.9 * len(exact)
+
+
 def test_votes_and_components(spark):
     """The smallest of tied labels wins; components carry their smallest node."""
     edges = spark.createDataFrame([(9, j) for j in range(5)], "src long, dst long")
