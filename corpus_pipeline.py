@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component of near copies (5-word shingles, 0.8)."""
-    return jaccard_join.one_of_each(docs)
+    """Keeps one row, of the smallest id, of each component of near copies (5-word shingles, 0.8)."""
+    return jaccard_join.one_row_of_each(docs)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

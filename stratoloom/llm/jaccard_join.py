@@ -390,6 +390,26 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(kept.where(F.col(key).isNull()))
 
 
+def one_row_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component, row by row: one row stays of each component.
+
+    As ``one_of_each``, but rows that repeat an id and have different texts are
+    different documents: each pair of id and text gets its own number, in order
+    of the ids.  All columns stay; rows with a null id stay.
+    """
+    ids = docs.where(F.col(key).isNotNull()).select(key)
+    if ids.count() == ids.distinct().count():
+        return one_of_each(docs, size, percent, key, text)
+    digest = F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
+    rows = docs.where(F.col(key).isNotNull()).withColumn("__digest", digest).dropDuplicates([key, "__digest"])
+    # a sort's partitions are in order, and so are the numbers
+    numbers = cut(rows.select(key, "__digest").orderBy(key, "__digest").withColumn("__row", F.monotonically_increasing_id()))
+    numbered = cut(rows.join(numbers, [key, "__digest"]))
+    parts = jaccard_join(numbered, size, percent, "__row", text)
+    gone = parts.where("component_id <> doc_id").select(F.col("doc_id").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents joined on 4-word shingles at a Jaccard similarity of 0.85 or more."""
     return jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from cases import AWKWARD, documents, empty
 
+import corpus_pipeline
 from stratoloom.llm import jaccard_join, near_vectors
 
 
@@ -78,6 +79,17 @@ def test_jaccard_cases(spark):
     assert kept.columns == documents(spark, texts, ids).columns
 
 
+def test_rows_of_repeated_ids(spark):
+    """A near copy goes without the other rows of its id; each component keeps one row."""
+    base, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("a", "b", "c"))
+    rows = [(5, base), (6, base + " x"), (6, other), (6, other), (7, third), (7, other + " y"), (8, None), (8, ""), (None, base), (None, base)]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = corpus_pipeline.join_near_copies(spark, docs, "")
+    want = [(5, base), (6, other), (7, third), (8, None), (8, ""), (None, base), (None, base)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+    assert kept.columns == docs.columns
+
+
 @pytest.mark.parametrize("block", [7, 2048])
 def test_vectors(spark, block):
     """Links, components and what stands, against all pairs in double precision."""
