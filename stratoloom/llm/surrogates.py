@@ -25,7 +25,7 @@ ENTITY = "|".join(shape.replace(r"\1", r"\k<gap>").replace("([ -])", "(?<gap>[ -
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvz"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоу", "бвгдзклмнпрст"
 GREEK_VOWELS, GREEK_CONSONANTS = "αεηιο", "βγδζκλμνπρστ"
-#: Rounds of fresh surrogates for entities whose surrogate is taken.
+#: Rounds of fresh surrogates in the entity's own format; then every round adds a character.
 ROUNDS = 32
 
 
@@ -105,19 +105,30 @@ def _name(word: Column, seed: Column, last: Column, woman: Column) -> Column:
     )
 
 
+def _extra(letters: str, seed: Column, attempt: Column) -> Column:
+    """One more character for each attempt beyond ROUNDS."""
+    more = attempt.cast("int") - F.lit(ROUNDS)
+    made = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: _pick(letters, seed, k + F.lit(1 << 20))))
+    return F.when(more > 0, made).otherwise("")
+
+
 def surrogate(kind: Column, norm: Column, secret: str, attempt: Column) -> Column:
     """The keyed surrogate of a normal form, in normal form.
 
     Numbers keep their length (cards also their first digit, and a right check
     digit if theirs was right), internet addresses stay valid, mail addresses
     keep their ending, names keep title, script and the number of words, and a
-    given name gets the ending of its title's gender.
+    given name gets the ending of its title's gender.  Attempts beyond ROUNDS, for
+    formats that are full, add characters to mailboxes, last words and numbers.
     """
     seed = F.concat_ws("|", F.lit(secret), kind, norm, attempt.cast("string"))
     zone = F.concat_ws("|", F.lit(secret), F.lit("zone"), F.regexp_extract(norm, "@(.*)$", 1))
     local, host, ending = (F.regexp_extract(norm, p, 1) for p in (r"^(.*)@", r"@(.*)\.[^.]*$", r"(\.[^.]*)$"))
+    more = _extra("0123456789", seed, attempt)
+    letters = [_extra(v + c, seed, attempt) for v, c in ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))]
+    scripted = F.when(norm.rlike(r"[Ѐ-ӿ]\S*$"), letters[1]).when(norm.rlike(r"[Ͱ-Ͽ]\S*$"), letters[2]).otherwise(letters[0])
     octets = F.concat_ws(".", F.transform(F.split(norm, r"\."), lambda _, i: (_roll(seed, i, F.lit(254)) + 1).cast("string")))
-    digits = F.concat(F.substring(norm, 1, 1), F.substring(_alike(norm, seed), F.lit(2), F.length(norm)))
+    digits = F.concat(F.substring(norm, 1, 1), F.substring(_alike(norm, seed), F.lit(2), F.length(norm)), more)
     # of ten last digits exactly one passes the check
     stem = F.substring(digits, F.lit(1), F.length(digits) - 1)
     checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(stem, d.cast("string"))), _luhn)[0]
@@ -125,13 +136,13 @@ def surrogate(kind: Column, norm: Column, secret: str, attempt: Column) -> Colum
     words = F.split(norm, " ")
     names = F.concat_ws(" ", F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.lower(_name(w, F.concat_ws("|", seed, i.cast("string")), i > 1, woman)))))
     return (
-        F.when(kind == "email", F.concat(_alike(local, seed), F.lit("@"), _alike(host, zone), ending))
-        .when(kind == "person", names)
+        F.when(kind == "email", F.concat(_alike(local, seed), letters[0], F.lit("@"), _alike(host, zone), ending))
+        .when(kind == "person", F.concat(names, scripted))
         .when(kind == "address", octets)
-        .when(kind == "account", _alike(norm, seed, 2))
+        .when(kind == "account", F.concat(_alike(norm, seed, 2), more))
         .when((kind == "card") & _luhn(norm), checked)
         .when(kind.isin("card", "phone"), digits)
-        .otherwise(_alike(norm, seed))
+        .otherwise(F.concat(_alike(norm, seed), more))
     )
 
 
@@ -157,19 +168,19 @@ def resolve(found: DataFrame, secret: str) -> DataFrame:
     """``found`` (kind, norm; distinct) with ``fake``: no two entities of a kind share one, and none is a real entity.
 
     Entities whose surrogate is taken (all but the least that ask for it) or is
-    some entity's own form get a fresh one, round by round; a count a round
+    some entity's own form get a fresh one, round by round, until none is left:
+    the space of surrogates grows with every round beyond ROUNDS.  A count a round
     reaches the driver.
     """
     now = cut(found.withColumn("attempt", F.lit(0)).withColumn("fake", surrogate(F.col("kind"), F.col("norm"), secret, F.lit(0))))
     real = found.select("kind", F.col("norm").alias("fake"), F.lit(True).alias("real"))
-    for _ in range(ROUNDS):
+    while True:
         place = F.row_number().over(Window.partitionBy("kind", "fake").orderBy("attempt", "norm"))
         judged = cut(now.withColumn("place", place).join(real, ["kind", "fake"], "left").withColumn("taken", (F.col("place") > 1) | F.coalesce("real", F.lit(False))).drop("place", "real"))
         if judged.where("taken").isEmpty():
             return judged.select("kind", "norm", "fake")
         again = F.col("attempt") + F.col("taken").cast("int")
         now = judged.select("kind", "norm", again.alias("attempt"), F.when(F.col("taken"), surrogate(F.col("kind"), F.col("norm"), secret, again)).otherwise(F.col("fake")).alias("fake"))
-    raise RuntimeError("surrogates of some entities keep colliding: their format allows too few")
 
 
 def replace_entities(docs: DataFrame, secret: str = "stratoloom", text: str = "text") -> DataFrame:

@@ -220,3 +220,16 @@ def test_collisions(spark):
     found = spark.createDataFrame([("social", f"{k:03d}") for k in range(300)], "kind string, norm string")
     rows = surrogates.resolve(found, "s").collect()
     assert len({r["fake"] for r in rows}) == 300 and not {r["fake"] for r in rows} & {f"{k:03d}" for k in range(300)}
+
+
+def test_full_formats(spark, monkeypatch):
+    """Formats with fewer surrogates than entities are widened, and no entity is left without one."""
+    monkeypatch.setattr(surrogates, "ROUNDS", 2)
+    found = [("email", f"{c}@mail.com") for c in "aeiouy"] + [("social", str(k)) for k in range(10)] + [("account", f"XX{k}") for k in range(10)]
+    rows = surrogates.resolve(spark.createDataFrame(found, "kind string, norm string"), "s").collect()
+    fakes = {(r["kind"], r["fake"]) for r in rows}
+    assert {(r["kind"], r["norm"]) for r in rows} == set(found) and len(fakes) == len(found) and not fakes & set(found)
+    assert len({r["fake"].split("@")[1] for r in rows if r["kind"] == "email"}) == 1
+    for kind, hit, norm, want in (("social", "1-2", "345", "3-45"), ("account", "XX1 2", "XX345", "XX3 45")):
+        row = spark.createDataFrame([(kind, hit, norm)], "kind string, hit string, norm string")
+        assert row.select(surrogates.spell(row["kind"], row["hit"], row["norm"])).first()[0] in (want, "XX3 45")
