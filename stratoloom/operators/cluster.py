@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +75,33 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) ->
     return now.join(now.groupBy("cluster").agg(F.min("cell").alias("name")), "cluster").select("cell", F.col("name").alias("cluster"))
 
 
-def communities_of(edges: DataFrame, wanted: int, low: float = 0.0, high: float = 3.0, steps: int = 10) -> DataFrame:
-    """(cell, cluster) at the resolution, bisected within bounds, whose number of clusters is nearest to ``wanted``."""
-    best, gap = None, None
-    for _ in range(steps):
-        mid = (low + high) / 2
-        found = communities(edges, mid).persist()
-        n = found.select("cluster").distinct().count()
-        if gap is None or abs(n - wanted) < gap:
-            best, gap = found, abs(n - wanted)
+def communities_of(edges: DataFrame, wanted: int, low: float = 0.1, high: float = 3.0, step: float = 0.01) -> DataFrame:
+    """(cell, cluster) at a resolution from ``low`` to below ``high``, in steps, that gives ``wanted`` clusters.
+
+    The steps are bisected first.  As the number of clusters needn't rise with the
+    resolution, those left are then tried from the highest down; where none gives
+    the number, this raises.
+    """
+    left = [low + k * step for k in range(math.ceil((high - low) / step - 1e-9))]
+    edges = cut(edges)
+
+    def tried(resolution: float) -> tuple[DataFrame, int]:
+        left.remove(resolution)
+        found = communities(edges, resolution)
+        return found, found.select("cluster").distinct().count()
+
+    inside = list(left)
+    while inside:
+        mid = len(inside) // 2
+        found, n = tried(inside[mid])
         if n == wanted:
-            break
-        low, high = (mid, high) if n < wanted else (low, mid)
-    return best
+            return found
+        inside = inside[mid + 1 :] if n < wanted else inside[:mid]
+    for resolution in left[::-1]:
+        found, n = tried(resolution)
+        if n == wanted:
+            return found
+    raise ValueError(f"no resolution from {low} to {high} in steps of {step} gives {wanted} clusters")
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -104,4 +104,4 @@ def typed(s, d):
     return graph.propagate(edges, coords(s, d), 2, typed=True)
 
 
-query("c6_communities_wanted", None)(lambda s, d: cluster.communities_of(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0)), 8, steps=2))
+query("c6_communities_wanted", None)(lambda s, d: cluster.communities_of(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0)), 8))

@@ -207,6 +207,14 @@ def test_communities(spark):
     assert len({got[k] for k in range(6)}) == 1 and len({got[k] for k in range(10, 16)}) == 1 and got[1] != got[11]
 
 
+def test_communities_wanted(spark):
+    """The wanted number of clusters is met; a number that no resolution gives is an error."""
+    pair = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 1.0)], "src long, dst long, w double")
+    assert cluster.communities_of(pair, 2, step=1.5).select("cluster").distinct().count() == 2
+    with pytest.raises(ValueError, match="gives 1 clusters"):
+        cluster.communities_of(pair, 1, step=1.5)
+
+
 def test_signed_rank():
     """Exact tails of the signed-rank statistic."""
     assert signed_rank_tail(6, 3) == 1 / 8 and signed_rank_tail(0, 3) == 1
