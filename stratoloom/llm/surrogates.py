@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,27 +107,29 @@ def _name(word: Column, seed: Column, last: Column, woman: Column) -> Column:
     )
 
 
-def _extra(letters: str, seed: Column, attempt: Column) -> Column:
-    """One more character for each attempt beyond ROUNDS."""
+def _extra(letters: str, seed: Column, attempt: Column, widen: bool) -> Column:
+    """With ``widen``, one more character for each attempt beyond ROUNDS."""
+    if not widen:
+        return F.lit("")
     more = attempt.cast("int") - F.lit(ROUNDS)
     made = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: _pick(letters, seed, k + F.lit(1 << 20))))
     return F.when(more > 0, made).otherwise("")
 
 
-def surrogate(kind: Column, norm: Column, secret: str, attempt: Column) -> Column:
+def surrogate(kind: Column, norm: Column, secret: str, attempt: Column, widen: bool = False) -> Column:
     """The keyed surrogate of a normal form, in normal form.
 
     Numbers keep their length (cards also their first digit, and a right check
     digit if theirs was right), internet addresses stay valid, mail addresses
     keep their ending, names keep title, script and the number of words, and a
-    given name gets the ending of its title's gender.  Attempts beyond ROUNDS, for
-    formats that are full, add characters to mailboxes, last words and numbers.
+    given name gets the ending of its title's gender.  With ``widen`` attempts beyond
+    ROUNDS, for formats that are full, add characters to mailboxes, last words and numbers.
     """
     seed = F.concat_ws("|", F.lit(secret), kind, norm, attempt.cast("string"))
     zone = F.concat_ws("|", F.lit(secret), F.lit("zone"), F.regexp_extract(norm, "@(.*)$", 1))
     local, host, ending = (F.regexp_extract(norm, p, 1) for p in (r"^(.*)@", r"@(.*)\.[^.]*$", r"(\.[^.]*)$"))
-    more = _extra("0123456789", seed, attempt)
-    letters = [_extra(v + c, seed, attempt) for v, c in ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))]
+    more = _extra("0123456789", seed, attempt, widen)
+    letters = [_extra(v + c, seed, attempt, widen) for v, c in ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))]
     scripted = F.when(norm.rlike(r"[Ѐ-ӿ]\S*$"), letters[1]).when(norm.rlike(r"[Ͱ-Ͽ]\S*$"), letters[2]).otherwise(letters[0])
     octets = F.concat_ws(".", F.transform(F.split(norm, r"\."), lambda _, i: (_roll(seed, i, F.lit(254)) + 1).cast("string")))
     digits = F.concat(F.substring(norm, 1, 1), F.substring(_alike(norm, seed), F.lit(2), F.length(norm)), more)
@@ -174,13 +178,13 @@ def resolve(found: DataFrame, secret: str) -> DataFrame:
     """
     now = cut(found.withColumn("attempt", F.lit(0)).withColumn("fake", surrogate(F.col("kind"), F.col("norm"), secret, F.lit(0))))
     real = found.select("kind", F.col("norm").alias("fake"), F.lit(True).alias("real"))
-    while True:
+    for k in itertools.count(1):
         place = F.row_number().over(Window.partitionBy("kind", "fake").orderBy("attempt", "norm"))
         judged = cut(now.withColumn("place", place).join(real, ["kind", "fake"], "left").withColumn("taken", (F.col("place") > 1) | F.coalesce("real", F.lit(False))).drop("place", "real"))
         if judged.where("taken").isEmpty():
             return judged.select("kind", "norm", "fake")
         again = F.col("attempt") + F.col("taken").cast("int")
-        now = judged.select("kind", "norm", again.alias("attempt"), F.when(F.col("taken"), surrogate(F.col("kind"), F.col("norm"), secret, again)).otherwise(F.col("fake")).alias("fake"))
+        now = judged.select("kind", "norm", again.alias("attempt"), F.when(F.col("taken"), surrogate(F.col("kind"), F.col("norm"), secret, again, widen=k > ROUNDS)).otherwise(F.col("fake")).alias("fake"))
 
 
 def replace_entities(docs: DataFrame, secret: str = "stratoloom", text: str = "text") -> DataFrame:
