@@ -2,19 +2,19 @@
 
 Documents with equal shingle sets are one class.  Classes are partitioned into
 groups of similar sets (equal least hash, in blocks of bounded size), and the
-matrix keeps which tokens each group's union holds.  By prefix filtering two
-sets can reach the similarity only if their prefixes, in one global order of
-tokens, share a token, so the matrix needs prefix tokens alone and two groups
-meet only over a shared one.  Where they meet, a member is opened only if the
-other group's full union holds enough of its tokens; opened members are counted
-against each other exactly.
-
-How early they must share it depends on both sizes; pairs of groups that share
-their tokens too late, or whose sizes differ too much, are never opened.
+matrix keeps which tokens each group's union holds.  In one global order of
+tokens, two sets that reach the similarity share DEPTH tokens among their first
+ones, if they share as many at all, so the matrix needs only these first tokens
+of each set.  What two groups' unions there share bounds what their members can
+share: groups whose unions share fewer, or share them too late for their sizes,
+are never opened, and none of their sets travels.  Where two groups meet, a
+member is compared only if the other group's full union holds enough of its
+tokens; members that remain are counted against each other exactly.
 
 The order puts tokens that many documents have last, by counts in a fixed table
 of counters.  Any order gives exact results; this one keeps the passages that
-many documents share out of the prefixes.
+many documents share out of the matrix.  Tokens are 64-bit hashes, so results are
+exact but for chance collisions of those.
 """
 
 from __future__ import annotations
@@ -37,8 +37,13 @@ BITS, PARTS = 22, 64
 GROUP = 256
 #: Bits of the filter of ids (4 MB, in the same parts) that spares texts of unopened groups a shuffle.
 FILTER = 25
-#: Sets and tokens, about, of a block of groups that meet; two blocks are opened in one place, so that a set travels once a block.
-BLOCK_SETS, BLOCK_TOKENS = 4096, 1 << 23
+#: Tokens that unions share at least where groups meet (or all that a set must share).
+DEPTH = 3
+#: Groups of a token that are listed in one row; more are dealt into lists that meet in pairs.
+LISTED = 1024
+#: Sets and tokens, about, of a block of groups that meet; two blocks are opened in one place, so that a set travels once a
+#: block.  Blocks get larger sets rather than more in number beyond BLOCKS, unless their tokens are too many for one place.
+BLOCK_SETS, BLOCK_TOKENS, BLOCKS = 256, 1 << 23, 64
 #: Shared tokens that are counted in one matrix product.
 WIDTH = 4096
 
@@ -143,7 +148,7 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if named[len(n) - 1]:
                     seen.add((hi[-1], lo[-1]))
                 rare = np.argsort(order[(s >> U(64 - BITS)).astype(np.int64)], kind="stable")
-                prefixes.append(s[rare[: len(s) - needed(len(s), percent) + 1]].view(np.int64))
+                prefixes.append(s[rare[: len(s) - needed(len(s), percent) + DEPTH]].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -275,7 +280,7 @@ def _bundles(meet: DataFrame, members: DataFrame) -> DataFrame:
     met = meet.join(parts, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("part"))
     groups = met.select("part", F.col("a").alias("gid")).unionAll(met.select("part", F.col("b").alias("gid"))).distinct()
     sizes = groups.join(members, "gid").groupBy("part").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    blocks = F.greatest(F.ceil(F.col("sets") / F.lit(BLOCK_SETS)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)))
+    blocks = F.greatest(F.least(F.ceil(F.col("sets") / F.lit(BLOCK_SETS)), F.lit(BLOCKS)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)))
     dealt = met.join(sizes.select("part", blocks.alias("blocks")), "part")
     block = lambda gid: F.pmod(F.xxhash64(gid), F.col("blocks"))
     p, q = block("a"), block("b")
@@ -291,20 +296,34 @@ def _links(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _met(matrix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (a < b) to open: they share a token of ``matrix`` (token, gid, n, k) early enough.
+    """Pairs of groups (a < b) to open, from rows ``matrix`` (token, gid, n, k).
 
-    Sets of n and m tokens that link share at least percent / (100 + percent) * (n
-    + m), so the first token they share, in the global order, has at most n (or m)
-    less that many tokens before it.  For groups the test takes the least place and
-    the sizes that allow most.
+    Sets of n and m tokens that link share t, at least percent / (100 + percent) *
+    (n + m), so the r-th token they share, in the global order, has at most n (or
+    m) - t + r - 1 before it.  The unions of two groups must share as many tokens,
+    early enough, as any two members must; for groups the test takes the least place
+    and the sizes that allow most.
     """
     held = matrix.repartition("token").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("k"))
-    shared = held.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1")
-    lists = shared.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("gid", "low", "high", "k"))).alias("held"))
-    first = lists.select("held", F.posexplode("held").alias("i", "x"))
-    early = "{0}.k * " + str(100 + percent) + " <= 100 * {0}.high - " + str(percent) + " * {1}.low"
-    rest = first.select("x", F.explode(F.expr(f"filter(slice(held, i + 2, size(held)), y -> ({early.format('x', 'y')}) AND ({early.format('y', 'x')}))")).alias("y"))
-    return rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    shared = cut(held.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1"))
+    blocks = F.ceil(F.col("groups") / F.lit(LISTED)).cast("int")
+    own = F.pmod(F.xxhash64("gid"), blocks).cast("int")
+    dealt = shared.select("token", F.struct("gid", "low", "high", "k").alias("x"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    side = lambda c: F.sort_array(F.collect_list(F.when(F.col("own") == F.col(c), F.col("x"))))
+    lists = dealt.select("token", i.alias("i"), j.alias("j"), "own", "x").groupBy("token", "i", "j").agg(side("i").alias("p"), side("j").alias("q"))
+    first = lists.select("i", "j", "p", "q", F.posexplode("p").alias("at", "x"))
+    late = f"{{0}}.k * {100 + percent} - 100 * {{0}}.high + {percent} * {{1}}.low"  # (100 + percent) * (r - 1) at most for the r-th
+    last = (DEPTH - 1) * (100 + percent)
+    others = f"filter(CASE WHEN i = j THEN slice(p, at + 2, size(p)) ELSE q END, y -> {late.format('x', 'y')} <= {last} AND {late.format('y', 'x')} <= {last})"
+    pairs = first.select("x", F.explode(F.expr(others)).alias("y"))
+    enough = F.least(F.lit(DEPTH), F.expr(f"CAST(ceil({percent} * greatest(x.low, y.low) / 100) AS INT)"))
+    judged = pairs.select(
+        F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b"), enough.alias("enough"),
+        F.expr(f"{late.format('x', 'y')} <= 0 AND {late.format('y', 'x')} <= 0").alias("early"),
+    )
+    bound = judged.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("enough").alias("enough"), F.bool_or("early").alias("early"))
+    return bound.where("early AND shared >= enough").select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,38 +395,29 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
     )
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those of its smallest id.
-
-    All columns stay.  Of rows that repeat an id one stays; rows with a null id stay.
-    """
-    parts = cut(jaccard_join(docs, size, percent, key, text))
-    gone = parts.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
-    named = parts.where("doc_id IS NOT NULL")
-    if named.count() == named.select("doc_id").distinct().count():
-        return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(kept.where(F.col(key).isNull()))
+def _of_unique(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """The rows of ``docs``, whose ids do not repeat, that have the smallest id of their component, or a null id."""
+    parts = jaccard_join(docs, size, percent, key, text)
+    gone = parts.where("component_id <> doc_id").select(F.col("doc_id").alias(key))
+    return docs.join(gone, key, "left_anti").select(*docs.columns)
 
 
-def one_row_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component, row by row: one row stays of each component.
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component: one row stays of each, of its smallest id.
 
-    As ``one_of_each``, but rows that repeat an id and have different texts are
-    different documents: each pair of id and text gets its own number, in order
-    of the ids.  All columns stay; rows with a null id stay.
+    Rows that repeat an id and have different texts are different documents: each
+    pair of id and text gets its own number, in order of the ids; of rows equal in
+    both one stays.  All columns stay; rows with a null id stay.
     """
     ids = docs.where(F.col(key).isNotNull()).select(key)
     if ids.count() == ids.distinct().count():
-        return one_of_each(docs, size, percent, key, text)
+        return _of_unique(docs, size, percent, key, text)
     digest = F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
     rows = docs.where(F.col(key).isNotNull()).withColumn("__digest", digest).dropDuplicates([key, "__digest"])
     # a sort's partitions are in order, and so are the numbers
     numbers = cut(rows.select(key, "__digest").orderBy(key, "__digest").withColumn("__row", F.monotonically_increasing_id()))
     numbered = cut(rows.join(numbers, [key, "__digest"]))
-    parts = jaccard_join(numbered, size, percent, "__row", text)
-    gone = parts.where("component_id <> doc_id").select(F.col("doc_id").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
+    return _of_unique(numbered, size, percent, "__row", text).select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ CHUNK = 1 << 21
 
 _space = np.zeros(256, bool)
 _space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_lower = np.arange(256)
+_lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
@@ -24,20 +24,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_byte = mix(_lower.astype(U) + U(0x9E3779B97F4A7C15)) | U(1)
-_base = U(0x5851F42D4C957F2D)
 _place = mix(np.arange(1, 65, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
-_powers = np.ones(1, U)
-
-
-def _power(n: int) -> np.ndarray:
-    """The first n powers of the base, kept up to 2^16 of them."""
-    global _powers
-    if n <= len(_powers):
-        return _powers
-    made = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(max(n, 1 << 16) - 1, _base, U)]))
-    _powers = made[: 1 << 16]
-    return made
+_seed, _step = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+#: Masks that keep the first 0 to 8 bytes of a block.
+_mask = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,24 +41,35 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z as a-z, and the first word of each text."""
+    """Hashes of the words of all texts, A-Z as a-z, and the first word of each text.
+
+    A word is read in blocks of eight bytes.  Each block is mixed, mixed again with
+    its place in the word, and the sum is mixed with the word's length: no step
+    is linear in the bytes, so that regular words don't cancel out.
+    """
     part = data[at[0] : at[-1]]
     at = at - at[0]
     solid = ~_space[part]
     cut = np.zeros(len(part) + 1, bool)
     cut[at] = True
-    begins = solid.copy()
+    begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1] | cut[1:-1]
+    ends[:-1] &= ~solid[1:] | cut[1:-1]
     starts = np.flatnonzero(begins)
-    kept = np.flatnonzero(solid)
-    first = np.searchsorted(kept, starts)
-    lengths = np.diff(np.append(first, len(kept)))
     words = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, U), words
-    inside = np.arange(len(kept)) - np.repeat(first, lengths)
-    values = _byte[part[kept]] * _power(int(lengths.max()))[inside]
-    return mix(np.add.reduceat(values, first) + lengths.astype(U)), words
+    lengths = np.flatnonzero(ends) + 1 - starts
+    blocks = (lengths + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    padded = np.zeros(len(part) + 8, np.uint8)
+    padded[: len(part)] = _lower[part]
+    # every eight bytes in a row as one number, without a copy
+    eight = np.ndarray((len(part) + 1,), "<u8", padded.data, strides=(1,))
+    values = eight[np.repeat(starts, blocks) + 8 * place] & _mask[np.minimum(np.repeat(lengths, blocks) - 8 * place, 8)]
+    mixed = mix(mix(values + _seed) + place.astype(U) * _step)
+    return mix(np.add.reduceat(mixed, first) + lengths.astype(U)), words
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
