@@ -89,25 +89,64 @@ def test_edits(spark):
         other, half = text[order[(k + 1) % len(order)]], len(text[i]) // 2
         edited = text[i][: len(text[i]) - half] + other[:half]
         assert rows[i]["n_chars"] == len(text[i]) and rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert (rows[i]["fingerprint"] == rows[i]["edited_fingerprint"]) == (edited == text[i])
+        assert (rows[i]["fingerprint"] == rows[i]["edited_fingerprint"]) == (edited == text[i]) == (rows[i]["near_edited"] == 1)
+        assert rows[i]["fingerprint"][:64] == tree(text[i])[0] and rows[i]["edited_fingerprint"][:64] == tree(edited)[0]
         assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
     prints = {t: rows[i]["fingerprint"] for i, t in text.items()}
     assert len(set(prints.values())) == len(prints) and rows[-8]["fingerprint"] == rows[100]["fingerprint"]
 
 
 def test_edit_cases(spark):
-    """A lone document is its own next; repeated and null ids are one row; no rows."""
+    """A lone document is its own next; repeated ids are documents of their own; no rows."""
     lone = merkle.compare_edits(documents(spark, ["one. two. three."], [7])).first()
     assert lone["near_next"] == 1 and lone["edited_sha256"] == hashlib.sha256(b"one. two" + b"one. two").hexdigest()
-    rows = merkle.compare_edits(documents(spark, ["a", "bb", "c", None], [1, 1, None, None])).collect()
-    assert sorted((r["doc_id"] is None, r["n_chars"]) for r in rows) == [(False, 2), (True, 1)]
+    rows = merkle.compare_edits(documents(spark, ["a", "bb", "bb", "c", None, "dd"], [1, 1, 1, None, None, 2])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in rows) == [(0, 0), (0, 1), (1, 1), (1, 2), (1, 2), (2, 2)]
+    # by descending id, then by the text's hash
+    order = ["dd", *sorted(["a", "bb"], key=sha), *sorted(["c", ""], key=sha)]
+    for r in rows:
+        at = next(k for k, t in enumerate(order) if r["fingerprint"].startswith(tree(t)[0]))
+        edited = order[at][: len(order[at]) - len(order[at]) // 2] + order[(at + 1) % 5][: len(order[at]) // 2]
+        assert r["edited_sha256"] == sha(edited)
     assert merkle.compare_edits(empty(spark)).count() == 0
 
 
-def test_branches(spark):
-    """Differing branches tell where an edit is."""
-    df = documents(spark, ["a. b.\nc. d.\ne. f.", "a. b.\nc. X.\ne. f."])
-    f = {r["doc_id"]: r for r in merkle.fingerprints(df).collect()}
-    assert f[0]["fingerprint"] != f[1]["fingerprint"] and [x == y for x, y in zip(f[0]["sections"], f[1]["sections"], strict=True)] == [True, False, True]
-    both = merkle.fingerprints(df.where("doc_id = 0")).select(merkle.F.col("sections").alias("old")).crossJoin(merkle.fingerprints(df.where("doc_id = 1")).select(merkle.F.col("sections").alias("new")))
-    assert both.select(merkle.changed_sections(merkle.F.col("old"), merkle.F.col("new"))).first()[0] == [2]
+def sha(text):
+    """SHA-256 in hex."""
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def tree(text):
+    """Root, branches and leaves, by plain loops."""
+    found, section = [], [""]
+    for k, c in enumerate(text):
+        section[-1] += c
+        if c == "\n":
+            found.append(section)
+            section = [""]
+        elif c == " " and k and text[k - 1] in ".!?|":
+            section.append("")
+    found.append(section)
+    found = [[sha(p) for p in s if p] for s in found if any(s)]
+    branch = [sha("".join(s)) for s in found]
+    return sha("".join(branch)), [b[:16] for b in branch], [p[:8] for s in found for p in s]
+
+
+TREES = ["", "a", "b. a. ", "a. b. ", "a. a. a. b. ", "a. b.\nc. d.\ne. f.", "a. b.\nc. X.\ne. f.", "\n\n. . x! y? z|", "a. x. y. b. ", "a. y. x. b. ", "a. b.\ne. f."]
+
+
+def test_likeness(spark):
+    """Trees are those of plain code; only equal texts have likeness 1, and order counts."""
+    rows = {r["doc_id"]: r["fingerprint"] for r in merkle.fingerprints(documents(spark, TREES)).collect()}
+    for k, t in enumerate(TREES):
+        root, branch, leaf = tree(t)
+        assert rows[k][:64] == root and [x[:16] for x in rows[k].split("/")[1:]] == branch and [y for x in rows[k].split("/")[1:] for y in x.split(".")[1:]] == leaf
+    table = spark.createDataFrame([(i, j, rows[i], rows[j]) for i in rows for j in rows], "i int, j int, a string, b string")
+    near = {(r["i"], r["j"]): r["n"] for r in table.select("i", "j", merkle.likeness(merkle.F.col("a"), merkle.F.col("b")).alias("n")).collect()}
+    for (i, j), n in near.items():
+        assert 0 <= n <= 1 and (n == 1) == (i == j) and n == near[j, i]
+    # equal middles in another order: leaves alone; one of two ends; all but one of six
+    assert near[2, 3] == 0.5 and near[8, 9] == (2 * 2 + 2) / 8 and near[5, 6] == 10 / 12 and near[0, 1] == 0
+    places = table.select("i", "j", *[merkle.changed(f(merkle.F.col("a")), f(merkle.F.col("b"))).alias(f.__name__) for f in (merkle.branches, merkle.leaves)])
+    said = {(r["i"], r["j"]): (r["branches"], r["leaves"]) for r in places.collect()}
+    assert said[5, 6] == ("2-2", "4-4") and said[5, 10] == ("2-", "3-") and said[10, 5] == ("2-2", "3-4") and said[5, 5] == ("", "") and said[0, 1] == ("1-1", "1-1")
