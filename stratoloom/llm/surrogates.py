@@ -1,4 +1,8 @@
-"""Surrogates for personal data: keyed, alike in type, script and format, checked for collisions."""
+"""Surrogates for personal data: keyed, alike in type, script, gender and format, checked for collisions.
+
+People are named word by word: every word of a name has one surrogate, so
+that all mentions of a person agree, whole or in part, with or without a title.
+"""
 
 from __future__ import annotations
 
@@ -10,49 +14,98 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from .tables import table
 
-# What is detected.  Every shape starts where nothing of its kind stands before, so runs are read once.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
-ADDRESS = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
-ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-SOCIAL = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])"
-CARD = r"(?<![\p{L}\p{N}.-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![\p{L}\p{N}])"
-MEN, WOMEN = "Mr|Herr|Monsieur|Señor|Signor|господин", "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Signora|госпожа"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{MEN}|{WOMEN})\.? )\p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}(?![\p{{L}}\p{{N}}])"
-#: A text without any of these holds no entity; this is quicker to tell.
-HINT = rf"@|[0-9][0-9.) -]{{0,2}}[0-9]|(?:{MEN}|{WOMEN})\.? \p{{Lu}}"
-KINDS = (("email", EMAIL), ("person", PERSON), ("account", ACCOUNT), ("address", ADDRESS), ("social", SOCIAL), ("phone", PHONE), ("card", CARD))
-ENTITY = "|".join(shape.replace(r"\1", r"\k<gap>").replace("([ -])", "(?<gap>[ -])") for _, shape in KINDS)
+# What is detected.  Every shape starts where no letter or digit stands before, so runs are read once.
+EMAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
+ADDRESS = r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
+ADDRESS6 = r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\p{L}\p{N}:])"
+ACCOUNT = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+SOCIAL = r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
+PHONE = r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])"
+CARD = r"(?<![.-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![\p{L}\p{N}])"
+KINDS = (("email", EMAIL), ("account", ACCOUNT), ("address6", ADDRESS6), ("address", ADDRESS), ("social", SOCIAL), ("phone", PHONE), ("card", CARD))
+# Titles, particles inside names, and what stands before an untitled full name.
+MEN, WOMEN = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Signor", "господин"), ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mademoiselle", "Señora", "Signora", "госпожа")
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "Rev", "Mx", "доктор", "профессор")
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "da", "di", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "zu")
+CUES = ("My name is", "my name is", "I am called", "Name:", "name:", "Dear", "From:", "To:", "Signed:", "Author:", "Contact:", "Patient:", "Customer:", "Regards,", "Sincerely,")
 # Alphabets that letters stay in.
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvz"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоу", "бвгдзклмнпрст"
 GREEK_VOWELS, GREEK_CONSONANTS = "αεηιο", "βγδζκλμνπρστ"
+#: How surrogates of names end, by what a word is (woman's, man's or other given name, surname) and script (Latin, Cyrillic, Greek).
+ENDINGS = {"f": ("na", "на", "να"), "m": ("n", "н", "ς"), "n": ("l", "л", "λ"), "s": ("r", "р", "ρ")}
+
+
+def _titles(titles: tuple[str, ...]) -> str:
+    return "|".join(sorted({*titles, *map(str.upper, titles)}))
+
+
+ALONE = r"(?<![\p{L}\p{N}])"
+#: A word of a name, and a name of several.
+WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}{1,30}(?:[-'’]\p{Lu}\p{L}{1,30}){0,3}(?![\p{L}\p{N}])"
+REST = rf" (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{WORD}"
+TITLE = rf"(?:(?:{_titles(MEN + WOMEN + NEUTRAL)})\.? ){{1,3}}"
+TITLED = rf"(?=[{''.join(sorted({t[0] for x in MEN + WOMEN + NEUTRAL for t in (x, x.upper())}))}]){TITLE}(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{WORD}(?:{REST}){{0,3}}"
+CUED = rf"(?=\p{{Lu}})(?<=(?:{'|'.join(CUES)})[ \n]){WORD}(?:{REST}){{1,3}}"
+PERSON = rf"{ALONE}(?:{TITLED}|{CUED})"
+PLAIN = "|".join(shape.replace(r"\1", r"\k<gap>").replace("([ -])", "(?<gap>[ -])") for _, shape in KINDS)
+#: Entities of texts that name nobody, and of others, where every capitalised word may name somebody.
+ENTITY, NAMED = f"{ALONE}(?:{PLAIN})", f"{ALONE}(?:{PLAIN}|{WORD})"
+#: A text without any of these holds no entity but people; this is quicker to tell.
+HINT = r"@|[0-9][0-9.) -]{0,2}[0-9]|::|[0-9A-Fa-f]:[0-9A-Fa-f]"
+#: Characters of a name's surrogate before its ending.
+STEM = 8
 #: Rounds of fresh surrogates in the entity's own format; then every round adds a character.
-ROUNDS = 32
+ROUNDS = 8
+
+
+def people(text: Column) -> Column:
+    """The words of all people's names that a text shows by a title or cue: array of (word in small letters, mark).
+
+    Marks are keys of ENDINGS: the last word of a name, or the only one, is the surname.
+    """
+    def marked(person: Column) -> Column:
+        title = F.regexp_extract(person, f"^(?:{TITLE})?", 0)
+        gender = F.when(title.rlike(rf"(?:^| )(?:{_titles(WOMEN)})\.? "), "f").when(title.rlike(rf"(?:^| )(?:{_titles(MEN)})\.? "), "m").otherwise("n")
+        words = F.regexp_extract_all(F.substring(person, F.length(title) + 1, F.length(person)), F.lit(ALONE + WORD), F.lit(0))
+        return F.transform(words, lambda w, i: F.struct(F.lower(w).alias("word"), F.when(i < F.size(words) - 1, gender).otherwise("s").alias("mark")))
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), marked))
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text, in order, as they are written."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def shape_of(named: Column) -> Column:
+    """The expression whose matches are replaced or looked up, for a text that names somebody or doesn't."""
+    return F.when(named, F.lit(NAMED)).otherwise(F.lit(ENTITY))
 
 
-def kind_of(hit: Column) -> Column:
-    """The kind of a detected entity: the first shape that it fits as a whole."""
-    out = F.lit("card")
-    for kind, shape in reversed(KINDS[:-1]):
-        inside = shape[shape.index(")") + 1 :] if shape.startswith("(?<!") else shape
-        out = F.when(hit.rlike(f"^(?:{inside})$"), F.lit(kind)).otherwise(out)
-    return out
+def kind_of(hit: Column, mark: Column) -> Column:
+    """The kind of a match: a name if it has a mark, else the first shape that it fits as a whole; null if it is no entity.
+
+    A bare run of digits that is no card number by length (16) or check digit is none.
+    """
+    out = F.lit(None).cast("string")
+    for kind, shape in reversed(KINDS):
+        fits = hit.rlike(f"^(?:{shape})$")
+        if kind == "card":
+            fits = fits & ((F.length(hit) == 16) | hit.rlike("[ -]") | _luhn(F.regexp_replace(hit, "[^0-9]", "")))
+        out = F.when(fits, F.lit(kind)).otherwise(out)
+    return F.when(mark.isNotNull(), F.lit("name")).otherwise(out)
+
+
+def _groups(address: Column) -> Column:
+    """The eight groups of an internet address of version 6, four digits each."""
+    half = lambda k: F.filter(F.split(F.element_at(F.split(F.lower(address), "::"), k), ":"), lambda g: g != "")
+    short = F.concat(half(1), F.array_repeat(F.lit("0"), F.lit(8) - F.size(half(1)) - F.size(half(2))), half(2))
+    return F.transform(F.when(address.contains("::"), short).otherwise(half(1)), lambda g: F.lpad(g, 4, "0"))
 
 
 def normal(kind: Column, hit: Column) -> Column:
     """The entity behind a spelling: digits alone for numbers, small letters for the rest."""
-    spelt = F.lower(F.regexp_replace(hit, " +", " "))
     return (
         F.when(kind.isin("phone", "card", "social"), F.regexp_replace(hit, "[^0-9]", ""))
         .when(kind == "account", F.regexp_replace(hit, " ", ""))
-        .when(kind == "person", F.regexp_replace(spelt, r"^(\p{L}+)\.? ", "$1 "))
-        .otherwise(spelt)
+        .when(kind == "address6", F.concat_ws(":", _groups(hit)))
+        .otherwise(F.lower(hit))
     )
 
 
@@ -93,20 +146,25 @@ def _luhn(digits: Column) -> Column:
     ) % 10 == 0
 
 
-def _name(word: Column, seed: Column, last: Column, woman: Column) -> Column:
-    """A capitalised name in the word's script; ``last`` ones that follow a given name have no gender."""
-    def made(vowels: str, consonants: str, man: str, female: str) -> Column:
-        parts = [_pick(consonants if k % 2 == 0 else vowels, seed, F.lit(k)) for k in range(6)]
-        end = F.when(woman & ~last, F.lit(female)).otherwise(F.lit(man))
-        return F.initcap(F.concat(*parts, end))
-
-    return (
-        F.when(word.rlike(r"^[Ѐ-ӿ]"), made(CYRILLIC_VOWELS, CYRILLIC_CONSONANTS, "н", "на"))
-        .when(word.rlike(r"^[Ͱ-Ͽ]"), made(GREEK_VOWELS, GREEK_CONSONANTS, "ς", "να"))
-        .otherwise(made(VOWELS, CONSONANTS, "n", "na"))
+def _rest97(account: Column) -> Column:
+    """An account number modulo 97, its first four characters moved to the end and letters read as 10 to 35; 1 if its check digits are right."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    return F.aggregate(
+        F.split(turned, ""), F.lit(0),
+        lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97),
     )
 
 
+def _script(word: Column, latin: Column, cyrillic: Column, greek: Column) -> Column:
+    return F.when(word.rlike(r"^[Ѐ-ӿ]"), cyrillic).when(word.rlike(r"^[Ͱ-Ͽ]"), greek).otherwise(latin)
+
+
+def _stem(word: Column, seed: Column) -> Column:
+    """The beginning of a name in the word's script."""
+    made = [F.concat(*[_pick(c if k % 2 == 0 else v, seed, F.lit(k)) for k in range(STEM)]) for v, c in ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))]
+    return _script(word, *made)
+
+
 def _extra(letters: str, seed: Column, attempt: Column, widen: bool) -> Column:
     """With ``widen``, one more character for each attempt beyond ROUNDS."""
     if not widen:
@@ -117,57 +175,80 @@ def _extra(letters: str, seed: Column, attempt: Column, widen: bool) -> Column:
 
 
 def surrogate(kind: Column, norm: Column, secret: str, attempt: Column, widen: bool = False) -> Column:
-    """The keyed surrogate of a normal form, in normal form.
+    """The keyed surrogate of a normal form, in normal form; of a name only its beginning.
 
-    Numbers keep their length (cards also their first digit, and a right check
-    digit if theirs was right), internet addresses stay valid, mail addresses
-    keep their ending, names keep title, script and the number of words, and a
-    given name gets the ending of its title's gender.  With ``widen`` attempts beyond
-    ROUNDS, for formats that are full, add characters to mailboxes, last words and numbers.
+    Numbers keep their length (cards also their first digit, accounts their country, and both right
+    check digits if theirs were right), internet addresses stay valid (those of version 6 also keep
+    where they are zero), mail addresses keep their ending, names their script.  With ``widen``
+    attempts beyond ROUNDS, for formats that are full, add characters to mailboxes, names and
+    numbers, and draw zero groups of addresses, too.
     """
     seed = F.concat_ws("|", F.lit(secret), kind, norm, attempt.cast("string"))
     zone = F.concat_ws("|", F.lit(secret), F.lit("zone"), F.regexp_extract(norm, "@(.*)$", 1))
     local, host, ending = (F.regexp_extract(norm, p, 1) for p in (r"^(.*)@", r"@(.*)\.[^.]*$", r"(\.[^.]*)$"))
     more = _extra("0123456789", seed, attempt, widen)
     letters = [_extra(v + c, seed, attempt, widen) for v, c in ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))]
-    scripted = F.when(norm.rlike(r"[Ѐ-ӿ]\S*$"), letters[1]).when(norm.rlike(r"[Ͱ-Ͽ]\S*$"), letters[2]).otherwise(letters[0])
     octets = F.concat_ws(".", F.transform(F.split(norm, r"\."), lambda _, i: (_roll(seed, i, F.lit(254)) + 1).cast("string")))
+    free = F.lit(widen) & (attempt > ROUNDS)
+    def group(g: Column, i: Column) -> Column:
+        """A group with as many digits, the first of them not zero."""
+        zero, least = F.lpad(g, 4, "0") == "0000", F.pow(F.lit(16), F.length(F.ltrim(g, F.lit("0"))) - 1)
+        sides = F.when(zero, F.lit(1 << 16)).otherwise((least * 15).cast("int"))
+        drawn = F.when(zero, F.lit(0)).otherwise(least.cast("int")) + _roll(seed, i, sides)
+        return F.when(zero & ~free, g).otherwise(F.lpad(F.lower(F.hex(drawn)), 4, "0"))
+
     digits = F.concat(F.substring(norm, 1, 1), F.substring(_alike(norm, seed), F.lit(2), F.length(norm)), more)
     # of ten last digits exactly one passes the check
-    stem = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(stem, d.cast("string"))), _luhn)[0]
-    woman = norm.rlike(f"(?iu)^(?:{WOMEN}) ")
-    words = F.split(norm, " ")
-    names = F.concat_ws(" ", F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.lower(_name(w, F.concat_ws("|", seed, i.cast("string")), i > 1, woman)))))
+    before = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(before, d.cast("string"))), _luhn)[0]
+    account = F.concat(_alike(norm, seed, 2), more)
+    open_ = F.concat(F.substring(account, 1, 2), F.lit("00"), F.substring(account, F.lit(5), F.length(account)))
+    right = F.concat(F.substring(account, 1, 2), F.lpad((F.lit(98) - _rest97(open_)).cast("string"), 2, "0"), F.substring(account, F.lit(5), F.length(account)))
     return (
         F.when(kind == "email", F.concat(_alike(local, seed), letters[0], F.lit("@"), _alike(host, zone), ending))
-        .when(kind == "person", F.concat(names, scripted))
+        .when(kind == "name", F.concat(_stem(norm, seed), _script(norm, *letters)))
         .when(kind == "address", octets)
-        .when(kind == "account", F.concat(_alike(norm, seed, 2), more))
+        .when(kind == "address6", F.concat_ws(":", F.transform(F.split(norm, ":"), group)))
+        .when((kind == "account") & (_rest97(norm) == 1), right)
+        .when(kind == "account", account)
         .when((kind == "card") & _luhn(norm), checked)
         .when(kind.isin("card", "phone"), digits)
         .otherwise(F.concat(_alike(norm, seed), more))
     )
 
 
-def spell(kind: Column, hit: Column, norm: Column) -> Column:
-    """A surrogate's normal form written in the format of ``hit``."""
+def spell(kind: Column, hit: Column, mark: Column, fake: Column) -> Column:
+    """A surrogate's normal form written in the format of ``hit``; names get the ending of their mark."""
     def fill(shape: str) -> Column:
-        gaps, marks = F.split(hit, shape, -1), F.concat(F.split(norm, ""), F.array(F.lit("")))
+        gaps, marks = F.split(hit, shape, -1), F.concat(F.split(fake, ""), F.array(F.lit("")))
         return F.concat_ws("", F.zip_with(gaps, marks, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
 
-    title = F.regexp_extract(hit, r"^(\p{L}+\.?) ", 1)
-    person = F.concat(title, F.lit(" "), F.initcap(F.regexp_replace(norm, r"^\S+ ", "")))
     shouted = (hit == F.upper(hit)) & (hit != F.lower(hit))
+    ending = F.lit("")
+    for m, by_script in ENDINGS.items():
+        ending = F.when(mark == m, _script(fake, *map(F.lit, by_script))).otherwise(ending)
+    name = F.concat(fake, ending)
+    # where the hit leaves out zeros, so does its surrogate, as far as it still has them
+    groups = F.transform(F.split(fake, ":"), lambda g: F.when(g.rlike("^0+$"), "0").otherwise(F.ltrim(g, F.lit("0"))))
+    side = lambda k: F.size(F.filter(F.split(F.element_at(F.split(hit, "::"), k), ":"), lambda g: g != ""))
+    inside = F.slice(groups, side(1) + 1, F.lit(8) - side(1) - side(2))
+    short = F.concat(F.concat_ws(":", F.slice(groups, F.lit(1), side(1))), F.lit("::"), F.concat_ws(":", F.slice(groups, F.lit(9) - side(2), side(2))))
+    six = F.when(hit.contains("::") & F.forall(inside, lambda g: g == "0"), short).otherwise(F.concat_ws(":", groups))
     return (
         F.when(kind.isin("phone", "card", "social"), fill("[0-9]"))
         .when(kind == "account", fill("[A-Z0-9]"))
-        .when(kind == "person", person)
-        .when((kind == "email") & shouted, F.upper(norm))
-        .otherwise(norm)
+        .when(kind == "name", F.when(shouted, F.upper(name)).otherwise(F.initcap(name)))
+        .when(kind == "address6", F.when(shouted, F.upper(six)).otherwise(six))
+        .when((kind == "email") & shouted, F.upper(fake))
+        .otherwise(fake)
     )
 
 
+def _told(kind: Column, norm: Column) -> Column:
+    """What a surrogate must differ in from real entities: of names the beginning, whatever the ending."""
+    return F.when(kind == "name", F.substring(norm, 1, STEM)).otherwise(norm)
+
+
 def resolve(found: DataFrame, secret: str) -> DataFrame:
     """``found`` (kind, norm; distinct) with ``fake``: no two entities of a kind share one, and none is a real entity.
 
@@ -177,45 +258,65 @@ def resolve(found: DataFrame, secret: str) -> DataFrame:
     reaches the driver.
     """
     now = cut(found.withColumn("attempt", F.lit(0)).withColumn("fake", surrogate(F.col("kind"), F.col("norm"), secret, F.lit(0))))
-    real = found.select("kind", F.col("norm").alias("fake"), F.lit(True).alias("real"))
+    real = found.select("kind", _told(F.col("kind"), F.col("norm")).alias("told")).distinct().withColumn("real", F.lit(True))
     for k in itertools.count(1):
         place = F.row_number().over(Window.partitionBy("kind", "fake").orderBy("attempt", "norm"))
-        judged = cut(now.withColumn("place", place).join(real, ["kind", "fake"], "left").withColumn("taken", (F.col("place") > 1) | F.coalesce("real", F.lit(False))).drop("place", "real"))
+        met = now.withColumn("place", place).withColumn("told", _told(F.col("kind"), F.col("fake"))).join(real, ["kind", "told"], "left")
+        judged = cut(met.withColumn("taken", (F.col("place") > 1) | F.coalesce("real", F.lit(False))).drop("place", "real", "told"))
         if judged.where("taken").isEmpty():
             return judged.select("kind", "norm", "fake")
         again = F.col("attempt") + F.col("taken").cast("int")
         now = judged.select("kind", "norm", again.alias("attempt"), F.when(F.col("taken"), surrogate(F.col("kind"), F.col("norm"), secret, again, widen=k > ROUNDS)).otherwise(F.col("fake")).alias("fake"))
 
 
-def replace_entities(docs: DataFrame, secret: str = "stratoloom", text: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """``docs`` with every entity of ``text`` replaced, and ``n_entities``.
 
     The same entity gets the same surrogate in every document and spelling, and
-    different entities different ones.  Surrogates come from a keyed hash of the
-    entity, so runs over the same table agree.  Rows without an entity pass
-    through untouched and unshuffled; null texts stay null with 0 entities.
-    Other columns, whatever their names, stay; a column ``n_entities`` is
-    replaced.  An empty table gives no rows.
+    different entities different ones, by a hash keyed with ``secret``: whoever
+    has the key can tell surrogates of guessed entities, so keep it.  People are
+    found by titles and cues; from there on every capitalised word of the
+    document that is one of their names is replaced, too, so mentions without a
+    title or of a part of the name agree.  A word is one name in all documents:
+    namesakes share its surrogate.  Given names take the gender of a title
+    they follow in the document (a woman's, if of both), else a neutral ending.
+
+    Rows without an entity pass through untouched and unshuffled; null texts stay
+    null with 0 entities.  Other columns, whatever their names, stay; a column
+    ``n_entities`` is replaced.  An empty table gives no rows.
     """
+    if not secret:
+        raise ValueError("surrogates need a key")
     kept = [c for c in docs.columns if c != "n_entities"]
-    marked = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("body")).withColumn("hits", F.coalesce(entities(F.col("body")), F.array().cast("array<string>")))
+    marked = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("body")).withColumn("people", people(F.col("body"))).withColumn("named", F.coalesce(F.size("people") > 0, F.lit(False)))
+    hits = F.when(F.col("named") | F.col("body").rlike(HINT), F.regexp_extract_all("body", shape_of(F.col("named")), F.lit(0)))
+    marked = marked.withColumn("hits", F.coalesce(hits, F.array().cast("array<string>")))
     plain = marked.where(F.size("hits") == 0).select("row.*", F.lit(0).alias("n_entities"))
     some = marked.where(F.size("hits") > 0).withColumn("name", F.sha2("body", 256))
-    hits = cut(some.select("name", F.explode(F.array_distinct("hits")).alias("hit")).distinct().withColumn("kind", kind_of(F.col("hit"))).withColumn("norm", normal(F.col("kind"), F.col("hit"))))
-    resolved = resolve(hits.select("kind", "norm").distinct(), secret)
-    spelt = hits.select("kind", "norm", "hit").distinct().join(resolved, ["kind", "norm"]).select("hit", spell(F.col("kind"), F.col("hit"), F.col("fake")).alias("new"))
-    by_text = hits.select("name", "hit").join(spelt, "hit").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("hit", "new"))).alias("new"))
-    gaps = F.split("body", ENTITY, -1)
-    news = F.concat(F.transform("hits", lambda h: F.element_at("new", h)), F.array(F.lit("")))
-    written = F.concat_ws("", F.zip_with(gaps, news, lambda a, b: F.concat(a, b)))
-    changed = some.join(by_text, "name").select("row", written.alias("written"), F.size("hits").alias("n"))
+    # only what people are called and what matches travels, once for all copies of a text
+    names = some.where("named").select("name", F.explode("people").alias("p")).groupBy("name", F.col("p.word").alias("word")).agg(F.min("p.mark").alias("mark"))
+    places = some.select("name", F.posexplode("hits").alias("at", "hit")).distinct().withColumn("word", F.lower("hit"))
+    known = places.join(names, ["name", "word"], "left").withColumn("kind", kind_of(F.col("hit"), F.col("mark")))
+    known = cut(known.select("name", "at", "hit", "mark", "kind", normal(F.col("kind"), F.col("hit")).alias("norm")))
+    resolved = resolve(known.where("kind IS NOT NULL").select("kind", "norm").distinct(), secret)
+    news = known.join(resolved, ["kind", "norm"], "left").select(
+        "name", "at", F.when(F.col("kind").isNull(), F.col("hit")).otherwise(spell(F.col("kind"), F.col("hit"), F.col("mark"), F.col("fake"))).alias("new"), F.col("kind").isNotNull().alias("found")
+    )
+    by_text = news.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news"), F.count_if("found").cast("int").alias("n"))
+    gaps = F.split("body", shape_of(F.col("named")), -1)
+    written = F.concat_ws("", F.zip_with(gaps, F.col("news.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))))
+    changed = some.join(by_text, "name").select("row", written.alias("written"), "n")
     columns = [F.col("written").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept]
     return plain.unionAll(changed.select(*columns, F.col("n").alias("n_entities")))
 
 
+#: The key of the query, which is public: its results hide nothing from those who know it.
+QUERY_KEY = "op5_surrogates"
+
+
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data."""
-    return replace_entities(table(spark, sf_dir, "documents"))
+    return replace_entities(table(spark, sf_dir, "documents"), QUERY_KEY)
 
 
 QUERIES = {"op5_surrogates": op5_surrogates}
