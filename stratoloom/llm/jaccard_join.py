@@ -34,7 +34,7 @@ from .tables import small_batches, table
 #: Bits of the counters' table (8 MB as it is sent out), dealt in parts.
 BITS, PARTS = 22, 64
 #: Members of a group, about, at most.
-GROUP = 256
+GROUP = 64
 #: Bits of the filter of ids (4 MB, in the same parts) that spares texts of unopened groups a shuffle.
 FILTER = 25
 #: Tokens that unions share at least where groups meet (or all that a set must share).
