@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, release
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def _neighbours(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = _neighbours(edges)
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
+    # dealt out by itself, so that a hub's edges may be split over tasks when they meet it
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least")).repartition("src")
     return (
         both.join(least, "src")
         .where(F.col("dst") > F.col("src"))
@@ -27,7 +28,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link the smaller neighbours of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("least"))
+    least = down.groupBy("src").agg(F.min("dst").alias("least")).repartition("src")
     joined = down.join(least, "src")
     return (
         joined.select(F.col("dst").alias("src"), F.col("least").alias("dst"))
@@ -43,7 +44,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     The rounds alternate large-star and small-star until the edges are a forest
     of stars that no round changes, O(log^2) rounds at worst.  Nothing but a
     count and a checksum per round reaches the driver; each round is cut off
-    through the shared checkpoint folder.  Self loops and nulls are ignored.
+    through the shared checkpoint folder, and its predecessor's files are deleted.  Self loops and nulls are ignored.
     """
     now = cut(
         edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
@@ -52,7 +53,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     mark = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
+        last, now = now, cut(_small_star(_large_star(now)))
+        release(last)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == mark:
             break
