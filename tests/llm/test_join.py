@@ -116,7 +116,7 @@ def test_vectors(spark, block):
     labels = [int(x) if x < 3 else None for x in rng.integers(0, 4, len(v))]
     rows = [(int(i), v[i].tolist(), labels[i]) for i in range(len(v))]
     rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, [], 1), (905, [1.0] * 3, 1), (None, [1.0] * 16, 1), (906, [float("inf")] * 16, 1)]
-    df = spark.createDataFrame([(*r, "x") for r in rows + rows[:3]], "vec_id long, embedding array<float>, label int, own string")
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, own string, `row` int, i int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_vectors(df, 0.93, block=block).collect()}
     assert len(got) == len(rows)
     d = v.astype(float)
@@ -130,6 +130,27 @@ def test_vectors(spark, block):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    """Rows that repeat an id are vectors of their own: none hides another."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [-1.0, 0.0]), (None, [1.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_vectors(df).collect()), key=str)
+    want = [(1, 3, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 3, 1, False), (5, 3, 1, False), (5, 3, 1, False), (7, 0, 7, True), (0, 0, None, True), (0, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_open_pairs(spark, monkeypatch):
+    """With any error bound, the pairs that stay open are decided in double precision."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((90, 5))
+    cos = v @ v.T / np.sqrt((v * v).sum(1))[:, None] / np.sqrt((v * v).sum(1))[None]
+    df = spark.createDataFrame([(k, x.tolist(), "l") for k, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    for at in (np.sort(cos[np.triu_indices(90, 1)])[-200], 0.8):  # a threshold that some pair meets to the last bit, or nearly
+        link = (np.einsum("ik,jk->ij", v, v) / np.sqrt(np.outer((v * v).sum(1), (v * v).sum(1))) >= at - 1e-12) & ~np.eye(90, dtype=bool)
+        got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(df, float(at) - 1e-12, block=20).collect()}
+        assert got == dict(enumerate(link.sum(1).tolist())) and link.any()
+
+
 def test_bounds_hold():
     """No quantised product is further from the cosine than its bound."""
     rng = np.random.default_rng(6)
