@@ -1,170 +1,196 @@
-"""Language identification: known words first, shorter and shorter character n-grams for the others."""
+"""Language identification: known words first, shorter and shorter character n-grams for the others.
+
+Texts are read a batch at a time: Arrow cuts them into words and numbers the
+distinct ones, and every distinct word is looked up once.
+"""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .sharding import unit_hash
+from .shingles import U, mix
 from .tables import small_batches, table
 
-#: Documents of a language to learn from, about, at most; languages, the most frequent first.
-SAMPLE, LANGUAGES = 3000, 128
-#: Words of a language that are known, and n-grams of each length, the most frequent first; and all of them together.
-WORDS, GRAMS, ENTRIES = 50_000, 20_000, 1_000_000
+#: Documents of a language to learn from, about, at most.
+SAMPLE = 3000
+#: Words of a language that are known, and n-grams of each length, the most frequent first.
+WORDS, GRAMS = 50_000, 20_000
 #: Lengths of n-grams, longest first; a word's ends count as characters.
 LENGTHS = (5, 4, 3, 2, 1)
-#: Unseen words a worker remembers.
-MEMORY = 50_000
+#: Numbers of a table of words by languages that is held at once.
+CELLS = 1 << 22
+
 
-_run = re.compile(r"[^\W\d_]+")
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of letters of all texts in lower case, and where each text's begin (nulls have none)."""
+    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lists = pc.utf8_split_whitespace(pc.replace_substring_regex(low, r"\PL+", " "))
+    words, at = lists.values, np.asarray(lists.offsets)
+    # a text's split begins and ends with nothing where no letter stands there
+    real = np.asarray(pc.greater(pc.binary_length(words), 0).cast(pa.int8())).astype(bool)
+    return words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[at]
 
 
-def words_of(text: str) -> list[str]:
-    """The runs of letters of ``text`` in lower case."""
-    found = _run.findall(text.lower())
-    return found if all(map(str.isalpha, found)) else [w for f in found if (w := "".join(filter(str.isalpha, f)))]
+def _places(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All characters of the words, ends marked; each place's word, and how many characters it has left with itself."""
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(U)
+    of = np.repeat(np.arange(len(words)), lengths)
+    return np.concatenate([points, np.zeros(max(LENGTHS), U)]), of, np.cumsum(lengths)[of] - np.arange(len(of))
 
 
-def grams_of(word: str, length: int) -> list[str]:
-    """The n-grams of a word whose ends are marked."""
-    marked = f"<{word}>"
-    return [marked[i : i + length] for i in range(len(marked) - length + 1)]
+def _grams(points: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The n-grams at some places as numbers: code points have 21 bits, three to a number, and the rest is mixed in."""
+    part = [points[at + k] if k < length else U(0) for k in range(max(LENGTHS))]
+    return mix(mix(part[0] | part[1] << U(21) | part[2] << U(42)) + (part[3] | part[4] << U(21))).view(np.int64)
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict:
-    """A model from the rows of ``docs`` that have a text and a language.
+    """A model from the rows of ``docs`` that have a text and a language: every language that occurs is learned.
 
-    Counts come from about ``sample`` documents of each of the ``LANGUAGES`` most
-    frequent languages, chosen by the hash of the key.  What reaches the driver is
-    bounded by these parameters: WORDS words and GRAMS n-grams of each length for
-    a language, fewer with many languages, ENTRIES in all.  Words that only one
-    occurrence supports aren't known.
+    Counts come from about ``sample`` documents of each language, chosen by the
+    hash of the key.  What reaches the driver is bounded by the parameters: for a
+    language WORDS words and GRAMS n-grams of each length, the most frequent first
+    (ties by code point, and by number).
     """
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "word_scores": np.zeros((0, 0)), "gram_scores": np.zeros((0, 0))}
+        return _model([], None, None)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["count"]))])
     chosen = rows.where(unit_hash(F.concat(F.lit("lang:"), F.coalesce("key", F.lit("null")))) < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[tuple[str, str]] = Counter()
         for batch in batches:
-            for body, name in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-                for w, n in Counter(words_of(body.as_py())).items():
-                    words[name, w] += n
-            if len(words) > 200_000:
-                yield _counted(words)
-                words.clear()
-        if words:
-            yield _counted(words)
-
-    # one worker's counts are merged with the others' before n-grams are taken of distinct words
-    shape = "lang string, length int, gram string, n long"
-    words = chosen.select("text", "lang").mapInArrow(count, shape).groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+            found, at = words_of(batch.column("text"))
+            names = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            counted = pa.table({"lang": batch.column("lang").take(pa.array(names)), "word": found}).group_by(["lang", "word"]).aggregate([([], "count_all")])
+            yield from counted.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])).combine_chunks().to_batches()
+
+    words = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter[tuple[str, int, str]] = Counter()
-            for name, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
-                for length in LENGTHS:
-                    for g in grams_of(w, length):
-                        found[name, length, g] += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*[(*k, n) for k, n in found.items()], strict=True)) or [(), (), (), ()], (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "length", "gram", "n"])
-
-    grams = words.mapInArrow(split, shape).groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
-    n_words = min(WORDS, ENTRIES * 2 // 5 // len(langs))
-    n_grams = min(GRAMS, ENTRIES * 3 // 5 // len(LENGTHS) // len(langs))
-    rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.col("n").desc(), "gram"))
-    every = words.where("n > 1").unionAll(grams).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "length")))
-    kept = every.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") == 0, n_words).otherwise(n_grams)).drop("rank").toArrow()
-    return _model(langs, kept)
-
-
-def _counted(words: Counter[tuple[str, str]]) -> pa.RecordBatch:
-    names, grams = zip(*words, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array([0] * len(grams), pa.int32()), pa.array(grams), pa.array(words.values(), pa.int64())], ["lang", "length", "gram", "n"])
-
-
-def _model(langs: list[str], kept: pa.Table) -> dict:
-    """Tables from counts: a row of log frequencies, by language, for each word and n-gram."""
-    place = {name: k for k, name in enumerate(langs)}
-    index: tuple[dict, dict] = ({}, {})
-    cells: tuple[list, list] = ([], [])
-    totals: dict[tuple[int, int], int] = {}
-    for name, length, gram, n, total in zip(*(kept.column(c).to_pylist() for c in ("lang", "length", "gram", "n", "total")), strict=True):
-        which = int(length > 0)
-        at = index[which].setdefault(gram, len(index[which]))
-        cells[which].append((at, place[name], n, length))
-        totals[length, place[name]] = total
-    scores = []
-    for which in (0, 1):
-        lengths = np.zeros(len(index[which]), np.int64)
-        counts = np.zeros((len(index[which]), len(langs)))
-        for at, k, n, length in cells[which]:
-            counts[at, k] += n
-            lengths[at] = length
-        total = np.array([[totals.get((length, k), 0) for k in range(len(langs))] for length in range(max(LENGTHS) + 1)], float)
-        scores.append(np.log((counts + 0.5) / (total[lengths] + 0.5 * max(1, len(counts)))).astype(np.float32))
-    return {"langs": langs, "words": index[0], "grams": index[1], "word_scores": scores[0], "gram_scores": scores[1]}
+            names = batch.column("lang").dictionary_encode()
+            points, of, left = _places(batch.column("word").to_pylist())
+            which, times = np.asarray(names.indices)[of], batch.column("n").to_numpy()[of]
+            for length in LENGTHS:
+                at = np.flatnonzero(left >= length)
+                found = pa.table({"lang": which[at], "gram": _grams(points, at, length), "n": times[at]}).group_by(["lang", "gram"]).aggregate([("n", "sum")])
+                name = names.dictionary.take(found.column("lang").combine_chunks())
+                many = found.num_rows
+                yield pa.RecordBatch.from_arrays([name, pa.array(np.full(many, length, np.int32)), found.column("gram").combine_chunks(), found.column("n_sum").combine_chunks()], ["lang", "length", "gram", "n"])
+
+    grams = words.mapInArrow(split, "lang string, length int, gram long, n long").groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
+
+    def most(counted: DataFrame, by: list[str], name: str, many: int) -> pa.Table:
+        best = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), name))
+        return counted.withColumn("total", F.sum("n").over(Window.partitionBy(*by))).withColumn("best", best).where(F.col("best") <= many).drop("best").toArrow()
+
+    return _model(langs, most(words, ["lang"], "word", WORDS), most(grams, ["lang", "length"], "gram", GRAMS))
+
+
+def _model(langs: list[str], words: pa.Table | None, grams: pa.Table | None) -> dict:
+    """What is known, and log frequencies by language: a floor for each length (0: words), and what entries have above it.
+
+    Of an entry's languages only those that have it take room.
+    """
+    if not langs:
+        return {"langs": []}
+    floors = np.zeros((max(LENGTHS) + 1, len(langs)))
+    parts = []
+    for counted, name in ((words, "word"), (grams, "gram")):
+        lang = np.asarray(pc.index_in(counted.column("lang").combine_chunks(), pa.array(langs)))
+        lengths = counted.column("length").to_numpy() if name == "gram" else np.zeros(len(lang), np.int32)
+        n, total = counted.column("n").to_numpy().astype(float), counted.column("total").to_numpy().astype(float)
+        known = pc.unique(counted.column(name)) if name == "word" else pa.array(np.unique(counted.column(name).to_numpy()))
+        entry = np.asarray(pc.index_in(counted.column(name).combine_chunks(), known))
+        totals = np.zeros_like(floors)
+        totals[lengths, lang] = total
+        room = 0.5 * len(known)
+        used = np.unique(lengths)
+        floors[used] = np.log(0.5 / (totals[used] + room))
+        above = np.log((n + 0.5) / (total + room)) - floors[lengths, lang]
+        order = np.argsort(entry, kind="stable")
+        first = np.searchsorted(entry[order], np.arange(len(known) + 1))
+        parts.append({"known": known, "first": first, "lang": lang[order].astype(np.int32), "above": above[order].astype(np.float32)})
+        if name == "gram":
+            length = np.zeros(len(known), np.int32)
+            length[entry] = lengths
+            parts[-1] |= {"known": np.asarray(known), "length": length}
+    return {"langs": langs, "floors": floors, "words": parts[0], "grams": parts[1]}
 
 
 class Reader:
     """Scores texts by a model."""
 
     def __init__(self, model: dict) -> None:
-        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.word_scores, self.gram_scores = model["word_scores"], model["gram_scores"]
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def back_off(self, word: str) -> np.ndarray:
-        """From each place of an unseen word, the longest known n-gram; the scores of all, averaged."""
-        found = self.unseen.get(word)
-        if found is None:
-            marked, rows = f"<{word}>", []
-            for i in range(len(marked)):
-                for length in LENGTHS:
-                    at = self.grams.get(marked[i : i + length]) if i + length <= len(marked) else None
-                    if at is not None:
-                        rows.append(at)
-                        break
-            found = self.gram_scores[rows].mean(axis=0) if rows else np.zeros(len(self.langs), np.float32)
-            if len(self.unseen) >= MEMORY:
-                self.unseen.clear()
-            self.unseen[word] = found
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and how probable the model holds it; ``und`` and 0 without a letter."""
-        counted = Counter(words_of(text or ""))
-        if not counted or not self.langs:
-            return "und", 0.0
-        known: list[int] = []
-        times: list[int] = []
-        total = np.zeros(len(self.langs))
-        get = self.words.get
-        for w, n in counted.items():
-            at = get(w)
-            if at is None:
-                total += n * self.back_off(w)
-            else:
-                known.append(at)
-                times.append(n)
-        if known:
-            total += np.array(times, float) @ self.word_scores[known]
-        best = int(total.argmax())
-        return self.langs[best], 1 / math.fsum(np.exp(np.maximum(total - total[best], -700)))
+        self.model, self.langs = model, model["langs"]
+
+    def _add(self, total: np.ndarray, row: np.ndarray, part: dict, entry: np.ndarray, weight: np.ndarray) -> None:
+        """Adds to rows what entries have above their floors."""
+        many = part["first"][entry + 1] - part["first"][entry]
+        at = np.repeat(part["first"][entry] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(entry) else np.zeros(0, np.int64)
+        cell = np.repeat(row, many) * len(self.langs) + part["lang"][at]
+        total += np.bincount(cell, np.repeat(weight, many) * part["above"][at], total.size).reshape(total.shape)
+
+    def scores(self, words: pa.Array) -> np.ndarray:
+        """Of each word its log frequency in each language; of an unseen one the mean over its places of the longest known n-gram's."""
+        floors, known, grams = self.model["floors"], self.model["words"], self.model["grams"]
+        entry = pc.index_in(words, known["known"].cast(words.type))
+        seen = np.asarray(entry.is_valid().cast(pa.int8())).astype(bool)
+        out = np.zeros((len(words), len(self.langs)))
+        out[seen] = floors[0]
+        self._add(out, np.flatnonzero(seen), known, np.asarray(entry.filter(entry.is_valid())).astype(np.int64), np.ones(int(seen.sum())))
+        rest = np.flatnonzero(~seen)
+        if len(rest) and len(grams["known"]):
+            points, of, left = _places(words.take(pa.array(rest)).to_pylist())
+            found = np.full(len(of), -1, np.int64)
+            todo = np.arange(len(of))
+            for length in LENGTHS:
+                at = todo[left[todo] >= length]
+                gram = _grams(points, at, length)
+                place = np.minimum(np.searchsorted(grams["known"], gram), len(grams["known"]) - 1)
+                hit = (grams["known"][place] == gram) & (grams["length"][place] == length)
+                found[at[hit]] = place[hit]
+                todo = todo[found[todo] < 0]
+            at = np.flatnonzero(found >= 0)
+            times = np.bincount(of[at], minlength=len(rest))
+            weight = 1 / times[of[at]]
+            for length in LENGTHS:
+                here = grams["length"][found[at]] == length
+                out[rest] += np.bincount(of[at[here]], weight[here], len(rest))[:, None] * floors[length]
+            self._add(out, rest[of[at]], grams, found[at], weight)
+        return out
+
+    def read(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """The language of each text and how probable the model holds it; ``und`` and 0 without a letter."""
+        words, at = words_of(texts)
+        if not self.langs or not len(words):
+            return ["und"] * len(texts), [0.0] * len(texts)
+        coded = words.dictionary_encode()
+        index, of = np.asarray(coded.indices), np.repeat(np.arange(len(texts)), np.diff(at))
+        total = np.zeros((len(texts), len(self.langs)))
+        step = max(1, CELLS // len(self.langs))
+        for low in range(0, len(coded.dictionary), step):
+            table = self.scores(coded.dictionary.slice(low, step))
+            here = slice(None) if len(coded.dictionary) <= step else np.flatnonzero((index >= low) & (index < low + step))
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(of[here], table[index[here] - low, k], len(texts))
+        best = total.argmax(axis=1)
+        score = 1 / np.exp(np.maximum(total - total[np.arange(len(texts)), best][:, None], -700)).sum(axis=1)
+        empty = np.diff(at) == 0
+        return ["und" if e else self.langs[b] for b, e in zip(best.tolist(), empty.tolist(), strict=True)], np.where(empty, 0.0, score).tolist()
 
 
 def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", kept: tuple[Column, ...] = ()) -> DataFrame:
@@ -176,7 +202,7 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of learn()
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some MB a language, by the parameters of learn()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *kept)
     names = [c for c in rows.columns if c != "text"]
     out = rows.select(*names).schema.add("lang_pred", "string").add("score", "double")
@@ -185,8 +211,8 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            found = [reader.predict(x.as_py()) for x in batch.column("text")]
-            columns = [batch.column(c) for c in names] + [pa.array([x[i] for x in found], types[len(names) + i]) for i in (0, 1)]
+            found = reader.read(batch.column("text"))
+            columns = [batch.column(c) for c in names] + [pa.array(x, types[len(names) + i]) for i, x in enumerate(found)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in out.fields])
 
     return rows.mapInArrow(read, out)
@@ -206,7 +232,7 @@ def keep_identified(docs: DataFrame, model: dict, text: str = "text", lang: str
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            found = [reader.predict(x.as_py())[0] for x in batch.column(at)]
+            found, _ = reader.read(batch.column(at))
             columns = list(batch.columns)
             if lang in names:
                 columns[names.index(lang)] = pa.array(found, types[names.index(lang)])
