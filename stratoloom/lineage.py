@@ -10,16 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir.
 
-    Only where none is named (tests, a laptop) a temporary folder is made.
+    Only where all runs in this one process (tests, a laptop) and none is named
+    a temporary folder is made; elsewhere executors would write where nobody reads.
     """
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratoloom-checkpoint-"))
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratoloom-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A replicated copy of ``df`` without its lineage; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files behind ``cut``'s result ``df``, which nothing will read again."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
