@@ -6,7 +6,7 @@ that all mentions of a person agree, whole or in part, with or without a title.
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ CUES = ("My name is", "my name is", "I am called", "Name:", "name:", "Dear", "Fr
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnprstvz"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоу", "бвгдзклмнпрст"
 GREEK_VOWELS, GREEK_CONSONANTS = "αεηιο", "βγδζκλμνπρστ"
+SCRIPTS = ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))
 #: How surrogates of names end, by what a word is (woman's, man's or other given name, surname) and script (Latin, Cyrillic, Greek).
 ENDINGS = {"f": ("na", "на", "να"), "m": ("n", "н", "ς"), "n": ("l", "л", "λ"), "s": ("r", "р", "ρ")}
 
@@ -109,33 +110,35 @@ def normal(kind: Column, hit: Column) -> Column:
     )
 
 
-def _roll(seed: Column, place: Column, sides: Column) -> Column:
-    """A number from 0 below ``sides``, by the keyed hash of a place."""
-    return (F.conv(F.substring(F.sha2(F.concat_ws("|", seed, place.cast("string")), 256), 1, 8), 16, 10).cast("long") % sides).cast("int")
+def _stream(seed: Column, many: Column) -> Column:
+    """Numbers below 2^16 of a keyed stream, one for each of ``many`` places: sixteen to a hash."""
+    hashes = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.floor(many / 16).cast("int")), lambda k: F.sha2(F.concat_ws("|", seed, k.cast("string")), 256)))
+    return F.transform(F.regexp_extract_all(hashes, F.lit("[0-9a-f]{4}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
-def _pick(letters: str, seed: Column, place: Column) -> Column:
-    return F.substring(F.lit(letters), _roll(seed, place, F.lit(len(letters))) + F.lit(1), F.lit(1))
+def _pick(letters: Column, number: Column) -> Column:
+    return F.substring(letters, number % F.length(letters) + 1, F.lit(1))
 
 
-def _like(c: Column, seed: Column, place: Column) -> Column:
-    """A character of the same class and script as ``c``; anything but letters and digits stays."""
+def _letters(c: Column) -> Column:
+    """What a character may become: the alphabet of its class and script; null for anything but letters and digits."""
     small = F.lower(c)
-    groups = (
-        (r"[aeiouyàâäåãáèéêëìíîïòóôöõøùúûüæœ]", VOWELS), (r"[a-zß-ÿĀ-ɏ]", CONSONANTS),
-        (r"[аеёиоуыэюя]", CYRILLIC_VOWELS), (r"[Ѐ-ӿ]", CYRILLIC_CONSONANTS),
-        (r"[αεηιουωάέήίόύώ]", GREEK_VOWELS), (r"[Ͱ-Ͽ]", GREEK_CONSONANTS),
+    of = lambda some: F.instr(F.lit(some), small) > 0
+    return (
+        F.when(c.between("0", "9"), "0123456789").when(of("aeiouyàâäåãáèéêëìíîïòóôöõøùúûüæœ"), VOWELS).when(small.between("a", "z") | small.between("ß", "ɏ"), CONSONANTS)
+        .when(of("аеёиоуыэюя"), CYRILLIC_VOWELS).when(small.between("Ѐ", "ӿ"), CYRILLIC_CONSONANTS).when(of("αεηιουωάέήίόύώ"), GREEK_VOWELS).when(small.between("Ͱ", "Ͽ"), GREEK_CONSONANTS)
+        .when(c.rlike(r"\p{L}"), "".join(chr(0x4E00 + 41 * k) for k in range(64)))
     )
-    out = F.when(c.rlike("[0-9]"), _roll(seed, place, F.lit(10)).cast("string"))
-    for group, letters in groups:
-        out = out.when(small.rlike(f"^{group}$"), _pick(letters, seed, place))
-    out = out.when(c.rlike(r"^\p{L}$"), _pick("".join(chr(0x4E00 + 41 * k) for k in range(64)), seed, place)).otherwise(c)
-    return F.when(c.rlike(r"^\p{Lu}$"), F.upper(out)).otherwise(out)
 
 
-def _alike(text: Column, seed: Column, fixed: int = 0) -> Column:
+def _alike(text: Column, seed: Column, fixed: Column, letters: Callable[[Column], Column] = _letters) -> Column:
     """``text`` with every letter and digit beyond the first ``fixed`` characters replaced by one alike."""
-    return F.concat_ws("", F.transform(F.split(text, ""), lambda c, i: F.when(i < fixed, c).otherwise(_like(c, seed, i))))
+    def like(c: Column, i: Column, number: Column) -> Column:
+        new = F.transform(F.array(letters(c)), lambda x: F.when(x.isNull() | (i < fixed), c).otherwise(_pick(x, number)))[0]
+        return F.when((c != F.lower(c)) & (i >= fixed), F.upper(new)).otherwise(new)
+
+    placed = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    return F.concat_ws("", F.zip_with(placed, F.slice(_stream(seed, F.length(text)), F.lit(1), F.length(text)), lambda p, n: like(p["c"], p["i"], n)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -159,62 +162,52 @@ def _script(word: Column, latin: Column, cyrillic: Column, greek: Column) -> Col
     return F.when(word.rlike(r"^[Ѐ-ӿ]"), cyrillic).when(word.rlike(r"^[Ͱ-Ͽ]"), greek).otherwise(latin)
 
 
-def _stem(word: Column, seed: Column) -> Column:
-    """The beginning of a name in the word's script."""
-    made = [F.concat(*[_pick(c if k % 2 == 0 else v, seed, F.lit(k)) for k in range(STEM)]) for v, c in ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))]
-    return _script(word, *made)
-
-
-def _extra(letters: str, seed: Column, attempt: Column, widen: bool) -> Column:
-    """With ``widen``, one more character for each attempt beyond ROUNDS."""
-    if not widen:
-        return F.lit("")
-    more = attempt.cast("int") - F.lit(ROUNDS)
-    made = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: _pick(letters, seed, k + F.lit(1 << 20))))
-    return F.when(more > 0, made).otherwise("")
+def _widened(letters: Column, numbers: Column, more: Column) -> Column:
+    """As many more characters as ``more`` says."""
+    return F.concat_ws("", F.transform(F.slice(numbers, F.lit(1), F.greatest(more, F.lit(0))), lambda n: _pick(letters, n)))
 
 
-def surrogate(kind: Column, norm: Column, secret: str, attempt: Column, widen: bool = False) -> Column:
-    """The keyed surrogate of a normal form, in normal form; of a name only its beginning.
+def with_surrogates(found: DataFrame, secret: str) -> DataFrame:
+    """Rows (kind, norm, attempt) with ``fake``: the keyed surrogate of a normal form, in normal form; of a name only its beginning.
 
-    Numbers keep their length (cards also their first digit, accounts their country, and both right
-    check digits if theirs were right), internet addresses stay valid (those of version 6 also keep
-    where they are zero), mail addresses keep their ending, names their script.  With ``widen``
-    attempts beyond ROUNDS, for formats that are full, add characters to mailboxes, names and
-    numbers, and draw zero groups of addresses, too.
+    Numbers keep their length (cards and phones also their first digit, accounts their country, and
+    cards and accounts right check digits if theirs were right), internet addresses stay valid (those of
+    version 6 keep their zeros), mail addresses keep their ending, names their script.  Attempts beyond
+    ROUNDS, for formats that are full, add characters to mailboxes, names and numbers, and draw zeros of
+    addresses, too.
     """
-    seed = F.concat_ws("|", F.lit(secret), kind, norm, attempt.cast("string"))
-    zone = F.concat_ws("|", F.lit(secret), F.lit("zone"), F.regexp_extract(norm, "@(.*)$", 1))
-    local, host, ending = (F.regexp_extract(norm, p, 1) for p in (r"^(.*)@", r"@(.*)\.[^.]*$", r"(\.[^.]*)$"))
-    more = _extra("0123456789", seed, attempt, widen)
-    letters = [_extra(v + c, seed, attempt, widen) for v, c in ((VOWELS, CONSONANTS), (CYRILLIC_VOWELS, CYRILLIC_CONSONANTS), (GREEK_VOWELS, GREEK_CONSONANTS))]
-    octets = F.concat_ws(".", F.transform(F.split(norm, r"\."), lambda _, i: (_roll(seed, i, F.lit(254)) + 1).cast("string")))
-    free = F.lit(widen) & (attempt > ROUNDS)
-    def group(g: Column, i: Column) -> Column:
-        """A group with as many digits, the first of them not zero."""
-        zero, least = F.lpad(g, 4, "0") == "0000", F.pow(F.lit(16), F.length(F.ltrim(g, F.lit("0"))) - 1)
-        sides = F.when(zero, F.lit(1 << 16)).otherwise((least * 15).cast("int"))
-        drawn = F.when(zero, F.lit(0)).otherwise(least.cast("int")) + _roll(seed, i, sides)
-        return F.when(zero & ~free, g).otherwise(F.lpad(F.lower(F.hex(drawn)), 4, "0"))
-
-    digits = F.concat(F.substring(norm, 1, 1), F.substring(_alike(norm, seed), F.lit(2), F.length(norm)), more)
+    kind, norm, seed = F.col("kind"), F.col("norm"), F.concat_ws("|", F.lit(secret), "kind", "norm", F.col("attempt").cast("string"))
+    more = F.col("attempt") - F.lit(ROUNDS)
+    hexadecimal = lambda c: F.when(c.between("1", "9") | c.between("a", "f"), "123456789abcdef").when((c == "0") & (F.col("attempt") > ROUNDS), "0123456789abcdef")
+    rows = found.select(
+        "*", seed.alias("__seed"),
+        F.when(kind == "email", F.regexp_extract(norm, "^(.*)@", 1)).otherwise(norm).alias("__own"),
+        F.when(kind.isin("card", "phone"), 1).when(kind == "account", 2).otherwise(0).alias("__fixed"),
+        F.when(kind == "email", F.regexp_extract(norm, r"@(.*)\.[^.]*$", 1)).otherwise("").alias("__host"),
+        F.when(kind.isin("email", "name"), _script(norm, *(F.lit(v + c) for v, c in SCRIPTS))).otherwise("0123456789").alias("__letters"),
+        _stream(F.concat("norm", seed), F.greatest(F.lit(STEM), more)).alias("__numbers"),
+    )
+    turns = F.sequence(F.lit(0), F.lit(STEM - 1))
+    stem = F.concat_ws("", F.zip_with(turns, F.slice("__numbers", 1, STEM), lambda k, n: _pick(F.when(k % 2 == 0, _script(norm, *(F.lit(c) for _, c in SCRIPTS))).otherwise(_script(norm, *(F.lit(v) for v, _ in SCRIPTS))), n)))
+    octets = F.concat_ws(".", F.transform(F.slice("__numbers", 1, 4), lambda n: (n % 254 + 1).cast("string")))
+    drawn = rows.select(
+        "*",
+        F.when(kind == "name", stem).when(kind == "address", octets).when(kind == "address6", _alike(norm, F.col("__seed"), F.lit(0), hexadecimal)).otherwise(_alike(F.col("__own"), F.col("__seed"), F.col("__fixed"))).alias("__new"),
+        # a host is one surrogate for all its mailboxes
+        _alike(F.col("__host"), F.concat_ws("|", F.lit(secret), F.lit("zone"), "__host"), F.lit(0)).alias("__zone"),
+    )
+    longer = drawn.withColumn("__new", F.when(kind.isin("address", "address6"), F.col("__new")).otherwise(F.concat("__new", _widened(F.col("__letters"), F.reverse("__numbers"), more))))
+    new = F.col("__new")
     # of ten last digits exactly one passes the check
-    before = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(before, d.cast("string"))), _luhn)[0]
-    account = F.concat(_alike(norm, seed, 2), more)
-    open_ = F.concat(F.substring(account, 1, 2), F.lit("00"), F.substring(account, F.lit(5), F.length(account)))
-    right = F.concat(F.substring(account, 1, 2), F.lpad((F.lit(98) - _rest97(open_)).cast("string"), 2, "0"), F.substring(account, F.lit(5), F.length(account)))
-    return (
-        F.when(kind == "email", F.concat(_alike(local, seed), letters[0], F.lit("@"), _alike(host, zone), ending))
-        .when(kind == "name", F.concat(_stem(norm, seed), _script(norm, *letters)))
-        .when(kind == "address", octets)
-        .when(kind == "address6", F.concat_ws(":", F.transform(F.split(norm, ":"), group)))
-        .when((kind == "account") & (_rest97(norm) == 1), right)
-        .when(kind == "account", account)
-        .when((kind == "card") & _luhn(norm), checked)
-        .when(kind.isin("card", "phone"), digits)
-        .otherwise(F.concat(_alike(norm, seed), more))
+    checked = F.filter(F.transform(F.split(F.lit("0123456789"), ""), lambda d: F.concat(F.substring(new, F.lit(1), F.length(new) - 1), d)), _luhn)[0]
+    # the check digits are what is missing to 98 with zeros in their place
+    rest = F.substring(new, F.lit(5), F.length(new))
+    right = F.concat(F.substring(new, 1, 2), F.lpad((F.lit(98) - _rest97(F.concat(F.substring(new, 1, 2), F.lit("00"), rest))).cast("string"), 2, "0"), rest)
+    fake = (
+        F.when(kind == "email", F.concat(new, F.lit("@"), F.col("__zone"), F.regexp_extract(norm, r"(\.[^.]*)$", 1)))
+        .when((kind == "card") & _luhn(norm), checked).when((kind == "account") & (_rest97(norm) == 1), right).otherwise(new)
     )
+    return longer.select(*found.columns, fake.alias("fake"))
 
 
 def spell(kind: Column, hit: Column, mark: Column, fake: Column) -> Column:
@@ -257,16 +250,16 @@ def resolve(found: DataFrame, secret: str) -> DataFrame:
     the space of surrogates grows with every round beyond ROUNDS.  A count a round
     reaches the driver.
     """
-    now = cut(found.withColumn("attempt", F.lit(0)).withColumn("fake", surrogate(F.col("kind"), F.col("norm"), secret, F.lit(0))))
-    real = found.select("kind", _told(F.col("kind"), F.col("norm")).alias("told")).distinct().withColumn("real", F.lit(True))
-    for k in itertools.count(1):
+    now = cut(with_surrogates(found.withColumn("attempt", F.lit(0)), secret))
+    real = cut(found.select("kind", _told(F.col("kind"), F.col("norm")).alias("told")).distinct().withColumn("real", F.lit(True)))
+    while True:
         place = F.row_number().over(Window.partitionBy("kind", "fake").orderBy("attempt", "norm"))
         met = now.withColumn("place", place).withColumn("told", _told(F.col("kind"), F.col("fake"))).join(real, ["kind", "told"], "left")
         judged = cut(met.withColumn("taken", (F.col("place") > 1) | F.coalesce("real", F.lit(False))).drop("place", "real", "told"))
         if judged.where("taken").isEmpty():
             return judged.select("kind", "norm", "fake")
-        again = F.col("attempt") + F.col("taken").cast("int")
-        now = judged.select("kind", "norm", again.alias("attempt"), F.when(F.col("taken"), surrogate(F.col("kind"), F.col("norm"), secret, again, widen=k > ROUNDS)).otherwise(F.col("fake")).alias("fake"))
+        again = with_surrogates(judged.where("taken").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), secret)
+        now = cut(judged.where("NOT taken").select("kind", "norm", "attempt", "fake").unionAll(again))
 
 
 def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
@@ -281,18 +274,19 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFr
     namesakes share its surrogate.  Given names take the gender of a title
     they follow in the document (a woman's, if of both), else a neutral ending.
 
-    Rows without an entity pass through untouched and unshuffled; null texts stay
-    null with 0 entities.  Other columns, whatever their names, stay; a column
-    ``n_entities`` is replaced.  An empty table gives no rows.
+    Rows without an entity pass through untouched and unshuffled; the others are
+    written to the checkpoint folder once, so no text is searched more than twice.
+    Null texts stay null with 0 entities.  Other columns, whatever their names,
+    stay; a column ``n_entities`` is replaced.  An empty table gives no rows.
     """
     if not secret:
         raise ValueError("surrogates need a key")
     kept = [c for c in docs.columns if c != "n_entities"]
-    marked = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("body")).withColumn("people", people(F.col("body"))).withColumn("named", F.coalesce(F.size("people") > 0, F.lit(False)))
-    hits = F.when(F.col("named") | F.col("body").rlike(HINT), F.regexp_extract_all("body", shape_of(F.col("named")), F.lit(0)))
-    marked = marked.withColumn("hits", F.coalesce(hits, F.array().cast("array<string>")))
-    plain = marked.where(F.size("hits") == 0).select("row.*", F.lit(0).alias("n_entities"))
-    some = marked.where(F.size("hits") > 0).withColumn("name", F.sha2("body", 256))
+    body = F.col(text)
+    holds = F.coalesce(body.rlike(PERSON) | (body.rlike(HINT) & body.rlike(ENTITY)), F.lit(False))
+    plain = docs.where(~holds).select(*kept, F.lit(0).alias("n_entities"))
+    rows = docs.where(holds).select(F.struct(*kept).alias("row"), body.alias("body")).withColumn("people", people(F.col("body"))).withColumn("named", F.size("people") > 0)
+    some = cut(rows.select("row", "people", "named", F.regexp_extract_all("body", shape_of(F.col("named")), F.lit(0)).alias("hits"), F.sha2("body", 256).alias("name")))
     # only what people are called and what matches travels, once for all copies of a text
     names = some.where("named").select("name", F.explode("people").alias("p")).groupBy("name", F.col("p.word").alias("word")).agg(F.min("p.mark").alias("mark"))
     places = some.select("name", F.posexplode("hits").alias("at", "hit")).distinct().withColumn("word", F.lower("hit"))
@@ -303,9 +297,9 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFr
         "name", "at", F.when(F.col("kind").isNull(), F.col("hit")).otherwise(spell(F.col("kind"), F.col("hit"), F.col("mark"), F.col("fake"))).alias("new"), F.col("kind").isNotNull().alias("found")
     )
     by_text = news.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news"), F.count_if("found").cast("int").alias("n"))
-    gaps = F.split("body", shape_of(F.col("named")), -1)
+    gaps = F.split(F.col("row")[text], shape_of(F.col("named")), -1)
     written = F.concat_ws("", F.zip_with(gaps, F.col("news.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))))
-    changed = some.join(by_text, "name").select("row", written.alias("written"), "n")
+    changed = some.drop("people", "hits").join(by_text, "name").select("row", written.alias("written"), "n")
     columns = [F.col("written").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept]
     return plain.unionAll(changed.select(*columns, F.col("n").alias("n_entities")))
 
