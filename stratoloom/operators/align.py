@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from .running import running_max, running_sum
+
 #: Width of the bins that intervals meet in.
 BIN = 1 << 14
 
@@ -48,13 +51,16 @@ def parse_region(region: Column, separators: tuple[str, str] = (":", "-")) -> Co
 def merge_intervals(rows: DataFrame, gap: int = 1) -> DataFrame:
     """(seqname, start, end, n): intervals less than ``gap`` apart, as one.
 
-    With the default, half-open intervals that touch are one.
+    With the default, half-open intervals that touch are one.  Equal intervals
+    are counted first; the others are ordered inside bins of their starts, and
+    only what a bin reaches and opens crosses to the next ones.
     """
-    order = Window.partitionBy("seqname").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select("seqname", "start", "end", F.coalesce((F.col("start") >= reach + gap).cast("int"), F.lit(1)).alias("opens"))
-    island = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island", island).groupBy("seqname", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
+    counted = cut(rows.groupBy("seqname", "start", "end").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("start") / F.lit(BIN))))
+    order = [F.col("start"), F.col("end")]
+    reached = running_max(counted, ["seqname"], "bin", order, "end", "reach")
+    opens = cut(reached.withColumn("opens", F.coalesce((F.col("start") >= F.col("reach") + gap).cast("long"), F.lit(1).cast("long"))))
+    islands = running_sum(opens, ["seqname"], "bin", order, F.col("opens"), "before").withColumn("island", F.col("before") + F.col("opens"))
+    return islands.groupBy("seqname", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
 
 
 def contained(query: DataFrame, keys: DataFrame, width: int = BIN) -> DataFrame:

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import mean_of
 from ..lineage import cut
+from . import graph, neighbours, reduce
+
+#: Edges (both directions) that one task may hold: smaller graphs, and larger ones once their communities are merged to so few, are finished in one place.
+HELD = 1 << 21
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -19,13 +28,61 @@ def kmeans(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=50).fit(rows).transform(rows).select("cell", F.col("prediction").alias("cluster"))
 
 
-def mixture(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(cell, cluster) of the likeliest component of a Gaussian mixture, each with its own covariance."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
+def mixture(points: DataFrame, k: int, seed: int = 0, rounds: int = 100, tol: float = 1e-6) -> DataFrame:
+    """(cell, cluster) of the likeliest component of a Gaussian mixture whose components share one covariance.
 
-    rows = points.select("cell", array_to_vector("v").alias("features"))
-    return GaussianMixture(k=k, seed=seed, maxIter=50).fit(rows).transform(rows).select("cell", F.col("prediction").alias("cluster"))
+    Starts from k-means of the points at unit covariance.  A round sends the parameters to every partition and
+    adds up each component's weight and sum; the shared covariance follows from
+    these and the points' second moments, which are taken once.  Rounds end when
+    the mean log likelihood rises by less than ``tol``.  A covariance that cannot
+    be inverted raises LinAlgError.
+    """
+    n, s, g = reduce.moments(points)
+    if not n:
+        return points.select("cell", F.lit(0).alias("cluster"))
+    values, axes = np.linalg.eigh(g / n - np.outer(s, s) / (n * n))
+    if values[0] <= 1e-12 * max(values[-1], 1e-300):
+        raise np.linalg.LinAlgError("the points' covariance is singular")
+    start = points.join(kmeans(reduce.turned(points, axes / np.sqrt(values), "cell"), k, seed), "cell").groupBy("cluster").agg(F.count("*").alias("n"), mean_of("v", len(s)).alias("c")).orderBy("cluster").collect()  # k rows
+    share, mean = np.array([r["n"] for r in start], float), np.array([r["c"] for r in start])
+    last = -math.inf
+
+    def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z, m = v @ turn, mean @ turn
+        d = (z * z).sum(axis=1)[:, None] - 2 * z @ m.T + (m * m).sum(axis=1)
+        log = np.log(share / n) - 0.5 * d + 0.5 * scale
+        top = log.max(axis=1, keepdims=True)
+        part = np.exp(log - top)
+        total = part.sum(axis=1, keepdims=True)
+        return part / total, (np.log(total) + top)[:, 0]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 + len(share) * (1 + len(s)))
+        for b in batches:
+            if len(b):
+                v = np.stack(b["v"].to_numpy())
+                part, like = parts(v)
+                total += np.concatenate([[like.sum()], part.sum(axis=0), (part.T @ v).reshape(-1)])
+        yield pd.DataFrame({"v": [total]})
+
+    for _ in range(rounds):
+        cov = (g - (mean.T * share) @ mean) / n
+        values, axes = np.linalg.eigh((cov + cov.T) / 2)
+        if values[0] <= 1e-12 * max(values[-1], 1e-300):
+            raise np.linalg.LinAlgError("the shared covariance is singular")
+        turn, scale = axes / np.sqrt(values), -np.log(values).sum() - len(s) * math.log(2 * math.pi)
+        total = reduce.added(points.select("v").mapInPandas(add, "v array<double>"))
+        share = np.maximum(total[1 : 1 + len(share)], 1e-9)
+        mean = total[1 + len(share) :].reshape(len(share), len(s)) / share[:, None]
+        if total[0] / n - last < tol:
+            break
+        last = total[0] / n
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cell": b["cell"], "cluster": parts(np.stack(b["v"].to_numpy()))[0].argmax(axis=1) if len(b) else []})
+
+    return points.select("cell", "v").mapInPandas(assign, "cell long, cluster int")
 
 
 def spectral(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -44,66 +101,250 @@ def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -
     return inner.crossJoin(degree).select((F.col("inner") / F.col("m2") - resolution * F.col("dd") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """(cell, cluster): local moves that raise modularity, over edges (src, dst, w) in both directions.
+def best_moves(first: np.ndarray, to: np.ndarray, w: np.ndarray, degree: np.ndarray, resolution: float, label: np.ndarray, within: np.ndarray | None = None) -> bool:
+    """Moves nodes, in order and over again, to the neighbouring label of largest gain in modularity until none gains; whether any moved.
+
+    Edges of node k are first[k] to first[k + 1].  With ``within`` nodes move only
+    among labels of their own community, and only while alone in theirs.
+    """
+    total = float(degree.sum()) or 1.0
+    size = np.bincount(label, degree, len(degree)).tolist()
+    members = np.bincount(label, minlength=len(degree)).tolist()
+    bounds, to_, w_, k_, now = first.tolist(), to.tolist(), w.tolist(), degree.tolist(), label.tolist()
+    of = None if within is None else within.tolist()
+    queue, waiting, moved = list(range(len(now))), [True] * len(now), False
+    while queue:
+        later: list[int] = []
+        for x in queue:
+            waiting[x] = False
+            mine = now[x]
+            if of is not None and members[mine] > 1:
+                continue
+            links: dict[int, float] = defaultdict(float)
+            for e in range(bounds[x], bounds[x + 1]):
+                y = to_[e]
+                if y != x and (of is None or of[y] == of[x]):
+                    links[now[y]] += w_[e]
+            size[mine] -= k_[x]
+            best, gain = mine, links.get(mine, 0.0) - resolution * k_[x] * size[mine] / total
+            for c, inside in sorted(links.items()):
+                g = inside - resolution * k_[x] * size[c] / total
+                if g > gain + 1e-12:
+                    best, gain = c, g
+            size[best] += k_[x]
+            if best != mine:
+                members[mine] -= 1
+                members[best] += 1
+                now[x], moved = best, True
+                for e in range(bounds[x], bounds[x + 1]):
+                    y = to_[e]
+                    if now[y] != best and not waiting[y] and of is None:
+                        waiting[y] = True
+                        later.append(y)
+        queue = later
+    label[:] = now
+    return moved
+
+
+def _compact(src: np.ndarray, dst: np.ndarray, w: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of ``many`` nodes by source, equal ones added: where each node's begin, their ends, their weights."""
+    pair, at = np.unique(src * many + dst, return_inverse=True)
+    weight = np.bincount(at, w, len(pair))
+    return np.searchsorted(pair // many, np.arange(many + 1)), pair % many, weight
+
+
+def levels(src: np.ndarray, dst: np.ndarray, w: np.ndarray, many: int, resolution: float, refine: bool = True) -> np.ndarray:
+    """Communities of nodes 0 to many - 1: moves, then the same on the graph of communities, and all over until no node gains by moving.
+
+    With ``refine`` communities are split, before they become nodes, into parts that
+    grew together from single nodes, which move as wholes from there (so no
+    community falls apart).
+    """
+    found = np.arange(many)
+    for _ in range(16):
+        before, found = found, _climbed(*_compact(src, dst, w, many), found, resolution, refine)
+        if (before == found).all():
+            break
+    return found
+
+
+def _climbed(first: np.ndarray, to: np.ndarray, weight: np.ndarray, label: np.ndarray, resolution: float, refine: bool) -> np.ndarray:
+    """One way up from the nodes' labels through graphs of communities; the labels as they are where no node moves."""
+    node, label = np.arange(len(label)), np.unique(label, return_inverse=True)[1]
+    for _ in range(64):
+        degree = np.add.reduceat(np.append(weight, 0.0), np.minimum(first[:-1], len(weight))) * (np.diff(first) > 0)
+        moved = best_moves(first, to, weight, degree, resolution, label)
+        if not moved:
+            return label[node]
+        part = label
+        if refine:
+            part = np.arange(len(label))
+            best_moves(first, to, weight, degree, resolution, part, label)
+            if len(np.unique(part)) == len(part):  # nothing grew together: communities become nodes
+                part = label
+        kept, small = np.unique(part, return_inverse=True)
+        outer = np.zeros(len(kept), np.int64)
+        outer[small] = label
+        of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        first, to, weight = _compact(small[of], small[to], weight, len(kept))
+        node = small[node]
+        label = np.unique(outer, return_inverse=True)[1]
+    return label[node]
+
+
+def _coded(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of a graph of at most HELD edges, and its edges by their places."""
+    rows = edges.toPandas()
+    nodes, at = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()]), return_inverse=True)
+    return nodes, at[: len(rows)], at[len(rows) :], rows["w"].to_numpy(float)
+
+
+def _held(edges: DataFrame, resolutions: list[float], refine: bool) -> DataFrame:
+    """(resolution, cell, cluster) of a graph of at most HELD edges: one task a resolution."""
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast(_coded(edges))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, src, dst, w = shared.value
+        for b in batches:
+            for r in b["resolution"]:
+                label = levels(src, dst, w, len(nodes), r, refine)
+                least = np.full(len(nodes) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, label, nodes)
+                yield pd.DataFrame({"resolution": r, "cell": nodes, "cluster": least[label]})
+
+    tasks = spark.createDataFrame([(k, float(r)) for k, r in enumerate(resolutions)], "k long, resolution double").repartitionByRange(min(len(resolutions), 512), "k").select("resolution")
+    return tasks.mapInPandas(find, "resolution double, cell long, cluster long")
+
+
+def _spread_moves(edges: DataFrame, resolution: float, rounds: int = 100) -> DataFrame:
+    """(cell, cluster): the same moves over a graph that no task holds.
 
     In each round a point may join the neighbouring cluster of largest gain; points
     of even and odd hash take turns, so that neighbours don't swap for ever.  Rounds
-    end when less than a hundredth of the points move.
+    end when two in a row, one of each kind, move less than a thousandth of the points.
     """
-    edges = edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w")).persist()
-    total = edges.agg(F.sum("w")).first()[0] or 0.0
-    degree = edges.groupBy("src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "cell").persist()
+    total = edges.agg(F.sum("w")).first()[0] or 1.0
+    degree = cut(edges.groupBy("src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "cell"))
     now = degree.select("cell", F.col("cell").alias("cluster"))
-    count = degree.count()
+    count, quiet = degree.count(), 0
     for r in range(rounds):
         sums = now.join(degree, "cell").groupBy("cluster").agg(F.sum("k").alias("s"))
-        links = edges.join(now.select(F.col("cell").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("cell"), "cluster").agg(F.sum("w").alias("in"))
+        links = edges.where("src <> dst").join(now.select(F.col("cell").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("cell"), "cluster").agg(F.sum("w").alias("in"))
         own = now.select("cell", F.col("cluster").alias("mine")).join(degree, "cell")
         offers = links.join(own, "cell").join(sums, "cluster")
         rest = F.col("s") - F.when(F.col("cluster") == F.col("mine"), F.col("k")).otherwise(0.0)
         gain = F.col("in") - resolution * F.col("k") * rest / total
         best = offers.groupBy("cell").agg(F.max_by("cluster", F.struct(gain.alias("g"), (-F.col("cluster")).alias("least"))).alias("best"), F.max(gain).alias("g"), F.max(F.when(F.col("cluster") == F.col("mine"), gain)).alias("stay"))
         turn = F.pmod(F.xxhash64("cell", F.lit(r // 2)), F.lit(2)) == r % 2
-        moves = turn & (F.col("g") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
-        new = now.join(best, "cell", "left").select("cell", F.when(moves, F.col("best")).otherwise(F.col("cluster")).alias("cluster"), F.coalesce(moves, F.lit(False)).alias("moved"))
-        new = cut(new)
-        moved = new.where("moved").count()
+        alone = -resolution * F.col("k") * (F.col("s") - F.col("k")) / total  # to stay where no neighbour is
+        stay = own.join(sums.withColumnRenamed("cluster", "mine"), "mine").select("cell", alone.alias("alone"))
+        moves = F.coalesce(turn & (F.col("g") > F.coalesce("stay", "alone") + 1e-12), F.lit(False))
+        new = cut(now.join(best, "cell", "left").join(stay, "cell").select("cell", F.when(moves, F.col("best")).otherwise(F.col("cluster")).alias("cluster"), moves.alias("moved")))
+        quiet = quiet + 1 if new.where("moved").count() * 1000 <= count else 0
         now = new.select("cell", "cluster")
-        if moved * 100 < count and r % 2:
+        if quiet == 2:
             break
-    return now.join(now.groupBy("cluster").agg(F.min("cell").alias("name")), "cluster").select("cell", F.col("name").alias("cluster"))
+    return now
 
 
-def communities_of(edges: DataFrame, wanted: int, low: float = 0.1, high: float = 3.0, step: float = 0.01) -> DataFrame:
-    """(cell, cluster) at a resolution from ``low`` to below ``high``, in steps, that gives ``wanted`` clusters.
+def communities(edges: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:
+    """(cell, cluster): communities of high modularity, over edges (src, dst, w) in both directions; named by their least cell.
 
-    The steps are bisected first.  As the number of clusters needn't rise with the
-    resolution, those left are then tried from the highest down; where none gives
-    the number, this raises.
+    Points move to the neighbouring community of largest gain until none gains; then
+    communities become points, and so on (Louvain's method; with ``refine``, the
+    default, Leiden's).  A graph of at most HELD edges is one task's work; of a larger
+    one the first levels are joins and aggregations, until so few edges are left.
     """
-    left = [low + k * step for k in range(math.ceil((high - low) / step - 1e-9))]
-    edges = cut(edges)
+    now, named = cut(edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w"))), None
+    while now.count() > HELD:
+        found = _spread_moves(now, resolution)
+        to = lambda end: found.select(F.col("cell").alias(end), F.col("cluster").alias(f"c_{end}"))  # noqa: E731, B023
+        merged = cut(now.join(to("src"), "src").join(to("dst"), "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
+        named = found if named is None else cut(named.withColumnRenamed("cluster", "__mid").join(found.select(F.col("cell").alias("__mid"), "cluster"), "__mid").select("cell", "cluster"))
+        if merged.count() == now.count():
+            break
+        now = merged
+    if named is not None and now.count() > HELD:
+        found = named
+    else:
+        found = _held(now, [resolution], refine).select("cell", "cluster")
+        if named is not None:
+            found = named.withColumnRenamed("cluster", "__mid").join(found.select(F.col("cell").alias("__mid"), "cluster"), "__mid").select("cell", "cluster")
+    if named is None:
+        return found
+    return found.join(found.groupBy("cluster").agg(F.min("cell").alias("name")), "cluster").select("cell", F.col("name").alias("cluster"))
+
+
+def communities_at(edges: DataFrame, resolutions: list[float], refine: bool = True) -> DataFrame:
+    """(resolution, cell, cluster): ``communities`` at several resolutions, at the same time where a task can hold the graph."""
+    edges = cut(edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w")))
+    if edges.count() <= HELD:
+        return _held(edges, resolutions, refine)
+    out = None
+    for r in resolutions:
+        found = communities(edges, r, refine).select(F.lit(float(r)).alias("resolution"), "cell", "cluster")
+        out = found if out is None else out.unionAll(found)
+    return out
 
-    def tried(resolution: float) -> tuple[DataFrame, int]:
-        left.remove(resolution)
-        found = communities(edges, resolution)
-        return found, found.select("cluster").distinct().count()
-
-    inside = list(left)
-    while inside:
-        mid = len(inside) // 2
-        found, n = tried(inside[mid])
-        if n == wanted:
-            return found
-        inside = inside[mid + 1 :] if n < wanted else inside[:mid]
-    for resolution in left[::-1]:
-        found, n = tried(resolution)
-        if n == wanted:
-            return found
+
+def communities_of(edges: DataFrame, wanted: int, low: float = 0.1, high: float = 3.0, step: float = 0.01, refine: bool = True) -> DataFrame:
+    """(cell, cluster) at the highest resolution from ``low`` to below ``high``, in steps, that gives ``wanted`` clusters.
+
+    Where a task can hold the graph all steps are tried at the same time, else from the
+    highest down until the number is met.  Where none gives the number, this raises.
+    """
+    steps = [low + k * step for k in range(math.ceil((high - low) / step - 1e-9))][::-1]
+    edges = cut(edges)
+    for some in [steps] if edges.count() <= HELD else [[r] for r in steps]:
+        tried = cut(communities_at(edges, some, refine))
+        hit = tried.groupBy("resolution").agg(F.count_distinct("cluster").alias("n")).where(F.col("n") == wanted).agg(F.max("resolution")).first()[0]
+        if hit is not None:
+            return tried.where(F.col("resolution") == hit).select("cell", "cluster")
     raise ValueError(f"no resolution from {low} to {high} in steps of {step} gives {wanted} clusters")
 
 
+def communities_near(edges: DataFrame, wanted: int, low: float = 0.0, high: float = 3.0, max_steps: int = 30, tolerance: int = 0, refine: bool = True) -> DataFrame:
+    """(cell, cluster) by bisection of the resolution until the clusters are ``wanted``, give or take ``tolerance``; after ``max_steps`` the last ones."""
+    edges = cut(edges)
+    for _ in range(max_steps):
+        mid = low + (high - low) / 2
+        found = cut(communities(edges, mid, refine))
+        n = found.select("cluster").distinct().count()
+        if n > wanted + tolerance:
+            high = mid
+        elif n < wanted - tolerance:
+            low = mid
+        else:
+            break
+    return found
+
+
+def clustering(points: DataFrame, k: int, method: str = "mixture", n_components: int | None = None, neighbours_of: int = 50, seed: int = 0) -> DataFrame:
+    """(cell, cluster) of points (cell, v) by mixture, kmeans, leiden or louvain, on principal components if a number is given.
+
+    The last two look for ``k`` communities of the graph of nearest neighbours.
+    """
+    if n_components is not None:
+        points = reduce.pca(points, n_components)[0]
+    if method in ("mixture", "kmeans"):
+        return {"mixture": mixture, "kmeans": kmeans}[method](points, k, seed)
+    if method not in ("leiden", "louvain"):
+        raise ValueError(f"no method {method}")
+    near = neighbours.knn(points, points, neighbours_of, itself=False)
+    return communities_of(graph.symmetric(near).withColumn("w", F.lit(1.0)), k, refine=method == "leiden")
+
+
+def clusters_of(points: DataFrame, k: int, method: str = "kmeans", seed: int = 0) -> DataFrame:
+    """(cell, cluster) by k-means, or by a mixture; where that has a singular covariance, by k-means, too."""
+    if method != "kmeans":
+        try:
+            return mixture(points, k, seed)
+        except np.linalg.LinAlgError:
+            pass
+    return kmeans(points, k, seed)
+
+
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """(cell, cluster): the nearest of a few centroids (cluster, c), the smallest of equals."""
     d = F.aggregate(F.zip_with("v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -112,11 +353,36 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def centroids(points: DataFrame, label: str, dim: int) -> DataFrame:
-    """(cluster, c, n): mean vectors."""
-    return points.groupBy(F.col(label).alias("cluster")).agg(F.array(*[F.avg(F.get("v", i)) for i in range(dim)]).alias("c"), F.count("*").alias("n"))
+    """(cluster, c, n): mean vectors of ``dim`` numbers each; others are an error."""
+    return points.groupBy(F.col(label).alias("cluster")).agg(mean_of("v", dim).alias("c"), F.count("*").alias("n"))
+
+
+def covariances(points: DataFrame, label: str, dim: int | None = None, names: list | None = None) -> DataFrame:
+    """(cluster, i, j, cov): covariance of the dimensions within each cluster, by count (not count - 1).
+
+    Sums of products are taken where the points are, one small matrix a cluster and
+    partition.  A cluster of ``names`` without points has 0.0005 on the diagonal.
+    """
+    rows = points.select(F.col(label).alias("cluster"), "v")
+    kind = rows.schema["cluster"].dataType.simpleString()
 
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            for c, own in b.groupby("cluster", sort=False, dropna=False):
+                v = np.stack(own["v"].to_numpy())
+                n, s, g = held.get(c, (0, 0.0, 0.0))
+                held[c] = n + len(v), s + v.sum(axis=0), g + v.T @ v
+        for c, (n, s, g) in held.items():
+            yield pd.DataFrame({"cluster": [c], "t": [np.concatenate([[n], s, g.reshape(-1)])]})
 
-def covariances(points: DataFrame, label: str) -> DataFrame:
-    """(cluster, i, j, cov): covariance of the dimensions within each cluster, by count (not count - 1)."""
-    long = points.select("cell", F.col(label).alias("cluster"), F.posexplode("v").alias("i", "x"))
-    return long.join(long.select("cell", F.col("i").alias("j"), F.col("x").alias("y")), "cell").groupBy("cluster", "i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    sums = rows.mapInPandas(add, f"cluster {kind}, t array<double>").select("cluster", F.posexplode("t").alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x").alias("x"))
+    whole = sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("t"))  # one row a cluster
+    d = F.expr("cast((sqrt(1 + 4 * (size(t) - 1)) - 1) / 2 as int)")
+    cells = whole.withColumn("d", d).withColumn("i", F.explode(F.expr("sequence(0, d - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, d - 1)")))
+    out = cells.select("cluster", "i", "j", F.expr("t[1 + d + i * d + j] / t[0] - t[1 + i] / t[0] * t[1 + j] / t[0]").alias("cov"))
+    if names is None:
+        return out
+    empty = points.sparkSession.createDataFrame([(c,) for c in names], f"cluster {kind}").join(whole, "cluster", "left_anti")
+    grid = empty.select("cluster", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))))
+    return out.unionAll(grid.select("cluster", "i", "j", F.when(F.col("i") == F.col("j"), 0.0005).otherwise(0.0).alias("cov")))

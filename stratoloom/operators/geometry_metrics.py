@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .label_metrics import isolated_labels
-from .neighbours import BLOCK, STRIPE, distances, knn, vote
+from .neighbours import BLOCK, STRIPE, distances, knn, matching, vote
+from .reduce import moments
+from .running import buckets_along, hash_order, running_sum
 
 
 def label_distances(points: DataFrame) -> DataFrame:
@@ -76,6 +79,17 @@ def silhouette_batch(points: DataFrame, strict: bool = False) -> DataFrame:
     return means.agg(F.avg(score).alias("silhouette_batch"))
 
 
+def silhouette_no_group(points: DataFrame) -> DataFrame:
+    """One row: the mean of 1 - |silhouette by batch| over all points (cell, v, batch), no label apart."""
+    return silhouettes(points.withColumn("label", F.col("batch")).withColumn("grp", F.lit("all"))).agg(F.avg(1 - F.abs("s")).alias("silhouette_no_group"))
+
+
+def matching_score(x: DataFrame, y: DataFrame, k: int = 1, groups: bool = False) -> DataFrame:
+    """One row: how much of each point's matching falls on itself, in the mean; with ``groups`` (column grp) points match within their batch alone."""
+    found = matching(x, y, k, "same" if groups else None).where("src = dst")
+    return x.select("cell").join(found, F.col("cell") == F.col("src"), "left").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("matching_score"))
+
+
 def isolated_silhouette(points: DataFrame) -> DataFrame:
     """One row: (s + 1) / 2 of the mean over isolated labels of their mean silhouette (points: cell, v, label, batch)."""
     s = silhouettes(points.withColumn("grp", F.lit("all")))
@@ -189,8 +203,11 @@ def cross_validation(points: DataFrame, k: int = 5, folds: int = 5, batch: bool
 
     points: (cell, v, label, and batch).  Folds deal each label's points in turn, by id.
     """
-    fold = F.col("batch") if batch else F.row_number().over(Window.partitionBy("label").orderBy("cell")) % folds
-    dealt = points.withColumn("grp", fold)
+    if batch:
+        dealt = points.withColumn("grp", F.col("batch"))
+    else:
+        placed = running_sum(buckets_along(points, "cell"), ["label"], "bucket", [F.col("cell")], F.lit(1).cast("long"), "before")
+        dealt = placed.withColumn("grp", (F.col("before") + 1) % folds).drop("before", "bucket")
     said = vote(knn(dealt, dealt, k, groups="other"), points.select("cell", "label")).withColumnRenamed("label", "pred")
     return f1_scores(points.select("cell", "label").join(said, "cell"))
 
@@ -198,8 +215,8 @@ def cross_validation(points: DataFrame, k: int = 5, folds: int = 5, batch: bool
 def auc(rows: DataFrame) -> DataFrame:
     """One row: area under the curve of (score, positive), ties counted half."""
     by = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("int")).alias("p"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("won", F.col("p") * (below + (F.col("n") - F.col("p")) / 2)).agg((F.sum("won") / (F.sum("p") * F.sum(F.col("n") - F.col("p")))).alias("auc"))
+    along = running_sum(buckets_along(by, "score"), [], "bucket", [F.col("score")], F.col("n") - F.col("p"), "below")
+    return along.withColumn("won", F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2)).agg((F.sum("won") / (F.sum("p") * F.sum(F.col("n") - F.col("p")))).alias("auc"))
 
 
 def correlations(a: DataFrame, b: DataFrame, by: str, other: int) -> DataFrame:
@@ -236,25 +253,26 @@ def metacell_correlation(points: DataFrame) -> DataFrame:
 
 def correlation_matrix_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: 1 - tr(R S) / (|R| |S|) of the feature correlation matrices of two sets of vectors (cell, v)."""
-    def corr(points: DataFrame) -> DataFrame:
-        long = points.select("cell", F.posexplode("v").alias("d", "x"))
-        return long.join(long.select("cell", F.col("d").alias("e"), F.col("x").alias("y")), "cell").groupBy("d", "e").agg(F.corr("x", "y").alias("r"))
+    def corr(points: DataFrame) -> np.ndarray:
+        n, s, g = moments(points)
+        cov = g / n - np.outer(s, s) / (n * n)
+        return cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
 
-    both = corr(a).withColumnRenamed("r", "p").join(corr(b).withColumnRenamed("r", "q"), ["d", "e"])
-    return both.agg((1 - F.sum(F.col("p") * F.col("q")) / (F.sqrt(F.sum(F.col("p") * F.col("p"))) * F.sqrt(F.sum(F.col("q") * F.col("q"))))).alias("cmd"))
+    r, q = corr(a), corr(b)
+    far = 1 - float((r * q).sum()) / float(np.sqrt((r * r).sum()) * np.sqrt((q * q).sum()))
+    return a.sparkSession.createDataFrame([(far,)], "cmd double")
 
 
 def alignment_score(points: DataFrame, k: int, rounds: int = 4, seed: int = 0) -> DataFrame:
     """One row: how well batches mix among equal samples of each (cell, v, batch), 1 at most.
 
-    Samples follow hash order.
+    Samples follow the order of md5.
     """
     sizes = points.groupBy("batch").agg(F.count("*").alias("n"))
     least, batches = sizes.agg(F.min("n"), F.count("*")).first()
     out = None
     for r in range(rounds):
-        place = F.row_number().over(Window.partitionBy("batch").orderBy(F.xxhash64(F.col("cell"), F.lit(seed), F.lit(r)), "cell"))
-        part = points.withColumn("p", place).where(F.col("p") <= least).drop("p")
+        part = cut(hash_order(points, ["batch"], F.concat(F.col("cell").cast("string"), F.lit(f":{seed}:{r}")), "p").where(F.col("p") <= least).drop("p"))
         e = knn(part, part, k, itself=False).join(part.select(F.col("cell").alias("src"), "batch"), "src").join(part.select(F.col("cell").alias("dst"), F.col("batch").alias("b2")), "dst")
         hits = e.groupBy("src").agg(F.sum((F.col("batch") == F.col("b2")).cast("int")).alias("hits"))
         score = hits.agg(F.least(F.lit(1.0), (k - F.avg("hits")) * batches / (k * (batches - 1))).alias("s"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import mean_of, sized
+from ..lineage import cut
 from .components import connected_components
 from .neighbours import jaccard_neighbours, knn
 
@@ -50,11 +52,11 @@ def edge_classes(edges: DataFrame, batches: DataFrame) -> DataFrame:
 
 def mean_vector(v: Column | str, dim: int) -> Column:
     """Element-wise mean of a group's vectors."""
-    return F.array(*[F.avg(F.get(v, i)) for i in range(dim)])
+    return mean_of(v, dim)
 
 
 def _weighed_sum(dim: int) -> Column:
-    return F.array(*[F.sum(F.col("w") * F.get("v", i)) for i in range(dim)])
+    return F.array(*[F.sum(F.col("w") * F.get(sized("v", dim), F.lit(i))) for i in range(dim)])
 
 
 def propagate(edges: DataFrame, vectors: DataFrame, dim: int, hops: int = 1, typed: bool = False) -> DataFrame:
@@ -197,11 +199,12 @@ def modality_weights(reps: tuple[DataFrame, DataFrame], graphs: tuple[DataFrame,
     other modality's.  graphs: (src, dst, dist, place), k - 1 neighbours a cell,
     itself not among them.
     """
+    graphs, reps = tuple(map(cut, graphs)), tuple(map(cut, reps))  # each is read several times
     out = None
     for i in (0, 1):
         pred = {}
         for name, g in (("within", graphs[i]), ("cross", graphs[1 - i])):
-            sums = g.join(reps[i].select(F.col("cell").alias("dst"), "v"), "dst").groupBy("src").agg(F.array(*[F.sum(F.get("v", d)) / (k - 1) for d in range(dim)]).alias("m"))
+            sums = g.join(reps[i].select(F.col("cell").alias("dst"), "v"), "dst").groupBy("src").agg(F.array(*[F.sum(F.get(sized("v", dim), F.lit(d))) / (k - 1) for d in range(dim)]).alias("m"))
             pred[name] = sums.join(reps[i].select(F.col("cell").alias("src"), "v"), "src").select(F.col("src").alias("cell"), euclidean(F.col("v"), F.col("m")).alias(name))
         near = graphs[i].where("place = 1").select(F.col("src").alias("cell"), F.col("dist").alias(f"d{i}"))
         bw = bandwidths(graphs[i], reps[i], k).withColumnRenamed("bw", f"bw{i}")
@@ -221,8 +224,8 @@ def weighted_neighbours(reps: tuple[DataFrame, DataFrame], k: int, wide: int, di
     nearest of each modality.
     """
     unit = tuple(r.select("cell", unit_length(F.col("v")).alias("v")) for r in reps)
-    narrow = tuple(knn(u, u, k - 1, itself=False).persist() for u in unit)
-    weights = modality_weights(unit, narrow, k, dim).persist()
+    narrow = tuple(cut(knn(u, u, k - 1, itself=False)) for u in unit)
+    weights = cut(modality_weights(unit, narrow, k, dim))
     union = knn(unit[0], unit[0], wide - 1, itself=False).select("src", "dst").unionAll(knn(unit[1], unit[1], wide - 1, itself=False).select("src", "dst")).distinct()
     both = with_distance(with_distance(union, unit[0], "a"), unit[1], "b").join(weights.withColumnRenamed("cell", "src"), "src")
     part = lambda d, i: F.col(f"w{i}") * F.exp(-(F.col(d) - F.col(f"d{i}")) / (F.col(f"bw{i}") - F.col(f"d{i}")))
@@ -238,6 +241,12 @@ def unit_length(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, x).otherwise(x / norm))
 
 
+def batched_cauchy(a: Column, b: Column, scale_a: Column, scale_b: Column) -> Column:
+    """The Cauchy kernel whose scale is the geometric mean of both points' batches' scales."""
+    square = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    return 1 / (1 + square / F.sqrt(scale_a * scale_b))
+
+
 def kernel(kind: str, a: Column, b: Column, s: float = 1.0) -> Column:
     """A covariance function of two vectors: eq, cauchy, laplacian, matern12, matern32, matern52, dot."""
     square = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)

@@ -11,6 +11,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.statistics import log_gamma
+
 
 def contingency(rows: DataFrame, cluster: str = "cluster", label: str = "label") -> DataFrame:
     """(cluster, label, n, a, b, total): cells in both, in the cluster, with the label, and in all."""
@@ -73,24 +75,24 @@ def information_metrics(table: DataFrame) -> DataFrame:
 def adjusted_information(table: DataFrame) -> DataFrame:
     """One row: emi (expected mutual information of random labelings) and ami.
 
-    Every pair of margins contributes over the overlaps it may have; logarithms of
-    factorials are running sums of logarithms, one per cell count up to the total.
+    Every pair of margins contributes over the overlaps it may have.  Overlaps more
+    than 40 deviations off what is expected are left out: their share is below
+    10^-300, and no sum of doubles shows them.
     """
-    spark = table.sparkSession
-    total = int(table.agg(F.first("total")).first()[0])
-    logs = F.broadcast(spark.range(total + 1).select(F.col("id").alias("k"), F.sum(F.when(F.col("id") > 0, F.log("id")).otherwise(0.0)).over(Window.orderBy("id")).alias("f")))
-    a = table.select("cluster", "a").distinct()
-    b = table.select("label", "b").distinct()
-    low = F.greatest(F.lit(1), F.col("a") + F.col("b") - total)
-    cells = a.crossJoin(b).where(low <= F.least("a", "b")).withColumn("k", F.explode(F.sequence(low.cast("long"), F.least("a", "b").cast("long"))))
-    terms = cells
-    for name, value in (("fa", F.col("a")), ("fb", F.col("b")), ("fna", total - F.col("a")), ("fnb", total - F.col("b")), ("fk", F.col("k")), ("fak", F.col("a") - F.col("k")), ("fbk", F.col("b") - F.col("k")), ("fr", total - F.col("a") - F.col("b") + F.col("k"))):
-        terms = terms.withColumn("__k", value).join(logs.select(F.col("k").alias("__k"), F.col("f").alias(name)), "__k").drop("__k")
-    whole = logs.where(F.col("k") == total).select(F.col("f").alias("fn"))
-    power = F.exp(F.col("fa") + F.col("fb") + F.col("fna") + F.col("fnb") - F.col("fn") - F.col("fk") - F.col("fak") - F.col("fbk") - F.col("fr"))
-    emi = terms.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("k") / total * F.log(total * F.col("k") / (F.col("a") * F.col("b"))) * power).alias("emi"))
-    mean = (F.col("h_cluster") + F.col("h_label")) / 2
-    return information(table).crossJoin(emi).select("emi", ((F.col("mi") - F.col("emi")) / (mean - F.col("emi"))).alias("ami"))
+    total = float(table.agg(F.first("total")).first()[0])
+    a, b = table.select("cluster", F.col("a").cast("double").alias("a")).distinct(), table.select("label", F.col("b").cast("double").alias("b")).distinct()
+    mean = F.col("a") * F.col("b") / total
+    off = 40 * F.sqrt(mean * (1 - F.col("a") / total) * (1 - F.col("b") / total) * (total / max(1.0, total - 1))) + 40
+    low = F.greatest(F.lit(1.0), F.col("a") + F.col("b") - total, F.floor(mean - off).cast("double"))
+    high = F.least("a", "b", F.ceil(mean + off).cast("double"))
+    # the parts that don't depend on the overlap are taken once a pair
+    pairs = a.crossJoin(b).where(low <= high).withColumn("fixed", sum((log_gamma(x + 1) for x in (F.col("a"), F.col("b"), total - F.col("a"), total - F.col("b"))), -log_gamma(F.lit(total) + 1)))  # clusters by labels
+    terms = pairs.withColumn("k", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+    k = F.col("k").cast("double")
+    power = F.exp(F.col("fixed") - log_gamma(k + 1) - log_gamma(F.col("a") - k + 1) - log_gamma(F.col("b") - k + 1) - log_gamma(total - F.col("a") - F.col("b") + k + 1))
+    emi = terms.agg(F.sum(k / total * F.log(total * k / (F.col("a") * F.col("b"))) * power).alias("emi"))
+    half = (F.col("h_cluster") + F.col("h_label")) / 2
+    return information(table).crossJoin(emi).select("emi", ((F.col("mi") - F.col("emi")) / (half - F.col("emi"))).alias("ami"))
 
 
 def assignment(table: DataFrame) -> list[tuple]:

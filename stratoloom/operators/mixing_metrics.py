@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.statistics import chi2_critical
 from .graph import component_share
 from .neighbours import knn
+from .prep import codes
 
 
 def neighbour_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -103,6 +104,21 @@ def moran_geary(edges: DataFrame, values: DataFrame) -> DataFrame:
     return sums.crossJoin(total).select((n / F.col("s0") * F.col("cross") / F.col("sq")).alias("morans_i"), ((n - 1) / (2 * F.col("s0")) * F.col("gap") / F.col("sq")).alias("gearys_c"))
 
 
+def moran_columns(edges: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, morans_i) of several columns of (cell, ...) at once; text stands for its place among the sorted values."""
+    kinds = dict(table.dtypes)
+    for c in columns:
+        if kinds[c] == "string":
+            table = codes(table, c, f"__{c}").drop(c).withColumnRenamed(f"__{c}", c)
+    long = table.select("cell", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["cell"], columns, "name", "x")
+    means = long.groupBy("name").agg(F.avg("x").alias("mean"), F.count("*").alias("n"), (F.var_pop("x") * F.count("*")).alias("sq"))
+    z = long.join(F.broadcast(means), "name").select("cell", "name", (F.col("x") - F.col("mean")).alias("z"))  # a row a column
+    weighed = edges.select("src", "dst", (1 / F.count("*").over(Window.partitionBy("src"))).alias("w"))
+    ends = weighed.join(z.select(F.col("cell").alias("src"), "name", F.col("z").alias("a")), "src").join(z.select(F.col("cell").alias("dst"), "name", F.col("z").alias("b")), ["dst", "name"])
+    sums = ends.groupBy("name").agg(F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("a") * F.col("b")).alias("cross"))
+    return sums.join(means, "name").select("name", (F.col("n") / F.col("s0") * F.col("cross") / F.col("sq")).alias("morans_i"))
+
+
 def perplexity_lisi(edges: DataFrame, labels: DataFrame, perplexity: float, tries: int = 50) -> DataFrame:
     """(cell, lisi) with neighbours (src, dst, dist) weighed by a Gaussian kernel of a fixed perplexity.
 

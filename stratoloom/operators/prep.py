@@ -9,9 +9,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import hash_order
+
+#: Places along the features' means at which a local regression is fitted.
+VERTICES = 4096
+
+
 def filter_features(counts: DataFrame, min_cells: int | None = None, min_counts: float | None = None, fraction: float | None = None, n_cells: int | None = None) -> DataFrame:
     """Rows of features found in at least ``min_cells`` cells (or a fraction of them) with a total of ``min_counts``."""
     if fraction is not None:
@@ -133,12 +141,13 @@ def log1p(counts: DataFrame) -> DataFrame:
 def feature_stats(counts: DataFrame, n_cells: int, ddof: int = 1) -> DataFrame:
     """(feature, n, mean, std) over all cells, absent rows as zeros.
 
-    The variance is summed from squared distances to the mean, not from
-    differences of large sums.
+    The stored counts' central moments, added up where they are, are moved to the
+    mean over all cells: no differences of large sums.
     """
-    mean = counts.withColumn("mean", F.sum("x").over(Window.partitionBy("feature")) / n_cells)
-    square = F.sum((F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))) + (n_cells - F.count("*")) * F.first("mean") * F.first("mean")
-    return mean.groupBy("feature").agg(F.count("*").alias("n"), F.first("mean").alias("mean"), F.sqrt(square / max(1, n_cells - ddof)).alias("std"))
+    found = counts.groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("a"), F.var_pop("x").alias("v"))
+    n, mean = F.col("n"), F.col("a") * F.col("n") / n_cells
+    square = F.col("v") * n + n * (F.col("a") - mean) * (F.col("a") - mean) + (n_cells - n) * mean * mean
+    return found.select("feature", "n", mean.alias("mean"), F.sqrt(square / max(1, n_cells - ddof)).alias("std"))
 
 
 def scale(counts: DataFrame, n_cells: int, stats: DataFrame | None = None) -> DataFrame:
@@ -182,18 +191,25 @@ def tfidf(counts: DataFrame, n_cells: int, kind: str = "plain", idf: DataFrame |
         known = tfidf_fit(counts, n_cells, 1e-8) if idf is None else idf
         tf = counts.withColumn("tf", F.col("x") / (F.sum("x").over(Window.partitionBy("cell")) + 1e-8))
         return tf.join(known, "feature").select("cell", "feature", (F.col("tf") * F.col("idf")).alias("x"))
-    tf, inverse = F.col("x") / F.sum("x").over(Window.partitionBy("cell")), F.lit(float(n_cells)) / F.sum("x").over(Window.partitionBy("feature"))
     if kind == "documents":
-        weighed = counts.where("x <> 0").withColumn("x", F.col("x") * F.log(F.lit(float(n_cells)) / F.count("*").over(Window.partitionBy("feature"))))
+        counts = counts.where("x <> 0")
+        known = counts.groupBy("feature").agg(F.log(F.lit(float(n_cells)) / F.count("*")).alias("idf"))
+        weighed = counts.join(known, "feature").withColumn("x", F.col("x") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("cell")))
-        return weighed.withColumn("x", F.when(norm == 0, 0.0).otherwise(F.col("x") / norm))
+        return weighed.select("cell", "feature", F.when(norm == 0, 0.0).otherwise(F.col("x") / norm).alias("x"))
+    tf, inverse = F.col("x") / F.sum("x").over(Window.partitionBy("cell")), F.col("idf")
     value = {"plain": tf * inverse, "log": tf * F.log1p(inverse), "scaled": F.log1p(F.lit(1e4) * tf * inverse)}[kind]
-    return counts.withColumn("x", value)
+    return counts.join(tfidf_fit(counts, n_cells), "feature").select("cell", "feature", value.alias("x"))
+
+
+def l1_share(counts: DataFrame) -> DataFrame:
+    """Each cell's counts over the sum of their sizes."""
+    return counts.withColumn("x", F.col("x") / F.sum(F.abs("x")).over(Window.partitionBy("cell")))
 
 
 def l1_log(counts: DataFrame, factor: float = 1e4) -> DataFrame:
     """ln(1 + factor * share of the cell)."""
-    return counts.withColumn("x", F.log1p(F.col("x") / F.sum(F.abs("x")).over(Window.partitionBy("cell")) * factor))
+    return l1_share(counts).withColumn("x", F.log1p(F.col("x") * factor))
 
 
 # variable features
@@ -226,25 +242,50 @@ def dispersion_features(logged: DataFrame, n_top: int, n_cells: int, bins: int =
     return ranked.withColumn("chosen", F.col("place") <= n_top)
 
 
+def local_fit(u: np.ndarray, w: np.ndarray, span: float = 0.3, vertices: int = VERTICES) -> np.ndarray:
+    """Local regression of w on u at every u: quadratics over the nearest ``span`` of the points, weighed by the cube of what is left of the cubed distance.
+
+    With more than ``vertices`` points it is fitted at so many of them, evenly along
+    their order, and read off on straight lines between.
+    """
+    order = np.argsort(u, kind="stable")
+    x, y, n = u[order], w[order], len(u)
+    many = min(n, max(1, int(n * span + 1e-5)))
+    at = x if n <= vertices else x[np.linspace(0, n - 1, vertices).round().astype(int)]
+    fitted, low = np.zeros(len(at)), 0
+    for k, p in enumerate(at):
+        while low + many < n and x[low + many] - p < p - x[low]:
+            low += 1
+        d = x[low : low + many] - p
+        far = np.abs(d).max()
+        weight = (1 - (np.abs(d) / far) ** 3) ** 3 if far > 0 else np.ones(many)
+        root = np.sqrt(weight)
+        fitted[k] = np.linalg.lstsq(np.stack([np.ones(many), d, d * d], axis=1) * root[:, None], y[low : low + many] * root, rcond=None)[0][0]
+    out = np.zeros(n)
+    out[order] = fitted if n <= vertices else np.interp(x, *(v[np.unique(at, return_index=True)[1]] for v in (at, fitted)))
+    return out
+
+
 def stabilised_features(counts: DataFrame, n_top: int, n_cells: int) -> DataFrame:
     """(feature, score, place, chosen) by variance of clipped standardised counts.
 
-    The expected standard deviation comes from a quadratic fit of log variance on
-    log mean (where others fit a local regression).  The fit is of sums over
-    features, one row on the driver.
+    The expected standard deviation comes from a local regression of log variance
+    on log mean: two numbers a feature in one task, so some millions of features are
+    the most.
     """
-    stats = feature_stats(counts, n_cells).where("mean > 0 and std > 0").select("feature", "mean", "std", F.log10("mean").alias("u"), F.log10(F.col("std") * F.col("std")).alias("w"))
-    sums = stats.agg(F.count("*"), *[F.sum(F.pow("u", F.lit(p))) for p in (1, 2, 3, 4)], *[F.sum(F.col("w") * F.pow("u", F.lit(p))) for p in (0, 1, 2)]).first()
-    import numpy as np
+    stats = feature_stats(counts, n_cells).where("mean > 0 and std > 0").select("feature", "mean", F.log10("mean").alias("u"), F.log10(F.col("std") * F.col("std")).alias("w"))
+    kind = stats.schema["feature"].dataType.simpleString()
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["feature", "mean"]].assign(expected=10 ** (local_fit(rows["u"].to_numpy(), rows["w"].to_numpy()) / 2))
 
-    s = [float(x or 0) for x in sums]
-    a = np.linalg.lstsq(np.array([[s[0], s[1], s[2]], [s[1], s[2], s[3]], [s[2], s[3], s[4]]]), np.array(s[5:]), rcond=None)[0]
-    fitted = stats.withColumn("expected", F.sqrt(F.pow(F.lit(10.0), F.lit(float(a[0])) + float(a[1]) * F.col("u") + float(a[2]) * F.col("u") * F.col("u"))))
+    fitted = stats.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, f"feature {kind}, mean double, expected double")
     clip = math.sqrt(n_cells)
     z = F.least(F.lit(clip), (F.col("x") - F.col("mean")) / F.col("expected"))
     zero = -F.first("mean") / F.first("expected")
     spread = counts.join(fitted, "feature").groupBy("feature").agg(((F.sum(z * z) + (n_cells - F.count("*")) * zero * zero) / (n_cells - 1)).alias("score"))
-    return spread.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "feature"))).withColumn("chosen", F.col("place") <= n_top)
+    # scores that differ by rounding alone are ties
+    return spread.withColumn("place", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "feature"))).withColumn("chosen", F.col("place") <= n_top)
 
 
 def features_by_batch(counts: DataFrame, batches: DataFrame, n_top: int) -> DataFrame:
@@ -290,7 +331,7 @@ def pseudo_bulk(counts: DataFrame, labels: DataFrame, min_samples: int | None =
     """(sample, feature, x): mean counts of each label's cells, zeros included.
 
     If there are fewer labels than ``min_samples`` + 1, each label adds means of
-    random subsets of its cells, chosen by hash order: the label's name and the
+    random subsets of its cells, chosen by the order of md5: the label's name and the
     subset's number name the sample.
     """
     members = labels.select("cell", F.col("label").cast("string").alias("sample"))
@@ -298,10 +339,10 @@ def pseudo_bulk(counts: DataFrame, labels: DataFrame, min_samples: int | None =
     if min_samples is not None and groups and min_samples + 1 > groups:
         times = (min_samples + 1) // groups
         share = (1 / times + 1) / 2
+        sizes = labels.groupBy("label").agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("n"))
         for t in range(times):
-            place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.col("cell"), F.lit(seed), F.lit(t)), "cell"))
-            size = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("label")) * share))
-            part = labels.withColumn("p", place).withColumn("n", size).where("p <= n").select("cell", F.concat(F.col("label").cast("string"), F.lit(f"_{t}")).alias("sample"))
+            placed = hash_order(labels.select("cell", "label"), ["label"], F.concat(F.col("cell").cast("string"), F.lit(f":{seed}:{t}")), "p")
+            part = placed.join(sizes, "label").where("p <= n").select("cell", F.concat(F.col("label").cast("string"), F.lit(f"_{t}")).alias("sample"))
             members = members.unionAll(part)
     sizes = members.groupBy("sample").agg(F.count("*").alias("n"))
     sums = counts.join(members, "cell").groupBy("sample", "feature").agg(F.sum("x").alias("x"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.statistics import log_gamma
+from ..lineage import cut
 from . import align, cluster, graph, label_metrics, neighbours, prep, reduce
-from .running import bucket_count, running_sum
+from .running import hash_order
 
 
 def super_resolution(points: DataFrame) -> DataFrame:
@@ -26,9 +32,20 @@ class Normaliser:
     def fit(self, counts: DataFrame, n_cells: int) -> Normaliser:
         """Learns the median total and each feature's mean and deviation."""
         self.median = counts.groupBy("cell").agg(F.sum("x").alias("t")).agg(F.percentile("t", F.lit(0.5))).first()[0]
-        self.stats = prep.feature_stats(self._logged(counts), n_cells).persist()
+        self.stats = cut(prep.feature_stats(self._logged(counts), n_cells))
         return self
 
+    def save(self, path: str) -> None:
+        """Writes what was learned: a table of features with the median in every row."""
+        self.stats.withColumn("median", F.lit(float(self.median))).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Normaliser:
+        """What ``save`` wrote."""
+        found, rows = cls(), spark.read.parquet(path)
+        found.median, found.stats = rows.first()["median"], rows.drop("median")
+        return found
+
     def _logged(self, counts: DataFrame) -> DataFrame:
         total = F.sum("x").over(Window.partitionBy("cell"))
         return counts.withColumn("x", F.log1p(F.col("x") / (total / F.lit(float(self.median)))))
@@ -39,16 +56,15 @@ class Normaliser:
 
 
 def negative_edges(edges: DataFrame, nodes: DataFrame, per_node: int = 1, seed: int = 0) -> DataFrame:
-    """(src, dst): ``per_node`` pairs a node that are no edges nor loops, other ends dealt by hash.
+    """(src, dst): ``per_node`` pairs a node that are no edges nor loops, other ends dealt by md5.
 
-    Nodes are numbered within hash buckets, and each draws places among them.
+    Nodes are numbered in the order of their hashes, and each draws places among them.
     """
     count = nodes.count()
-    buckets = bucket_count(count)
-    hashed = nodes.select("cell", F.xxhash64("cell", F.lit(seed)).alias("h")).withColumn("b", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
-    placed = running_sum(hashed, [], "b", [F.col("h"), F.col("cell")], F.lit(1).cast("long"), "p").select("cell", "p")
-    wanted = nodes.select(F.col("cell").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(4 * per_node))).alias("t")).withColumn("p", F.pmod(F.xxhash64("src", "t", F.lit(seed)), F.lit(count)))
-    drawn = wanted.join(placed.withColumnRenamed("cell", "dst"), "p").where("src <> dst")
+    placed = hash_order(nodes.select("cell"), [], F.concat(F.col("cell").cast("string"), F.lit(f":{seed}")), "p").select(F.col("cell").alias("dst"), (F.col("p") - 1).alias("p"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.col("src").cast("string"), F.lit(":"), F.col("t").cast("string"), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") % F.lit(count)
+    wanted = nodes.select(F.col("cell").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(4 * per_node))).alias("t")).withColumn("p", draw)
+    drawn = wanted.join(placed, "p").where("src <> dst")
     free = drawn.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("t").alias("t"))
     return free.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("t"))).where(F.col("k") <= per_node).select("src", "dst")
 
@@ -67,36 +83,67 @@ def _vectors(scaled: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.select("cell", F.transform("a", lambda s: s["x"]).alias("v"))
 
 
-def rna_vectors(counts: DataFrame, cells: DataFrame, n_features: int, n_components: int, batches: DataFrame | None = None) -> DataFrame:
-    """(cell, v): totals, logarithm, variable features, z-scores, principal components and, with batches, their removal."""
+def _without_batches(found: DataFrame, batches: DataFrame | None) -> DataFrame:
+    return found if batches is None else reduce.correct_batches(found.join(batches, "cell"))
+
+
+def rna_vectors(counts: DataFrame, cells: DataFrame, n_features: int, n_components: int, batches: DataFrame | None = None, method: str = "pca", lognorm: bool = True, scale: bool = True) -> DataFrame:
+    """(cell, v) of genes and, with ``batches`` (cell, batch), their removal.
+
+    ``pca``: totals and logarithm, variable features by dispersion, z-scores,
+    principal components.  ``lsi``: features by stabilised variance (by batch, if
+    there are any), then shares, logarithm, singular vectors and row z-scores.
+    """
     n = cells.count()
-    logged = prep.log1p(prep.normalize_total(counts))
+    if method == "lsi":
+        chosen = prep.stabilised_features(counts, n_features, n) if batches is None else prep.features_by_batch(counts, batches, n_features)
+        kept = prep.keep_features(counts, chosen.where("chosen"))
+        return _without_batches(reduce.Lsi(n_components, drop_first=False, tfidf=False).fit(kept, n).transform(kept), batches)
+    logged = prep.log1p(prep.normalize_total(counts)) if lognorm else counts
     kept = prep.keep_features(logged, prep.dispersion_features(logged, n_features, n).where("chosen"))
-    found, _ = reduce.pca(_vectors(prep.scale(kept, n), cells), n_components)
-    return found if batches is None else reduce.centre_batches(found.join(batches, "cell"))
+    dense = prep.scale(kept, n) if scale else kept.withColumn("zero", F.lit(0.0))
+    return _without_batches(reduce.pca(_vectors(dense, cells), n_components)[0], batches)
 
 
-def adt_vectors(counts: DataFrame, cells: DataFrame, n_components: int, batches: DataFrame | None = None) -> DataFrame:
-    """(cell, v) of proteins: centred log-ratio, z-scores, principal components."""
+def adt_vectors(counts: DataFrame, cells: DataFrame, n_components: int, batches: DataFrame | None = None, method: str = "clr", scale: bool = True) -> DataFrame:
+    """(cell, v) of proteins: centred log-ratio or totals and logarithm, z-scores if wanted, principal components and, with batches, their removal."""
     n, features = cells.count(), counts.select("feature").distinct().count()
-    found, _ = reduce.pca(_vectors(prep.scale(prep.clr_all(counts, features), n), cells), n_components)
-    return found if batches is None else reduce.centre_batches(found.join(batches, "cell"))
+    level = prep.clr_all(counts, features) if method == "clr" else prep.log1p(prep.normalize_total(counts))
+    dense = prep.scale(level, n) if scale else level.withColumn("zero", F.lit(0.0))
+    return _without_batches(reduce.pca(_vectors(dense, cells), n_components)[0], batches)
 
 
 def peak_vectors(counts: DataFrame, cells: DataFrame, n_features: int, n_components: int, batches: DataFrame | None = None) -> DataFrame:
-    """(cell, v) of peaks: variable features, then latent semantic indexing."""
+    """(cell, v) of peaks: variable features (by batch, if there are any), latent semantic indexing and, with batches, their removal."""
     n = cells.count()
-    kept = prep.keep_features(counts, prep.stabilised_features(counts, n_features, n).where("chosen"))
-    found = reduce.Lsi(n_components).fit(kept, n).transform(kept)
-    return found if batches is None else reduce.centre_batches(found.join(batches, "cell"))
+    chosen = prep.stabilised_features(counts, n_features, n) if batches is None else prep.features_by_batch(counts, batches, n_features)
+    kept = prep.keep_features(counts, chosen.where("chosen"))
+    return _without_batches(reduce.Lsi(n_components).fit(kept, n).transform(kept), batches)
 
 
-def best_information(edges: DataFrame, labels: DataFrame, resolutions: tuple[float, ...] = (0.2, 0.6, 1.0, 1.4, 2.0)) -> DataFrame:
+def best_information(edges: DataFrame, labels: DataFrame, resolutions: tuple[float, ...] = tuple(k / 10 for k in range(1, 21))) -> DataFrame:
     """One row: the largest normalised mutual information of communities at several resolutions with the labels."""
-    rows = [label_metrics.information_metrics(label_metrics.contingency(cluster.communities(edges, r).join(labels, "cell"))).select("nmi") for r in resolutions]
+    found = cut(cluster.communities_at(edges, list(resolutions)).join(labels, "cell"))
+    rows = [label_metrics.information_metrics(label_metrics.contingency(found.where(F.col("resolution") == float(r)))).select("nmi") for r in resolutions]
     return fold(DataFrame.unionAll, rows).agg(F.max("nmi").alias("nmi"))
 
 
+def predict_at(places: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
+    """(cell, feature, x): counts of the nearest measured place (the smallest id of equally near ones), for new places (cell, v)."""
+    near = neighbours.knn(places, known, 1).select(F.col("src").alias("to"), F.col("dst").alias("cell"))
+    return counts.join(near, "cell").select(F.col("to").alias("cell"), "feature", "x")
+
+
+def denoised(counts: DataFrame, places: DataFrame, k: int = 10, kind: str = "cauchy", s: float = 1.0) -> DataFrame:
+    """(cell, feature, x): each cell's mean counts over its k nearest places, itself among them, weighed by a kernel of the distance."""
+    near = neighbours.knn(places, places, k)
+    ends = near.join(places.select(F.col("cell").alias("src"), F.col("v").alias("a")), "src").join(places.select(F.col("cell").alias("dst"), F.col("v").alias("b")), "dst")
+    weighed = ends.select("src", "dst", graph.kernel(kind, F.col("a"), F.col("b"), s).alias("w"))
+    total = weighed.groupBy("src").agg(F.sum("w").alias("t"))
+    sums = weighed.join(counts.select(F.col("cell").alias("dst"), "feature", "x"), "dst").groupBy("src", "feature").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return sums.join(total, "src").select(F.col("src").alias("cell"), "feature", (F.col("x") / F.col("t")).alias("x"))
+
+
 def change_threshold(changes: DataFrame, seed: int = 0) -> float:
     """A least fold change worth calling: six tenths of the mean size of the outer means of a three-part mixture, 0.3 at least."""
     from pyspark.ml.clustering import GaussianMixture
@@ -109,9 +156,6 @@ def change_threshold(changes: DataFrame, seed: int = 0) -> float:
 
 def background_means(counts: DataFrame, seed: int = 0) -> DataFrame:
     """(feature, background, signal): means of a two-part mixture of each feature's logged counts, one task a feature."""
-    import numpy as np
-    import pandas as pd
-
     def split(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.log1p(rows["x"].to_numpy(float))
         m, s, w = np.quantile(x, [0.25, 0.75]), np.full(2, x.std() + 1e-6), np.full(2, 0.5)
@@ -126,14 +170,6 @@ def background_means(counts: DataFrame, seed: int = 0) -> DataFrame:
     return counts.select(F.col("feature").cast("string").alias("feature"), "x").groupBy("feature").applyInPandas(split, "feature string, background double, signal double")
 
 
-def log_gamma(x: Column) -> Column:
-    """ln of the gamma function of positive numbers: Stirling's series eight steps up, and back down."""
-    up = x + 8
-    series = 1 / (12 * up) - 1 / (360 * up * up * up) + 1 / (1260 * up * up * up * up * up) - 1 / (1680 * up * up * up * up * up * up * up)
-    down = fold(lambda a, b: a + b, [F.log(x + i) for i in range(8)])
-    return (up - 0.5) * F.log(up) - up + 0.9189385332046727 + series - down
-
-
 def nb_loss(x: Column, mean: Column, dispersion: Column) -> Column:
     """Negative log likelihood of a count under a negative binomial."""
     return (
@@ -142,10 +178,32 @@ def nb_loss(x: Column, mean: Column, dispersion: Column) -> Column:
     )
 
 
-def zinb_loss(x: Column, mean: Column, dispersion: Column, zeros: Column) -> Column:
-    """The same with a share of extra zeros."""
+def mixture_nb_loss(x: Column, background: Column, mean: Column, dispersion: Column, logit: Column) -> Column:
+    """Negative log likelihood under two negative binomials of one dispersion, the second with the log odds ``-logit``."""
+    one, two = -nb_loss(x, background, dispersion), -nb_loss(x, mean, dispersion) - logit
+    top = F.greatest(one, two)
+    return F.log1p(F.exp(-logit)) - top - F.log(F.exp(one - top) + F.exp(two - top))
+
+
+def zinb_loss(x: Column, mean: Column, dispersion: Column, zeros: Column, ridge: float = 0.0) -> Column:
+    """The negative binomial's with a share of extra zeros, and a penalty on the share's square."""
     none = F.exp(dispersion * (F.log(dispersion) - F.log(dispersion + mean)))
-    return F.when(x > 0, nb_loss(x, mean, dispersion) - F.log(1 - zeros)).otherwise(-F.log(zeros + (1 - zeros) * none))
+    return F.when(x > 0, nb_loss(x, mean, dispersion) - F.log(1 - zeros)).otherwise(-F.log(zeros + (1 - zeros) * none)) + ridge * zeros * zeros
+
+
+def zip_loss(x: Column, mean: Column, zeros: Column, ridge: float = 0.0) -> Column:
+    """The Poisson's with a share of extra zeros, and a penalty on the share's square."""
+    return F.when(x > 0, poisson_loss(x, mean) - F.log(1 - zeros)).otherwise(-F.log(zeros + (1 - zeros) * F.exp(-mean))) + ridge * zeros * zeros
+
+
+def contrast_loss(vectors: DataFrame, positives: DataFrame, negatives: DataFrame, tau: float = 0.1) -> DataFrame:
+    """One row: mean over points of -ln(P / (P + N)), P and N sums of exp(cosine / tau) over their partners (src, dst) of both kinds."""
+    unit = vectors.select("cell", graph.unit_length(F.col("v")).alias("v"))
+    both = positives.select("src", "dst", F.lit(1.0).alias("p")).unionAll(negatives.select("src", "dst", F.lit(0.0).alias("p")))
+    ends = both.join(unit.select(F.col("cell").alias("src"), F.col("v").alias("a")), "src").join(unit.select(F.col("cell").alias("dst"), F.col("v").alias("b")), "dst")
+    pull = ends.select("src", "p", F.exp(graph.kernel("dot", F.col("a"), F.col("b")) / tau).alias("e"))
+    sums = pull.groupBy("src").agg(F.sum(F.col("p") * F.col("e")).alias("pos"), F.sum((1 - F.col("p")) * F.col("e")).alias("neg"), F.sum("p").alias("n"), F.sum(1 - F.col("p")).alias("m"))
+    return sums.where("n > 0 AND m > 0").agg(F.avg(-F.log(F.col("pos") / (F.col("pos") + F.col("neg")))).alias("contrast_loss"))
 
 
 def poisson_loss(x: Column, mean: Column) -> Column:
@@ -153,50 +211,95 @@ def poisson_loss(x: Column, mean: Column) -> Column:
     return mean - x * F.log(mean) + log_gamma(x + 1)
 
 
-def split_and_merge(points: DataFrame, k: int, dim: int, seed: int = 0) -> DataFrame:
-    """(cell, cluster): a mixture whose parts are split in two where that raises the likelihood, and merged where it doesn't lower it.
+class NormalPrior:
+    """A normal inverse Wishart prior: mean, its weight, spread and degrees of freedom.
 
-    Each test compares Gaussian fits of one and two parts, penalised by their
-    parameters; statistics are moments of each part, never its points.
+    Marginal likelihoods come from moments (count, sum, sum of outer products).
     """
-    import math
-
-    import numpy as np
-
-    def score(n: int, s: np.ndarray, g: np.ndarray) -> float:
-        cov = (g - np.outer(s, s) / n) / n + 1e-3 * np.eye(dim)
-        return -0.5 * n * (dim * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + dim) - 0.25 * dim * (dim + 3) * math.log(n)
-
-    def parts(rows: DataFrame) -> dict[int, tuple]:
-        return {c: reduce.moments(rows.where(F.col("cluster") == c)) for c in sorted(r[0] for r in rows.select("cluster").distinct().collect())}  # one row a cluster
-
-    now = points.select("cell", "v").join(cluster.mixture(points, k, seed), "cell").persist()
-    top, pieces = k, []
-    for c, whole in parts(now).items():
-        own = now.where(F.col("cluster") == c)
-        if whole[0] > 4 * dim:
-            halves = own.select("cell", "v").join(cluster.kmeans(own, 2, seed), "cell")
-            two = parts(halves)
-            weigh = sum(m[0] * math.log(m[0] / whole[0]) for m in two.values())
-            if len(two) == 2 and sum(score(*m) for m in two.values()) + weigh > score(*whole):
-                own = halves.withColumn("cluster", F.when(F.col("cluster") == 1, F.lit(top)).otherwise(F.lit(c)))
-                top += 1
-        pieces.append(own.select("cell", "v", F.col("cluster").cast("int").alias("cluster")))
-    split = fold(DataFrame.unionAll, pieces).persist()
-    stats, names = parts(split), {}
-    for c in sorted(stats):
-        mean = {d: stats[d][1] / stats[d][0] for d in stats}
-        others = [d for d in stats if d < c and d not in names]
+
+    def __init__(self, mean: np.ndarray, scale: float = 0.005, kappa: float = 1e-4, nu: float | None = None) -> None:
+        self.mean, self.kappa, self.psi = mean, kappa, np.eye(len(mean)) * scale
+        self.nu = len(mean) + 2.0 if nu is None else nu
+
+    def likelihood(self, n: float, s: np.ndarray, g: np.ndarray, centre: np.ndarray) -> float:
+        """Log marginal likelihood of points with these moments, spread around ``centre``."""
+        d, kappa, nu = len(self.mean), self.kappa + n, self.nu + n
+        spread = g - np.outer(s, centre) - np.outer(centre, s) + n * np.outer(centre, centre)
+        off = centre - self.mean
+        psi = self.psi + spread + self.kappa * n / kappa * np.outer(off, off)
+        gammas = sum(math.lgamma((nu - j) / 2) - math.lgamma((self.nu - j) / 2) for j in range(d))
+        return -n * d / 2 * math.log(math.pi) + gammas + self.nu / 2 * np.linalg.slogdet(self.psi)[1] - nu / 2 * np.linalg.slogdet(psi)[1] + d / 2 * math.log(self.kappa / kappa)
+
+
+def _by_cluster(rows: DataFrame, dim: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Count, sum and sum of outer products of each cluster (cell, v, cluster): one small matrix a cluster and partition, added up."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, own in b.groupby("cluster"):
+                v = np.stack(own["v"].to_numpy())
+                held[c] = held.get(c, 0.0) + np.concatenate([[len(v)], v.sum(axis=0), (v.T @ v).reshape(-1)])
+        for c, t in held.items():
+            yield pd.DataFrame({"cluster": [c], "t": [t]})
+
+    parts = rows.select("v", F.col("cluster").cast("int").alias("cluster")).mapInPandas(add, "cluster int, t array<double>")
+    found: dict[int, np.ndarray] = {}
+    for c, at, x in parts.select("cluster", F.posexplode("t").alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x")).collect():  # numbers of one matrix a cluster
+        found.setdefault(c, np.zeros(1 + dim + dim * dim))[at] = x
+    return {c: (int(round(t[0])), t[1 : 1 + dim], t[1 + dim :].reshape(dim, dim)) for c, t in sorted(found.items())}
+
+
+def split_and_merge(points: DataFrame, k: int, dim: int, seed: int = 0, scale: float = 0.005, kappa: float = 1e-4, nu: float | None = None, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Centroids (cluster, c) after splits and merges of a mixture's clusters, and each point's nearest (cell, cluster).
+
+    A cluster of more than five points is split in two (by k-means) where the
+    Hastings ratio of marginal likelihoods under a normal inverse Wishart prior
+    favours it; the centroids become those of the halves.  The nearest of the
+    others, if that ratio favours it, merge, at the mean of their centroids.
+    Decisions come from moments of clusters, never from points on the driver.
+    """
+    rows = cut(points.select("cell", "v"))
+    marked = cut(rows.join(cluster.mixture(rows, k, seed), "cell"))
+    whole = _by_cluster(marked, dim)
+    total = sum(m[0] for m in whole.values())
+    prior = NormalPrior(sum(m[1] for m in whole.values()) / total, scale, kappa, nu)
+    centre = {c: m[1] / m[0] for c, m in whole.items()}
+    halves: dict[int, dict[int, tuple]] = {}
+    for c, m in whole.items():
+        if m[0] > 5:
+            own = marked.where(F.col("cluster") == c).select("cell", "v")
+            halves[c] = _by_cluster(own.join(cluster.kmeans(own, 2, seed), "cell"), dim)
+
+    def like(m: tuple, at: np.ndarray) -> float:
+        return prior.likelihood(*m, at)
+
+    split, single = {}, []
+    for c, m in whole.items():
+        two = halves.get(c, {})
+        if len(two) == 2:
+            a, b = two.values()
+            ratio = math.log(alpha) + math.lgamma(a[0]) + like(a, a[1] / a[0]) + math.lgamma(b[0]) + like(b, b[1] / b[0]) - math.lgamma(m[0]) - like(m, centre[c])
+            if ratio > 0:
+                split[c] = [a[1] / a[0], b[1] / b[0]]
+                continue
+        single.append(c)
+    merged: dict[int, int] = {}
+    for c in single:
+        others = [d for d in single if d != c]
         if not others:
             continue
-        d = min(others, key=lambda o: float(np.linalg.norm(mean[o] - mean[c])))
-        both = tuple(a + b for a, b in zip(stats[c], stats[d], strict=True))
-        weigh = sum(stats[e][0] * math.log(stats[e][0] / both[0]) for e in (c, d))
-        if score(*both) > score(*stats[c]) + score(*stats[d]) + weigh:
-            names[c], stats[d] = d, both
-    renamed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
-    out = F.coalesce(F.element_at(renamed, F.col("cluster")), F.col("cluster")) if renamed is not None else F.col("cluster")
-    return split.select("cell", out.alias("cluster"))
+        d = min(others, key=lambda o: (float(np.linalg.norm(centre[o] - centre[c])), o))  # noqa: B023
+        if c in merged or d in merged or c in merged.values() or d in merged.values():
+            continue
+        a, b = whole[c], whole[d]
+        both = tuple(x + y for x, y in zip(a, b, strict=True))
+        ratio = math.lgamma(both[0]) - math.log(alpha) - math.lgamma(a[0]) - math.lgamma(b[0]) + like(both, both[1] / both[0]) - like(a, centre[c]) - like(b, centre[d])
+        if ratio > 0:
+            merged[c] = d
+    gone = {*merged, *merged.values()}
+    found = [centre[c] for c in single if c not in gone] + [h for two in split.values() for h in two] + [(centre[c] + centre[d]) / 2 for c, d in merged.items()]
+    centroids = points.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(found)], "cluster int, c array<double>")
+    return centroids, cluster.nearest_centroid(rows, centroids)
 
 
 def differential_expression(counts: DataFrame, groups: DataFrame, delta: float) -> DataFrame:

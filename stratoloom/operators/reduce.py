@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import mean_of
+from ..lineage import cut
 from . import prep
 
 
+#: Share of the way that a round of batch correction goes.
+DAMPED = 0.25
+
+
+def added(parts: DataFrame) -> np.ndarray:
+    """The sum of equally long vectors (v), one from each partition: they are added where they are, and one arrives."""
+    rows = parts.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
+    return np.array([r["x"] for r in rows])
+
+
 def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, sum and sum of outer products of (v): one small matrix a partition, added up."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, g = 0, None, None
+        n, s, g = 0, 0.0, 0.0
         for b in batches:
             if len(b):
                 x = np.stack(b["v"].to_numpy())
-                n, s, g = n + len(x), x.sum(axis=0) + (0 if s is None else s), x.T @ x + (0 if g is None else g)
+                n, s, g = n + len(x), s + x.sum(axis=0), g + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s], "g": [g.reshape(-1)]})
+            yield pd.DataFrame({"v": [np.concatenate([[n], s, g.reshape(-1)])]})
 
-    n, s, g = 0, 0.0, 0.0
-    parts = vectors.select("v").mapInPandas(add, "n long, s array<double>, g array<double>")
-    for r in parts.toLocalIterator():
-        n, s, g = n + r["n"], s + np.array(r["s"]), g + np.array(r["g"])
-    return n, s, np.reshape(g, (len(s), len(s))) if n else np.zeros((0, 0))
+    total = added(vectors.select("v").mapInPandas(add, "v array<double>"))
+    if not len(total):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    dim = int((np.sqrt(4 * len(total) - 3) - 1) / 2)
+    return int(total[0]), total[1 : 1 + dim], total[1 + dim :].reshape(dim, dim)
 
 
 def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -53,77 +66,225 @@ def _project(vectors: DataFrame, mean: np.ndarray, load: np.ndarray) -> DataFram
     return vectors.select("cell", "v").mapInPandas(project, "cell long, v array<double>")
 
 
+def turned(rows: DataFrame, turn: np.ndarray, key: str) -> DataFrame:
+    """Rows (key, v) with every vector multiplied by a small matrix."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "v": list(np.stack(b["v"].to_numpy()) @ turn) if len(b) else []})
+
+    return rows.select(key, "v").mapInPandas(multiply, f"{key} {kind}, v array<double>")
+
+
 class Lsi:
-    """Latent semantic indexing: TF-IDF, L1, log, singular vectors, row z-scores, the first dropped.
+    """Latent semantic indexing: TF-IDF, L1 norm, logarithm, singular vectors, row z-scores, the first dropped.
 
-    fit() learns inverse frequencies and singular vectors of the features' Gram
-    matrix, which is summed from pairs of features within a cell; transform()
-    applies them to other cells.
+    Every step can be left out.  fit() learns inverse frequencies and singular
+    vectors from chosen features; transform() applies them to any cells.  Tables
+    of features and of cells stay distributed; only matrices of k + 10 numbers
+    squared reach the driver.
     """
 
-    def __init__(self, k: int = 20, drop_first: bool = True, z_score: bool = True, seed: int = 0) -> None:
-        self.k, self.drop_first, self.z_score, self.seed = k, drop_first, z_score, seed
+    def __init__(self, k: int = 20, drop_first: bool = True, log: bool = True, norm: bool = True, z_score: bool = True, tfidf: bool = True, svd: bool = True, seed: int = 0) -> None:
+        self.drop_first, self.log, self.norm, self.z_score, self.tfidf, self.svd = drop_first, log, norm, z_score, tfidf, svd
+        self.k, self.seed, self.load, self.idf = k + drop_first, seed, None, None
 
     def _weigh(self, counts: DataFrame) -> DataFrame:
-        return prep.l1_log(prep.tfidf(counts, 0, "guarded", self.idf))
-
-    def fit(self, counts: DataFrame, n_cells: int) -> Lsi:
-        """Learns from counts (cell, feature, x); the features' projection (features by k) is kept as a table."""
-        self.idf = prep.tfidf_fit(counts, n_cells, 1e-8).persist()
-        weighed = self._weigh(counts).persist()
-        names = [r[0] for r in weighed.select("feature").distinct().orderBy("feature").collect()]
-        width = self.k + 10
-        rng = np.random.default_rng(self.seed)
-        basis = pd.DataFrame({"feature": names, "b": np.linalg.qr(rng.standard_normal((len(names), min(width, len(names)))))[0].tolist()})
-        spark = counts.sparkSession
-        for _ in range(4):  # power steps of X'X on a random basis, orthogonal again after each
-            b = spark.createDataFrame(basis)
-            dim = len(basis["b"].iloc[0])
-            part = lambda c: F.array(*[F.sum(F.col("x") * F.get(c, i)) for i in range(dim)])  # noqa: E731, B023
-            left = weighed.join(F.broadcast(b), "feature").groupBy("cell").agg(part("b").alias("y"))
-            back = weighed.join(left, "cell").groupBy("feature").agg(part("y").alias("b")).toPandas().sort_values("feature", ignore_index=True)
-            q, _r = np.linalg.qr(np.stack(back["b"].to_numpy()))
-            basis = pd.DataFrame({"feature": back["feature"], "b": q.tolist()})
-        q = np.stack(basis["b"].to_numpy())
-        b = spark.createDataFrame(basis)
-        y = weighed.join(F.broadcast(b), "feature").groupBy("cell").agg(part("b").alias("v"))
-        _, _, g = moments(y)
+        if self.tfidf:
+            counts = prep.tfidf(counts, 0, "guarded", self.idf)
+        if self.norm:
+            counts = prep.l1_share(counts)
+        return counts.withColumn("x", F.log1p(F.col("x") * 1e4)) if self.log else counts
+
+    def fit(self, counts: DataFrame, n_cells: int, features: DataFrame | None = None) -> Lsi:
+        """Learns from counts (cell, feature, x), of the named features (feature) if any; the projection stays a table."""
+        if features is not None:
+            counts = prep.keep_features(counts, features)
+        self.idf = cut(prep.tfidf_fit(counts, n_cells, 1e-8)) if self.tfidf else None
+        weighed = cut(self._weigh(counts))
+        names = weighed.select("feature").distinct()
+        width = min(self.k + 10, names.count())
+        # the same start wherever features are: numbers drawn by the hash of their names
+        draw = [F.sqrt(-2 * F.log((F.pmod(F.xxhash64("feature", F.lit(f"{self.seed}a{i}")), F.lit(1 << 30)) + 0.5) / float(1 << 30))) * F.cos(2 * np.pi * F.pmod(F.xxhash64("feature", F.lit(f"{self.seed}b{i}")), F.lit(1 << 30)) / float(1 << 30)) for i in range(width)]
+        basis = self._orthogonal(names.select("feature", F.array(*draw).alias("v")))
+        for _ in range(6):  # power steps of X'X, orthogonal again after each
+            basis = self._orthogonal(self._sum(weighed, self._sum(weighed, basis, "feature", "cell"), "cell", "feature"))
+        _, _, g = moments(self._sum(weighed, basis, "feature", "cell"))
         values, turn = np.linalg.eigh(g)
-        load = q @ turn[:, np.argsort(-values)[: self.k]]
-        load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
-        self.load = spark.createDataFrame(pd.DataFrame({"feature": basis["feature"], "b": load.tolist()})).persist()
+        self.load = cut(turned(basis, turn[:, np.argsort(-values)[: self.k]], "feature"))
+        # a vector's largest loading is positive
+        ends = self.load.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.max_by("x", F.struct(F.abs("x"), "x")).alias("x")).orderBy("i").collect()
+        self.load = cut(turned(self.load, np.diag([1.0 if r["x"] >= 0 else -1.0 for r in ends]), "feature"))
+        self.k = len(ends)  # fewer, if the counts have no more independent columns
         return self
 
+    @staticmethod
+    def _sum(weighed: DataFrame, side: DataFrame, on: str, by: str) -> DataFrame:
+        """Sums of x times the vectors of one end of the counts, for the other end."""
+        width = len(side.first()["v"])
+        joined = weighed.join(side.select(on, F.col("v").alias("b")), on)
+        return cut(joined.groupBy(by).agg(F.array(*[F.sum(F.col("x") * F.get("b", i)) for i in range(width)]).alias("v")))
+
+    @staticmethod
+    def _orthogonal(rows: DataFrame) -> DataFrame:
+        """Orthonormal columns that span the same, by the Gram matrix, twice (once isn't exact enough)."""
+        for _ in range(2):
+            _, _, g = moments(rows)
+            values, axes = np.linalg.eigh(g)
+            kept = values > values[-1] * 1e-12
+            rows = cut(turned(rows, axes[:, kept] / np.sqrt(values[kept]), "feature"))
+        return rows
+
     def transform(self, counts: DataFrame) -> DataFrame:
-        """(cell, v)."""
-        out = self._weigh(counts).join(self.load, "feature").groupBy("cell").agg(F.array(*[F.sum(F.col("x") * F.get("b", i)) for i in range(self.k)]).alias("v"))
+        """(cell, v); without singular vectors (cell, feature, x)."""
+        if self.svd and self.load is None:
+            raise RuntimeError("fit() comes before transform()")
+        weighed = self._weigh(counts)
+        if not self.svd:
+            return weighed
+        out = weighed.join(self.load.withColumnRenamed("v", "b"), "feature").groupBy("cell").agg(F.array(*[F.sum(F.col("x") * F.get("b", i)) for i in range(self.k)]).alias("v"))
         if self.z_score:
-            out = out.withColumn("v", row_z_scores(F.col("v")))
-        return out.withColumn("v", F.slice("v", 2, self.k - 1)) if self.drop_first else out
+            out = out.withColumn("v", row_z_scores(F.col("v"), 1e-8))
+        return out.withColumn("v", F.slice("v", 2, self.k)) if self.drop_first else out
+
+    def save(self, path: str) -> None:
+        """Writes what was learned and how: tables of features, and a line of settings."""
+        spark = self.load.sparkSession
+        settings = {k: v for k, v in vars(self).items() if k not in ("load", "idf")}
+        spark.createDataFrame([(json.dumps(settings),)], "settings string").write.mode("overwrite").json(f"{path}/settings")
+        self.load.write.mode("overwrite").parquet(f"{path}/load")
+        if self.idf is not None:
+            self.idf.write.mode("overwrite").parquet(f"{path}/idf")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Lsi:
+        """What ``save`` wrote."""
+        found = cls()
+        vars(found).update(json.loads(spark.read.json(f"{path}/settings").first()["settings"]))
+        found.load = spark.read.parquet(f"{path}/load")
+        found.idf = spark.read.parquet(f"{path}/idf") if found.tfidf else None
+        return found
 
 
-def row_z_scores(v):
-    """A vector less its mean over its sample deviation."""
+def row_z_scores(v: Column, guard: float = 0.0) -> Column:
+    """A vector less its mean over its sample deviation (and a guard)."""
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
     std = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (F.size(v) - 1))
-    return F.transform(v, lambda x: (x - mean) / std)
+    return F.transform(v, lambda x: (x - mean) / (std + guard))
 
 
-def centre_batches(vectors: DataFrame, clusters: int = 8, rounds: int = 5, seed: int = 0) -> DataFrame:
-    """(cell, v): batch effects removed within clusters (cell, v, batch).
+def correct_batches(vectors: DataFrame, clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 20, tol: float = 1e-4, seed: int = 0) -> DataFrame:
+    """(cell, v): batch effects removed by soft clusters and a linear correction in each (cell, v, batch).
 
-    Points are clustered, each cluster's batches are moved onto the cluster's mean,
-    and so on for some rounds: the hard-assignment form of iterative correction.
+    Points at unit length are dealt softly to clusters in which every batch
+    should have its share: a cluster that holds more of a batch than chance gives
+    less of it (weight ``theta``, softness ``sigma``).  Then each cluster's batches
+    are fitted by ridge regression on the original vectors and their effects taken
+    off, by the points' shares in the clusters.  Rounds end when the objective
+    changes by less than ``tol``.
+
+    A pass sends centres and batch totals to every partition and adds up, for
+    each cluster and batch, points and vectors; nothing else moves.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    dim = vectors.select(F.size("v")).first()[0]
-    now = vectors.select("cell", "v", "batch").persist()
-    mean = lambda *by: F.array(*[F.avg(F.get("v", i)).over(Window.partitionBy(*by)) for i in range(dim)])
-    for r in range(rounds):
-        model = KMeans(k=clusters, seed=seed + r, maxIter=10).fit(now.select(array_to_vector("v").alias("features")))
-        marked = model.transform(now.withColumn("features", array_to_vector("v"))).drop("features")
-        moved = marked.withColumn("whole", mean("prediction")).withColumn("own", mean("prediction", "batch"))
-        now = moved.select("cell", F.transform(F.arrays_zip("v", "whole", "own"), lambda z: z["v"] + z["whole"] - z["own"]).alias("v"), "batch").persist()
-    return now.select("cell", "v")
+    from .cluster import kmeans
+
+    rows = cut(vectors.select("cell", "v", F.col("batch").cast("string").alias("batch")))
+    per_batch = {r["batch"]: r["count"] for r in rows.groupBy("batch").count().orderBy("batch").collect()}  # one row a batch
+    names, count = list(per_batch), sum(per_batch.values())
+    if len(names) < 2:
+        return rows.select("cell", "v")
+    share = np.array([per_batch[b] for b in names]) / count
+    dim = len(rows.first()["v"])
+    k = clusters or max(2, min(100, round(count / 30)))
+    place = {b: i for i, b in enumerate(names)}
+    effect: np.ndarray | None = None  # clusters, batches, dimensions
+    state: dict = {}
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), 1e-12)
+
+    def soft(z: np.ndarray, batch: np.ndarray, centre: np.ndarray, log_pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far = 2 * (1 - z @ centre.T)
+        log = -far / sigma + log_pull[:, batch].T
+        log -= log.max(axis=1, keepdims=True)
+        part = np.exp(log)
+        return part / part.sum(axis=1, keepdims=True), far
+
+    def read(v: np.ndarray, batch: np.ndarray) -> np.ndarray:
+        """The corrected vectors of the last round: shares that the effects were fitted with, then the effects taken off."""
+        if effect is None:
+            return v
+        part = np.ones((len(v), 0))
+        z = v
+        for e, centre, log_pull in state["past"]:
+            part = soft(unit(z), batch, centre, log_pull)[0]
+            z = v - np.einsum("nk,nkd->nd", part, e[:, batch].transpose(1, 0, 2))
+        return z
+
+    def sums(centre: np.ndarray, log_pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """For clusters and batches: points, their corrected unit vectors, their original vectors; and the objective's first part."""
+        size = k * len(names)
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(1 + size * (1 + 2 * dim))
+            for b in batches:
+                if len(b):
+                    v, of = np.stack(b["v"].to_numpy()), b["batch"].map(place).to_numpy()
+                    z = unit(read(v, of))
+                    part, far = soft(z, of, centre, log_pull)
+                    total[0] += (part * far).sum() + sigma * (part * np.log(np.maximum(part, 1e-300))).sum()
+                    for i in np.unique(of):
+                        own = of == i
+                        p = part[own]
+                        block = np.concatenate([p.sum(axis=0)[:, None], p.T @ z[own], p.T @ v[own]], axis=1)
+                        total[1:].reshape(k, len(names), 1 + 2 * dim)[:, i] += block
+            yield pd.DataFrame({"v": [total]})
+
+        total = added(rows.select("v", "batch").mapInPandas(add, "v array<double>"))
+        found = total[1:].reshape(k, len(names), 1 + 2 * dim)
+        return found[..., 0], found[..., 1 : 1 + dim], found[..., 1 + dim :], float(total[0])
+
+    state["past"] = []
+    start = rows.select("cell", row_unit("v").alias("v"))
+    centre = unit(np.array([r["c"] for r in start.join(kmeans(start, k, seed), "cell").groupBy("cluster").agg(mean_of("v", dim).alias("c")).orderBy("cluster").collect()]))  # k rows
+    k = len(centre)
+    log_pull = np.zeros((k, len(names)))
+    before = np.inf
+    for _ in range(rounds):
+        last = np.inf
+        for _ in range(inner):
+            n, z, v, cost = sums(centre, log_pull)
+            expected = np.outer(n.sum(axis=1), share)
+            diverse = theta * sigma * (n * np.log((n + 1) / (expected + 1))).sum()
+            # a step towards the pull that these totals ask for: all points move at once, and would swap for ever
+            next_centre, next_pull = unit(z.sum(axis=1)), log_pull + DAMPED * (theta * np.log((expected + 1) / (n + 1)) - log_pull)
+            if abs(last - cost - diverse) <= tol * abs(cost + diverse):
+                break
+            last, centre, log_pull = cost + diverse, next_centre, next_pull
+        # the shares behind n and v are those of centre and log_pull
+        fitted = np.zeros((k, len(names), dim))
+        for c in range(k):
+            design = np.zeros((len(names) + 1, len(names) + 1))
+            design[0, 0], design[0, 1:], design[1:, 0] = n[c].sum(), n[c], n[c]
+            design[1:, 1:] = np.diag(n[c])
+            penalty = np.diag([0.0] + [ridge] * len(names))
+            fitted[c] = np.linalg.solve(design + penalty, np.concatenate([v[c].sum(axis=0)[None], v[c]]))[1:]
+        effect = fitted
+        state["past"] = [*state["past"], (fitted, centre, log_pull)]
+        centre, log_pull = next_centre, next_pull
+        if abs(before - cost - diverse) <= tol * abs(cost + diverse):
+            break
+        before = cost + diverse
+
+    def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cell": b["cell"], "v": list(read(np.stack(b["v"].to_numpy()), b["batch"].map(place).to_numpy())) if len(b) else []})
+
+    return rows.mapInPandas(out, "cell long, v array<double>")
+
+
+def row_unit(v: str) -> Column:
+    """A vector at length 1 (a vector of zeros stays)."""
+    length = F.sqrt(F.aggregate(F.col(v), F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: F.when(length == 0, 0.0).otherwise(x / length))

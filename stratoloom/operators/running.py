@@ -13,12 +13,40 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def bucket_count(rows: int) -> int:
     """About the square root of the rows: buckets and their sizes grow alike."""
     return max(1, math.isqrt(max(0, rows)))
 
 
+def buckets_along(df: DataFrame, value: str, out: str = "bucket") -> DataFrame:
+    """``df``, written once, with buckets of equal width along a number, about as many as the root of the rows."""
+    df = cut(df)
+    low, high, n = df.agg(F.min(value), F.max(value), F.count("*")).first()
+    many = bucket_count(n)
+    width = (float(high) - float(low)) / many if n and high > low else 1.0
+    return df.withColumn(out, F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(many - 1)).cast("int"))
+
+
+def hash_order(df: DataFrame, keys: list[str], by: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: each row's place, from 1, within its group by the md5 of ``by`` (text), then by ``cell``."""
+    df = cut(df.withColumn("__h", F.conv(F.substring(F.md5(by), 1, 13), 16, 10).cast("long")))
+    many = bucket_count(df.count())
+    dealt = df.withColumn("__b", F.floor(F.col("__h") / F.lit(float(1 << 52)) * many).cast("int"))
+    return running_sum(dealt, keys, "__b", [F.col("__h"), F.col("cell")], F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1).drop("__h", "__b")
+
+
+def running_max(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the largest ``value`` of the earlier rows of its group (null for the first); as ``running_sum``."""
+    group, before = [*keys, bucket], (Window.unboundedPreceding, -1)
+    tops = df.groupBy(*group).agg(F.max(value).alias("__top"))
+    starts = tops.select(*group, F.max("__top").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*before)).alias("__start"))
+    inside = df.withColumn("__inside", F.max(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)))
+    return inside.join(starts, group).withColumn(out, F.greatest("__inside", "__start")).drop("__inside", "__start")
+
+
 def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the earlier rows of its group.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, graph, neighbours, prep, reduce
+from ..operators import cluster, geometry_metrics, graph, neighbours, prep, reduce
 from ..sources import roles
 from ..sources.roles import with_roles
 from .preparation import cells_of, rounded
@@ -26,12 +26,12 @@ def query(name: str, sql: str | None):
 
 def nearest(name: str, left: str, right: str, k: int | str, dist: str = "list_distance(a.v, b.v)", where: str = "true") -> str:
     """A common table expression of the k nearest."""
-    return f""", {name} AS (SELECT src, dst, dist, place FROM (SELECT a.cell AS src, b.cell AS dst, {dist} AS dist, row_number() OVER (PARTITION BY a.cell ORDER BY {dist}, b.cell) AS place FROM {left} a, {right} b WHERE {where}) WHERE place <= {k})"""
+    return f""", {name} AS MATERIALIZED (SELECT src, dst, dist, place FROM (SELECT a.cell AS src, b.cell AS dst, {dist} AS dist, row_number() OVER (PARTITION BY a.cell ORDER BY {dist}, b.cell) AS place FROM {left} a, {right} b WHERE {where}) WHERE place <= {k})"""
 
 
 def unit(name: str, of: str) -> str:
     """A common table expression of vectors at unit length."""
-    return f", {name} AS (SELECT * REPLACE (list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v) FROM {of})"
+    return f", {name} AS MATERIALIZED (SELECT * REPLACE (list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v) FROM {of})"
 
 
 COSINE = "1 - list_dot_product(a.v, b.v)"
@@ -80,6 +80,12 @@ query("j7_cross_knn", with_roles("emb", body=B0 + B1 + nearest("g", "b0", "b1",
     lambda s, d: neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch <> 0"), 10).drop("dist")
 )
 query("j8_approximate_knn", None)(lambda s, d: neighbours.approximate_knn(emb(s, d), emb(s, d), 10, 1.2, 0.6))
+query("j6_knn_distances", with_roles("emb", body=B0 + B1 + nearest("g", "b0", "b1", 10) + " SELECT src, dst, round(dist, 6) AS dist FROM g"))(
+    lambda s, d: rounded(neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch <> 0"), 10).drop("place"), "dist")
+)
+query("j10_approximate_unit_knn", None)(
+    lambda s, d: neighbours.approximate_knn(*(m1(s, d).where(w).select("cell", graph.unit_length(F.col("v")).alias("v")) for w in ("batch = 0", "batch <> 0")), 10, 1.2, 0.6)
+)
 query("j9_manhattan_knn", with_roles("emb", body=B0 + B1 + unit("u0", "b0") + unit("u1", "b1") + nearest("g", "u0", "u1", 10, "list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])))") + " SELECT src, dst, round(dist, 6) AS dist FROM g"))(
     lambda s, d: rounded(neighbours.knn(emb(s, d).where("batch = 0"), emb(s, d).where("batch <> 0"), 10, "unit_manhattan").drop("place"), "dist")
 )
@@ -93,11 +99,15 @@ query("j13_shared_neighbours", with_roles("emb", body=KNN20 + ", s AS (SELECT a.
 query("j14_jaccard_neighbours", with_roles("emb", body=KNN20 + ", s AS (SELECT a.src, b.src AS dst, count(*) AS w FROM g a JOIN g b ON a.dst = b.dst GROUP BY ALL) SELECT src, dst, round(w / (40.0::DOUBLE - w), 6) AS w FROM s WHERE w / (40.0::DOUBLE - w) >= 1 / 15.0::DOUBLE"))(
     lambda s, d: rounded(neighbours.jaccard_neighbours(knn20(s, d), 20), "w")
 )
-MATCH = unit("x", "m1") + unit("y", "m2") + nearest("xy", "x", "y", 5) + nearest("yy", "y", "y", 5) + nearest("yx", "y", "x", 5) + nearest("xx", "x", "x", 5) + """, j AS (SELECT src, dst, count(*) AS n FROM (SELECT p.src, q.src AS dst FROM xy p JOIN yy q ON p.dst = q.dst UNION ALL SELECT p.src, q.src FROM xx p JOIN yx q ON p.dst = q.dst) GROUP BY ALL),
-m AS (SELECT src, dst, (n / (20.0::DOUBLE - n)) / sum(n / (20.0::DOUBLE - n)) OVER (PARTITION BY src) AS score FROM j)"""
+MATCHED = """, j AS (SELECT src, dst, count(*) AS n FROM (SELECT p.src, q.src AS dst FROM xy p JOIN yy q ON p.dst = q.dst UNION ALL SELECT p.src, q.src FROM xx p JOIN yx q ON p.dst = q.dst) GROUP BY ALL),
+m AS (SELECT src, dst, (n / ({0}.0::DOUBLE - n)) / sum(n / ({0}.0::DOUBLE - n)) OVER (PARTITION BY src) AS score FROM j)"""
+MATCH = unit("x", "m1") + unit("y", "m2") + "".join(nearest(f"{a}{b}", a, b, 5) for a, b in ("xy", "yy", "yx", "xx")) + MATCHED.format(20)
 query("j15_matching", with_roles("m1", "m2", body=MATCH + " SELECT src, dst, round(score, 6) AS score FROM m"))(lambda s, d: rounded(neighbours.matching(m1(s, d), m2(s, d), 5), "score"))
 query("e16_matching_score", with_roles("m1", "m2", body=MATCH + " SELECT round(avg(coalesce(score, 0)), 6) AS matching_score FROM m1 LEFT JOIN m ON m.src = m1.cell AND m.dst = m1.cell"))(
-    lambda s, d: rounded(m1(s, d).select("cell").join(neighbours.matching(m1(s, d), m2(s, d), 5).where("src = dst"), F.col("cell") == F.col("src"), "left").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("matching_score")), "matching_score")
+    lambda s, d: rounded(geometry_metrics.matching_score(m1(s, d), m2(s, d), 5), "matching_score")
+)
+query("e16_matching_score_by_batch", with_roles("m1", "m2", body=unit("x", "m1") + unit("y", "m2") + "".join(nearest(f"{a}{b}", a, b, 1, where="a.batch = b.batch") for a, b in ("xy", "yy", "yx", "xx")) + MATCHED.format(4) + " SELECT round(avg(coalesce(score, 0)), 6) AS matching_score FROM m1 LEFT JOIN m ON m.src = m1.cell AND m.dst = m1.cell"))(
+    lambda s, d: rounded(geometry_metrics.matching_score(*(m(s, d).withColumn("grp", F.col("batch")) for m in (m1, m2)), 1, groups=True), "matching_score")
 )
 query("j26_nearest_place", with_roles("coords", body=nearest("g", "(SELECT coords.* FROM coords JOIN emb USING (cell) WHERE batch <> 0)", "(SELECT coords.* FROM coords JOIN emb USING (cell) WHERE batch = 0)", 1) + " SELECT src, dst FROM g"))(
     lambda s, d: neighbours.nth_neighbour(neighbours.knn(coords(s, d).where("grp <> 0"), coords(s, d).where("grp = 0"), 1)).select("src", "dst")
@@ -139,6 +149,11 @@ NORM = SYM + """, l AS (SELECT src, dst, 1.0::DOUBLE AS w FROM sym UNION ALL SEL
 nm AS (SELECT l.src, l.dst, w / sqrt(p.d * q.d) AS w FROM l JOIN dg p ON p.src = l.src JOIN dg q ON q.src = l.dst)"""
 
 
+def both_ways(s, d):
+    """The evaluation graph in both directions, all edges alike."""
+    return graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0))
+
+
 def spatial(s, d):
     """Spatial neighbours in both directions, each edge once."""
     c = coords(s, d)
@@ -203,15 +218,29 @@ l AS (SELECT * FROM h UNION ALL SELECT cell, cell, 1.0 FROM coords), dg AS (SELE
 query("g20_fused", with_roles("m1", "m2", body=", p AS (SELECT m1.cell, exp(m1.v[1]) / (exp(m1.v[1]) + exp(m2.v[1])) AS a, m1.v AS x, m2.v AS y FROM m1 JOIN m2 USING (cell)) SELECT cell, (k - 1)::INT AS d, round(a * x[k] + (1 - a) * y[k], 6) AS x FROM p, range(1, 33) r(k)"))(
     lambda s, d: rounded(graph.fused([m1(s, d), m2(s, d)], m1(s, d).select("cell", F.col("v")[0].alias("a")).join(m2(s, d).select("cell", F.col("v")[0].alias("b")), "cell").select("cell", F.array("a", "b").alias("s"))).select("cell", F.posexplode("v").alias("d", "x")), "x")
 )
-for _kind, _sql in (("eq", "exp(-power(list_distance(a.v, b.v), 2))"), ("cauchy", "1 / (1 + power(list_distance(a.v, b.v), 2))"), ("laplacian", "exp(-(abs(a.v[1] - b.v[1]) + abs(a.v[2] - b.v[2])))"), ("matern32", "(1 + sqrt(3.0::DOUBLE) * list_distance(a.v, b.v)) * exp(-sqrt(3.0::DOUBLE) * list_distance(a.v, b.v))")):
+for _kind, _sql in (("eq", "exp(-power(list_distance(a.v, b.v), 2))"), ("cauchy", "1 / (1 + power(list_distance(a.v, b.v), 2))"), ("laplacian", "exp(-(abs(a.v[1] - b.v[1]) + abs(a.v[2] - b.v[2])))"), ("matern12", "exp(-list_distance(a.v, b.v))"), ("dot", "list_dot_product(a.v, b.v)"), ("matern52", "(1 + sqrt(5.0::DOUBLE) * list_distance(a.v, b.v) + 5.0::DOUBLE / 3 * power(list_distance(a.v, b.v), 2)) * exp(-sqrt(5.0::DOUBLE) * list_distance(a.v, b.v))"), ("matern32", "(1 + sqrt(3.0::DOUBLE) * list_distance(a.v, b.v)) * exp(-sqrt(3.0::DOUBLE) * list_distance(a.v, b.v))")):
     query(f"n22_kernel_{_kind}", with_roles("coords", body=f" SELECT a.cell, b.cell AS point, round({_sql}, 6) AS k FROM coords a, (SELECT x * 4 + y AS cell, [x / 3.0::DOUBLE, y / 3.0::DOUBLE] AS v FROM range(4) p(x), range(4) q(y)) b"))(
         lambda s, d, kind=_kind: rounded(coords(s, d).select("cell", "v").crossJoin(F.broadcast(prep.inducing_points(s, 4, 1.0).select(F.round(F.col("x") * 12 + F.col("y") * 3).cast("long").alias("point"), F.array("x", "y").alias("p")))).select("cell", "point", graph.kernel(kind, F.col("v"), F.col("p")).alias("k")), "k")
     )
+query("n22_batched_cauchy", with_roles("coords", body=nearest("g", "coords", "coords", 3) + " SELECT src, dst, round(1 / (1 + power(dist, 2) / sqrt((p.batch + 1.0::DOUBLE) * (q.batch + 1))), 6) AS k FROM g JOIN emb p ON p.cell = src JOIN emb q ON q.cell = dst"))(
+    lambda s, d: rounded(batched(s, d), "k")
+)
+
+
+def batched(s, d):
+    """The batched kernel between near places; batch b has the scale b + 1."""
+    c = coords(s, d)
+    ends = neighbours.knn(c, c, 3)
+    for end, n in (("src", 1), ("dst", 2)):
+        ends = ends.join(c.select(F.col("cell").alias(end), F.col("v").alias(f"v{n}"), (F.col("grp") + 1.0).alias(f"s{n}")), end)
+    return ends.select("src", "dst", graph.batched_cauchy(F.col("v1"), F.col("v2"), F.col("s1"), F.col("s2")).alias("k"))
+
+
 WNN = "".join(unit(f"u{i}", f"m{i + 1}") + nearest(f"g{i}", f"u{i}", f"u{i}", 19, where="a.cell <> b.cell") for i in (0, 1))
-BW = "".join(f""", s{i} AS (SELECT a.src, b.src AS dst, count(*) AS n FROM g{i} a JOIN g{i} b ON a.dst = b.dst GROUP BY ALL), r{i} AS (SELECT src, dst, rank() OVER (PARTITION BY src ORDER BY n / (40.0::DOUBLE - n)) AS r FROM s{i}),
-f{i} AS (SELECT r.src, r.dst, list_distance(p.v, q.v) AS dist FROM r{i} r JOIN u{i} p ON p.cell = r.src JOIN u{i} q ON q.cell = r.dst WHERE r.r <= 21),
-bw{i} AS (SELECT src AS cell, avg(dist) AS bw FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist DESC, dst) AS p FROM f{i}) WHERE p <= 20 GROUP BY src)""" for i in (0, 1))
-PRED = "".join(f""", p{i}{j} AS (SELECT t.src AS cell, sqrt(sum(power(u.v[k] - m, 2))) AS d FROM (SELECT g.src, k, sum(u.v[k]) / 19 AS m FROM g{j} g JOIN u{i} u ON u.cell = g.dst, range(1, 33) r(k) GROUP BY ALL) t JOIN u{i} u ON u.cell = t.src GROUP BY t.src)""" for i in (0, 1) for j in (0, 1))
+BW = "".join(f""", s{i} AS MATERIALIZED (SELECT a.src, b.src AS dst, count(*) AS n FROM g{i} a JOIN g{i} b ON a.dst = b.dst GROUP BY ALL), r{i} AS MATERIALIZED (SELECT src, dst, rank() OVER (PARTITION BY src ORDER BY n / (40.0::DOUBLE - n)) AS r FROM s{i}),
+f{i} AS MATERIALIZED (SELECT r.src, r.dst, list_distance(p.v, q.v) AS dist FROM r{i} r JOIN u{i} p ON p.cell = r.src JOIN u{i} q ON q.cell = r.dst WHERE r.r <= 21),
+bw{i} AS MATERIALIZED (SELECT src AS cell, avg(dist) AS bw FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist DESC, dst) AS p FROM f{i}) WHERE p <= 20 GROUP BY src)""" for i in (0, 1))
+PRED = "".join(f""", p{i}{j} AS MATERIALIZED (SELECT t.src AS cell, sqrt(sum(power(u.v[k] - m, 2))) AS d FROM (SELECT g.src, k, sum(u.v[k]) / 19 AS m FROM g{j} g JOIN u{i} u ON u.cell = g.dst, range(1, 33) r(k) GROUP BY ALL) t JOIN u{i} u ON u.cell = t.src GROUP BY t.src)""" for i in (0, 1) for j in (0, 1))
 WEIGHTS = "".join(f""", q{i} AS (SELECT n.src AS cell, n.dist AS d, bw, exp(-greatest(w.d - n.dist, 0) / (bw - n.dist)) / (exp(-greatest(c.d - n.dist, 0) / (bw - n.dist)) + 0.0001) AS r FROM g{i} n JOIN bw{i} b ON b.cell = n.src JOIN p{i}{i} w ON w.cell = n.src JOIN p{i}{1 - i} c ON c.cell = n.src WHERE place = 1)""" for i in (0, 1)) + ", wt AS (SELECT a.cell, a.d AS d0, a.bw AS bw0, b.d AS d1, b.bw AS bw1, 1 / (1 + exp(b.r - a.r)) AS w0 FROM q0 a JOIN q1 b USING (cell))"
 
 
@@ -234,14 +263,18 @@ SELECT src, dst, round(w, 6) AS w, round(sqrt(least(greatest((1 - w) / 2, 0), 1)
 )
 query("d1_pca", None)(lambda s, d: reduce.pca(emb(s, d), 10)[0])
 query("d3_lsi", None)(lambda s, d: reduce.Lsi(10).fit(roles.counts(s, d), cells_of(s, d)).transform(roles.counts(s, d)))
-query("d5_centre_batches", None)(lambda s, d: reduce.centre_batches(emb(s, d)))
+query("d5_correct_batches", None)(lambda s, d: reduce.correct_batches(emb(s, d)))
 query("n14_row_z_scores", with_roles("emb", body=", z AS (SELECT cell, v, list_avg(v) AS m, list_stddev_samp(v) AS sd FROM emb) SELECT cell, (k - 1)::INT AS d, round((v[k] - m) / sd, 6) AS x FROM z, range(1, 65) r(k)"))(
     lambda s, d: rounded(emb(s, d).select("cell", F.posexplode(reduce.row_z_scores(F.col("v"))).alias("d", "x")), "x")
 )
-query("c1_communities", None)(lambda s, d: cluster.communities(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0))))
+query("c1_communities", None)(lambda s, d: cluster.communities(both_ways(s, d)))
 query("c3_spectral", None)(lambda s, d: cluster.spectral(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0)), 5))
 query("c4_kmeans", None)(lambda s, d: cluster.kmeans(emb(s, d), 10))
 query("c5_mixture", None)(lambda s, d: cluster.mixture(roles.coordinates(emb(s, d)), 5))
+query("c2_louvain", None)(lambda s, d: cluster.communities(both_ways(s, d), refine=False))
+query("c7_bisected_resolution", None)(lambda s, d: cluster.communities_near(both_ways(s, d), 8))
+query("c9_clustering", None)(lambda s, d: cluster.clustering(emb(s, d), 8, "leiden", n_components=20))
+query("c10_clusters_of", None)(lambda s, d: cluster.clusters_of(m1(s, d), 10, "mixture"))
 query("c12_nearest_centroid", with_roles("emb", body=", c AS (SELECT gt AS k, " + ", ".join(f"avg(v[{i}]) AS c{i}" for i in range(1, 65)) + " FROM emb GROUP BY gt), p AS (SELECT cell, k, " + " + ".join(f"power(v[{i}] - c{i}, 2)" for i in range(1, 65)) + " AS d FROM emb, c) SELECT cell, arg_min(k, d) AS cluster FROM p GROUP BY cell"))(
     lambda s, d: cluster.nearest_centroid(emb(s, d), cluster.centroids(emb(s, d), "gt", 64).select("cluster", "c"))
 )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import geometry_metrics as geo
 from ..operators import label_metrics as lab
 from ..operators import mixing_metrics as mix
@@ -38,11 +39,11 @@ def labelled(s, d, label: str = "gt", batch: str | None = None) -> DataFrame:
 
 
 def cells(s, d) -> DataFrame:
-    """(cell, label, cluster, batch); the label is set apart for the isolated ones: label 0 only in batch 0."""
-    return emb(s, d).where("NOT (gt = 0 AND batch <> 0)").select("cell", "v", F.col("gt").alias("label"), F.col("pred").alias("cluster"), "batch")
+    """(cell, v, label, cluster, batch) of all points; label 0 is one batch's alone: the others' points of it have label 1."""
+    return emb(s, d).select("cell", "v", F.when((F.col("gt") == 0) & (F.col("batch") != 0), 1).otherwise(F.col("gt")).alias("label"), F.col("pred").alias("cluster"), "batch")
 
 
-CELLS = ", cells AS (SELECT cell, v, gt AS label, pred AS cluster, batch FROM emb WHERE NOT (gt = 0 AND batch <> 0))"
+CELLS = ", cells AS (SELECT cell, v, CASE WHEN gt = 0 AND batch <> 0 THEN 1 ELSE gt END AS label, pred AS cluster, batch FROM emb)"
 CT = ", ct AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS a, sum(n) OVER (PARTITION BY label) AS b, sum(n) OVER () AS total FROM (SELECT pred AS cluster, gt AS label, count(*) AS n FROM emb GROUP BY ALL))"
 PAIRS = CT + ", q AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS tp, sum(n) AS total FROM ct), ca AS (SELECT sum(a * (a - 1) / 2.0::DOUBLE) AS s FROM (SELECT DISTINCT cluster, a FROM ct)), cb AS (SELECT sum(b * (b - 1) / 2.0::DOUBLE) AS s FROM (SELECT DISTINCT label, b FROM ct)), pc AS (SELECT tp, ca.s - tp AS fp, cb.s - tp AS fn, total * (total - 1) / 2.0::DOUBLE - ca.s - cb.s + tp AS tn, total::DOUBLE AS total FROM q, ca, cb)"
 INFO = CT + ", i AS (SELECT sum(n / total * ln(total * n / (a * b))) AS mi, -sum(n / total * ln(a / total)) AS hc, -sum(n / total * ln(b / total)) AS hl FROM (SELECT n::DOUBLE AS n, a::DOUBLE AS a, b::DOUBLE AS b, total::DOUBLE AS total FROM ct))"
@@ -65,7 +66,10 @@ query("m11_adjusted_information", with_roles("emb", body=INFO + """, p AS (SELEC
 k AS (SELECT *, unnest(range(greatest(1, a + b - t), least(a, b) + 1)) AS k FROM p),
 e AS (SELECT sum(k / t::DOUBLE * ln(t * k / (a * b)::DOUBLE) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS emi FROM k)
 SELECT round(emi, 6) AS emi, round((mi - emi) / ((hc + hl) / 2 - emi), 6) AS ami FROM i, e"""))(lambda s, d: rounded(lab.adjusted_information(table(s, d)), "emi", "ami"))
-query("m16_cluster_accuracy", None)(lambda s, d: lab.cluster_accuracy(table(s, d)))
+#: The best matching, cluster by cluster, over all sets of labels that are taken (bits).
+BEST = CT + ", b0 AS (SELECT 0::BIGINT AS taken, 0::BIGINT AS n)" + "".join(
+    f""", b{k + 1} AS (SELECT taken, max(n) AS n FROM (SELECT * FROM b{k} UNION ALL SELECT taken | (1::BIGINT << label), b{k}.n + ct.n FROM b{k}, ct WHERE cluster = {k} AND taken & (1::BIGINT << label) = 0) GROUP BY taken)""" for k in range(8))
+query("m16_cluster_accuracy", with_roles("emb", body=BEST + " SELECT round(max(n) / (SELECT any_value(total) FROM ct)::DOUBLE, 6) AS accuracy FROM b8"))(lambda s, d: rounded(lab.cluster_accuracy(table(s, d)), "accuracy"))
 ISO = CELLS + ", sn AS (SELECT label, count(DISTINCT batch) AS batches FROM cells GROUP BY label), iso AS (SELECT * FROM sn WHERE batches <= (SELECT min(batches) FROM sn) AND (SELECT min(batches) FROM sn) <> (SELECT count(DISTINCT batch) FROM cells))"
 query("m18_isolated_labels", with_roles("emb", body=ISO + " SELECT label, batches FROM iso"))(lambda s, d: lab.isolated_labels(cells(s, d)))
 query("m19_isolated_f1", with_roles("emb", body=ISO + ", c2 AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS a, sum(n) OVER (PARTITION BY label) AS b FROM (SELECT cluster, label, count(*) AS n FROM cells GROUP BY ALL)) SELECT round(avg(f), 6) AS isolated_f1 FROM (SELECT label, max(2 * n / (a + b)::DOUBLE) AS f FROM c2 GROUP BY label) JOIN iso USING (label)"))(
@@ -104,7 +108,14 @@ AP = """, h AS (SELECT src, place, (p.gt = q.gt)::INT AS hit FROM g JOIN emb p O
 SELECT src AS cell, round(coalesce(avg(p) FILTER (hit = 1), 0), 6) AS ap FROM ap GROUP BY src"""
 query("e10_average_precision", with_roles("emb", body=nearest("g", "emb", "emb", "(SELECT greatest(1, round_even(count(*) * 0.01, 0)) FROM emb)", where="a.cell <> b.cell") + AP))(lambda s, d: rounded(geo.average_precision(labelled(s, d)), "ap"))
 query("e11_average_precision_30", with_roles("emb", body=nearest("g", "emb", "emb", 30, where="a.cell <> b.cell") + AP))(lambda s, d: rounded(geo.average_precision(labelled(s, d), 30), "ap"))
-query("e12_alignment", None)(lambda s, d: geo.alignment_score(emb(s, d).select("cell", "v", "batch"), 20))
+query("e4_silhouette_no_group", with_roles("emb", body=sil("emb", "batch::VARCHAR") + " SELECT round(avg(1 - abs(s)), 6) AS silhouette_no_group FROM sl"))(
+    lambda s, d: rounded(geo.silhouette_no_group(emb(s, d).select("cell", "v", "batch")), "silhouette_no_group")
+)
+ALIGNMENT = "".join(f""", w{r} AS (SELECT cell, v, batch FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY ('0x' || substr(md5(cell || ':0:{r}'), 1, 13))::BIGINT, cell) AS p FROM emb) WHERE p <= (SELECT min(n) FROM (SELECT count(*) AS n FROM emb GROUP BY batch)))"""
+    + nearest(f"n{r}", f"w{r}", f"w{r}", 20, where="a.cell <> b.cell") + f""", s{r} AS (SELECT least(1, (20 - sum((p.batch = q.batch)::INT) / count(DISTINCT src)::DOUBLE) * 3 / (20 * 2)) AS s FROM n{r} JOIN emb p ON p.cell = src JOIN emb q ON q.cell = dst)""" for r in range(4))
+query("e12_alignment", with_roles("emb", body=ALIGNMENT + " SELECT round(avg(s), 6) AS alignment FROM (" + " UNION ALL ".join(f"SELECT s FROM s{r}" for r in range(4)) + ")"))(
+    lambda s, d: rounded(geo.alignment_score(emb(s, d).select("cell", "v", "batch"), 20), "alignment")
+)
 query("e13_neighbour_conservation", with_roles("m1", "m2", body="".join(nearest(f"n{i}", f"m{i}", f"m{i}", "(SELECT greatest(1, round_even(count(*) * 0.01, 0)) FROM emb)", where="a.cell <> b.cell AND a.batch = b.batch") for i in (1, 2)) + """, c AS (SELECT n1.src, count(*) AS n FROM n1 JOIN n2 ON n1.src = n2.src AND n1.dst = n2.dst GROUP BY n1.src), z AS (SELECT x.src, x.n AS a, y.n AS b, coalesce(c.n, 0) AS n FROM (SELECT src, count(*) AS n FROM n1 GROUP BY src) x JOIN (SELECT src, count(*) AS n FROM n2 GROUP BY src) y USING (src) LEFT JOIN c USING (src))
 SELECT round(avg(r), 6) AS neighbour_conservation FROM (SELECT batch, avg(n / (a + b - n)::DOUBLE) AS r FROM z JOIN emb ON cell = src GROUP BY batch)"""))(
     lambda s, d: rounded(geo.neighbour_conservation(m1(s, d).withColumnRenamed("batch", "grp"), m2(s, d).withColumnRenamed("batch", "grp")), "neighbour_conservation")
@@ -169,7 +180,18 @@ MORAN = nearest("g", "coords", "coords", 3, where="a.cell <> b.cell") + ", z AS
 query("l7_moran_geary", with_roles("coords", body=MORAN + " SELECT round(n / s0 * c / sq, 6) AS morans_i, round((n - 1) / (2 * s0) * gp / sq, 6) AS gearys_c FROM sm, sq"))(
     lambda s, d: rounded(mix.moran_geary(neighbours.knn(coords(s, d), coords(s, d), 3, itself=False), emb(s, d).select("cell", F.col("pred").alias("value"))), "morans_i", "gearys_c")
 )
-query("l3_perplexity_lisi", None)(lambda s, d: mix.perplexity_lisi(neighbours.knn(emb(s, d), emb(s, d), 30, itself=False), emb(s, d).select("cell", F.col("batch").alias("label")), 10))
+query("l8_moran_columns", with_roles("coords", body=nearest("g", "coords", "coords", 3, where="a.cell <> b.cell") + """, lo AS (SELECT cell, 'batch' AS name, batch::DOUBLE AS x FROM emb UNION ALL SELECT cell, 'gt', gt FROM emb UNION ALL SELECT cell, 'pred', pred FROM emb), z AS (SELECT cell, name, x - avg(x) OVER (PARTITION BY name) AS z FROM lo),
+sm AS (SELECT p.name AS name, sum(1 / 3.0::DOUBLE) AS s0, sum(p.z * q.z / 3) AS c FROM g JOIN z p ON p.cell = src JOIN z q ON q.cell = dst AND q.name = p.name GROUP BY ALL), sq AS (SELECT name, sum(z * z) AS sq, count(*) AS n FROM z GROUP BY name) SELECT name, round(n / s0 * c / sq, 6) AS morans_i FROM sm JOIN sq USING (name)"""))(
+    lambda s, d: rounded(mix.moran_columns(neighbours.knn(coords(s, d), coords(s, d), 3, itself=False), emb(s, d), ["batch", "gt", "pred"]), "morans_i")
+)
+query("l9_ilisi_90", with_roles("emb", body=nearest("g", "emb", "emb", 90) + ", lc AS (SELECT src, batch AS label, count(*) AS n FROM g JOIN emb ON dst = cell GROUP BY ALL), li AS (SELECT src, 1 / sum(power(n / 90.0::DOUBLE, 2)) AS l FROM lc GROUP BY src) SELECT round((quantile_cont(l, 0.5) - 1) / (3 - 1), 6) AS ilisi FROM li"))(
+    lambda s, d: rounded(mix.ilisi(neighbours.knn(emb(s, d), emb(s, d), 90), emb(s, d).select("cell", F.col("batch").alias("label"))), "ilisi")
+)
+PERPLEXITY = nearest("g", "emb", "emb", 30, where="a.cell <> b.cell") + """, st(src, low, high, beta, step) AS (SELECT cell, 0.0::DOUBLE, 1e12::DOUBLE, 1.0::DOUBLE, 0 FROM emb UNION ALL
+SELECT src, CASE WHEN up THEN beta ELSE low END, CASE WHEN up THEN high ELSE beta END, CASE WHEN NOT up THEN (beta + low) / 2 WHEN high > 1e11 THEN beta * 2 ELSE (beta + high) / 2 END, step + 1
+FROM (SELECT st.src, any_value(low) AS low, any_value(high) AS high, any_value(beta) AS beta, any_value(step) AS step, ln(sum(exp(-beta * dist))) + any_value(beta) * sum(dist * exp(-beta * dist)) / sum(exp(-beta * dist)) > ln(10.0::DOUBLE) AS up FROM st JOIN g ON g.src = st.src WHERE step < 50 GROUP BY st.src)),
+w AS (SELECT g.src, batch, sum(exp(-beta * dist)) AS w FROM g JOIN st ON st.src = g.src AND step = 50 JOIN emb ON cell = dst GROUP BY ALL) SELECT src AS cell, round(1 / sum(power(w / t, 2)), 5) AS lisi FROM (SELECT *, sum(w) OVER (PARTITION BY src) AS t FROM w) GROUP BY src"""
+query("l3_perplexity_lisi", with_roles("emb", body=PERPLEXITY, recursive=True))(lambda s, d: mix.perplexity_lisi(neighbours.knn(emb(s, d), emb(s, d), 30, itself=False), emb(s, d).select("cell", F.col("batch").alias("label")), 10).withColumn("lisi", F.round("lisi", 5)))
 
 
 def report(parts: list[DataFrame]) -> DataFrame:
@@ -180,14 +202,14 @@ def report(parts: list[DataFrame]) -> DataFrame:
 
 def batch_report(s, d) -> DataFrame:
     """Batch mixing: silhouette over batches, iLISI, kBET, connectivity."""
-    e, edges = emb(s, d).persist(), knn20(s, d).persist()
+    e, edges = emb(s, d), cut(knn20(s, d))
     points = e.select("cell", "v", "batch", F.col("gt").alias("grp"))
     return report([geo.silhouette_batch(points), mix.ilisi(edges, e.select("cell", F.col("batch").alias("label"))), mix.kbet(edges, e.select("cell", "batch")), mix.graph_connectivity(labelled(s, d))])
 
 
 def label_report(s, d) -> DataFrame:
     """Agreement, geometry and neighbourhood metrics of a labelled embedding."""
-    e, edges, t = emb(s, d).persist(), knn20(s, d).persist(), table(s, d).persist()
+    e, edges, t = emb(s, d), cut(knn20(s, d)), cut(table(s, d))
     points = labelled(s, d)
     return report([
         lab.pair_metrics(t), lab.purity(t), lab.information_metrics(t), lab.adjusted_information(t).select("ami"), geo.silhouette_score(points), geo.dispersion_metrics(points),

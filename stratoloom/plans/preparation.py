@@ -40,6 +40,16 @@ def regions_of(s, d) -> list[int]:
     return sorted(r[0] for r in roles.cell_batches(s, d).select("batch").distinct().collect())
 
 
+def local_fit_sql(of: str, out: str) -> str:
+    """Common table expressions of the local regression: (grp, feature, mean, expected) as ``out``, from (grp, feature, mean, u, w)."""
+    return f""", {out}n AS MATERIALIZED (SELECT grp, greatest(1, floor(count(*) * 0.3::DOUBLE + 0.00001)) AS q FROM {of} GROUP BY grp),
+{out}d AS (SELECT a.grp, a.feature, a.mean, b.u - a.u AS d, b.w, row_number() OVER (PARTITION BY a.grp, a.feature ORDER BY abs(b.u - a.u)) AS r FROM {of} a JOIN {of} b ON a.grp = b.grp),
+{out}w AS (SELECT x.*, greatest(max(abs(d)) OVER (PARTITION BY x.grp, feature), 0) AS far FROM {out}d x JOIN {out}n y ON x.grp = y.grp WHERE r <= q),
+{out}s AS (SELECT grp, feature, any_value(mean) AS mean, sum(k) AS s0, sum(k * d) AS s1, sum(k * d * d) AS s2, sum(k * d * d * d) AS s3, sum(k * d * d * d * d) AS s4, sum(k * w) AS t0, sum(k * d * w) AS t1, sum(k * d * d * w) AS t2
+FROM (SELECT *, CASE WHEN far > 0 THEN power(1 - power(abs(d) / far, 3), 3) ELSE 1 END AS k FROM {out}w) GROUP BY grp, feature),
+{out} AS MATERIALIZED (SELECT grp, feature, mean, power(10, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) / 2) AS expected FROM {out}s)"""
+
+
 N_CELLS = "(SELECT count(*) FROM supplier)"
 
 query("s1_counts", with_roles("counts", body=" SELECT cell, feature, x FROM counts"))(roles.counts)
@@ -63,10 +73,29 @@ query("p9_gene_selection", with_roles("counts", body=f""", seen AS (SELECT featu
 SELECT feature, round(1 - cells / {N_CELLS}::DOUBLE, 6) AS zero_rate, round(m, 6) AS mean_log2, 1 - cells / {N_CELLS}::DOUBLE > exp(-1.5 * (m - 5)) + 0.02 AS chosen FROM seen"""))(
     lambda s, d: rounded(prep.gene_selection(roles.counts(s, d), cells_of(s, d))[0], "zero_rate", "mean_log2")
 )
-query("p9_gene_selection_n", None)(lambda s, d: prep.gene_selection(roles.counts(s, d), cells_of(s, d), n=200)[0])
+BISECTED = f""", seen AS MATERIALIZED (SELECT feature, 1 - count(*) / {N_CELLS}::DOUBLE AS zero_rate, avg(log2(x)) AS m FROM counts WHERE x > 0 GROUP BY feature HAVING count(*) >= 10),
+bs(low, up, pos, k, found) AS (SELECT 0.0::DOUBLE, 10.0::DOUBLE, 5.0::DOUBLE, 0, (SELECT count(*) FROM seen WHERE zero_rate > exp(-1.5 * (m - 5)) + 0.02)
+UNION ALL SELECT low, up, pos, k, (SELECT count(*) FROM seen WHERE zero_rate > exp(-1.5 * (m - pos)) + 0.02) FROM (SELECT CASE WHEN found < 200 THEN low ELSE pos END AS low, CASE WHEN found < 200 THEN pos ELSE up END AS up, CASE WHEN found < 200 THEN (pos + low) / 2 ELSE (pos + up) / 2 END AS pos, k + 1 AS k FROM bs WHERE found <> 200 AND k < 100))"""
+query("p9_gene_selection_n", with_roles("counts", body=BISECTED + " SELECT feature, round(zero_rate, 6) AS zero_rate, round(m, 6) AS mean_log2, zero_rate > exp(-1.5 * (m - (SELECT arg_max(pos, k) FROM bs))) + 0.02 AS chosen FROM seen", recursive=True))(
+    lambda s, d: rounded(prep.gene_selection(roles.counts(s, d), cells_of(s, d), n=200)[0], "zero_rate", "mean_log2")
+)
 query("p10_keep_features", with_roles("counts", body=" SELECT * FROM counts WHERE feature IN (SELECT p_partkey FROM part WHERE p_size <= 10)"))(
     lambda s, d: prep.keep_features(roles.counts(s, d), roles.table(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("feature"))).select("cell", "feature", "x")
 )
+query("p11_keep_cells", with_roles("counts", body=" SELECT * FROM counts WHERE cell IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 4500)"))(
+    lambda s, d: prep.keep_cells(roles.counts(s, d), roles.table(s, d, "supplier").where("s_acctbal >= 4500").select(F.col("s_suppkey").alias("cell"))).select("cell", "feature", "x")
+)
+query("p14_folded_names", "SELECT DISTINCT lower(p_brand) AS feature FROM part WHERE p_size <= 25 INTERSECT SELECT lower(p_brand) FROM part WHERE p_size > 25")(
+    lambda s, d: align.shared_names([roles.table(s, d, "part").where("p_size <= 25").select(F.upper("p_brand").alias("feature")), roles.table(s, d, "part").where("p_size > 25").select(F.col("p_brand").alias("feature"))], fold=True)
+)
+query("j17_required_names", "SELECT DISTINCT p_brand AS feature FROM part WHERE p_size <= 25 INTERSECT SELECT p_brand FROM part WHERE p_size > 25")(
+    lambda s, d: align.shared_names([roles.table(s, d, "part").where(w).select(F.col("p_brand").alias("feature")) for w in ("p_size <= 25", "p_size > 25")], required=True)
+)
+query("p17_drop_zero_cells", with_roles("counts", "adt", body=" SELECT 'a' AS side, cell, feature::VARCHAR AS feature, x FROM counts WHERE cell IN (SELECT cell FROM adt) UNION ALL SELECT 'b', cell, feature, x FROM adt WHERE cell IN (SELECT cell FROM counts)"))(
+    lambda s, d: both_sides(*prep.drop_zero_cells(roles.counts(s, d), roles.adt(s, d)))
+)
+query("p18_check_whole", with_roles("counts", body=" SELECT cell, feature, x FROM counts"))(lambda s, d: prep.check_whole(roles.counts(s, d)))
+query("p22_flip", with_roles("coords", body=" SELECT cell, -x AS x, y FROM coords"))(lambda s, d: prep.flip(roles.coordinates(roles.embeddings(s, d)).select("cell", "x", "y")))
 query("p12_unique_names", """SELECT p_partkey, CASE WHEN n > 1 THEN p_brand || '-' || (n - 1) ELSE p_brand END AS p_brand
 FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)""")(
     lambda s, d: prep.unique_names(roles.table(s, d, "part").select("p_partkey", "p_brand"), "p_partkey", "p_brand")
@@ -149,8 +178,22 @@ b AS (SELECT feature, ln(1 + mean) AS m, var / mean AS d, ntile(20) OVER (ORDER
 SELECT feature, round(m, 6) AS mean, round((d - md) / CASE WHEN mad = 0 THEN NULL ELSE mad END, 5) AS score FROM o JOIN w USING (bin)"""))(
     lambda s, d: rounded(prep.dispersion_features(prep.log1p(roles.counts(s, d)), 300, cells_of(s, d), flavour="percentile").select("feature", "mean", F.round("score", 5).alias("score")), "mean")
 )
-query("p5_stabilised_features", None)(lambda s, d: prep.stabilised_features(roles.counts(s, d), 300, cells_of(s, d)))
-query("p6_features_by_batch", None)(lambda s, d: prep.features_by_batch(roles.counts(s, d), roles.cell_batches(s, d), 300))
+STABILISED = """, gs AS MATERIALIZED (SELECT grp, count(*) AS n FROM cg GROUP BY grp), gc AS MATERIALIZED (SELECT grp, cell, feature, x FROM counts JOIN cg USING (cell)),
+st AS (SELECT grp, feature, count(*) AS k, sum(x) / any_value(n) AS mean, any_value(n) AS n, var_pop(x) * count(*) AS v, avg(x) AS a FROM gc JOIN gs USING (grp) GROUP BY grp, feature),
+uw AS MATERIALIZED (SELECT grp, feature, mean, log10(mean) AS u, log10(var) AS w FROM (SELECT *, (v + k * power(a - mean, 2) + (n - k) * mean * mean) / (n - 1) AS var FROM st) WHERE mean > 0 AND var > 0)""" + local_fit_sql("uw", "lf") + """,
+sc AS MATERIALIZED (SELECT grp, feature, (sum(power(least(sqrt(n), (x - mean) / expected), 2)) + (any_value(n) - count(*)) * power(any_value(mean) / any_value(expected), 2)) / (any_value(n) - 1) AS score FROM gc JOIN lf USING (grp, feature) JOIN gs USING (grp) GROUP BY grp, feature),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, feature) AS place FROM sc)"""
+query("p5_stabilised_features", with_roles("counts", body=", cg AS (SELECT s_suppkey AS cell, 0 AS grp FROM supplier)" + STABILISED + " SELECT feature, round(score, 5) AS score, place <= 300 AS chosen FROM rk"))(
+    lambda s, d: prep.stabilised_features(roles.counts(s, d), 300, cells_of(s, d)).select("feature", F.round("score", 5).alias("score"), "chosen")
+)
+query("p6_features_by_batch", with_roles("counts", "cell_batches", body=", cg AS (SELECT cell, batch AS grp FROM cell_batches)" + STABILISED + ", fb AS (SELECT feature, count(*) AS batches, quantile_cont(place, 0.5) AS rank FROM rk WHERE place <= 300 GROUP BY feature) SELECT feature, batches, rank::DOUBLE AS rank, row_number() OVER (ORDER BY rank, batches DESC, feature) <= 300 AS chosen FROM fb"))(
+    lambda s, d: prep.features_by_batch(roles.counts(s, d), roles.cell_batches(s, d), 300)
+)
+
+
+def both_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two count tables, one after the other."""
+    return a.select(F.lit("a").alias("side"), "cell", F.col("feature").cast("string").alias("feature"), "x").unionAll(b.select(F.lit("b"), "cell", F.col("feature").cast("string"), "x"))
 
 
 def bench_table(s, d) -> DataFrame:

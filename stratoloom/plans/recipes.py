@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cluster, graph, prep, recipes
 from ..sources import roles
 from ..sources.roles import with_roles
-from .graphs import KNN20, coords, emb, knn20, m1, m2, nearest
+from .graphs import KNN20, coords, emb, knn20, m1, m2, nearest, unit
 from .preparation import PEAKS, rounded
 
 Q: dict = {}
@@ -43,10 +43,10 @@ def users(s, d):
 query("p25_super_resolution", with_roles("coords", body=nearest("g", "coords", "coords", 1, where="a.cell <> b.cell") + ", s AS (SELECT quantile_cont(dist, 0.5) / 4 AS s FROM g), o AS (SELECT * FROM (VALUES (0, 0, 0), (1, -1, -1), (2, -1, 1), (3, 1, -1), (4, 1, 1)) t(corner, a, b)) SELECT cell, corner, round(x + a * s, 6) AS x, round(y + b * s, 6) AS y FROM coords, s, o"))(
     lambda s, d: rounded(recipes.super_resolution(coords(s, d).select("cell", "x", "y")), "x", "y")
 )
-query("n15_normalise_others", with_roles("counts", body=f""", rich AS (SELECT s_suppkey AS cell FROM supplier WHERE s_acctbal >= 4500), tr AS (SELECT * FROM counts WHERE cell IN (FROM rich)), md AS (SELECT quantile_cont(t, 0.5) AS m FROM (SELECT sum(x) AS t FROM tr GROUP BY cell)), n AS (SELECT count(*) AS n FROM rich),
-lg AS (SELECT cell, feature, ln(1 + x / (sum(x) OVER (PARTITION BY cell) / m)) AS x FROM counts, md), tm AS (SELECT *, sum(x) OVER (PARTITION BY feature) / n AS mean FROM lg, n WHERE cell IN (FROM rich)),
-st AS (SELECT feature, any_value(mean) AS mean, sqrt((sum((x - mean) * (x - mean)) + (any_value(n) - count(*)) * any_value(mean) * any_value(mean)) / greatest(1, any_value(n) - 1)) AS std FROM tm GROUP BY feature)
-SELECT cell, feature, round((x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS x FROM lg JOIN st USING (feature) WHERE cell NOT IN (FROM rich)"""))(
+query("n15_normalise_others", with_roles("counts", body=f""", rich AS MATERIALIZED (SELECT s_suppkey AS cell FROM supplier WHERE s_acctbal >= 4500), cm AS MATERIALIZED (SELECT *, sum(x) OVER (PARTITION BY cell) AS t FROM counts), tr AS (SELECT cm.* FROM cm JOIN rich USING (cell)), md AS MATERIALIZED (SELECT quantile_cont(t, 0.5) AS m FROM (SELECT sum(x) AS t FROM tr GROUP BY cell)), n AS MATERIALIZED (SELECT count(*) AS n FROM rich),
+lg AS MATERIALIZED (SELECT cell, feature, ln(1 + x / (t / (SELECT m FROM md))) AS x FROM cm), tm AS MATERIALIZED (SELECT lg.*, (SELECT n FROM n) AS n, sum(x) OVER (PARTITION BY feature) / (SELECT n FROM n) AS mean FROM lg JOIN rich USING (cell)),
+st AS MATERIALIZED (SELECT feature, any_value(mean) AS mean, sqrt((sum((x - mean) * (x - mean)) + (any_value(n) - count(*)) * any_value(mean) * any_value(mean)) / greatest(1, any_value(n) - 1)) AS std FROM tm GROUP BY feature)
+SELECT cell, feature, round((x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END, 6) AS x FROM lg JOIN st USING (feature) ANTI JOIN rich USING (cell)"""))(
     lambda s, d: rounded(recipes.Normaliser().fit(roles.counts(s, d).join(rich(s, d), "cell", "left_semi"), rich(s, d).count()).transform(roles.counts(s, d).join(rich(s, d), "cell", "left_anti")).select("cell", "feature", "x"), "x")
 )
 query("n4_densify", with_roles("adt", body=f""", n AS (SELECT count(DISTINCT cell) AS n FROM adt), m AS (SELECT *, sum(x) OVER (PARTITION BY feature) / n AS mean FROM adt, n), st AS (SELECT feature, any_value(mean) AS mean, sqrt((sum((x - mean) * (x - mean)) + (any_value(n) - count(*)) * any_value(mean) * any_value(mean)) / (any_value(n) - 1)) AS std FROM m GROUP BY feature)
@@ -54,19 +54,22 @@ SELECT c.cell, st.feature, round((coalesce(a.x, 0) - mean) / CASE WHEN std = 0 T
     lambda s, d: rounded(prep.densify(prep.scale(roles.adt(s, d), users(s, d).count()), users(s, d)), "x")
 )
 LOSS = "lgamma(10.0::DOUBLE) + lgamma(x + 1) - lgamma(x + 10) + (10 + x) * ln(1 + m / 10) + x * (ln(10.0::DOUBLE) - ln(m))"
-query("t7_likelihoods", with_roles("counts", body=f""", l AS (SELECT cell, feature, x, avg(x) OVER (PARTITION BY feature) AS m FROM counts) SELECT cell, feature, round({LOSS}, 6) AS nb, round({LOSS} - ln(1 - 0.1::DOUBLE), 6) AS zinb, round(m - x * ln(m) + lgamma(x + 1), 6) AS poisson FROM l"""))(
-    lambda s, d: rounded(losses(roles.counts(s, d)), "nb", "zinb", "poisson")
+query("t7_likelihoods", with_roles("counts", body=f""", l AS (SELECT cell, feature, x, avg(x) OVER (PARTITION BY feature) AS m FROM counts) SELECT cell, feature, round({LOSS}, 6) AS nb, round({LOSS} - ln(1 - 0.1::DOUBLE), 6) AS zinb, round(m - x * ln(m) + lgamma(x + 1), 6) AS poisson,
+round(CASE WHEN x > 25 THEN m - x * ln(m) + lgamma(x + 1) - ln(0.9::DOUBLE) ELSE -ln(0.1::DOUBLE + 0.9::DOUBLE * exp(-m)) END + 0.005, 6) AS zip,
+round(ln(1 + exp(-0.3::DOUBLE)) - ln(exp(-({LOSS})) + exp(-({LOSS.replace("m", "(m * 2)").replace("lga(m * 2)(m * 2)a", "lgamma")}) - 0.3::DOUBLE)), 6) AS mixture FROM l"""))(
+    lambda s, d: rounded(losses(roles.counts(s, d)), "nb", "zinb", "poisson", "zip", "mixture")
 )
 
 
 def losses(counts):
-    """Likelihood of every count around its feature's mean."""
-    from pyspark.sql import Window
-
-    x, m = F.col("x"), F.avg("x").over(Window.partitionBy("feature"))
-    rows = counts.withColumn("m", m)
-    ten = F.lit(10.0)
-    return rows.select("cell", "feature", recipes.nb_loss(x, F.col("m"), ten).alias("nb"), recipes.zinb_loss(x, F.col("m"), ten, F.lit(0.1)).alias("zinb"), recipes.poisson_loss(x, F.col("m")).alias("poisson"))
+    """Likelihood of every count around its feature's mean; counts up to 25 stand for zeros where zeros are inflated."""
+    x, m, ten = F.col("x"), F.col("m"), F.lit(10.0)
+    rows = counts.join(counts.groupBy("feature").agg(F.avg("x").alias("m")), "feature")
+    return rows.select(
+        "cell", "feature", recipes.nb_loss(x, m, ten).alias("nb"), recipes.zinb_loss(x, m, ten, F.lit(0.1)).alias("zinb"), recipes.poisson_loss(x, m).alias("poisson"),
+        F.when(x > 25, recipes.zip_loss(x, m, F.lit(0.1), 0.5)).otherwise(recipes.zip_loss(F.lit(0.0), m, F.lit(0.1), 0.5)).alias("zip"),
+        recipes.mixture_nb_loss(x, m, m * 2, ten, F.lit(0.3)).alias("mixture"),
+    )
 
 
 query("b5_differential_expression", with_roles("counts", body=f""", ps AS (SELECT least(0.5, greatest(0.05, quantile_cont(m, 0.9))) AS ps FROM (SELECT avg(x) AS m FROM counts GROUP BY feature)), g AS (SELECT s_suppkey AS cell, CASE WHEN s_acctbal >= 4500 THEN 'a' ELSE 'b' END AS grp FROM supplier), n AS (SELECT count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb FROM g),
@@ -74,11 +77,34 @@ m AS (SELECT feature, coalesce(sum(x) FILTER (grp = 'a'), 0) / any_value(na) AS
 SELECT feature, round(lfc, 6) AS lfc, abs(lfc) >= 0.5 AS changed FROM l"""))(
     lambda s, d: rounded(recipes.differential_expression(roles.counts(s, d), roles.table(s, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.when(F.col("s_acctbal") >= 4500, "a").otherwise("b").alias("group")), 0.5).select("feature", "lfc", "changed"), "lfc")
 )
-query("g9_negative_edges", None)(lambda s, d: recipes.negative_edges(knn20(s, d), emb(s, d)))
+MD5 = "('0x' || substr(md5({0}), 1, 13))::BIGINT"
+query("g9_negative_edges", with_roles("emb", body=KNN20 + f""", ps AS (SELECT cell, row_number() OVER (ORDER BY {MD5.format("cell || ':0'")}, cell) - 1 AS p FROM emb), dr AS (SELECT cell AS src, t, {MD5.format("cell || ':' || t || ':0'")} % (SELECT count(*) FROM emb) AS p FROM emb, range(1, 5) r(t)),
+fr AS (SELECT src, ps.cell AS dst, min(t) AS t FROM dr JOIN ps USING (p) WHERE src <> ps.cell GROUP BY ALL), ok AS (SELECT fr.* FROM fr ANTI JOIN g ON g.src = fr.src AND g.dst = fr.dst) SELECT src, arg_min(dst, t) AS dst FROM ok GROUP BY src"""))(lambda s, d: recipes.negative_edges(knn20(s, d), emb(s, d)))
 query("d7_rna_vectors", None)(lambda s, d: recipes.rna_vectors(roles.counts(s, d), suppliers(s, d), 200, 8))
 query("d8_adt_vectors", None)(lambda s, d: recipes.adt_vectors(roles.adt(s, d), users(s, d), 3))
 query("d9_peak_vectors", None)(lambda s, d: recipes.peak_vectors(roles.counts(s, d), suppliers(s, d), 200, 6))
-query("c11_split_and_merge", None)(lambda s, d: recipes.split_and_merge(roles.coordinates(emb(s, d)).select("cell", "v"), 4, 2))
+query("c11_split_and_merge", None)(lambda s, d: recipes.split_and_merge(roles.coordinates(emb(s, d)).select("cell", "v"), 4, 2)[1])
+query("d7_rna_vectors_lsi", None)(lambda s, d: recipes.rna_vectors(roles.counts(s, d), suppliers(s, d), 200, 8, roles.cell_batches(s, d), "lsi"))
+query("m17_best_information", None)(lambda s, d: recipes.best_information(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0)), emb(s, d).select("cell", F.col("gt").alias("label"))))
+NEWER = "(SELECT coords.* FROM coords JOIN emb USING (cell) WHERE batch <> 0)"
+query("t13_predicted_counts", with_roles("adt", "coords", body=nearest("g", NEWER, "(SELECT coords.* FROM coords JOIN adt USING (cell) JOIN emb USING (cell) WHERE batch = 0 GROUP BY ALL)", 1) + " SELECT src AS cell, feature, adt.x FROM g JOIN adt ON adt.cell = dst"))(
+    lambda s, d: recipes.predict_at(coords(s, d).where("grp <> 0"), coords(s, d).where("grp = 0").join(users(s, d), "cell", "left_semi"), roles.adt(s, d))
+)
+query("t13_denoised_counts", with_roles("adt", "coords", body=", c AS (SELECT * FROM coords WHERE cell IN (SELECT cell FROM adt))" + nearest("g", "c", "c", 5) + ", k AS (SELECT src, dst, 1 / (1 + dist * dist) AS w FROM g), t AS (SELECT src, sum(w) AS t FROM k GROUP BY src) SELECT k.src AS cell, feature, round(sum(w * adt.x) / any_value(t), 6) AS x FROM k JOIN adt ON adt.cell = dst JOIN t ON t.src = k.src GROUP BY ALL"))(
+    lambda s, d: rounded(recipes.denoised(roles.adt(s, d), coords(s, d).join(users(s, d), "cell", "left_semi"), 5), "x")
+)
+query("t7_contrast_loss", with_roles("emb", body=unit("u", "emb") + KNN20 + """, e AS (SELECT src, exp(list_dot_product(p.v, q.v) / 0.5) AS e, p.gt = q.gt AS pos FROM g JOIN u p ON p.cell = src JOIN u q ON q.cell = dst WHERE src <> dst), t AS (SELECT src, sum(e) FILTER (pos) AS a, sum(e) FILTER (NOT pos) AS b FROM e GROUP BY src)
+SELECT round(avg(-ln(a / (a + b))), 6) AS contrast_loss FROM t WHERE a IS NOT NULL AND b IS NOT NULL"""))(lambda s, d: rounded(contrast(s, d), "contrast_loss"))
+
+
+def contrast(s, d):
+    """Neighbours of the same label against neighbours of others."""
+    e = emb(s, d)
+    pairs = knn20(s, d).where("src <> dst").join(e.select(F.col("cell").alias("src"), F.col("gt").alias("a")), "src").join(e.select(F.col("cell").alias("dst"), F.col("gt").alias("b")), "dst")
+    return recipes.contrast_loss(e, pairs.where("a = b"), pairs.where("a <> b"), 0.5)
+
+
+
 query("c14_background_means", None)(lambda s, d: recipes.background_means(roles.adt(s, d)))
 query("t2_linear_surrogate", None)(lambda s, d: recipes.linear_surrogate((m1(s, d), m2(s, d)), coords(s, d), 32))
 query("c13_change_threshold", None)(lambda s, d: s.createDataFrame([(recipes.change_threshold(Q["b5_differential_expression"](s, d)),)], "delta double"))

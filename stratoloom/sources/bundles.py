@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,8 +65,12 @@ def read_many(spark: SparkSession, paths: list[str | None], batches: list) -> Da
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(cell, label): one whole number a line; the line's place, from 0, is the cell."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex()
-    return spark.createDataFrame(lines.map(lambda p: (p[1], int(p[0]))), "cell long, label int")
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    # numbers rise along the lines, with gaps between partitions: what a partition begins with closes them
+    parts = lines.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row a partition
+    place = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part").select(place.alias("cell"), F.col("value").cast("int").alias("label"))
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
@@ -112,6 +116,23 @@ def write_metrics(metrics: DataFrame, path: str, name: str) -> None:
     metrics.select(F.col("metric").alias("Metric"), F.col("value").alias(name)).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_results(vectors: DataFrame, domains: DataFrame, path: str) -> None:
+    """Vectors (cell, v) and domains (cell, cluster) as CSV, a column for each dimension and the domain last."""
+    dim = len(vectors.first()["v"])
+    wide = vectors.join(domains, "cell").select("cell", *[F.col("v")[i].alias(f"embedding{i}") for i in range(dim)], F.col("cluster").alias("domain"))
+    wide.write.mode("overwrite").csv(path, header=True)
+
+
+def write_resources(spark: SparkSession, path: str, seconds: float) -> None:
+    """A run's seconds and what executors hold in memory, one line each, as text."""
+    memory = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    rows, it = [], memory.iterator()
+    while it.hasNext():
+        entry = it.next()
+        rows.append((f"executor {entry._1()}: {(entry._2()._1() - entry._2()._2()) / 2**20:.1f} of {entry._2()._1() / 2**20:.1f} MB",))
+    spark.createDataFrame([(f"seconds: {seconds:.3f}",), *sorted(rows)], "line string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def melt(wide: DataFrame, ids: list[str], name: str = "variable", value: str = "value") -> DataFrame:
     """Columns as rows, for plots of weights and scores."""
     return wide.unpivot(ids, [c for c in wide.columns if c not in ids], name, value)

@@ -1,24 +1,26 @@
-"""Every query against its DuckDB twin, or for rows where it has none."""
+"""Every query that has a DuckDB twin against it; the others are in test_free."""
 
 import pytest
 from compare import assert_same
 
 from stratoloom.plans.catalogue import ORACLES, QUERIES
 
-#: Iterative or fitted operators: rows only.
-FREE = sorted(set(QUERIES) - set(ORACLES) - {"p6_features_by_batch", "d5_centre_batches", "c1_communities", "c6_communities_wanted", "c11_split_and_merge"})
-
-
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twin(spark, small, duck, name):
     """The query and its twin agree."""
+    if name == "p6_features_by_batch":  # two cells a batch leave the local fits undetermined
+        return
     assert_same(QUERIES[name](spark, small), duck.execute(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", FREE)
-def test_runs(spark, small, name):
-    """The query gives rows."""
-    assert QUERIES[name](spark, small).count() > 0
+def test_features_by_batch(spark):
+    """The same on batches of some twenty cells."""
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    assert_same(QUERIES["p6_features_by_batch"](spark, "/root/testdata/sf0.01"), c.execute(ORACLES["p6_features_by_batch"]).df())
 
 
 def test_every_twin_has_a_query():

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratoloom.operators import recipes, reduce
 from stratoloom.sources import bundles, roles
+from stratoloom.sources.config import load_config
 from stratoloom.streaming import events
 
 
@@ -57,3 +59,51 @@ def test_stream(spark, small, tmp_path):
     query.stop()
     want = table.groupBy(F.window("ts", "1 hour").start.alias("start"), F.col("user_id").alias("cell"), F.col("event_type").alias("feature")).agg(F.count("*").cast("double").alias("x"))
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sessions(spark, small, tmp_path):
+    """Sessions of the stream are runs of a user's events without a gap."""
+    table = roles.table(spark, small, "events")
+    query = events.sessions(events.read_events(spark, small), "12 hours", "3650 days").writeStream.outputMode("complete").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    want = []
+    for user, times in table.groupBy("user_id").agg(F.sort_array(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("t")).collect():
+        runs = [[times[0], times[0], 0]]
+        for t in times:
+            if t - runs[-1][1] >= 12 * 3600 * 10**6:
+                runs.append([t, t, 0])
+            runs[-1][1:] = [t, runs[-1][2] + 1]
+        want += [(a, b + 12 * 3600 * 10**6, user, n) for a, b, n in runs]
+    got = spark.table("runs").select(F.unix_micros(F.col("start").cast("timestamp")), F.unix_micros(F.col("end").cast("timestamp")), "cell", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_fitted(spark, tmp_path):
+    """Fitted models are written and read, and transform alike."""
+    counts = spark.createDataFrame([(i, j, float((i * j) % 7 + 1)) for i in range(30) for j in range(12) if (i + j) % 3], "cell long, feature long, x double")
+    rows = lambda df: sorted((r["cell"], *[round(x, 9) for x in r["v"]]) for r in df.collect())
+    for tfidf in (True, False):
+        lsi = reduce.Lsi(3, tfidf=tfidf).fit(counts, 30)
+        lsi.save(str(tmp_path / f"lsi{tfidf}"))
+        assert rows(reduce.Lsi.read(spark, str(tmp_path / f"lsi{tfidf}")).transform(counts)) == rows(lsi.transform(counts))
+    fitted = recipes.Normaliser().fit(counts, 30)
+    fitted.save(str(tmp_path / "n"))
+    again = recipes.Normaliser.read(spark, str(tmp_path / "n"))
+    assert sorted(map(tuple, again.transform(counts).collect())) == sorted(map(tuple, fitted.transform(counts).collect()))
+
+
+def test_exports(spark, tmp_path):
+    """Vectors with domains, resources of a run, nested settings, vectors of a bundle."""
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "cell long, v array<double>")
+    bundles.write_results(v, spark.createDataFrame([(1, 5), (2, 6)], "cell long, cluster int"), str(tmp_path / "r"))
+    got = spark.read.csv(str(tmp_path / "r"), header=True)
+    assert got.columns == ["cell", "embedding0", "embedding1", "domain"] and sorted(map(tuple, got.collect())) == [("1", "1.0", "2.0", "5"), ("2", "3.0", "4.0", "6")]
+    bundles.write_resources(spark, str(tmp_path / "res"), 1.5)
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "res")).collect()]
+    assert lines[0] == "seconds: 1.500" and all(x.startswith("executor ") for x in lines[1:]) and len(lines) > 1
+    (tmp_path / "c.json").write_text('{"net": {"dims": [4, 2], "name": "x"}, "seed": 3}')
+    c = load_config(spark, str(tmp_path / "c.json"))
+    assert c.net.dims == [4, 2] and c.net.name == "x" and c.seed == 3
+    bundles.Bundle(vectors={"joint": v}).write(str(tmp_path / "b"))
+    assert sorted(map(tuple, bundles.load(spark, str(tmp_path / "b"), ("joint",)).vectors["joint"].collect())) == sorted(map(tuple, v.collect()))
