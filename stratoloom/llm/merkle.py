@@ -51,16 +51,6 @@ def _sections(print_: Column) -> Column:
     return _let(F.split(print_, "/"), lambda x: F.slice(x, F.lit(2), F.size(x)))
 
 
-def branches(print_: Column) -> Column:
-    """The branches of a fingerprint, one of each section."""
-    return F.transform(_sections(print_), lambda x: F.substring(x, 1, BRANCH))
-
-
-def leaves(print_: Column) -> Column:
-    """The leaves of a fingerprint, one of each paragraph."""
-    return F.flatten(F.transform(_sections(print_), lambda x: _let(F.split(x, r"\."), lambda y: F.slice(y, F.lit(2), F.size(y)))))
-
-
 def _agree(a: Column, b: Column) -> Column:
     """How many elements two arrays have in common before the first that differ."""
     first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
@@ -75,35 +65,57 @@ def _aligned(a: Column, b: Column, use: Callable[[Column, Column, Column, Column
     )))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """How near two fingerprints are: 0 to 1, and 1 for equal texts alone.
+def _middle(x: Column, head: Column, tail: Column) -> Column:
+    return F.slice(x, head + 1, F.size(x) - head - tail)
 
-    Leaves that agree at the beginning and at the end count in full.  Between
-    them a leaf that both have counts half, and so does one that both have next
-    to the same leaf: order matters.  The result is twice the count over all leaves.
-    """
-    def middle(x: Column, head: Column, tail: Column) -> Column:
-        return F.slice(x, head + 1, F.size(x) - head - tail)
 
+def _leaves(sections: Column) -> Column:
+    """The leaves of some sections of a fingerprint."""
+    return _let(F.concat_ws(".", F.transform(sections, lambda x: F.substring(x, F.lit(BRANCH + 2), F.length(x)))), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"\.")))
+
+
+def _count(sections: Column) -> Column:
+    """How many leaves some sections have, by their lengths."""
+    return F.aggregate(sections, F.lit(0), lambda n, x: n + ((F.length(x) - BRANCH) / (LEAF + 1)).cast("int"))
+
+
+def _place(first: Column, last: Column) -> Column:
+    return F.concat_ws("-", first.cast("string"), F.when(last >= first, last.cast("string")).otherwise(""))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """Two fingerprints: ``near``, and where b differs from a, in ``sections`` and ``paragraphs``.
+
+    Branches that agree at the beginning and at the end are passed over; only the
+    sections between them are opened.  ``near`` is 0 to 1, and 1 for equal texts
+    alone: leaves that agree at the beginning and at the end count in full; between
+    them a leaf that both have counts half, and so does one that both have next to
+    the same leaf, so order matters.  The result is twice the count over all leaves.
+
+    Places are first-last in b, from 1; first- where parts are only gone; empty if
+    nothing differs.
+    """
     def pairs(x: Column) -> Column:
         return F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.size(x)), lambda p, q: F.concat(p, q))
 
     def both(x: Column, y: Column) -> Column:
         return F.size(F.array_intersect(x, y)) + F.size(F.array_intersect(pairs(x), pairs(y)))
 
-    def judge(x: Column, y: Column, head: Column, tail: Column) -> Column:
-        inside = _let(F.struct(middle(x, head, tail).alias("x"), middle(y, head, tail).alias("y")), lambda m: both(m["x"], m["y"]))
-        return (F.lit(2.0) * (head + tail) + inside) / (F.size(x) + F.size(y))
-
-    return F.when(a == b, F.lit(1.0)).otherwise(_aligned(leaves(a), leaves(b), judge))
-
+    def judge(sa: Column, sb: Column, head: Column, tail: Column) -> Column:
+        def inside(la: Column, lb: Column, more: Column, less: Column) -> Column:
+            shared = _let(F.struct(_middle(la, more, less).alias("x"), _middle(lb, more, less).alias("y")), lambda m: both(m["x"], m["y"]))
+            return F.struct(more.alias("head"), less.alias("tail"), shared.alias("shared"), F.size(la).alias("n"), F.size(lb).alias("m"))
 
-def changed(old: Column, new: Column) -> Column:
-    """Where ``new`` differs from ``old`` (arrays of hashes): first-last, in places of ``new`` from 1; first- where parts are only gone; empty if nowhere."""
-    def say(_: Column, x: Column, head: Column, tail: Column) -> Column:
-        return F.concat_ws("-", (head + 1).cast("string"), F.when(F.size(x) - tail > head, (F.size(x) - tail).cast("string")).otherwise(""))
+        opened = _aligned(_leaves(_middle(sa, head, tail)), _leaves(_middle(sb, head, tail)), inside)
+        ends = F.struct(_count(F.slice(sa, F.lit(1), head)).alias("head"), _count(F.slice(sa, F.size(sa) - tail + 1, tail)).alias("tail"))
+        return _let(F.struct(opened.alias("o"), ends.alias("e")), lambda x: F.struct(
+            ((F.lit(2.0) * (x["e"]["head"] + x["e"]["tail"] + x["o"]["head"] + x["o"]["tail"]) + x["o"]["shared"]) / (F.lit(2) * (x["e"]["head"] + x["e"]["tail"]) + x["o"]["n"] + x["o"]["m"])).alias("near"),
+            _place(head + 1, F.size(sb) - tail).alias("sections"),
+            _place(x["e"]["head"] + x["o"]["head"] + 1, x["e"]["head"] + x["o"]["m"] - x["o"]["tail"]).alias("paragraphs"),
+        ))
 
-    return F.when(old == new, F.lit("")).otherwise(_aligned(old, new, say))
+    same = F.struct(F.lit(1.0).alias("near"), F.lit("").alias("sections"), F.lit("").alias("paragraphs"))
+    return F.when(a == b, same).otherwise(_aligned(_sections(a), _sections(b), judge))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,7 +155,7 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     own next.  Documents that repeat an id follow each other by the hash of their
     texts; rows equal in id and text are one document, and as many rows of the
     result.  A null id is below every other, and a null text is empty.
-    ``edit_sections`` and ``edit_paragraphs`` locate the edit, as in ``changed``.
+    ``edit_sections`` and ``edit_paragraphs`` locate the edit, as in ``compare``.
     Columns beside the two named are not read.  An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.sha2("text", 256))
@@ -161,16 +173,17 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("patch"))
     pairs = known.select("k", "h", "n", "text", "fingerprint").join(given, ["k", "h"]).withColumn("edited", edited)
     prints = pairs.select("k", "n", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return prints.select(
+    judged = prints.withColumn("edit", compare(F.col("fingerprint"), F.col("edited_fingerprint")))
+    return judged.select(
         F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        changed(branches(F.col("fingerprint")), branches(F.col("edited_fingerprint"))).alias("edit_sections"),
-        changed(leaves(F.col("fingerprint")), leaves(F.col("edited_fingerprint"))).alias("edit_paragraphs"),
+        F.col("edit.near").alias("near_edited"),
+        compare(F.col("fingerprint"), F.col("next_fingerprint"))["near"].alias("near_next"),
+        F.col("edit.sections").alias("edit_sections"),
+        F.col("edit.paragraphs").alias("edit_paragraphs"),
     )
 
 

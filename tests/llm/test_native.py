@@ -142,11 +142,11 @@ def test_likeness(spark):
         root, branch, leaf = tree(t)
         assert rows[k][:64] == root and [x[:16] for x in rows[k].split("/")[1:]] == branch and [y for x in rows[k].split("/")[1:] for y in x.split(".")[1:]] == leaf
     table = spark.createDataFrame([(i, j, rows[i], rows[j]) for i in rows for j in rows], "i int, j int, a string, b string")
-    near = {(r["i"], r["j"]): r["n"] for r in table.select("i", "j", merkle.likeness(merkle.F.col("a"), merkle.F.col("b")).alias("n")).collect()}
+    near = {(r["i"], r["j"]): r["n"] for r in table.select("i", "j", merkle.compare(merkle.F.col("a"), merkle.F.col("b"))["near"].alias("n")).collect()}
     for (i, j), n in near.items():
         assert 0 <= n <= 1 and (n == 1) == (i == j) and n == near[j, i]
     # equal middles in another order: leaves alone; one of two ends; all but one of six
     assert near[2, 3] == 0.5 and near[8, 9] == (2 * 2 + 2) / 8 and near[5, 6] == 10 / 12 and near[0, 1] == 0
-    places = table.select("i", "j", *[merkle.changed(f(merkle.F.col("a")), f(merkle.F.col("b"))).alias(f.__name__) for f in (merkle.branches, merkle.leaves)])
-    said = {(r["i"], r["j"]): (r["branches"], r["leaves"]) for r in places.collect()}
+    places = table.select("i", "j", merkle.compare(merkle.F.col("a"), merkle.F.col("b")).alias("c")).select("i", "j", "c.*")
+    said = {(r["i"], r["j"]): (r["sections"], r["paragraphs"]) for r in places.collect()}
     assert said[5, 6] == ("2-2", "4-4") and said[5, 10] == ("2-", "3-") and said[10, 5] == ("2-2", "3-4") and said[5, 5] == ("", "") and said[0, 1] == ("1-1", "1-1")
