@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ..operators.running import bucket_count, running_sum
+from ..operators.running import bucket_count, buckets_along, numbered, running_sum
 from .sharding import BITS, hash_bits
 from .tables import table
 
@@ -35,21 +35,20 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: flo
     its source's size; what a capped source leaves is shared by weight among the
     others until none is above.  That is one level L with target = min(weight *
     L, cap * size): over sources ordered by cap * size / weight, L is the first
-    level at which the next source isn't capped.  One row per source, so windows
-    over all sources hold no document.
+    level at which the next source isn't capped.  Sources may be many: their order
+    and their running sums are dealt out, too, and L alone reaches the driver.
     """
-    ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), F.col("rank") % len(weights) + 1))
-    bound = weighed.withColumn("bound", F.col("source_size") * F.lit(float(cap)))
-    along = Window.orderBy(F.col("bound") / F.col("weight"), "rank")
-    all_rows = Window.partitionBy(F.lit(0))
-    level = (
-        (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("bound").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        / F.sum("weight").over(along.rowsBetween(0, Window.unboundedFollowing))
-    )
-    found = bound.withColumn("level", level).withColumn("open", F.when(F.col("level") <= F.col("bound") / F.col("weight"), F.col("level")))
+    ranked = numbered(sources.select("source", "source_size"), [F.col("source").asc_nulls_last()], "rank")
+    weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights)).cast("int") + 1))
+    bound = weighed.withColumn("bound", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("bound") / F.col("weight"))
+    total, weight = bound.agg(F.sum("source_size"), F.sum("weight")).first()
+    order = [F.col("ratio"), F.col("rank")]
+    capped = cut(running_sum(buckets_along(bound, "ratio"), [], "bucket", order, F.col("bound"), "taken"))
+    found = running_sum(capped, [], "bucket", order, F.col("weight"), "lighter")
+    level = (F.lit(float(total or 0)) - F.col("taken")) / (F.lit(float(weight or 0)) - F.col("lighter"))
     # the levels at which the next source is open only fall from the first such source on
-    return found.withColumn("target", F.least(F.col("weight") * F.coalesce(F.max("open").over(all_rows), F.lit(0.0)), F.col("bound"))).select(
+    highest = found.agg(F.max(F.when(level <= F.col("ratio"), level))).first()[0]
+    return bound.withColumn("target", F.least(F.col("weight") * F.lit(float(highest or 0.0)), F.col("bound"))).select(
         "source", "source_size", "rank", "weight", "target"
     )
 
@@ -63,8 +62,7 @@ def plan_slots(sources: DataFrame, block_words: int, cap: float = 3) -> DataFram
         .withColumn("blocks", F.ceil(size / F.col("block")).cast("long"))
         .withColumn("slots", F.least(F.round(F.col("target") / F.col("block")).cast("long"), (F.col("blocks") * cap).cast("long")))
     )
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return planned.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    return running_sum(buckets_along(planned, "rank"), [], "bucket", [F.col("rank")], F.col("slots"), "first").drop("bucket")
 
 
 def schedule(spark: SparkSession, planned: DataFrame) -> DataFrame:
