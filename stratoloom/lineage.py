@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, written once: to be broadcast if it turns out to have at most ``rows`` rows, else like any other."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files behind ``cut``'s result ``df``, which nothing will read again."""
     file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_of
-from ..lineage import cut
+from ..lineage import cut, small
 from . import graph, neighbours, reduce
 
 #: Edges (both directions) that one task may hold: smaller graphs, and larger ones once their communities are merged to so few, are finished in one place.
@@ -348,7 +348,7 @@ def clusters_of(points: DataFrame, k: int, method: str = "kmeans", seed: int = 0
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """(cell, cluster): the nearest of a few centroids (cluster, c), the smallest of equals."""
     d = F.aggregate(F.zip_with("v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = points.crossJoin(F.broadcast(centroids)).select("cell", "cluster", d.alias("d"))
+    pairs = points.crossJoin(small(centroids)).select("cell", "cluster", d.alias("d"))
     return pairs.groupBy("cell").agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
 
 

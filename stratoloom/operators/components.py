@@ -12,11 +12,19 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def _apart(least: DataFrame) -> DataFrame:
+    """The same rows, whose partitioning the planner no longer knows.
+
+    A join deals them out anew then, by themselves, and adaptive execution may split a
+    hub's edges over tasks; it never does where a side comes straight from an aggregate.
+    """
+    return least.withColumn("src", F.greatest("src", "least"))  # no node's least is larger
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = _neighbours(edges)
-    # dealt out by itself, so that a hub's edges may be split over tasks when they meet it
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least")).repartition("src")
+    least = _apart(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least")))
     return (
         both.join(least, "src")
         .where(F.col("dst") > F.col("src"))
@@ -28,7 +36,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link the smaller neighbours of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("least")).repartition("src")
+    least = _apart(down.groupBy("src").agg(F.min("dst").alias("least")))
     joined = down.join(least, "src")
     return (
         joined.select(F.col("dst").alias("src"), F.col("least").alias("dst"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, small
 from .label_metrics import isolated_labels
 from .neighbours import BLOCK, STRIPE, distances, knn, matching, vote
 from .reduce import moments
@@ -22,7 +22,7 @@ def label_distances(points: DataFrame) -> DataFrame:
     """
     rows = points.select("cell", "v", F.col("label").cast("string").alias("label"), F.col("grp").cast("string").alias("grp"))
     count = rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = rows.join(F.broadcast(count), "grp")
+    dealt = rows.join(small(count), "grp")
     # enough query blocks for all cores, one table of the others for each block of them
     split = 8
     own = F.pmod(F.xxhash64("cell"), F.col("blocks") * split)
@@ -50,7 +50,7 @@ def label_distances(points: DataFrame) -> DataFrame:
 def silhouettes(points: DataFrame) -> DataFrame:
     """(cell, label, grp, s) within each group: (b - a) / max(a, b); 0 for a label of one point, null for a group of one label."""
     sizes = points.groupBy(F.col("grp").cast("string").alias("grp"), F.col("label").cast("string").alias("other")).agg(F.count("*").alias("n"))
-    means = label_distances(points).join(F.broadcast(sizes), ["grp", "other"])
+    means = label_distances(points).join(small(sizes), ["grp", "other"])
     same = F.col("other") == F.col("label")
     pairs = means.groupBy("cell", "label", "grp").agg(
         F.max(F.when(same & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("total") / F.col("n"))).alias("b")
@@ -107,7 +107,7 @@ def dispersion_metrics(points: DataFrame) -> DataFrame:
     centres = long.groupBy("label", "d").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
     middle = long.groupBy("d").agg(F.avg("x").alias("g"))
     between = centres.join(middle, "d").agg(F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))).alias("between"), F.count_distinct("label").alias("k"))
-    off = long.join(F.broadcast(centres.select("label", "d", "m")), ["label", "d"]).groupBy("label", "cell").agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("sq"))
+    off = long.join(small(centres.select("label", "d", "m")), ["label", "d"]).groupBy("label", "cell").agg(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))).alias("sq"))
     within = off.agg(F.sum("sq").alias("within"), F.count("*").alias("n"))
     ch = between.crossJoin(within).select(((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
     radius = off.groupBy("label").agg(F.avg(F.sqrt("sq")).alias("r"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import log_gamma
+from ..lineage import small
 
 
 def contingency(rows: DataFrame, cluster: str = "cluster", label: str = "label") -> DataFrame:
@@ -146,7 +147,7 @@ def _cheapest(cost: list[list[int]]) -> list[int]:
 def cluster_accuracy(table: DataFrame) -> DataFrame:
     """One row: the share of cells that the best one-to-one matching covers."""
     matched = table.sparkSession.createDataFrame(assignment(table), table.select("cluster", "label").schema)
-    return table.join(F.broadcast(matched), ["cluster", "label"]).agg((F.sum("n") / F.first("total")).alias("accuracy"))
+    return table.join(small(matched), ["cluster", "label"]).agg((F.sum("n") / F.first("total")).alias("accuracy"))
 
 
 def isolated_labels(rows: DataFrame, threshold: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import chi2_critical
+from ..lineage import small
 from .graph import component_share
 from .neighbours import knn
 from .prep import codes
@@ -50,7 +51,7 @@ def batch_tests(edges: DataFrame, batches: DataFrame) -> DataFrame:
     shares = batch_shares(batches)
     counted = neighbour_counts(edges, batches.withColumnRenamed("batch", "label"))
     sizes = counted.groupBy("src").agg(F.sum("n").alias("k"))
-    grid = sizes.crossJoin(F.broadcast(shares)).join(counted.withColumnRenamed("label", "batch"), ["src", "batch"], "left")
+    grid = sizes.crossJoin(small(shares)).join(counted.withColumnRenamed("label", "batch"), ["src", "batch"], "left")
     expected = F.col("share") * F.col("k")
     off = F.coalesce("n", F.lit(0)) - expected
     return grid.groupBy("src").agg(F.first("k").alias("k"), F.sum(off * off / expected).alias("chi2"), (F.count("*") - 1).alias("dof"))
@@ -73,7 +74,7 @@ def kbet_by_label(edges: DataFrame, cells: DataFrame, k: int = 50, alpha: float
     """
     sizes = cells.groupBy("label", "batch").agg(F.count("*").alias("n")).groupBy("label").agg(F.sum("n").alias("cells"), F.count("*").alias("batches"), F.avg("n").alias("mean"))
     fine = sizes.where("cells >= 10 AND batches > 1").select("label", F.least(F.lit(70), F.greatest(F.lit(10), F.floor(F.col("mean") / 4))).alias("k0"))
-    owned = edges.select("src", "dst").join(cells.select(F.col("cell").alias("src"), "label").join(F.broadcast(fine), "label"), "src")
+    owned = edges.select("src", "dst").join(cells.select(F.col("cell").alias("src"), "label").join(small(fine), "label"), "src")
     place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
     taken = owned.withColumn("p", place).where(F.col("p") <= F.least("k0", F.lit(k)))
     tests = batch_tests(taken.select("src", "dst"), cells.select("cell", "batch")).where("k >= 5 AND dof >= 1")

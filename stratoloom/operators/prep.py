@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .running import hash_order
 
 #: Places along the features' means at which a local regression is fitted.
@@ -309,7 +310,7 @@ def gene_selection(counts: DataFrame, n_cells: int, threshold: float = 0, atleas
     offset is bisected from 0..10 until so many are chosen; each step is a count.
     """
     seen = counts.where(F.col("x") > threshold).groupBy("feature").agg(F.count("*").alias("cells"), F.avg(F.log2("x")).alias("mean_log2"))
-    stats = seen.where(F.col("cells") >= atleast).select("feature", (1 - F.col("cells") / n_cells).alias("zero_rate"), "mean_log2").persist()
+    stats = cut(seen.where(F.col("cells") >= atleast).select("feature", (1 - F.col("cells") / n_cells).alias("zero_rate"), "mean_log2"))
     rule = lambda at: F.col("zero_rate") > F.exp(-decay * (F.col("mean_log2") - at)) + yoffset
     if n is not None:
         low, up = 0.0, 10.0

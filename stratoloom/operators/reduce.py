@@ -107,10 +107,11 @@ class Lsi:
         width = min(self.k + 10, names.count())
         # the same start wherever features are: numbers drawn by the hash of their names
         draw = [F.sqrt(-2 * F.log((F.pmod(F.xxhash64("feature", F.lit(f"{self.seed}a{i}")), F.lit(1 << 30)) + 0.5) / float(1 << 30))) * F.cos(2 * np.pi * F.pmod(F.xxhash64("feature", F.lit(f"{self.seed}b{i}")), F.lit(1 << 30)) / float(1 << 30)) for i in range(width)]
-        basis = self._orthogonal(names.select("feature", F.array(*draw).alias("v")))
-        for _ in range(6):  # power steps of X'X, orthogonal again after each
-            basis = self._orthogonal(self._sum(weighed, self._sum(weighed, basis, "feature", "cell"), "cell", "feature"))
-        _, _, g = moments(self._sum(weighed, basis, "feature", "cell"))
+        basis, width = self._orthogonal(names.select("feature", F.array(*draw).alias("v")))
+        for step in range(6):  # power steps of X'X, orthogonal again after each
+            there = self._sum(weighed, basis, width, "feature", "cell")
+            basis, width = self._orthogonal(self._sum(weighed, there, width, "cell", "feature"), 1 + (step == 5))
+        _, _, g = moments(self._sum(weighed, basis, width, "feature", "cell"))
         values, turn = np.linalg.eigh(g)
         self.load = cut(turned(basis, turn[:, np.argsort(-values)[: self.k]], "feature"))
         # a vector's largest loading is positive
@@ -120,21 +121,20 @@ class Lsi:
         return self
 
     @staticmethod
-    def _sum(weighed: DataFrame, side: DataFrame, on: str, by: str) -> DataFrame:
+    def _sum(weighed: DataFrame, side: DataFrame, width: int, on: str, by: str) -> DataFrame:
         """Sums of x times the vectors of one end of the counts, for the other end."""
-        width = len(side.first()["v"])
         joined = weighed.join(side.select(on, F.col("v").alias("b")), on)
         return cut(joined.groupBy(by).agg(F.array(*[F.sum(F.col("x") * F.get("b", i)) for i in range(width)]).alias("v")))
 
     @staticmethod
-    def _orthogonal(rows: DataFrame) -> DataFrame:
-        """Orthonormal columns that span the same, by the Gram matrix, twice (once isn't exact enough)."""
-        for _ in range(2):
+    def _orthogonal(rows: DataFrame, times: int = 1) -> tuple[DataFrame, int]:
+        """Orthonormal columns that span the same, by the Gram matrix, and how many (twice to the last digits)."""
+        for _ in range(times):
             _, _, g = moments(rows)
             values, axes = np.linalg.eigh(g)
             kept = values > values[-1] * 1e-12
             rows = cut(turned(rows, axes[:, kept] / np.sqrt(values[kept]), "feature"))
-        return rows
+        return rows, int(kept.sum())
 
     def transform(self, counts: DataFrame) -> DataFrame:
         """(cell, v); without singular vectors (cell, feature, x)."""

@@ -38,6 +38,15 @@ def hash_order(df: DataFrame, keys: list[str], by: Column, out: str) -> DataFram
     return running_sum(dealt, keys, "__b", [F.col("__h"), F.col("cell")], F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1).drop("__h", "__b")
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: each row's place, from 0, along an order of all rows; only counts of a sort's partitions meet in one task."""
+    placed = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    parts = placed.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("__n"))
+    before = parts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    place = (F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return placed.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(before), "__part").withColumn(out, place).drop("__at", "__part", "__first")  # a row a partition
+
+
 def running_max(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
     """``df`` with ``out``: the largest ``value`` of the earlier rows of its group (null for the first); as ``running_sum``."""
     group, before = [*keys, bucket], (Window.unboundedPreceding, -1)

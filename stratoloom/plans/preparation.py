@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, mixing_metrics, prep
-from ..sources import roles
+from ..operators import align, mixing_metrics, prep, timed
+from ..sources import bundles, roles
 from ..sources.roles import with_roles
 
 Q: dict = {}
@@ -53,8 +53,8 @@ FROM (SELECT *, CASE WHEN far > 0 THEN power(1 - power(abs(d) / far, 3), 3) ELSE
 N_CELLS = "(SELECT count(*) FROM supplier)"
 
 query("s1_counts", with_roles("counts", body=" SELECT cell, feature, x FROM counts"))(roles.counts)
-query("s3_dense_to_long", "SELECT vec_id AS cell, unnest(range(0, 64))::INT AS d, unnest(embedding)::DOUBLE AS x FROM embeddings")(
-    lambda s, d: roles.embeddings(s, d).select("cell", F.posexplode("v").alias("d", "x"))
+query("s3_dense_to_long", "SELECT * FROM (SELECT vec_id AS cell, unnest(range(0, 64))::INT AS d, unnest(embedding)::DOUBLE AS x FROM embeddings) WHERE x <> 0")(
+    lambda s, d: bundles.dense_to_counts(roles.embeddings(s, d)).withColumnRenamed("feature", "d")
 )
 query("s8_roles", with_roles("emb", body=" SELECT cell, gt, pred, batch FROM emb"))(lambda s, d: roles.embeddings(s, d).select("cell", "gt", "pred", "batch"))
 query("p1_filter_features", with_roles("counts", body=" SELECT * FROM counts WHERE feature IN (SELECT feature FROM counts WHERE x <> 0 GROUP BY feature HAVING count(*) >= 27)"))(
@@ -249,3 +249,12 @@ query("u8_distinct", with_roles("emb", body=" SELECT DISTINCT gt, batch FROM emb
 query("a14_rollup", with_roles("emb", body=" SELECT coalesce(gt, -1) AS gt, coalesce(batch, -1) AS batch, count(*) AS n FROM emb GROUP BY ROLLUP (emb.gt, emb.batch)"))(
     lambda s, d: roles.embeddings(s, d).rollup("gt", "batch").agg(F.count("*").alias("n")).fillna(-1, ["gt", "batch"])
 )
+# rows with a time
+query("w11_recent", """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 6) AS recent,
+lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, ntile(4) OVER (PARTITION BY user_id ORDER BY value, event_id)::INT AS part FROM events""")(
+    lambda s, d: rounded(timed.recent(roles.table(s, d, "events"), 3600), "recent")
+)
+query("n21_time_parts", """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, hour(ts)::INT AS hour, isodow(ts)::INT AS weekday, nullif(regexp_extract(props, '"k": *([0-9]+)', 1), '')::INT AS number FROM events""")(
+    lambda s, d: timed.parts(roles.table(s, d, "events"))
+)
+query("a15_distinct_features", with_roles("counts", body=" SELECT cell, count(DISTINCT feature) AS n FROM counts WHERE x <> 0 GROUP BY cell"))(lambda s, d: timed.distinct_features(roles.counts(s, d)))

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from stratoloom.functions.statistics import chi2_critical, chi2_tail, signed_rank_tail
 from stratoloom.operators import align, cluster, graph, label_metrics, mixing_metrics, neighbours, prep, reduce
@@ -220,6 +221,83 @@ def test_signed_rank():
     assert signed_rank_tail(6, 3) == 1 / 8 and signed_rank_tail(0, 3) == 1
 
 
+def test_lsi_flags(spark):
+    """Each step can be left out, as in numpy; fitted vectors apply to other cells."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 4, (40, 15)).astype(float) + np.eye(40, 15)
+    rows = [(i, j, float(x[i, j])) for i in range(40) for j in range(15) if x[i, j]]
+    counts = spark.createDataFrame(rows, "cell long, feature long, x double")
+    for log, norm, tfidf, z, drop in ((True, True, True, True, True), (False, True, False, False, False), (True, False, False, True, False), (False, False, True, False, True)):
+        w = x / (x.sum(1, keepdims=True) + 1e-8) * (40 / (x.sum(0) + 1e-8)) if tfidf else x
+        w = w / np.abs(w).sum(1, keepdims=True) if norm else w
+        w = np.log1p(w * 1e4) if log else w
+        load = np.linalg.svd(w, full_matrices=False)[2][: 3 + drop].T
+        y = w @ (load * np.sign(load[np.abs(load).argmax(0), np.arange(3 + drop)]))
+        y = (y - y.mean(1, keepdims=True)) / (1e-8 + y.std(1, ddof=1, keepdims=True)) if z else y
+        model = reduce.Lsi(3, drop_first=drop, log=log, norm=norm, z_score=z, tfidf=tfidf).fit(counts, 40)
+        got = {r["cell"]: r["v"] for r in model.transform(counts.where("cell < 10")).collect()}
+        assert len(got) == 10 and all(np.allclose(got[i], y[i, drop:], atol=1e-5) for i in range(10))
+    raw = reduce.Lsi(3, tfidf=False, norm=False, log=False, svd=False).transform(counts)
+    assert sorted(map(tuple, raw.collect())) == sorted(rows)
+    with pytest.raises(RuntimeError):
+        reduce.Lsi(3, tfidf=False).transform(counts)
+
+
+def test_local_fit():
+    """A parabola is its own fit; between vertices lines are read off."""
+    u = np.sort(np.random.default_rng(12).random(500))
+    assert np.allclose(prep.local_fit(u, 2 - u + 3 * u * u), 2 - u + 3 * u * u)
+    assert np.abs(prep.local_fit(u, np.sin(3 * u), vertices=50) - prep.local_fit(u, np.sin(3 * u))).max() < 0.01
+    assert np.allclose(prep.local_fit(np.ones(5), np.arange(5.0), span=1.0), 2)
+
+
+def test_refusals(spark):
+    """Counts that aren't whole, names that none share, vectors of another length."""
+    half = spark.createDataFrame([(1, 1, 0.5)], "cell long, feature long, x double")
+    with pytest.raises(ValueError, match="whole"):
+        prep.check_whole(half)
+    with pytest.raises(ValueError, match="shared"):
+        align.shared_names([half, half.withColumn("feature", half["feature"] + 1)], required=True)
+    v = spark.createDataFrame([(1, [1.0, 2.0])], "cell long, v array<double>")
+    assert graph.merged_vectors([v, v], 2, concat=True).first()["v"] == [1.0, 2.0, 1.0, 2.0]
+    with pytest.raises(Exception, match="a vector of 3 numbers"):
+        graph.merged_vectors([v, v], 3).collect()
+
+
+def test_islands_across_bins(spark, monkeypatch):
+    """Intervals that reach over bins, and bins over bins, are one."""
+    monkeypatch.setattr(align, "BIN", 10)
+    rng = np.random.default_rng(13)
+    rows = [("a", int(s), int(s + rng.choice([1, 3, 45]))) for s in rng.integers(0, 900, 120)] + [("b", 5, 400), ("b", 100, 101), ("b", 399, 500), ("b", 500, 501), ("b", 502, 503)]
+    got = sorted(map(tuple, align.merge_intervals(spark.createDataFrame(rows, "seqname string, start long, end long")).select("seqname", "start", "end", "n").collect()))
+    want = []
+    for name, s, e in sorted(rows):
+        if want and want[-1][0] == name and s < want[-1][2] + 1:
+            want[-1] = (name, want[-1][1], max(e, want[-1][2]), want[-1][3] + 1)
+        else:
+            want.append((name, s, e, 1))
+    assert got == want
+
+
+def test_numbered(spark):
+    """Places along an order of all rows, nulls last."""
+    from stratoloom.operators.running import numbered
+
+    names = ["b", "a", None, "é", "B", "ab"]
+    got = numbered(spark.createDataFrame([(n,) for n in names], "n string").repartition(4), [F.col("n").asc_nulls_last()], "p")
+    assert {r["p"]: r["n"] for r in got.collect()} == dict(enumerate(["B", "a", "ab", "b", "é", None]))
+
+
+def test_checkpoints(spark, tmp_path):
+    """What is released is gone; what was made of it stays."""
+    from stratoloom.lineage import cut, release
+
+    a = cut(spark.range(10))
+    b = cut(a.where("id > 4"))
+    release(a)
+    assert b.count() == 5
+
+
 def test_unit_length(spark):
     """A zero vector stays as it is."""
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
