@@ -14,4 +14,9 @@ def sized(v: Column | str, dim: int) -> Column:
 
 def mean_of(v: Column | str, dim: int) -> Column:
     """The mean vector of a group, all of ``dim`` numbers."""
-    return F.array(*[F.avg(F.get(sized(v, dim), F.lit(i))) for i in range(dim)])
+    return F.array(*[F.avg(x) for x in numbers(v, dim)])
+
+
+def numbers(v: Column | str, dim: int) -> list[Column]:
+    """The numbers of a vector; the first refuses a vector that doesn't have ``dim``."""
+    return [F.get(v if i else sized(v, dim), F.lit(i)) for i in range(dim)]

@@ -177,6 +177,41 @@ def foscttm(x: DataFrame, y: DataFrame, metric: str = "euclidean") -> DataFrame:
     return one.crossJoin(two).withColumn("foscttm", (F.col("foscttm_x") + F.col("foscttm_y")) / 2)
 
 
+def distribution_loss(x: DataFrame, target: DataFrame, tau: float = 0.1) -> DataFrame:
+    """One row: how far each point's likenesses to the points of its group are from the target's, in the mean of groups (cell, v, grp).
+
+    Likenesses are softmax shares of inner products over ``tau``; the distance is
+    the Kullback-Leibler divergence of the target's from the point's.  Blocks meet
+    pair by pair; a task returns five numbers a point, which add up over blocks.
+    Groups of one point are left out.
+    """
+    rows = x.select("cell", "v", F.col("grp").cast("string").alias("grp")).join(target.select("cell", F.col("v").alias("w")), "cell")
+    count = rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    dealt = cut(rows.join(small(count), "grp"))
+    split, deal = 8, lambda n: F.pmod(F.xxhash64("cell"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    a = dealt.select("grp", deal(F.col("blocks") * split).alias("i"), every(F.col("blocks")).alias("j"), F.lit(0).alias("side"), "cell", "v", "w")
+    b = dealt.select("grp", every(F.col("blocks") * split).alias("i"), deal(F.col("blocks")).alias("j"), F.lit(1).alias("side"), "cell", "v", "w")
+
+    def meet(tile: pd.DataFrame) -> pd.DataFrame:
+        q, c = tile[tile["side"] == 0], tile[tile["side"] == 1]
+        names = ["top", "sum", "gap", "own_top", "own_sum"]
+        if not len(q) or not len(c):
+            return pd.DataFrame({"cell": pd.Series(dtype="int64"), "grp": pd.Series(dtype="str")} | {n: pd.Series(dtype="float64") for n in names})
+        t, s = (np.stack(q[k].to_numpy()) @ np.stack(c[k].to_numpy()).T / tau for k in ("w", "v"))
+        top, own = t.max(axis=1), s.max(axis=1)
+        e = np.exp(t - top[:, None])
+        values = (top, e.sum(axis=1), (e * (t - s)).sum(axis=1), own, np.exp(s - own[:, None]).sum(axis=1))
+        return pd.DataFrame({"cell": q["cell"].to_numpy(), "grp": q["grp"].to_numpy()} | dict(zip(names, values, strict=True)))
+
+    met = a.unionAll(b).groupBy("grp", "i", "j").applyInPandas(meet, "cell long, grp string, top double, sum double, gap double, own_top double, own_sum double")
+    tops = met.groupBy("cell").agg(F.max("top").alias("m"), F.max("own_top").alias("o"))
+    far, own = F.exp(F.col("top") - F.col("m")), F.exp(F.col("own_top") - F.col("o"))
+    sums = met.join(tops, "cell").groupBy("grp", "cell", "m", "o").agg(F.sum(F.col("sum") * far).alias("s"), F.sum(F.col("gap") * far).alias("g"), F.sum(F.col("own_sum") * own).alias("t"))
+    loss = F.col("g") / F.col("s") - F.col("m") - F.log("s") + F.col("o") + F.log("t")
+    return sums.groupBy("grp").agg(F.avg(loss).alias("loss")).agg(F.avg("loss").alias("distribution_loss"))
+
+
 def f1_scores(rows: DataFrame) -> DataFrame:
     """One row: accuracy, kappa, macro_f1, weighted_f1 of (label, pred)."""
     table = rows.groupBy("label", "pred").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import mean_of, sized
+from ..functions.vectors import mean_of, numbers
 from ..lineage import cut
 from .components import connected_components
 from .neighbours import jaccard_neighbours, knn
@@ -56,7 +56,7 @@ def mean_vector(v: Column | str, dim: int) -> Column:
 
 
 def _weighed_sum(dim: int) -> Column:
-    return F.array(*[F.sum(F.col("w") * F.get(sized("v", dim), F.lit(i))) for i in range(dim)])
+    return F.array(*[F.sum(F.col("w") * x) for x in numbers("v", dim)])
 
 
 def propagate(edges: DataFrame, vectors: DataFrame, dim: int, hops: int = 1, typed: bool = False) -> DataFrame:
@@ -204,7 +204,7 @@ def modality_weights(reps: tuple[DataFrame, DataFrame], graphs: tuple[DataFrame,
     for i in (0, 1):
         pred = {}
         for name, g in (("within", graphs[i]), ("cross", graphs[1 - i])):
-            sums = g.join(reps[i].select(F.col("cell").alias("dst"), "v"), "dst").groupBy("src").agg(F.array(*[F.sum(F.get(sized("v", dim), F.lit(d))) / (k - 1) for d in range(dim)]).alias("m"))
+            sums = g.join(reps[i].select(F.col("cell").alias("dst"), "v"), "dst").groupBy("src").agg(F.array(*[F.sum(x) / (k - 1) for x in numbers("v", dim)]).alias("m"))
             pred[name] = sums.join(reps[i].select(F.col("cell").alias("src"), "v"), "src").select(F.col("src").alias("cell"), euclidean(F.col("v"), F.col("m")).alias(name))
         near = graphs[i].where("place = 1").select(F.col("src").alias("cell"), F.col("dist").alias(f"d{i}"))
         bw = bandwidths(graphs[i], reps[i], k).withColumnRenamed("bw", f"bw{i}")

@@ -56,27 +56,22 @@ def running_max(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return inside.join(starts, group).withColumn(out, F.greatest("__inside", "__start")).drop("__inside", "__start")
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over the earlier rows of its group.
+def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column | list[Column], out: str | list[str]) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the earlier rows of its group; several at once as lists.
 
     ``bucket`` is a column that never decreases along ``order`` within a group.
     Keys may be null (nulls are one group). ``df`` is read twice, so it should
     be cheap or already materialised.  An empty ``df`` gives an empty result.
     """
+    values, outs = (value, out) if isinstance(out, list) else ([value], [out])
     group = [*keys, bucket]
     before = (Window.unboundedPreceding, -1)
-    totals = df.groupBy(*group).agg(F.sum(value).alias("__total"))
-    starts = totals.select(
-        *[F.col(c).alias(f"__s_{c}") for c in group],
-        F.coalesce(F.sum("__total").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*before)), F.lit(0)).alias("__start"),
-    )
-    inside = df.withColumn(
-        "__inside", F.coalesce(F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)), F.lit(0))
-    )
+    ahead = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*before)
+    within = Window.partitionBy(*group).orderBy(*order).rowsBetween(*before)
+    totals = df.groupBy(*group).agg(*[F.sum(v).alias(f"__total{i}") for i, v in enumerate(values)])
+    starts = totals.select(*[F.col(c).alias(f"__s_{c}") for c in group], *[F.coalesce(F.sum(f"__total{i}").over(ahead), F.lit(0)).alias(f"__start{i}") for i in range(len(values))])
+    inside = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"__inside{i}") for i, v in enumerate(values)])
     # without keys the buckets' totals, about the square root of the rows, are one group
     same = [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in group]
-    return (
-        inside.join(starts, same)
-        .withColumn(out, F.col("__inside") + F.col("__start"))
-        .drop("__inside", "__start", *[f"__s_{c}" for c in group])
-    )
+    kept = [c for c in df.columns if c not in outs]
+    return inside.join(starts, same).select(*kept, *[(F.col(f"__inside{i}") + F.col(f"__start{i}")).alias(name) for i, name in enumerate(outs)])

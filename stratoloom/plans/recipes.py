@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, graph, prep, recipes
+from ..operators import cluster, geometry_metrics, graph, prep, recipes
 from ..sources import roles
 from ..sources.roles import with_roles
 from .graphs import KNN20, coords, emb, knn20, m1, m2, nearest, unit
@@ -97,6 +97,13 @@ query("t7_contrast_loss", with_roles("emb", body=unit("u", "emb") + KNN20 + """,
 SELECT round(avg(-ln(a / (a + b))), 6) AS contrast_loss FROM t WHERE a IS NOT NULL AND b IS NOT NULL"""))(lambda s, d: rounded(contrast(s, d), "contrast_loss"))
 
 
+for _name, _grp, _of in (("t7_loss_within_batches", "m1.batch", "batch"), ("t7_loss_over_all", "0", None)):
+    query(_name, with_roles("m1", "m2", body=f""", p AS (SELECT m1.cell, {_grp} AS grp, m1.v AS x, m2.v AS t FROM m1 JOIN m2 USING (cell)), d AS (SELECT a.cell, a.grp, list_dot_product(a.x, b.x) / 0.5 AS x, list_dot_product(a.t, b.t) / 0.5 AS t FROM p a JOIN p b ON a.grp = b.grp),
+l AS (SELECT cell, grp, ln(sum(exp(x))) AS lx, ln(sum(exp(t))) AS lt FROM d GROUP BY ALL), k AS (SELECT cell, grp, sum(exp(t - lt) * (t - lt - x + lx)) AS k FROM d JOIN l USING (cell, grp) GROUP BY ALL) SELECT round(avg(k), 6) AS distribution_loss FROM (SELECT avg(k) AS k FROM k GROUP BY grp)"""))(
+        lambda s, d, of=_of: rounded(geometry_metrics.distribution_loss(m1(s, d).withColumn("grp", F.col(of) if of else F.lit(0)), m2(s, d), 0.5), "distribution_loss")
+    )
+
+
 def contrast(s, d):
     """Neighbours of the same label against neighbours of others."""
     e = emb(s, d)

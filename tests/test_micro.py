@@ -298,6 +298,16 @@ def test_checkpoints(spark, tmp_path):
     assert b.count() == 5
 
 
+def test_pseudo_bulk_subsets(spark):
+    """With too few labels, means of parts of their cells are added; parts depend on ids alone."""
+    counts = spark.createDataFrame([(c, f, float(c % 7 + f)) for c in range(40) for f in range(3)], "cell long, feature long, x double")
+    labels = spark.createDataFrame([(c, "ab"[c % 2]) for c in range(40)], "cell long, label string")
+    got = {(r["sample"], r["feature"]): r["x"] for r in prep.pseudo_bulk(counts, labels, 5).collect()}
+    assert {s for s, _ in got} == {"a", "b", "a_0", "a_1", "a_2", "b_0", "b_1", "b_2"}
+    assert got["a", 1] == pytest.approx(np.mean([c % 7 + 1 for c in range(0, 40, 2)])) and got["a_0", 1] != got["a_1", 1]
+    assert got == {(r["sample"], r["feature"]): r["x"] for r in prep.pseudo_bulk(counts, labels.repartition(7), 5).collect()}
+
+
 def test_unit_length(spark):
     """A zero vector stays as it is."""
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
