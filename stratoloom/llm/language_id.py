@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..lineage import cut
 from .sharding import unit_hash
 from .shingles import U, mix
 from .tables import small_batches, table
@@ -77,7 +78,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             counted = pa.table({"lang": batch.column("lang").take(pa.array(names)), "word": found}).group_by(["lang", "word"]).aggregate([([], "count_all")])
             yield from counted.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])).combine_chunks().to_batches()
 
-    words = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = cut(chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
