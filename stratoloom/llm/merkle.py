@@ -99,7 +99,8 @@ def compare(a: Column, b: Column) -> Column:
         return F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.size(x)), lambda p, q: F.concat(p, q))
 
     def both(x: Column, y: Column) -> Column:
-        return F.size(F.array_intersect(x, y)) + F.size(F.array_intersect(pairs(x), pairs(y)))
+        # texts without a leaf in common have no pair in common, either
+        return _let(F.size(F.array_intersect(x, y)), lambda n: n + F.when(n > 0, F.size(F.array_intersect(pairs(x), pairs(y)))).otherwise(0))
 
     def judge(sa: Column, sb: Column, head: Column, tail: Column) -> Column:
         def inside(la: Column, lb: Column, more: Column, less: Column) -> Column:
