@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ..operators.running import bucket_count, buckets_along, numbered, running_sum
+from ..operators.running import bucket_count, numbered, running_sum
 from .sharding import BITS, hash_bits
 from .tables import table
 
@@ -18,6 +18,8 @@ GOLDEN = 2654435769
 CELLS = 4096
 #: Blocks a source has at least (if it has the words), and words a block has at most.
 BLOCKS, BLOCK_WORDS = 1024, 1024
+#: Sources whose slots are added up together.
+SOME = 4096
 #: Slots a schedule has at most: beyond that the blocks get longer, so that slot * GOLDEN fits a long.
 SLOTS = 2**30
 
@@ -40,11 +42,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: flo
     """
     ranked = numbered(sources.select("source", "source_size"), [F.col("source").asc_nulls_last()], "rank")
     weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights)).cast("int") + 1))
-    bound = weighed.withColumn("bound", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("bound") / F.col("weight"))
-    total, weight = bound.agg(F.sum("source_size"), F.sum("weight")).first()
-    order = [F.col("ratio"), F.col("rank")]
-    capped = cut(running_sum(buckets_along(bound, "ratio"), [], "bucket", order, F.col("bound"), "taken"))
-    found = running_sum(capped, [], "bucket", order, F.col("weight"), "lighter")
+    bound = cut(weighed.withColumn("bound", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("bound") / F.col("weight")))
+    total, weight, low, high, count = bound.agg(F.sum("source_size"), F.sum("weight"), F.min("ratio"), F.max("ratio"), F.count("*")).first()
+    width = ((high - low) / bucket_count(count) if count else 0.0) or 1.0
+    along = bound.withColumn("bucket", F.floor((F.col("ratio") - F.lit(low or 0.0)) / F.lit(width)))
+    found = running_sum(along, [], "bucket", [F.col("ratio"), F.col("rank")], [F.col("bound"), F.col("weight")], ["taken", "lighter"])
     level = (F.lit(float(total or 0)) - F.col("taken")) / (F.lit(float(weight or 0)) - F.col("lighter"))
     # the levels at which the next source is open only fall from the first such source on
     highest = found.agg(F.max(F.when(level <= F.col("ratio"), level))).first()[0]
@@ -62,7 +64,8 @@ def plan_slots(sources: DataFrame, block_words: int, cap: float = 3) -> DataFram
         .withColumn("blocks", F.ceil(size / F.col("block")).cast("long"))
         .withColumn("slots", F.least(F.round(F.col("target") / F.col("block")).cast("long"), (F.col("blocks") * cap).cast("long")))
     )
-    return running_sum(buckets_along(planned, "rank"), [], "bucket", [F.col("rank")], F.col("slots"), "first").drop("bucket")
+    # ranks have no gaps, so buckets of some are even
+    return running_sum(planned.withColumn("bucket", F.floor(F.col("rank") / SOME)), [], "bucket", [F.col("rank")], F.col("slots"), "first").drop("bucket")
 
 
 def schedule(spark: SparkSession, planned: DataFrame) -> DataFrame:
