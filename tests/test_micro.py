@@ -308,6 +308,19 @@ def test_pseudo_bulk_subsets(spark):
     assert got == {(r["sample"], r["feature"]): r["x"] for r in prep.pseudo_bulk(counts, labels.repartition(7), 5).collect()}
 
 
+def test_hubs(spark):
+    """A point that is everybody's neighbour changes no overlap, whichever way it is counted."""
+    dice = np.random.default_rng(14)
+    near = {i: sorted({0, i, *map(int, dice.integers(1, 60, 5))}) for i in range(60)}
+    edges = spark.createDataFrame([(i, j) for i, js in near.items() for j in js], "src long, dst long")
+    shared = {(a, b): len(set(near[a]) & set(near[b])) for a in near for b in near}
+    got = {(r["src"], r["dst"]): r["w"] for r in neighbours.shared_neighbours(edges).collect()}
+    assert got == {(a, b): w for (a, b), w in shared.items() if a != b and b in near[a] and a in near[b]}
+    for prune in (0.0, 0.1, 0.3):
+        got = {(r["src"], r["dst"]): r["w"] for r in neighbours.jaccard_neighbours(edges, 7, prune).collect()}
+        assert got == pytest.approx({p: w / (14 - w) for p, w in shared.items() if w and w / (14 - w) >= prune})
+
+
 def test_unit_length(spark):
     """A zero vector stays as it is."""
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
