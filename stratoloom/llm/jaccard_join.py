@@ -361,8 +361,6 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
     alone = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     meet = cut(pairs.unionAll(alone))
     opened = cut(members.join(_bundles(meet, members), "gid").select("x", "y", "gid", "partners", "rep", "copies", "hi"))
-    weight = opened.agg(F.sum(F.lit(100) + 8 * F.size("partners"))).first()[0] or 0
-    few = F.broadcast(opened) if weight <= 1 << 24 else opened  # bytes, about
     wanted = spark.sparkContext.broadcast(_id_filter(opened))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +380,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hi, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rep", "hi", "tokens"])
 
     full = docs.mapInArrow(tokens, "rep long, hi long, tokens array<long>")
-    rows = full.join(few, ["rep", "hi"]).select("x", "y", "gid", "partners", "rep", "copies", "tokens")
+    # the opened sets grow with the corpus: the same join at every size, not a broadcast that stops fitting
+    rows = full.join(opened.hint("merge"), ["rep", "hi"]).select("x", "y", "gid", "partners", "rep", "copies", "tokens")
     found = cut(_verify(rows, percent))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
