@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from ..operators.components import connected_components
+from ..operators.running import bucket_count, running_sum
 from .shingles import U, mix, shingle_sets
 from .tables import small_batches, table
 
@@ -230,8 +231,18 @@ def open_groups(a: tuple[list, list, list], b: tuple[list, list, list] | None, p
         yield ids[k], ids[find(k)], int(links[k])
 
 
-def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """Opens bundles: rows (x, y, gid, partners, rep, copies, tokens), of one x and y together.
+def _spread(opened: DataFrame, tasks: int) -> DataFrame:
+    """``opened`` (x, y, n, ...) with ``task``: bundles laid end to end by their tokens and cut into equal parts, so that no task gets several large ones."""
+    sizes = cut(opened.groupBy("x", "y").agg(F.sum(F.col("n") + F.lit(100)).alias("size")))
+    total, count = sizes.agg(F.sum("size"), F.count("*")).first()
+    along = sizes.withColumn("bucket", F.pmod(F.xxhash64("x", "y"), F.lit(bucket_count(count))).cast("int"))
+    laid = running_sum(along, [], "bucket", [F.col("x"), F.col("y")], F.col("size"), "before")
+    task = F.least(F.floor(F.col("before") / F.lit((total or 1) / tasks)).cast("int"), F.lit(tasks - 1))
+    return opened.join(laid.select("x", "y", task.alias("task")), ["x", "y"])
+
+
+def _verify(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Opens bundles: rows (task, x, y, gid, partners, rep, copies, tokens), of one x and y together.
 
     A group is opened against each of its partners, itself among them if it has
     several members.
@@ -265,7 +276,7 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
         yield from close()
         yield _links(out)
 
-    dealt = rows.repartition("x", "y").sortWithinPartitions("x", "y", "gid", "rep")
+    dealt = rows.repartitionById(tasks, "task").sortWithinPartitions("x", "y", "gid", "rep")
     return dealt.mapInArrow(verify, "rep long, root long, links long")
 
 
@@ -360,7 +371,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
     pairs = _met(matrix, percent)
     alone = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     meet = cut(pairs.unionAll(alone))
-    opened = cut(members.join(_bundles(meet, members), "gid").select("x", "y", "gid", "partners", "rep", "copies", "hi"))
+    opened = cut(members.join(_bundles(meet, members), "gid").select("x", "y", "gid", "partners", "rep", "copies", "hi", "n"))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     wanted = spark.sparkContext.broadcast(_id_filter(opened))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,8 +393,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
 
     full = docs.mapInArrow(tokens, "rep long, hi long, tokens array<long>")
     # the opened sets grow with the corpus: the same join at every size, not a broadcast that stops fitting
-    rows = full.join(opened.hint("merge"), ["rep", "hi"]).select("x", "y", "gid", "partners", "rep", "copies", "tokens")
-    found = cut(_verify(rows, percent))
+    rows = full.join(_spread(opened, tasks).hint("merge"), ["rep", "hi"]).select("task", "x", "y", "gid", "partners", "rep", "copies", "tokens")
+    found = cut(_verify(rows, percent, tasks))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
     named = members.join(linked, "rep", "left").join(parts, "rep", "left").select(
