@@ -87,48 +87,8 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def encode(docs: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit).
-
-    ``lines`` is a rank file's content (base64 piece and rank a line), shipped
-    once to each executor; its size is that of the vocabulary, whatever the data.
-    Texts of at most ``chunk`` code points are one chunk.  Longer ones are dealt
-    out in overlapping chunks: each is pre-tokenised from its own start, and two
-    neighbours are stitched at the first pre-token end that both found in their
-    overlap, for matching from there on depends only on what follows.  Where an
-    overlap holds no common end (one token spans it), the two chunks become one
-    segment that is read on from its start, until every two neighbours are stitched.
-    The pieces between stitches are encoded in parallel and their ids put together by
-    document.
-
-    A null text is empty and has no ids; rows that repeat an id and text are one
-    result each, as often as they occur; null ids are kept.  Only the two named
-    columns are read; an empty table gives no rows.
-    """
-    small_batches(docs.sparkSession)
-    ranks = docs.sparkSession.sparkContext.broadcast(lines)
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    of_key = rows.schema["doc_id"].dataType
-    kind = of_key.simpleString()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks.value, pattern)
-
-        def found() -> Iterator[tuple]:
-            for batch in batches:
-                for name, body in zip(batch.column("doc_id").to_pylist(), _texts(batch, "text"), strict=True):
-                    ids = codec.encode(body)
-                    yield name, len(ids), ids.tobytes()
-
-        first = pa.schema([("doc_id", to_arrow_type(of_key)), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-        yield from _batches(found(), first, 2)
-
-    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {kind}, n_tokens long, ids binary")
-    # texts are named by their hash: copies are cut once, and ids may repeat or be null
-    long = rows.where(F.length("text") > chunk).withColumn("name", F.sha2("text", 256))
-    if long.isEmpty():
-        return short
-    spread = long.select("name", "text").dropDuplicates(["name"])
+def pieces_of(spread: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """Texts (name, text; no name twice) cut where chunks are stitched: name, k (from 1), part."""
     step = F.lit(chunk)
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +112,7 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", tex
     ends = cut(read(spread.select("name", "text", F.posexplode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step)))).select("name", "text", F.col("pos").alias("k"), F.lit(1).alias("m"))))
     while True:
         before = ends.select("name", (F.col("k") + F.col("m")).alias("k"), "tail")
-        stitched = cut(ends.join(before, ["name", "k"], "left").withColumn("cut", F.array_min(F.array_intersect("head", "tail")) + F.col("k") * step).drop("tail"))
+        stitched = cut(ends.drop("tail").join(before, ["name", "k"], "left").withColumn("cut", F.array_min(F.array_intersect("head", "tail")) + F.col("k") * step).drop("tail"))
         missing = stitched.where("k > 0 AND cut IS NULL")
         if missing.isEmpty():
             break
@@ -164,63 +124,10 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", tex
         ends = cut(kept.select("name", "k", "m", "head", "tail").unionAll(read(again.join(spread, "name"))))
     cuts = stitched.where("cut IS NOT NULL").groupBy("name").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     joined = spread.join(cuts, "name", "left").withColumn("cuts", F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce(F.col("cuts").cast("array<bigint>"), F.array().cast("array<bigint>")), F.array(F.length("text").cast("bigint"))))
-    pieces = joined.select("name", "text", "cuts", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)).alias("k")).select(
+    return joined.select("name", "text", "cuts", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)).alias("k")).select(
         "name", "k", F.expr("substring(text, CAST(cuts[k - 1] + 1 AS INT), CAST(cuts[k] - cuts[k - 1] AS INT))").alias("part")
     )
 
-    def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks.value, pattern)
-
-        def found() -> Iterator[tuple]:
-            for batch in batches:
-                for name, k, body in zip(batch.column("name").to_pylist(), batch.column("k").to_pylist(), _texts(batch, "part"), strict=True):
-                    yield name, k, codec.encode(body).tobytes()
-
-        yield from _batches(found(), pa.schema([("name", pa.string()), ("k", pa.int32()), ("ids", pa.binary())]), 2)
-
-    def put(pieces: pa.Table) -> pa.Table:
-        pieces = pieces.sort_by("k")
-        ids = b"".join(x.as_buffer() for x in pieces.column("ids"))
-        return pa.table({"name": pieces.column("name")[:1], "n_tokens": pa.array([len(ids) // 4], pa.int64()), "ids": pa.array([ids], pa.binary())})
-
-    # a text's ids meet where the text is put together: its own size, whatever the table's
-    coded = pieces.repartition("name", "k").mapInArrow(encode_pieces, "name string, k int, ids binary")
-    done = long.select("doc_id", "name").join(coded.groupBy("name").applyInArrow(put, "name string, n_tokens long, ids binary"), "name").select("doc_id", "n_tokens", "ids")
-    return short.unionAll(done)
-
-
-def decode(self, ids: np.ndarray) -> bytes:
-        """The raw bytes of the ids, one after another."""
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
-
-
-def boundaries(pattern: regex.Pattern, text: str) -> np.ndarray:
-    """Where pre-tokens end in ``text`` after something other than white space.
-
-    Such an end splits safely: no match before it looks beyond it, and no match
-    after it looks back.  (After white space a split would change what the
-    look-ahead sees.)
-    """
-    return np.array([m.end() for m in pattern.finditer(text) if not text[m.end() - 1].isspace()], np.int64)
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema, sized: int) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of about BATCH bytes in the column ``sized``."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[sized]) + 64
-        if size >= BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-
-
-def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
-    for x in batch.column(name):
-        yield x.as_py() or ""
-
 
 def encode(docs: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit).
@@ -264,34 +171,7 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", tex
     if long.isEmpty():
         return short
     spread = long.select("name", "text").dropDuplicates(["name"])
-    step = F.lit(chunk)
-    chunks = spread.select("name", "text", F.posexplode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step)))).select(
-        "name", F.col("pos").alias("k"), F.substring("text", F.col("pos") * step + 1, F.lit(chunk + overlap)).alias("part"), (F.length("text") - F.col("pos") * step).alias("left")
-    )
-
-    def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = regex.compile(pattern)
-        for batch in batches:
-            heads, tails = [], []
-            for body, left in zip(_texts(batch, "part"), batch.column("left").to_pylist(), strict=True):
-                ends = boundaries(splitter, body)
-                if left > len(body):  # the last tokens may look beyond what this chunk reads
-                    ends = ends[ends <= len(body) - 4]
-                heads.append(ends[ends <= overlap].tolist())
-                tails.append((ends[(ends >= chunk)] - chunk).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("k"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["name", "k", "head", "tail"])
-
-    ends = cut(chunks.repartition("name", "k").mapInArrow(pretokenise, "name string, k int, head array<int>, tail array<int>"))
-    before = ends.select("name", (F.col("k") + 1).alias("k"), "tail")
-    stitched = ends.select("name", "k", "head").join(before, ["name", "k"]).select("name", "k", (F.array_min(F.array_intersect("head", "tail")) + F.col("k") * step).alias("cut"))
-    # one number for every chunk of a text; after a missing stitch the later ones are unproven and left out
-    cuts = stitched.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("k", "cut"))).alias("all"), F.min(F.when(F.col("cut").isNull(), F.col("k"))).alias("gap")).select(
-        "name", F.expr("transform(filter(all, x -> gap IS NULL OR x.k < gap), x -> x.cut)").alias("cuts")
-    )
-    joined = spread.join(cuts, "name", "left").withColumn("cuts", F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce(F.col("cuts").cast("array<bigint>"), F.array().cast("array<bigint>")), F.array(F.length("text").cast("bigint"))))
-    pieces = joined.select("name", "text", "cuts", F.explode(F.sequence(F.lit(1), F.size("cuts") - 1)).alias("k")).select(
-        "name", "k", F.expr("substring(text, CAST(cuts[k - 1] + 1 AS INT), CAST(cuts[k] - cuts[k - 1] AS INT))").alias("part")
-    )
+    pieces = pieces_of(spread, pattern, chunk, overlap)
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks.value, pattern)
@@ -303,10 +183,14 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, key: str = "doc_id", tex
 
         yield from _batches(found(), pa.schema([("name", pa.string()), ("k", pa.int32()), ("ids", pa.binary())]), 2)
 
+    def put(pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by("k")
+        ids = b"".join(x.as_buffer() for x in pieces.column("ids"))
+        return pa.table({"name": pieces.column("name")[:1], "n_tokens": pa.array([len(ids) // 4], pa.int64()), "ids": pa.array([ids], pa.binary())})
+
+    # a text's ids meet where the text is put together: its own size, whatever the table's
     coded = pieces.repartition("name", "k").mapInArrow(encode_pieces, "name string, k int, ids binary")
-    ids = F.unhex(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: F.hex(x["ids"]))))
-    put = coded.groupBy("name").agg(ids.alias("ids"))
-    done = long.select("doc_id", "name").join(put, "name").select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    done = long.select("doc_id", "name").join(coded.groupBy("name").applyInArrow(put, "name string, n_tokens long, ids binary"), "name").select("doc_id", "n_tokens", "ids")
     return short.unionAll(done)
 
 

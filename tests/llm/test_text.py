@@ -46,6 +46,21 @@ def test_bpe_resumes(spark):
         assert bytes(r["ids"]) == want and r["n_tokens"] == len(want) // 4
 
 
+def test_bpe_pieces(spark):
+    """Behind a run without a stitch a text still falls into many pieces, none much longer than the run."""
+    _, pattern = byte_bpe.public_ranks()
+    prose = "word and 12, " * 20
+    texts = [prose + "q" * 900 + prose * 24, *(f"{k} " + prose * k for k in range(10, 40))]
+    spread = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "name string, text string")
+    found: dict[str, dict[int, str]] = {}
+    for r in byte_bpe.pieces_of(spread, pattern, 200, 40).collect():
+        found.setdefault(r["name"], {})[r["k"]] = r["part"]
+    for i, t in enumerate(texts):
+        parts = [part for _, part in sorted(found[str(i)].items())]
+        assert "".join(parts) == t and len(parts) >= len(t) // 400
+    assert len(texts[0]) > 7000 and len(found["0"]) > 20 and max(map(len, found["0"].values())) < 1400
+
+
 def test_bpe_cases(spark):
     """Null and repeated ids; no rows; the digests of the query."""
     lines, pattern = byte_bpe.public_ranks()
