@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -315,8 +315,10 @@ def _met(matrix: DataFrame, percent: int) -> DataFrame:
     early enough, as any two members must; for groups the test takes the least place
     and the sizes that allow most.
     """
-    held = matrix.repartition("token").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("k"))
-    shared = cut(held.withColumn("groups", F.count("*").over(Window.partitionBy("token"))).where("groups > 1"))
+    # rows of a common token meet nowhere: they are combined by token and group, and only its groups are counted
+    held = matrix.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("k"))
+    groups = held.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    shared = cut(held.join(groups.hint("merge"), "token"))
     blocks = F.ceil(F.col("groups") / F.lit(LISTED)).cast("int")
     own = F.pmod(F.xxhash64("gid"), blocks).cast("int")
     dealt = shared.select("token", F.struct("gid", "low", "high", "k").alias("x"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
