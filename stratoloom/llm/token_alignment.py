@@ -16,6 +16,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ BUCKETS = 64
 #: Bytes of a part's packed postings that one stream reads, about; larger parts have several streams.
 STREAM = 1 << 27
 #: Distinct pieces of texts that a worker remembers, and pairs that a task counts before it passes them on.
-PIECES, COUNTED = 100_000, 1 << 20
+PIECES, COUNTED = 250_000, 1 << 20
 #: Two or more white spaces together, or white space at an end: such texts are cut with more care.
 UNEVEN = re.compile(r"\s\s|^\s|\s$")
 #: A space between two characters that aren't white space.
@@ -45,6 +46,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+
+
 class Sides:
     """Both tokenizers and what a worker has aligned so far.
 
@@ -73,6 +79,8 @@ class Sides:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        named = lambda side, end: np.array([f"{i}{end}" for i in range(len(side))], object)
+        self.a_more, self.a_last, self.b_more, self.b_last = named(self.a_bytes, ","), named(self.a_bytes, "|"), named(self.b_bytes, ","), named(self.b_bytes, ";")
         self.all_pairs = len(self.a_bytes) * len(self.b_bytes)
         before = json.loads(first).get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any("▁" in p.lstrip("▁") for p in pieces)
@@ -105,42 +113,56 @@ class Sides:
 
     def learn(self, new: list[str]) -> None:
         """Aligns pieces not seen before, all at once."""
-        raw = [f" {p}".encode() for p in new]
-        a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
+        spaced = [f" {p}" for p in new]
+        raw = [p.encode() for p in spaced]
+        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b = self.b.encode(new, num_threads=1)
-        good = np.array([b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)], bool)
+        good = self._same(raw, a, b)
         kept = np.flatnonzero(good)
-        ids_a, ids_b = (np.array([i for k in kept.tolist() for i in side[k]], np.int64) for side in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(side if good.all() else [side[k] for k in kept.tolist()]), np.int64) for side in (a, b))
         ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
-        ends = np.cumsum([len(raw[k]) for k in kept.tolist()], dtype=np.int64)
+        ends = np.cumsum(np.array(list(map(len, raw)), np.int64)[kept])
         # between two neighbouring ends of any side lies one overlap of one token of each
-        both, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b)
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        both, common = both[_starts(both)], both[1:][both[1:] == both[:-1]]
         pairs = self.pair(ids_a[np.searchsorted(ends_a, both)], ids_b[np.searchsorted(ends_b, both)])
         numbers = np.zeros((4, len(new)), np.int64)
         for row, at in enumerate((ends_a, ends_b, common, both)):
             numbers[row, kept] = np.diff(np.searchsorted(at, ends, "right"), prepend=0)
-        cuts_a, cuts_b = (np.concatenate([[0], np.searchsorted(at, common) + 1]).tolist() for at in (ends_a, ends_b))
-        named_a, named_b = (list(map(str, ids.tolist())) for ids in (ids_a, ids_b))
-        groups = [",".join(named_a[cuts_a[g] : cuts_a[g + 1]]) + "|" + ",".join(named_b[cuts_b[g] : cuts_b[g + 1]]) for g in range(len(common))]
-        done = np.concatenate([[0], np.cumsum(numbers[2])]).tolist()
-        self.texts.extend(";".join(groups[i:j]) for i, j in zip(done[:-1], done[1:], strict=True))
-        for p in new:
-            self.index[p] = len(self.index)
+        # a token's name and what stands behind it; tokens in the order of groups, the first side's first
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        named = np.concatenate([np.where(common[group_a] == ends_a, self.a_last[ids_a], self.a_more[ids_a]), np.where(common[group_b] == ends_b, self.b_last[ids_b], self.b_more[ids_b])])
+        named = named[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        done = np.concatenate([[0], np.cumsum(numbers[0] + numbers[1])]).tolist()
+        self.texts.extend("".join(named[i:j])[:-1] for i, j in zip(done[:-1], done[1:], strict=True))
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.numbers = np.concatenate([self.numbers, numbers], axis=1)
         self.good = np.concatenate([self.good, good])
         self.pairs = np.concatenate([self.pairs, pairs])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(numbers[3])])
 
+    def _same(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether both sides' bytes are a piece's."""
+        all_bytes = b"".join(raw)
+        ends = np.cumsum(np.array(list(map(len, raw)), np.int64))
+        for side, names, sizes in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
+            ids = list(chain.from_iterable(side))
+            total = np.concatenate([[0], np.cumsum(sizes[np.array(ids, np.int64)])])
+            if b"".join(map(names.__getitem__, ids)) != all_bytes or (total[np.cumsum(list(map(len, side)))] != ends).any():
+                # some piece is changed: one by one
+                return np.array([b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)], bool)
+        return np.ones(len(raw), bool)
+
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Numbers (tokens, groups, links) and the groups' digest of each text; postings: pairs, texts, multiplicities, sorted."""
         if len(self.index) > PIECES:
             self.forget()
         split = [self.parts(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for parts in split for p in parts if p not in self.index))
+        new = list(set().union(*split).difference(self.index))
         if new:
             self.learn(new)
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in split])
-        piece = np.array([self.index[p] for parts in split for p in parts], np.int64)
+        piece = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64)
         whole = np.bincount(owner[~self.good[piece]], minlength=len(texts)) == 0
         numbers = np.array([np.bincount(owner, row[piece], len(texts)) for row in self.numbers]).astype(np.int64) * whole
         edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
@@ -151,14 +173,16 @@ class Sides:
             else:
                 digests.append("")
         # a piece of a text counts once with its occurrences, before its pairs are laid out
-        keys, times = np.unique((owner * len(self.index) + piece)[whole[owner]], return_counts=True)
+        keys = np.sort((owner * len(self.index) + piece)[whole[owner]])
+        starts = _starts(keys)
+        keys, times = keys[starts], np.diff(starts, append=len(keys))
         owner, piece = np.divmod(keys, max(len(self.index), 1))
         many = self.numbers[3][piece]
         at = np.arange(many.sum()) + np.repeat(self.first[piece] - (np.cumsum(many) - many), many)
         keys = self.pairs[at] * len(texts) + np.repeat(owner, many)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        starts = _starts(keys)
         summed = np.add.reduceat(np.repeat(times, many)[order], starts) if len(starts) else np.zeros(0, np.int64)
         pairs, owner = np.divmod(keys[starts], max(len(texts), 1))
         return numbers, digests, (pairs, owner, summed)
@@ -185,11 +209,6 @@ def unpack(packed: bytes) -> list[np.ndarray]:
     return arrays
 
 
-def _starts(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
-
-
 def pack_postings(pairs: np.ndarray, owner: np.ndarray, times: np.ndarray) -> bytes:
     """Postings sorted by pair and text: pairs once, texts as steps."""
     starts = _starts(pairs)
