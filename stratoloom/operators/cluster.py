@@ -85,14 +85,6 @@ def mixture(points: DataFrame, k: int, seed: int = 0, rounds: int = 100, tol: fl
     return points.select("cell", "v").mapInPandas(assign, "cell long, cluster int")
 
 
-def spectral(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(cell, cluster) by power iteration on a graph (src, dst, w)."""
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    e = edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w"))
-    return PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="w").assignClusters(e).select(F.col("id").alias("cell"), "cluster")
-
-
 def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of a labeling (cell, cluster) of an undirected graph whose edges come in both directions."""
     e = edges.join(clusters.select(F.col("cell").alias("src"), F.col("cluster").alias("c1")), "src").join(clusters.select(F.col("cell").alias("dst"), F.col("cluster").alias("c2")), "dst")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, geometry_metrics, graph, neighbours, prep, reduce
+from ..operators import cluster, geometry_metrics, graph, neighbours, prep, reduce, spectral
 from ..sources import roles
 from ..sources.roles import with_roles
 from .preparation import cells_of, rounded
@@ -268,7 +268,16 @@ query("n14_row_z_scores", with_roles("emb", body=", z AS (SELECT cell, v, list_a
     lambda s, d: rounded(emb(s, d).select("cell", F.posexplode(reduce.row_z_scores(F.col("v"))).alias("d", "x")), "x")
 )
 query("c1_communities", None)(lambda s, d: cluster.communities(both_ways(s, d)))
-query("c3_spectral", None)(lambda s, d: cluster.spectral(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0)), 5))
+
+
+
+def overlaps(s, d):
+    """Jaccard shares of the evaluation graph, without loops: the adjacency that is clustered."""
+    return neighbours.jaccard_neighbours(knn20(s, d), 20).where("src <> dst")
+
+
+query("c3_spectral", None)(lambda s, d: spectral.clusters(overlaps(s, d), 5))
+query("c3_spectral_vectors", None)(lambda s, d: spectral.embedding(overlaps(s, d), 5)[1])
 query("c4_kmeans", None)(lambda s, d: cluster.kmeans(emb(s, d), 10))
 query("c5_mixture", None)(lambda s, d: cluster.mixture(roles.coordinates(emb(s, d)), 5))
 query("c2_louvain", None)(lambda s, d: cluster.communities(both_ways(s, d), refine=False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, geometry_metrics, graph, prep, recipes
+from ..operators import cluster, encoder, geometry_metrics, graph, layout, neighbours, partition, prep, processes, recipes
 from ..sources import roles
 from ..sources.roles import with_roles
 from .graphs import KNN20, coords, emb, knn20, m1, m2, nearest, unit
@@ -138,3 +138,80 @@ def typed(s, d):
 
 
 query("c6_communities_wanted", None)(lambda s, d: cluster.communities_of(graph.symmetric(knn20(s, d)).withColumn("w", F.lit(1.0)), 8))
+
+
+def measured(s, d):
+    """Places of the first batch with two measured values and their variances."""
+    y, noise = F.array(F.col("v")[2], F.col("v")[3]), F.array(0.1 + F.abs(F.col("v")[4]), 0.1 + F.abs(F.col("v")[5]))
+    return emb(s, d).where("batch = 0").select("cell", F.slice("v", 1, 2).alias("v"), y.alias("y"), noise.alias("noise"))
+
+
+def process(s, d):
+    """A process over the measured places, with a grid of 5 by 5 inducing points."""
+    return processes.SparseProcess(processes.grid_of(measured(s, d), 5), "cauchy", 1.0, 1e-6).fit(measured(s, d))
+
+
+def unmeasured(s, d):
+    """Places of the other batches."""
+    return roles.coordinates(emb(s, d).where("batch <> 0"))
+
+
+def steps(at: str) -> str:
+    """Gauss-Jordan steps without exchange, for positive definite matrices: rows a with the right side behind."""
+    return f"""SELECT p + 1 AS p, list_transform(a, lambda r, i: CASE WHEN i = p + 1 THEN list_transform(r, lambda x: x / a[p + 1][p + 1]) ELSE list_transform(r, lambda x, j: x - r[p + 1] * a[p + 1][j] / a[p + 1][p + 1]) END) AS a FROM {at} WHERE p < 25"""
+
+
+MEAN = """, kn AS MATERIALIZED (SELECT cell, v[1] AS x, v[2] AS y, v[3] AS t0, v[4] AS t1, 0.1 + abs(v[5]) AS n0, 0.1 + abs(v[6]) AS n1 FROM emb WHERE batch = 0),
+ind AS MATERIALIZED (SELECT a * 5 + b + 1 AS i, x0 + a * (x1 - x0) / 4 AS x, y0 + b * (y1 - y0) / 4 AS y FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM kn), range(5) p(a), range(5) q(b)),
+k AS MATERIALIZED (SELECT cell, i, 1 / (1 + power(kn.x - ind.x, 2) + power(kn.y - ind.y, 2)) AS k, t0, t1, n0, n1 FROM kn, ind),
+mm AS (SELECT p.i, q.i AS j, 1 / (1 + power(p.x - q.x, 2) + power(p.y - q.y, 2)) + CASE WHEN p.i = q.i THEN 1e-6 ELSE 0 END AS m FROM ind p, ind q),
+s AS MATERIALIZED (SELECT p.i, q.i AS j, sum(p.k * q.k / p.n0) AS s0, sum(p.k * q.k / p.n1) AS s1 FROM k p JOIN k q USING (cell) GROUP BY ALL),
+rows AS (SELECT i, list(m + s0 ORDER BY j) AS r0, list(m + s1 ORDER BY j) AS r1 FROM mm JOIN s USING (i, j) GROUP BY i),
+b AS (SELECT i, sum(k * t0 / n0) AS b0, sum(k * t1 / n1) AS b1 FROM k GROUP BY i),
+g0 AS (SELECT 0 AS p, list(list_append(r0, b0) ORDER BY i) AS a FROM rows JOIN b USING (i) UNION ALL """ + steps("g0") + """),
+g1 AS (SELECT 0 AS p, list(list_append(r1, b1) ORDER BY i) AS a FROM rows JOIN b USING (i) UNION ALL """ + steps("g1") + """),
+w AS (SELECT i, g0.a[i][26] AS w0, g1.a[i][26] AS w1 FROM g0, g1, ind WHERE g0.p = 25 AND g1.p = 25)
+SELECT cell, round(sum(w0 / (1 + power(v[1] - x, 2) + power(v[2] - y, 2))), 6) AS mean0, round(sum(w1 / (1 + power(v[1] - x, 2) + power(v[2] - y, 2))), 6) AS mean1 FROM emb, ind JOIN w USING (i) WHERE batch <> 0 GROUP BY cell"""
+query("t13_process_mean", with_roles("emb", body=MEAN, recursive=True))(
+    lambda s, d: rounded(process(s, d).predict(unmeasured(s, d)).select("cell", *[F.col("mean")[i].alias(f"mean{i}") for i in (0, 1)]), "mean0", "mean1")
+)
+query("t13_process_variance", None)(lambda s, d: process(s, d).predict(unmeasured(s, d)).select("cell", *[F.col("var")[i].alias(f"var{i}") for i in (0, 1)]))
+
+
+def unseen_counts(s, d):
+    """Event counts at the other batches' places: latent numbers by process and nearest place, decoded linearly."""
+    e = emb(s, d)
+    z = F.slice("v", 3, 4)
+    known = e.where("batch = 0").join(users(s, d), "cell", "left_semi").select("cell", F.slice("v", 1, 2).alias("v"), z.alias("z"), F.transform(z, lambda x: 0.1 + F.abs(x)).alias("spread"))
+    gp = known.select("cell", "v", F.slice("z", 1, 2).alias("y"), F.slice("spread", 1, 2).alias("noise"))
+    fitted = processes.SparseProcess(processes.grid_of(gp, 4), jitter=1e-6).fit(gp)
+    decoder = processes.LinearDecoder().fit(known.select("cell", F.col("z").alias("v")), roles.adt(s, d))
+    return decoder.decode(processes.latents_at(fitted, known, unmeasured(s, d)).select("cell", "v"))
+
+
+query("t13_unseen_counts", None)(unseen_counts)
+
+
+def weighed(s, d):
+    """The evaluation graph in both directions, every edge of weight 1."""
+    return graph.symmetric(knn20(s, d).where("src <> dst")).withColumn("w", F.lit(1.0))
+
+
+query("d6_layout", None)(lambda s, d: layout.layout(emb(s, d)))
+query("t10_partition", None)(lambda s, d: partition.partition(weighed(s, d), 8))
+query("t10_batches", None)(lambda s, d: partition.mini_batches(weighed(s, d), partition.partition(weighed(s, d), 8), 2))
+
+
+def looped(points, k: int, metric: str = "euclidean"):
+    """A normalised symmetric graph of the k nearest, with loops."""
+    return graph.normalised(graph.symmetric(neighbours.knn(points, points, k, metric, itself=False)).withColumn("w", F.lit(1.0)), points.select("cell"))
+
+
+def trained(s, d):
+    """The two halves' encoder, after ten steps."""
+    one, two = m1(s, d).select("cell", "v"), m2(s, d).select("cell", "v")
+    model = encoder.Encoder((one, two), looped(coords(s, d).select("cell", "v"), 3), (looped(one, 20, "correlation"), looped(two, 20, "correlation")), 16)
+    return model.encoded(model.train(10, 0.01).parameters)
+
+
+query("t2_attention_encoder", None)(trained)
