@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -306,8 +306,20 @@ def _links(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "root", "links"])
 
 
-def _met(matrix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (a < b) to open, from rows ``matrix`` (token, gid, n, k).
+def _common(tokens: DataFrame, tasks: int) -> DataFrame:
+    """(token, times): tokens that fill a twentieth of a task or more, of rows (doc_id, prefix).
+
+    One document in 64 shows them.  Only the way that a token's rows go depends on it,
+    not what comes out; at most twenty times ``tasks`` can be found.
+    """
+    seen = tokens.where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(64)) == 0)
+    rows = seen.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    counted = seen.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times"))
+    return cut(counted.where(F.col("times") >= max(8.0, rows / (20 * tasks))))
+
+
+def _met(matrix: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (a < b) to open, from rows ``matrix`` (token, gid, n, k) and the ``common`` tokens.
 
     Sets of n and m tokens that link share t, at least percent / (100 + percent) *
     (n + m), so the r-th token they share, in the global order, has at most n (or
@@ -315,10 +327,13 @@ def _met(matrix: DataFrame, percent: int) -> DataFrame:
     early enough, as any two members must; for groups the test takes the least place
     and the sizes that allow most.
     """
-    # rows of a common token meet nowhere: they are combined by token and group, and only its groups are counted
-    held = matrix.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("k"))
-    groups = held.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    shared = cut(held.join(groups.hint("merge"), "token"))
+    joined = matrix.join(F.broadcast(common), "token", "left")
+    first = [F.min("n").alias("low"), F.max("n").alias("high"), F.min("k").alias("k")]
+    rare = joined.where("times IS NULL").repartition("token").groupBy("token", "gid").agg(*first).withColumn("groups", F.count("*").over(Window.partitionBy("token")))
+    # rows of a common token meet nowhere: they are combined by token and group, and its groups counted by aggregation
+    held = joined.where("times IS NOT NULL").groupBy("token", "gid").agg(*first)
+    often = held.join(F.broadcast(held.groupBy("token").agg(F.count("*").alias("groups"))), "token")
+    shared = cut(rare.unionByName(often).where("groups > 1"))
     blocks = F.ceil(F.col("groups") / F.lit(LISTED)).cast("int")
     own = F.pmod(F.xxhash64("gid"), blocks).cast("int")
     dealt = shared.select("token", F.struct("gid", "low", "high", "k").alias("x"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -370,11 +385,11 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
     members = cut(classes.join(blocks, F.col("least") == F.col("__least"), "left").select("hi", "lo", "rep", "copies", "n", gid.alias("gid")))
     tokens_of = sets.where(usable).join(blocks, F.col("least") == F.col("__least"), "left")
     matrix = tokens_of.select(gid.alias("gid"), "n", F.posexplode("prefix").alias("k", "token"))
-    pairs = _met(matrix, percent)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = _met(matrix, _common(sets.where(usable), tasks), percent)
     alone = members.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     meet = cut(pairs.unionAll(alone))
     opened = cut(members.join(_bundles(meet, members), "gid").select("x", "y", "gid", "partners", "rep", "copies", "hi", "n"))
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     wanted = spark.sparkContext.broadcast(_id_filter(opened))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
