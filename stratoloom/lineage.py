@@ -29,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_anew(df: DataFrame) -> DataFrame:
+    """As ``cut``, and the planner forgets how large it took the rows to be.
+
+    A checkpoint keeps the estimate of what it came from, and a join multiplies its sides' estimates:
+    in loops of joins they grow to numbers of millions of digits, and planning never ends.
+    """
+    done = cut(df)
+    rows = done._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), df.sparkSession)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, written once: to be broadcast if it turns out to have at most ``rows`` rows, else like any other."""
     df = cut(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut, release
+from ..lineage import cut_anew, release
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:
@@ -54,14 +54,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     count and a checksum per round reaches the driver; each round is cut off
     through the shared checkpoint folder, and its predecessor's files are deleted.  Self loops and nulls are ignored.
     """
-    now = cut(
+    now = cut_anew(
         edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
         .where("src is not null and dst is not null and src <> dst")
         .distinct()
     )
     mark = None
     for _ in range(max_rounds):
-        last, now = now, cut(_small_star(_large_star(now)))
+        last, now = now, cut_anew(_small_star(_large_star(now)))
         release(last)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == mark:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut, release
+from ..lineage import cut_anew, release
 from . import cluster, reduce
 
 
@@ -27,7 +27,7 @@ def row_affinity(edges: DataFrame, gamma: float = 1.0) -> tuple[DataFrame, DataF
     held = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
     ends = edges.select(F.col("src").alias("cell")).unionAll(edges.select(F.col("dst").alias("cell"))).distinct()
     squares = held.groupBy(F.col("src").alias("cell")).agg(F.sum(F.col("w") * F.col("w")).alias("n"))
-    nodes = cut(ends.join(squares, "cell", "left").fillna(0.0, ["n"]))
+    nodes = cut_anew(ends.join(squares, "cell", "left").fillna(0.0, ["n"]))
     dot = held.join(held.select(F.col("src").alias("other"), "dst", F.col("w").alias("w2")), "dst").groupBy("src", F.col("other").alias("dst")).agg(F.sum(F.col("w") * F.col("w2")).alias("s"))
     both = dot.join(nodes.select(F.col("cell").alias("src"), F.col("n").alias("n1")), "src").join(nodes.select(F.col("cell").alias("dst"), F.col("n").alias("n2")), "dst")
     apart = F.col("n1") + F.col("n2")
@@ -43,9 +43,9 @@ class Operator:
         sums = pairs.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("w"))
         degree = F.coalesce("w", F.lit(0.0)) + F.col("e") * total
         scale = F.when(degree > 0, 1 / F.sqrt(degree)).otherwise(0.0)
-        self.nodes = cut(nodes.join(sums, "cell", "left").select("cell", scale.alias("scale"), (F.col("e") * scale).alias("u"), F.sqrt(degree).alias("root")))
+        self.nodes = cut_anew(nodes.join(sums, "cell", "left").select("cell", scale.alias("scale"), (F.col("e") * scale).alias("u"), F.sqrt(degree).alias("root")))
         ends = lambda name, to: self.nodes.select(F.col("cell").alias(name), F.col("scale").alias(to))
-        self.pairs = cut(pairs.join(ends("src", "s1"), "src").join(ends("dst", "s2"), "dst").select("src", "dst", (F.col("w") * F.col("s1") * F.col("s2")).alias("w")))
+        self.pairs = cut_anew(pairs.join(ends("src", "s1"), "src").join(ends("dst", "s2"), "dst").select("src", "dst", (F.col("w") * F.col("s1") * F.col("s2")).alias("w")))
 
     def times(self, x: DataFrame, along: np.ndarray) -> DataFrame:
         """(cell, y): the product with (cell, u, v), where ``along`` holds the sums of u times each column of v."""
@@ -108,9 +108,9 @@ def largest(operator: Operator, k: int, tol: float = 1e-7, rounds: int = 200, se
         axes = axes[:, kept] / np.sqrt(values[kept])
         turn = np.vstack([-inner @ axes, axes])
         fresh = axes.shape[1]
-        rows = cut(_orthogonal(rows, turn))
+        rows = cut_anew(_orthogonal(rows, turn))
         product = operator.times(rows, g[-1, :-1] @ turn)
-        with_product = cut(rows.join(product, "cell").select("cell", "u", F.concat("b", "v").alias("b"), F.concat("p", "y").alias("p")))
+        with_product = cut_anew(rows.join(product, "cell").select("cell", "u", F.concat("b", "v").alias("b"), F.concat("p", "y").alias("p")))
         release(rows)
         rows = with_product
         width += fresh
@@ -132,7 +132,7 @@ def largest(operator: Operator, k: int, tol: float = 1e-7, rounds: int = 200, se
         turn[:width, :many], turn[width:, many : 2 * many], turn[:, 2 * many :] = keep, keep, residual[:, open_] / size[open_]
         rows = _mapped(rows, turn, many)
         width = many
-    out = cut(reduce.turned(rows.select("cell", F.col("b").alias("v")), axes[:, :k], "cell"))
+    out = cut_anew(reduce.turned(rows.select("cell", F.col("b").alias("v")), axes[:, :k], "cell"))
     ends = out.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.max_by("x", F.struct(F.abs("x"), "x")).alias("x")).orderBy("i").collect()  # k rows
     return values[:k], reduce.turned(out, np.diag([1.0 if r["x"] >= 0 else -1.0 for r in ends]), "cell")
 
@@ -142,7 +142,7 @@ def embedding(edges: DataFrame, k: int, gamma: float = 1.0, tol: float = 1e-7, s
     operator = Operator(*row_affinity(edges, gamma))
     values, vectors = largest(operator, k, tol, seed=seed)
     scaled = vectors.join(operator.nodes.select("cell", "scale"), "cell").select("cell", F.transform("v", lambda x: x * F.col("scale")).alias("v"))
-    return values, cut(scaled)
+    return values, cut_anew(scaled)
 
 
 def clusters(edges: DataFrame, k: int, gamma: float = 1.0, seed: int = 0) -> DataFrame:
