@@ -338,10 +338,11 @@ def clusters_of(points: DataFrame, k: int, method: str = "kmeans", seed: int = 0
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(cell, cluster): the nearest of a few centroids (cluster, c), the smallest of equals."""
-    d = F.aggregate(F.zip_with("v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = points.crossJoin(small(centroids)).select("cell", "cluster", d.alias("d"))
-    return pairs.groupBy("cell").agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
+    """(cell, cluster): the nearest of a few centroids (cluster, c), the smallest of equals; each row looks through all of them, in one array."""
+    held = small(centroids.agg(F.collect_list(F.struct("cluster", "c")).alias("held")))  # one row
+    far = lambda c: F.aggregate(F.zip_with("v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("held", lambda h: F.struct(far(h["c"]).alias("d"), h["cluster"].alias("cluster"))))
+    return points.crossJoin(held).where(F.size("held") > 0).select("cell", best["cluster"].alias("cluster"))
 
 
 def centroids(points: DataFrame, label: str, dim: int) -> DataFrame:

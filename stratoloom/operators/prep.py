@@ -111,6 +111,15 @@ def inducing_points(spark, steps: int, span: float) -> DataFrame:
     return at("x").crossJoin(at("y"))
 
 
+def inducing_grid(points: DataFrame, steps: int) -> DataFrame:
+    """(x, y): a grid of steps by steps points over the extent of ``points`` (x, y); none of no points."""
+    ends = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("x0 IS NOT NULL")
+    at = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
+    grid = ends.select("*", at.alias("a")).select("*", at.alias("b"))
+    along = lambda low, high, i: F.col(low) + F.col(i) * ((F.col(high) - F.col(low)) / F.lit(max(1, steps - 1)))
+    return grid.select(along("x0", "x1", "a").alias("x"), along("y0", "y1", "b").alias("y"))
+
+
 def flip(points: DataFrame, axis: str = "x") -> DataFrame:
     """One axis mirrored."""
     return points.withColumn(axis, -F.col(axis))

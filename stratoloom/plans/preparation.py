@@ -115,6 +115,9 @@ query("p23_rescale", with_roles("coords", body=", e AS (SELECT min(x) AS a, max(
     lambda s, d: rounded(prep.rescale(roles.coordinates(roles.embeddings(s, d)).select("cell", "x", "y"), 20.0), "x", "y")
 )
 query("p24_inducing_points", "SELECT a * (20.0::DOUBLE / 5) AS x, b * (20.0::DOUBLE / 5) AS y FROM range(6) p(a), range(6) q(b)")(lambda s, d: prep.inducing_points(s, 6, 20.0))
+query("p24_inducing_grid", with_roles("coords", body=" SELECT round(x0 + a * ((x1 - x0) / 5), 6) AS x, round(y0 + b * ((y1 - y0) / 5), 6) AS y FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM coords), range(6) p(a), range(6) q(b)"))(
+    lambda s, d: rounded(prep.inducing_grid(roles.coordinates(roles.embeddings(s, d)), 6), "x", "y")
+)
 query("p26_fragments", with_roles("counts", body=" SELECT cell, feature, ceil(x / 2)::BIGINT AS x FROM counts"))(lambda s, d: prep.reads_to_fragments(roles.counts(s, d)))
 query("p27_codes", "SELECT s_suppkey, s_nationkey, (dense_rank() OVER (ORDER BY s_nationkey) - 1)::INT AS code FROM supplier")(
     lambda s, d: prep.codes(roles.table(s, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey").select("s_suppkey", "s_nationkey", "code")
