@@ -12,6 +12,7 @@ from ..lineage import small
 from .graph import component_share
 from .neighbours import knn
 from .prep import codes
+from .running import quantile
 
 
 def neighbour_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -30,14 +31,14 @@ def lisi(edges: DataFrame, labels: DataFrame, least: int = 5) -> DataFrame:
 def ilisi(edges: DataFrame, batches: DataFrame) -> DataFrame:
     """One row: (median LISI - 1) / (batches - 1), 0 for one batch (batches: cell, label)."""
     kinds = batches.agg(F.count_distinct("label").alias("b"))
-    median = lisi(edges, batches).agg(F.percentile("lisi", F.lit(0.5)).alias("m"))
+    median = quantile(lisi(edges, batches), "lisi", 0.5, "m")
     return median.crossJoin(kinds).select(F.when(F.col("b") > 1, (F.col("m") - 1) / (F.col("b") - 1)).otherwise(0.0).alias("ilisi"))
 
 
 def clisi(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: (labels - median LISI) / (labels - 1), 0 for one label."""
     kinds = labels.agg(F.count_distinct("label").alias("b"))
-    median = lisi(edges, labels).agg(F.percentile("lisi", F.lit(0.5)).alias("m"))
+    median = quantile(lisi(edges, labels), "lisi", 0.5, "m")
     return median.crossJoin(kinds).select(F.when(F.col("b") > 1, (F.col("b") - F.col("m")) / (F.col("b") - 1)).otherwise(0.0).alias("clisi"))
 
 

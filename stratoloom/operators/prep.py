@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .running import hash_order
+from .running import hash_order, quantile
 
 #: Places along the features' means at which a local regression is fitted.
 VERTICES = 4096
@@ -133,14 +133,14 @@ def normalize_total(counts: DataFrame, target: float | None = 1e4) -> DataFrame:
     total = F.sum("x").over(Window.partitionBy("cell"))
     if target is not None:
         return counts.withColumn("x", F.col("x") / total * target)
-    median = counts.groupBy("cell").agg(F.sum("x").alias("t")).where("t > 0").agg(F.percentile("t", F.lit(0.5)).alias("__median"))
+    median = quantile(counts.groupBy("cell").agg(F.sum("x").alias("t")).where("t > 0"), "t", 0.5, "__median")
     return counts.withColumn("__t", total).crossJoin(F.broadcast(median)).withColumn("x", F.col("x") / F.col("__t") * F.col("__median")).drop("__t", "__median")
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
     """(cell, total, size_factor): totals over their median."""
     totals = counts.groupBy("cell").agg(F.sum("x").alias("total"))
-    return totals.crossJoin(F.broadcast(totals.agg(F.percentile("total", F.lit(0.5)).alias("m")))).select("cell", "total", (F.col("total") / F.col("m")).alias("size_factor"))
+    return totals.crossJoin(F.broadcast(quantile(totals, "total", 0.5, "m"))).select("cell", "total", (F.col("total") / F.col("m")).alias("size_factor"))
 
 
 def log1p(counts: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def fold_changes(counts: DataFrame, groups: DataFrame, pseudo: float = 0.05) ->
 
 def pseudocount(counts: DataFrame, share: float = 0.9, low: float = 0.05, high: float = 0.5) -> float:
     """A quantile of the features' means, kept within bounds."""
-    q = counts.groupBy("feature").agg(F.avg("x").alias("m")).agg(F.percentile("m", F.lit(share))).first()[0]
+    q = quantile(counts.groupBy("feature").agg(F.avg("x").alias("m")), "m", share, "q").first()[0]
     return float(min(high, max(low, q if q is not None else low)))
 
 

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.statistics import log_gamma
 from ..lineage import cut
 from . import align, cluster, graph, label_metrics, neighbours, prep, reduce
-from .running import hash_order
+from .running import hash_order, quantile
 
 
 def super_resolution(points: DataFrame) -> DataFrame:
     """(cell, corner, x, y): every place with four around it, a quarter of the median nearest distance off along both axes."""
     near = neighbours.knn(points.select("cell", F.array("x", "y").alias("v")), points.select("cell", F.array("x", "y").alias("v")), 1, itself=False)
-    step = near.agg((F.percentile("dist", F.lit(0.5)) / 4).alias("s"))
+    step = quantile(near, "dist", 0.5, "m").select((F.col("m") / 4).alias("s"))
     corner = lambda i, a, b: F.struct(F.lit(i).alias("corner"), (F.col("x") + a * F.col("s")).alias("x"), (F.col("y") + b * F.col("s")).alias("y"))
     corners = F.array(corner(0, 0, 0), corner(1, -1, -1), corner(2, -1, 1), corner(3, 1, -1), corner(4, 1, 1))
     return points.crossJoin(F.broadcast(step)).select("cell", F.explode(corners).alias("c")).select("cell", "c.*")  # one row is sent
@@ -31,7 +31,7 @@ class Normaliser:
 
     def fit(self, counts: DataFrame, n_cells: int) -> Normaliser:
         """Learns the median total and each feature's mean and deviation."""
-        self.median = counts.groupBy("cell").agg(F.sum("x").alias("t")).agg(F.percentile("t", F.lit(0.5))).first()[0]
+        self.median = quantile(counts.groupBy("cell").agg(F.sum("x").alias("t")), "t", 0.5, "m").first()[0]
         self.stats = cut(prep.feature_stats(self._logged(counts), n_cells))
         return self
 

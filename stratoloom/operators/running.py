@@ -47,6 +47,27 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return placed.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(before), "__part").withColumn(out, place).drop("__at", "__part", "__first")  # a row a partition
 
 
+def quantile(df: DataFrame, value: str, share: float, out: str) -> DataFrame:
+    """One row: the exact quantile of a column's numbers, between two neighbours in proportion; nulls don't count, of no number it is null.
+
+    Equal numbers are counted first, where they are.  The different ones are sorted over
+    all tasks; only counts of the sort's partitions meet in one.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    placed = cut(rows.orderBy("__v").withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    parts = placed.groupBy("__part").agg(F.sum("__n").alias("__all"))
+    before = parts.select("__part", (F.sum("__all").over(Window.orderBy("__part")) - F.col("__all")).alias("__first"))
+    inside = F.sum("__n").over(Window.partitionBy("__part").orderBy("__at")) - F.col("__n")
+    ranked = placed.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn("__from", F.col("__first") + F.col("__inside"))  # a row a partition
+    at = (F.col("__total") - 1) * F.lit(float(share))
+    near = ranked.crossJoin(F.broadcast(parts.agg(F.sum("__all").alias("__total")))).withColumn("__low", F.floor(at)).withColumn("__high", F.ceil(at))  # one row
+    holds = lambda rank: (F.col("__from") <= F.col(rank)) & (F.col(rank) < F.col("__from") + F.col("__n"))
+    ends = near.where(holds("__low") | holds("__high")).select(F.when(holds("__low"), F.col("__v")).alias("__a"), F.when(holds("__high"), F.col("__v")).alias("__b"), "__low", "__high", at.alias("__pos"))
+    one = ends.agg(*[F.max(c).alias(c) for c in ends.columns])
+    between = (F.col("__high") - F.col("__pos")) * F.col("__a") + (F.col("__pos") - F.col("__low")) * F.col("__b")
+    return one.select(F.when(F.col("__low") == F.col("__high"), F.col("__a")).otherwise(between).alias(out))
+
+
 def running_max(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
     """``df`` with ``out``: the largest ``value`` of the earlier rows of its group (null for the first); as ``running_sum``."""
     group, before = [*keys, bucket], (Window.unboundedPreceding, -1)

@@ -93,7 +93,7 @@ MUTUAL = unit("u", "emb") + "".join(nearest(f"g{p}{q}", f"(SELECT * FROM u WHERE
     f"SELECT f.src AS a, f.dst AS b, {p} AS batch_a, {q} AS batch_b FROM g{p}{q} f JOIN g{q}{p} r ON f.src = r.dst AND f.dst = r.src" for p in range(3) for q in range(p + 1, 3)) + ")"
 BATCHES = neighbours.bridge_pairs([0, 1, 2], [])
 query("j12_mutual_neighbours", with_roles("emb", body=MUTUAL + " SELECT a, b, batch_a, batch_b FROM mm"))(lambda s, d: neighbours.mutual_across(emb(s, d), BATCHES, 5))
-query("j13_shared_neighbours", with_roles("emb", body=KNN20 + ", s AS (SELECT a.src, b.src AS dst, count(*) AS w FROM g a JOIN g b ON a.dst = b.dst GROUP BY ALL) SELECT s.* FROM s JOIN g x ON s.src = x.src AND s.dst = x.dst JOIN g y ON s.src = y.dst AND s.dst = y.src WHERE s.src <> s.dst"))(
+query("j13_shared_neighbours", with_roles("emb", body=KNN20 + ", m AS MATERIALIZED (SELECT x.src, x.dst FROM g x JOIN g y ON x.src = y.dst AND x.dst = y.src WHERE x.src <> x.dst) SELECT m.src, m.dst, count(*) AS w FROM m JOIN g a ON a.src = m.src JOIN g b ON b.src = m.dst AND b.dst = a.dst GROUP BY ALL"))(
     lambda s, d: neighbours.shared_neighbours(knn20(s, d))
 )
 query("j14_jaccard_neighbours", with_roles("emb", body=KNN20 + ", s AS (SELECT a.src, b.src AS dst, count(*) AS w FROM g a JOIN g b ON a.dst = b.dst GROUP BY ALL) SELECT src, dst, round(w / (40.0::DOUBLE - w), 6) AS w FROM s WHERE w / (40.0::DOUBLE - w) >= 1 / 15.0::DOUBLE"))(

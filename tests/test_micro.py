@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratoloom.functions.statistics import chi2_critical, chi2_tail, signed_rank_tail
 from stratoloom.operators import align, cluster, graph, label_metrics, mixing_metrics, neighbours, prep, reduce
 from stratoloom.operators.components import connected_components
-from stratoloom.operators.running import running_sum
+from stratoloom.operators.running import quantile, running_sum
 from stratoloom.plans.catalogue import QUERIES
 from stratoloom.sources import roles
 
@@ -325,3 +325,11 @@ def test_unit_length(spark):
     """A zero vector stays as it is."""
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(graph.unit_length(df["v"])).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("values", [[], [None, None], [3.0], [1.0, 2.0], [5.0] * 40 + [1.0, 9.0, None], [float(k * k % 101) for k in range(200)]])
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.99, 1.0])
+def test_quantile(spark, values, share):
+    """The same numbers as the built-in percentile, which holds every different one in one task."""
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    assert quantile(df, "x", share, "q").collect() == df.agg(F.percentile("x", F.lit(share)).alias("q")).collect()
