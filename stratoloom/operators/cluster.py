@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_of
-from ..lineage import cut, small
+from ..lineage import cut, cut_anew, release, small
 from . import graph, neighbours, reduce
 
-#: Edges (both directions) that one task may hold: smaller graphs, and larger ones once their communities are merged to so few, are finished in one place.
+#: Edges of a resolution's graph that one task may hold: levels of so few are finished in a task a resolution, by the same rule, with the same labels.
+HELD = 1 << 17
+#: Modulus of the draws that nodes are ranked by; fits products in 64 bits.
+PRIME = (1 << 31) - 1
+#: Resolutions that a search tries in the same joins; it changes the time, not the result.
+SIDE_BY_SIDE = 128
 HELD = 1 << 21
 
 
@@ -93,223 +98,264 @@ def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -
     return inner.crossJoin(degree).select((F.col("inner") / F.col("m2") - resolution * F.col("dd") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
-def best_moves(first: np.ndarray, to: np.ndarray, w: np.ndarray, degree: np.ndarray, resolution: float, label: np.ndarray, within: np.ndarray | None = None) -> bool:
-    """Moves nodes, in order and over again, to the neighbouring label of largest gain in modularity until none gains; whether any moved.
+def _proposals(edges: DataFrame, now: DataFrame, total: float, within: bool) -> DataFrame:
+    """(r, cell, k, mine, target, margin): each node's move of largest gain, of those that gain; ``within``: of nodes alone, inside their home."""
+    sums = now.groupBy("r", "cluster").agg(F.sum("k").alias("s"), F.count("*").alias("many"))
+    own = now.join(sums, ["r", "cluster"]).withColumnRenamed("cluster", "mine").withColumnRenamed("s", "s_mine")
+    far = now.select("r", F.col("cell").alias("dst"), "cluster", F.col("home").alias("there"))
+    links = edges.join(far, [c for c in ("r", "dst") if c in edges.columns]).groupBy("r", F.col("src").alias("cell"), "cluster", "there").agg(F.sum("w").alias("inside"))
+    offers = links.join(own, ["r", "cell"]).join(sums.select("r", "cluster", "s"), ["r", "cluster"])
+    if within:
+        offers = offers.where((F.col("there") == F.col("home")) & (F.col("many") == 1))
+    here, cost = F.col("cluster") == F.col("mine"), F.col("r") * F.col("k") / F.lit(total)
+    gain = F.col("inside") - cost * (F.col("s") - F.when(here, F.col("k")).otherwise(0.0))
+    best = offers.groupBy("r", "cell", "k", "mine", "s_mine").agg(F.max(F.when(~here, F.struct(gain.alias("gain"), (-F.col("cluster")).alias("least")))).alias("best"), F.max(F.when(here, F.col("inside"))).alias("held"))
+    stay = F.coalesce("held", F.lit(0.0)) - cost * (F.col("s_mine") - F.col("k"))
+    return best.select("r", "cell", "k", "mine", (-F.col("best.least")).alias("target"), (F.col("best.gain") - stay).alias("margin")).where(F.col("margin") > 1e-12 * F.col("k"))
 
-    Edges of node k are first[k] to first[k + 1].  With ``within`` nodes move only
-    among labels of their own community, and only while alone in theirs.
-    """
-    total = float(degree.sum()) or 1.0
-    size = np.bincount(label, degree, len(degree)).tolist()
-    members = np.bincount(label, minlength=len(degree)).tolist()
-    bounds, to_, w_, k_, now = first.tolist(), to.tolist(), w.tolist(), degree.tolist(), label.tolist()
-    of = None if within is None else within.tolist()
-    queue, waiting, moved = list(range(len(now))), [True] * len(now), False
-    while queue:
-        later: list[int] = []
-        for x in queue:
-            waiting[x] = False
-            mine = now[x]
-            if of is not None and members[mine] > 1:
-                continue
-            links: dict[int, float] = defaultdict(float)
-            for e in range(bounds[x], bounds[x + 1]):
-                y = to_[e]
-                if y != x and (of is None or of[y] == of[x]):
-                    links[now[y]] += w_[e]
-            size[mine] -= k_[x]
-            best, gain = mine, links.get(mine, 0.0) - resolution * k_[x] * size[mine] / total
-            for c, inside in sorted(links.items()):
-                g = inside - resolution * k_[x] * size[c] / total
-                if g > gain + 1e-12:
-                    best, gain = c, g
-            size[best] += k_[x]
-            if best != mine:
-                members[mine] -= 1
-                members[best] += 1
-                now[x], moved = best, True
-                for e in range(bounds[x], bounds[x + 1]):
-                    y = to_[e]
-                    if now[y] != best and not waiting[y] and of is None:
-                        waiting[y] = True
-                        later.append(y)
-        queue = later
-    label[:] = now
-    return moved
-
-
-def _compact(src: np.ndarray, dst: np.ndarray, w: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of ``many`` nodes by source, equal ones added: where each node's begin, their ends, their weights."""
-    pair, at = np.unique(src * many + dst, return_inverse=True)
-    weight = np.bincount(at, w, len(pair))
-    return np.searchsorted(pair // many, np.arange(many + 1)), pair % many, weight
-
-
-def levels(src: np.ndarray, dst: np.ndarray, w: np.ndarray, many: int, resolution: float, refine: bool = True) -> np.ndarray:
-    """Communities of nodes 0 to many - 1: moves, then the same on the graph of communities, and all over until no node gains by moving.
-
-    With ``refine`` communities are split, before they become nodes, into parts that
-    grew together from single nodes, which move as wholes from there (so no
-    community falls apart).
-    """
-    found = np.arange(many)
-    for _ in range(16):
-        before, found = found, _climbed(*_compact(src, dst, w, many), found, resolution, refine)
-        if (before == found).all():
-            break
-    return found
-
-
-def _climbed(first: np.ndarray, to: np.ndarray, weight: np.ndarray, label: np.ndarray, resolution: float, refine: bool) -> np.ndarray:
-    """One way up from the nodes' labels through graphs of communities; the labels as they are where no node moves."""
-    node, label = np.arange(len(label)), np.unique(label, return_inverse=True)[1]
-    for _ in range(64):
-        degree = np.add.reduceat(np.append(weight, 0.0), np.minimum(first[:-1], len(weight))) * (np.diff(first) > 0)
-        moved = best_moves(first, to, weight, degree, resolution, label)
-        if not moved:
-            return label[node]
-        part = label
-        if refine:
-            part = np.arange(len(label))
-            best_moves(first, to, weight, degree, resolution, part, label)
-            if len(np.unique(part)) == len(part):  # nothing grew together: communities become nodes
-                part = label
-        kept, small = np.unique(part, return_inverse=True)
-        outer = np.zeros(len(kept), np.int64)
-        outer[small] = label
-        of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        first, to, weight = _compact(small[of], small[to], weight, len(kept))
-        node = small[node]
-        label = np.unique(outer, return_inverse=True)[1]
-    return label[node]
-
-
-def _coded(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The nodes of a graph of at most HELD edges, and its edges by their places."""
-    rows = edges.toPandas()
-    nodes, at = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()]), return_inverse=True)
-    return nodes, at[: len(rows)], at[len(rows) :], rows["w"].to_numpy(float)
-
-
-def _held(edges: DataFrame, resolutions: list[float], refine: bool) -> DataFrame:
-    """(resolution, cell, cluster) of a graph of at most HELD edges: one task a resolution."""
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(_coded(edges))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes, src, dst, w = shared.value
-        for b in batches:
-            for r in b["resolution"]:
-                label = levels(src, dst, w, len(nodes), r, refine)
-                least = np.full(len(nodes) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, label, nodes)
-                yield pd.DataFrame({"resolution": r, "cell": nodes, "cluster": least[label]})
 
-    tasks = spark.createDataFrame([(k, float(r)) for k, r in enumerate(resolutions)], "k long, resolution double").repartitionByRange(min(len(resolutions), 512), "k").select("resolution")
-    return tasks.mapInPandas(find, "resolution double, cell long, cluster long")
+def _draw(turn: int) -> Column:
+    """A number from 0 to PRIME - 1 of a cell's id and the turn."""
+    y = F.pmod(F.pmod("cell", F.lit(PRIME)) * 48271 + (turn + 1) * 1299721, F.lit(PRIME))
+    return F.pmod(y.bitwiseXOR(F.shiftright(y, 13)) * 69621 + 12345, F.lit(PRIME))
 
 
-def _spread_moves(edges: DataFrame, resolution: float, rounds: int = 100) -> DataFrame:
-    """(cell, cluster): the same moves over a graph that no task holds.
+def _accepted(proposals: DataFrame, total: float, turn: int) -> DataFrame:
+    """(r, cell, target): proposals that raise modularity also when all of them happen.
 
-    In each round a point may join the neighbouring cluster of largest gain; points
-    of even and odd hash take turns, so that neighbours don't swap for ever.  Rounds
-    end when two in a row, one of each kind, move less than a thousandth of the points.
+    A community only gains or only loses nodes, as its strongest proposal does.  What
+    nodes that come or go together cost each other is bounded by the degrees of those
+    that rank alike or higher by a draw, which halve from rank to rank; a proposal that
+    gains more than that happens.
     """
-    total = edges.agg(F.sum("w")).first()[0] or 1.0
-    degree = cut(edges.groupBy("src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "cell"))
-    now = degree.select("cell", F.col("cell").alias("cluster"))
-    count, quiet = degree.count(), 0
-    for r in range(rounds):
-        sums = now.join(degree, "cell").groupBy("cluster").agg(F.sum("k").alias("s"))
-        links = edges.where("src <> dst").join(now.select(F.col("cell").alias("dst"), "cluster"), "dst").groupBy(F.col("src").alias("cell"), "cluster").agg(F.sum("w").alias("in"))
-        own = now.select("cell", F.col("cluster").alias("mine")).join(degree, "cell")
-        offers = links.join(own, "cell").join(sums, "cluster")
-        rest = F.col("s") - F.when(F.col("cluster") == F.col("mine"), F.col("k")).otherwise(0.0)
-        gain = F.col("in") - resolution * F.col("k") * rest / total
-        best = offers.groupBy("cell").agg(F.max_by("cluster", F.struct(gain.alias("g"), (-F.col("cluster")).alias("least"))).alias("best"), F.max(gain).alias("g"), F.max(F.when(F.col("cluster") == F.col("mine"), gain)).alias("stay"))
-        turn = F.pmod(F.xxhash64("cell", F.lit(r // 2)), F.lit(2)) == r % 2
-        alone = -resolution * F.col("k") * (F.col("s") - F.col("k")) / total  # to stay where no neighbour is
-        stay = own.join(sums.withColumnRenamed("cluster", "mine"), "mine").select("cell", alone.alias("alone"))
-        moves = F.coalesce(turn & (F.col("g") > F.coalesce("stay", "alone") + 1e-12), F.lit(False))
-        new = cut(now.join(best, "cell", "left").join(stay, "cell").select("cell", F.when(moves, F.col("best")).otherwise(F.col("cluster")).alias("cluster"), moves.alias("moved")))
-        quiet = quiet + 1 if new.where("moved").count() * 1000 <= count else 0
-        now = new.select("cell", "cluster")
-        if quiet == 2:
+    draw = _draw(turn)
+    ranked = proposals.withColumn("rank", F.length(F.bin(draw)))
+    strength = F.struct("margin", draw.alias("draw"), "cell")
+    ends = F.explode(F.array(F.struct(F.col("mine").alias("cluster"), F.lit(-1).alias("way")), F.struct(F.col("target").alias("cluster"), F.lit(1).alias("way")))).alias("end")
+    role = proposals.select("r", strength.alias("strength"), ends).groupBy("r", "end.cluster").agg(F.max_by("end.way", "strength").alias("way"))
+    as_end = lambda end, way: role.where(F.col("way") == way).select("r", F.col("cluster").alias(end))
+    kept = ranked.join(as_end("mine", -1), ["r", "mine"]).join(as_end("target", 1), ["r", "target"])
+    upto = lambda end: kept.groupBy("r", end, "rank").agg(F.sum("k").alias("k")).select("r", end, "rank", F.sum("k").over(Window.partitionBy("r", end).orderBy("rank")).alias(f"with_{end}"))  # noqa: E731  # 32 ranks a community
+    both = kept.join(upto("mine"), ["r", "mine", "rank"]).join(upto("target"), ["r", "target", "rank"])
+    others = F.col("with_mine") + F.col("with_target") - 2 * F.col("k")
+    return both.where(F.col("margin") - F.col("r") * F.col("k") * others / F.lit(total) > 1e-12 * F.col("k")).select("r", "cell", "target")
+
+
+def _moved(edges: DataFrame, now: DataFrame, total: float, within: bool = False) -> tuple[DataFrame, list[float]]:
+    """Nodes (r, cell, k, cluster, home) after moves until none gains, and the resolutions r at which any moved.
+
+    Every round raises the modularity at each open resolution, so it ends.
+    """
+    still, moved, turn, before = [], None, 0, None
+    while True:
+        found = cut_anew(_proposals(edges, now, total, within))
+        active = sorted(row["r"] for row in found.select("r").distinct().collect())  # resolutions
+        still.append(now.where(~F.col("r").isin(active)))
+        moved = active if moved is None else moved
+        if not active:
+            return fold(DataFrame.unionAll, still), moved
+        if active != before:
+            now, before = now.where(F.col("r").isin(active)), active
+        else:
+            still.pop()
+        now = cut_anew(now.join(_accepted(found, total, turn), ["r", "cell"], "left").select("r", "cell", "k", F.coalesce("target", "cluster").alias("cluster"), "home"))
+        release(found)
+        turn += 1
+
+
+def _climbed(edges: DataFrame, start: DataFrame, total: float, refine: bool) -> tuple[DataFrame, list[float]]:
+    """One way up from the labels ``start`` (r, cell, k, cluster, home) through graphs of communities: labels of the same nodes, and the resolutions at which any node moved at once."""
+    level, nodes, first = edges, start, None
+    at, out = start.select("r", "cell", F.col("cell").alias("node")), []
+    named = lambda a, n: a.join(n.select("r", F.col("cell").alias("node"), "cluster"), ["r", "node"]).select("r", "cell", "cluster")
+    while True:
+        most = level.groupBy(*[c for c in ("r",) if c in level.columns]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= HELD:
+            own = level if "r" in level.columns else level.crossJoin(F.broadcast(nodes.select("r").distinct()))  # a row a resolution is sent
+            now = cut_anew(nodes.groupBy("r").cogroup(own.select(F.col("r").alias("at"), "src", "dst", "w").groupBy("at")).applyInPandas(_climbed_held(total, refine), "r double, cell long, cluster long, moved boolean"))
+            out.append(named(at, now))
+            first = first if first is not None else [row["r"] for row in now.where("moved").select("r").distinct().collect()]  # resolutions
+            break
+        now, moved = _moved(level, nodes, total)
+        first = moved if first is None else first
+        going = F.col("r").isin(moved)
+        out.append(named(at.where(~going), now.where(~going)))
+        if not moved:
             break
-    return now
+        at, now = at.where(going), cut_anew(now.where(going))
+        part = now.withColumn("part", F.col("cluster"))
+        if refine:
+            parts, grown = _moved(level, now.select("r", "cell", "k", F.col("cell").alias("cluster"), F.col("cluster").alias("home")), total, within=True)
+            # where nothing grew together, communities become nodes
+            part = cut_anew(parts.select("r", "cell", "k", F.col("home").alias("cluster"), F.when(F.col("r").isin(grown), F.col("cluster")).otherwise(F.col("home")).alias("part")))
+        end = lambda name, out: part.select("r", F.col("cell").alias(name), F.col("part").alias(out))  # noqa: E731, B023
+        at = cut_anew(at.join(end("node", "to"), ["r", "node"]).select("r", "cell", F.col("to").alias("node")))
+        level = level.join(end("src", "p"), [c for c in ("r", "src") if c in level.columns]).join(end("dst", "q"), ["r", "dst"])
+        level = cut_anew(level.where("p <> q").groupBy("r", F.col("p").alias("src"), F.col("q").alias("dst")).agg(F.sum("w").alias("w")))
+        nodes = cut_anew(part.groupBy("r", F.col("part").alias("cell")).agg(F.sum("k").alias("k"), F.first("cluster").alias("cluster")).withColumn("home", F.lit(0).cast("long")))
+    return fold(DataFrame.unionAll, out), first
+
+
+def _bits(cell: np.ndarray, turn: int) -> np.ndarray:
+    """As ``_draw``, in numpy."""
+    y = ((cell % PRIME) * 48271 + (turn + 1) * 1299721) % PRIME
+    return ((y ^ (y >> 13)) * 69621 + 12345) % PRIME
+
+
+def _moved_held(src: np.ndarray, dst: np.ndarray, w: np.ndarray, node: pd.DataFrame, r: float, total: float, within: bool = False) -> tuple[np.ndarray, bool]:
+    """As ``_moved``, in numpy: the labels of a graph's nodes, whose edges go by the nodes' places."""
+    cell, k, label, home = (node[c].to_numpy() for c in ("cell", "k", "cluster", "home"))
+    label, turn = label.copy(), 0
+    while True:
+        names, c = np.unique(label, return_inverse=True)
+        s, many = np.bincount(c, k), np.bincount(c)
+        seen = (home[src] == home[dst]) & (many[c[src]] == 1) if within else np.ones(len(src), bool)
+        pair, at = np.unique(src[seen] * len(names) + c[dst[seen]], return_inverse=True)
+        inside, of, to = np.bincount(at, w[seen], len(pair)), pair // len(names), pair % len(names)
+        here = to == c[of]
+        held = np.zeros(len(cell))
+        held[of[here]] = inside[here]
+        gain = (inside - r * k[of] / total * s[to])[~here]
+        of, to = of[~here], to[~here]
+        order = np.lexsort((to, -gain, of))
+        order = order[np.diff(of[order], prepend=-1) != 0]
+        x, to = of[order], to[order]
+        margin = gain[order] - (held[x] - r * k[x] / total * (s[c[x]] - k[x]))
+        open_ = margin > 1e-12 * k[x]
+        x, to, margin, mine = x[open_], to[open_], margin[open_], c[x[open_]]
+        if not len(x):
+            return label, turn > 0
+        draw = _bits(cell[x], turn)
+        place = np.empty(len(x), np.int64)
+        place[np.lexsort((cell[x], draw, margin))] = np.arange(len(x))
+        role = np.full(len(names), -1)
+        np.maximum.at(role, mine, 2 * place)
+        np.maximum.at(role, to, 2 * place + 1)
+        kept = (role[mine] % 2 == 0) & (role[to] % 2 == 1)
+        x, to, margin, mine, rank = x[kept], to[kept], margin[kept], mine[kept], np.maximum(np.frexp(draw[kept].astype(float))[1], 1)
+        sums = []
+        for end in (mine, to):
+            t = np.zeros((len(names), 33))
+            np.add.at(t, (end, rank), k[x])
+            sums.append(t.cumsum(axis=1)[end, rank])
+        happens = margin - r * k[x] * (sums[0] + sums[1] - 2 * k[x]) / total > 1e-12 * k[x]
+        label[x[happens]] = names[to[happens]]
+        turn += 1
+
+
+def _climbed_held(total: float, refine: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """As ``_climbed``, in numpy, of one resolution's graph: a function of its nodes and edges."""
+
+    def climb(node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
+        if not len(node):
+            return pd.DataFrame({"r": [], "cell": [], "cluster": [], "moved": []})
+        node, r, first = node.sort_values("cell", ignore_index=True), float(node["r"].iloc[0]), None
+        cells, at = node["cell"].to_numpy(), np.arange(len(node))
+        src, dst, w = (edge[c].to_numpy() for c in ("src", "dst", "w"))
+        while True:
+            ids = node["cell"].to_numpy()
+            i, j = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+            label, moved = _moved_held(i, j, w, node, r, total)
+            first = moved if first is None else first
+            if not moved:
+                return pd.DataFrame({"r": r, "cell": cells, "cluster": label[at], "moved": first})
+            part = label
+            if refine:
+                parts, grown = _moved_held(i, j, w, node.assign(cluster=ids, home=label), r, total, within=True)
+                part = parts if grown else label
+            outer = pd.DataFrame({"cell": part, "k": node["k"], "cluster": label}).groupby("cell", as_index=False).agg(k=("k", "sum"), cluster=("cluster", "first"))
+            node, at = outer.assign(home=0), np.searchsorted(outer["cell"].to_numpy(), part)[at]
+            p, q = part[i], part[j]
+            merged = pd.DataFrame({"src": p[p != q], "dst": q[p != q], "w": w[p != q]}).groupby(["src", "dst"], as_index=False)["w"].sum()
+            src, dst, w = (merged[c].to_numpy() for c in ("src", "dst", "w"))
+
+    return climb
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:
-    """(cell, cluster): communities of high modularity, over edges (src, dst, w) in both directions; named by their least cell.
+    """(cell, cluster): communities of high modularity, over edges (src, dst, w) in both directions; named by their least cell."""
+    return communities_at(edges, [resolution], refine).select("cell", "cluster")
+
 
-    Points move to the neighbouring community of largest gain until none gains; then
-    communities become points, and so on (Louvain's method; with ``refine``, the
-    default, Leiden's).  A graph of at most HELD edges is one task's work; of a larger
-    one the first levels are joins and aggregations, until so few edges are left.
+def communities_at(edges: DataFrame, resolutions: list[float], refine: bool = True) -> DataFrame:
+    """(resolution, cell, cluster): communities at several resolutions, all in the same joins and aggregations, for graphs of any size.
+
+    Points move to the neighbouring community of largest gain until none gains, many at
+    a time; then communities become points, and so on, and all over until no point gains
+    by moving (Louvain's method).  With ``refine``, the default, communities are split,
+    before they become points, into parts that grew together from single points and move
+    as wholes from there (Leiden's).  Loops and nodes without edges don't count.  Weights
+    are rounded to 2^-24 of the largest, so that sums are exact, whatever their order.
     """
-    now, named = cut(edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w"))), None
-    while now.count() > HELD:
-        found = _spread_moves(now, resolution)
-        to = lambda end: found.select(F.col("cell").alias(end), F.col("cluster").alias(f"c_{end}"))  # noqa: E731, B023
-        merged = cut(now.join(to("src"), "src").join(to("dst"), "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
-        named = found if named is None else cut(named.withColumnRenamed("cluster", "__mid").join(found.select(F.col("cell").alias("__mid"), "cluster"), "__mid").select("cell", "cluster"))
-        if merged.count() == now.count():
+    edges = cut(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
+    top = edges.agg(F.max("w")).first()[0] or 1.0
+    edges = cut(edges.groupBy("src", "dst").agg(F.sum(F.round(F.col("w") / F.lit(top) * (1 << 24))).alias("w")).where("w > 0"))
+    total = float(edges.agg(F.sum("w")).first()[0] or 1.0)
+    tried = edges.sparkSession.createDataFrame([(float(r),) for r in sorted(set(resolutions))], "r double")
+    degree = edges.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("k"))
+    state = cut_anew(degree.crossJoin(F.broadcast(tried)).select("r", "cell", "k", F.col("cell").alias("cluster"), F.lit(0).cast("long").alias("home")))  # a row a resolution is sent
+    out = []
+    for _ in range(16):
+        found, moved = _climbed(edges, state, total, refine)
+        labels = cut_anew(found)
+        if not moved:
+            out.append(labels)
             break
-        now = merged
-    if named is not None and now.count() > HELD:
-        found = named
+        going = F.col("r").isin(moved)
+        out.append(labels.where(~going))
+        state = state.where(going).drop("cluster").join(labels, ["r", "cell"]).select("r", "cell", "k", "cluster", "home")
     else:
-        found = _held(now, [resolution], refine).select("cell", "cluster")
-        if named is not None:
-            found = named.withColumnRenamed("cluster", "__mid").join(found.select(F.col("cell").alias("__mid"), "cluster"), "__mid").select("cell", "cluster")
-    if named is None:
-        return found
-    return found.join(found.groupBy("cluster").agg(F.min("cell").alias("name")), "cluster").select("cell", F.col("name").alias("cluster"))
+        out.append(labels.where(going))
+    whole = fold(DataFrame.unionAll, out)
+    names = whole.groupBy("r", "cluster").agg(F.min("cell").alias("name"))
+    return whole.join(names, ["r", "cluster"]).select(F.col("r").alias("resolution"), "cell", F.col("name").alias("cluster"))
 
 
-def communities_at(edges: DataFrame, resolutions: list[float], refine: bool = True) -> DataFrame:
-    """(resolution, cell, cluster): ``communities`` at several resolutions, at the same time where a task can hold the graph."""
-    edges = cut(edges.where("src <> dst").select("src", "dst", F.col("w").cast("double").alias("w")))
-    if edges.count() <= HELD:
-        return _held(edges, resolutions, refine)
-    out = None
-    for r in resolutions:
-        found = communities(edges, r, refine).select(F.lit(float(r)).alias("resolution"), "cell", "cluster")
-        out = found if out is None else out.unionAll(found)
-    return out
+def counts_at(edges: DataFrame, resolutions: list[float], refine: bool = True) -> tuple[DataFrame, dict[float, int]]:
+    """``communities_at``, written once, and the number of communities at each resolution."""
+    found = cut(communities_at(edges, resolutions, refine))
+    return found, {r["resolution"]: r["n"] for r in found.groupBy("resolution").agg(F.count_distinct("cluster").alias("n")).collect()}  # a row a resolution
 
 
 def communities_of(edges: DataFrame, wanted: int, low: float = 0.1, high: float = 3.0, step: float = 0.01, refine: bool = True) -> DataFrame:
     """(cell, cluster) at the highest resolution from ``low`` to below ``high``, in steps, that gives ``wanted`` clusters.
 
-    Where a task can hold the graph all steps are tried at the same time, else from the
-    highest down until the number is met.  Where none gives the number, this raises.
+    From the highest down, ``SIDE_BY_SIDE`` steps in the same joins, until the number is met.  Where none gives the number, this raises.
     """
     steps = [low + k * step for k in range(math.ceil((high - low) / step - 1e-9))][::-1]
     edges = cut(edges)
-    for some in [steps] if edges.count() <= HELD else [[r] for r in steps]:
-        tried = cut(communities_at(edges, some, refine))
-        hit = tried.groupBy("resolution").agg(F.count_distinct("cluster").alias("n")).where(F.col("n") == wanted).agg(F.max("resolution")).first()[0]
-        if hit is not None:
-            return tried.where(F.col("resolution") == hit).select("cell", "cluster")
+    for first in range(0, len(steps), SIDE_BY_SIDE):
+        found, many = counts_at(edges, steps[first : first + SIDE_BY_SIDE], refine)
+        hit = [r for r, n in many.items() if n == wanted]
+        if hit:
+            return found.where(F.col("resolution") == max(hit)).select("cell", "cluster")
     raise ValueError(f"no resolution from {low} to {high} in steps of {step} gives {wanted} clusters")
 
 
+def _halves(low: float, high: float, depth: int) -> list[float]:
+    """The middles that ``depth`` bisections may come to."""
+    mid = low + (high - low) / 2
+    return [mid, *_halves(low, mid, depth - 1), *_halves(mid, high, depth - 1)] if depth else []
+
+
 def communities_near(edges: DataFrame, wanted: int, low: float = 0.0, high: float = 3.0, max_steps: int = 30, tolerance: int = 0, refine: bool = True) -> DataFrame:
-    """(cell, cluster) by bisection of the resolution until the clusters are ``wanted``, give or take ``tolerance``; after ``max_steps`` the last ones."""
-    edges = cut(edges)
+    """(cell, cluster) by bisection of the resolution until the clusters are ``wanted``, give or take ``tolerance``; after ``max_steps`` the last ones.
+
+    All resolutions that the next five bisections may come to are tried in the same joins.
+    """
+    edges, many = cut(edges), {}
     for _ in range(max_steps):
         mid = low + (high - low) / 2
-        found = cut(communities(edges, mid, refine))
-        n = found.select("cluster").distinct().count()
+        if mid not in many:
+            found, many = counts_at(edges, _halves(low, high, 5), refine)
+        n = many.get(mid, 0)
         if n > wanted + tolerance:
             high = mid
         elif n < wanted - tolerance:
             low = mid
         else:
             break
-    return found
+    return found.where(F.col("resolution") == mid).select("cell", "cluster")
 
 
 def clustering(points: DataFrame, k: int, method: str = "mixture", n_components: int | None = None, neighbours_of: int = 50, seed: int = 0) -> DataFrame:
