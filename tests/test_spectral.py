@@ -100,3 +100,14 @@ def test_query(spark, small):
     """Five clusters of all cells."""
     rows = QUERIES["c3_spectral"](spark, small).collect()
     assert len(rows) == 500 and {r["cluster"] for r in rows} == set(range(5))
+
+
+def test_vectors_query(spark, small):
+    """The query's columns, by the degrees' root, are orthonormal and span numpy's largest eigenvalues."""
+    ids, w = dense(graphs.overlaps(spark, small).collect())
+    values, _, d = by_numpy(w, 5)
+    rows = {r["cell"]: r["v"] for r in QUERIES["c3_spectral_vectors"](spark, small).collect()}
+    got = np.array([rows[c] for c in ids]) * np.sqrt(d)[:, None]
+    square = (w * w).sum(axis=1)
+    a = np.exp(-np.maximum(square[:, None] + square - 2 * w @ w.T, 0)) / np.sqrt(np.outer(d, d))
+    assert sorted(rows) == ids and np.abs(got.T @ a @ got - np.diag(values)).max() < 1e-5
