@@ -156,7 +156,8 @@ class Encoder:
                     h1, h2 = np.split(_stack(b, "own"), 2, axis=1)
                     for name, g in codes_back(p, x, codes(p, x)[3], d1 + h1, d2 + h2, d).items():
                         summed[name] = summed.get(name, 0) + g
-            yield pd.DataFrame({"name": list(summed), "v": [g.reshape(-1) for g in summed.values()]})
+            if summed:  # a column without rows has no arrays
+                yield pd.DataFrame({"name": list(summed), "v": [g.reshape(-1) for g in summed.values()]})
 
         parts = there.mapInPandas(encoders, "name string, v array<double>").unionAll(judged.where("name <> 'cell'").select("name", "v"))
         found = total(parts, ["loss", *p])

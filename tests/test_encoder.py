@@ -63,6 +63,21 @@ def test_gradient(spark):
         assert g[i] == pytest.approx(slope, rel=1e-5, abs=1e-8)
 
 
+def test_empty_tasks(spark):
+    """Tasks without cells add nothing."""
+    at, one, two, _, _ = planted(spark, 3)
+    few = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        model = Encoder((one, two), links(at, 1), (links(one, 1), links(two, 1)), 3, seed=2)
+        assert np.isfinite(model.gradient(model.start)[0])
+    finally:
+        for c, v in few.items():
+            spark.conf.set(c, v)
+
+
 def test_training(spark, tmp_path):
     """The loss falls; a run that ends early and goes on from its log ends with the same parameters."""
     model, *_ = made(spark, 30)
