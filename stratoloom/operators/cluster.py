@@ -15,12 +15,11 @@ from ..functions.vectors import mean_of
 from ..lineage import cut, cut_anew, release, small
 from . import graph, neighbours, reduce
 
-#: Edges of a resolution's graph that one task may hold: levels of so few are finished in a task a resolution, by the same rule, with the same labels.
-HELD = 1 << 17
 #: Modulus of the draws that nodes are ranked by; fits products in 64 bits.
 PRIME = (1 << 31) - 1
 #: Resolutions that a search tries in the same joins; it changes the time, not the result.
 SIDE_BY_SIDE = 128
+#: Edges of a resolution's graph that one task may hold: levels of so few are finished in a task a resolution, by the same rule, with the same labels.
 HELD = 1 << 21
 
 
@@ -202,6 +201,30 @@ def _bits(cell: np.ndarray, turn: int) -> np.ndarray:
     return ((y ^ (y >> 13)) * 69621 + 12345) % PRIME
 
 
+def _links(src: np.ndarray, to: np.ndarray, w: np.ndarray, n: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of edges from ``src`` (below n) to communities ``to`` (below many): each pair once, sorted, with its summed weight."""
+    if not len(src):
+        return src, to, w
+    key, bits = src * many + to, len(src).bit_length()
+    if (n * many).bit_length() + bits <= 62:  # an edge's place travels in the key, which is faster than sorting places
+        packed = np.sort((key << bits) + np.arange(len(src)))
+        key, place = packed >> bits, packed & ((1 << bits) - 1)
+    else:
+        place = np.argsort(key, kind="stable")
+        key = key[place]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] // many, key[first] % many, np.add.reduceat(w[place], first)
+
+
+def _best(of: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The places of each node's largest gain, the first of equals, in rows sorted by node."""
+    if not len(of):
+        return np.zeros(0, np.int64)
+    new = np.diff(of, prepend=-1) != 0
+    top = np.flatnonzero(gain == np.maximum.reduceat(gain, np.flatnonzero(new))[np.cumsum(new) - 1])
+    return top[np.diff(of[top], prepend=-1) != 0]
+
+
 def _moved_held(src: np.ndarray, dst: np.ndarray, w: np.ndarray, node: pd.DataFrame, r: float, total: float, within: bool = False) -> tuple[np.ndarray, bool]:
     """As ``_moved``, in numpy: the labels of a graph's nodes, whose edges go by the nodes' places."""
     cell, k, label, home = (node[c].to_numpy() for c in ("cell", "k", "cluster", "home"))
@@ -210,15 +233,13 @@ def _moved_held(src: np.ndarray, dst: np.ndarray, w: np.ndarray, node: pd.DataFr
         names, c = np.unique(label, return_inverse=True)
         s, many = np.bincount(c, k), np.bincount(c)
         seen = (home[src] == home[dst]) & (many[c[src]] == 1) if within else np.ones(len(src), bool)
-        pair, at = np.unique(src[seen] * len(names) + c[dst[seen]], return_inverse=True)
-        inside, of, to = np.bincount(at, w[seen], len(pair)), pair // len(names), pair % len(names)
+        of, to, inside = _links(src[seen], c[dst[seen]], w[seen], len(cell), len(names))
         here = to == c[of]
         held = np.zeros(len(cell))
         held[of[here]] = inside[here]
         gain = (inside - r * k[of] / total * s[to])[~here]
         of, to = of[~here], to[~here]
-        order = np.lexsort((to, -gain, of))
-        order = order[np.diff(of[order], prepend=-1) != 0]
+        order = _best(of, gain)
         x, to = of[order], to[order]
         margin = gain[order] - (held[x] - r * k[x] / total * (s[c[x]] - k[x]))
         open_ = margin > 1e-12 * k[x]
