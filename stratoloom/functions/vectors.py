@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sized(v: Column | str, dim: int) -> Column:
     """The vector ``v``, refused if it doesn't have ``dim`` numbers."""
     v = F.col(v) if isinstance(v, str) else v

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import mean_of
+from ..functions.vectors import mean_of, once
 from ..lineage import cut
 from . import prep
 
@@ -170,8 +170,9 @@ class Lsi:
 def row_z_scores(v: Column, guard: float = 0.0) -> Column:
     """A vector less its mean over its sample deviation (and a guard)."""
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    std = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (F.size(v) - 1))
-    return F.transform(v, lambda x: (x - mean) / (std + guard))
+    std = lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(v) - 1))
+    # what stands in a lambda is worked out for every number; a list of one holds it
+    return once(mean, lambda m: once(std(m), lambda s: F.transform(v, lambda x: (x - m) / (s + guard))))
 
 
 def correct_batches(vectors: DataFrame, clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 20, tol: float = 1e-4, seed: int = 0) -> DataFrame:
