@@ -92,9 +92,10 @@ def mixture(points: DataFrame, k: int, seed: int = 0, rounds: int = 100, tol: fl
 def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of a labeling (cell, cluster) of an undirected graph whose edges come in both directions."""
     e = edges.join(clusters.select(F.col("cell").alias("src"), F.col("cluster").alias("c1")), "src").join(clusters.select(F.col("cell").alias("dst"), F.col("cluster").alias("c2")), "dst")
-    inner = e.agg(F.sum(F.when(F.col("c1") == F.col("c2"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum("w").alias("m2"))
-    degree = e.groupBy("c1").agg(F.sum("w").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
-    return inner.crossJoin(degree).select((F.col("inner") / F.col("m2") - resolution * F.col("dd") / (F.col("m2") * F.col("m2"))).alias("modularity"))
+    # one pass: the edges are made once
+    degree = e.groupBy("c1").agg(F.sum(F.when(F.col("c1") == F.col("c2"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum("w").alias("d"))
+    sums = degree.agg(F.sum("inner").alias("inner"), F.sum("d").alias("m2"), F.sum(F.col("d") * F.col("d")).alias("dd"))
+    return sums.select((F.col("inner") / F.col("m2") - resolution * F.col("dd") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
 def _proposals(edges: DataFrame, now: DataFrame, total: float, within: bool) -> DataFrame:
