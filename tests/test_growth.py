@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratoloom.operators import cluster, graph, neighbours
+from stratoloom.operators import cluster, graph, neighbours, prep
 from stratoloom.operators.neighbours import Held, distances
 
 
@@ -51,3 +51,44 @@ def test_few_strips_are_looked_through():
     assert sorted(zip(rows, cols, strict=True)) == sorted(zip(*np.nonzero(d <= kth[:, None]), strict=True))
     v, room = dice.normal(size=(700, 8)), np.empty(20 * 700, np.float32)
     assert np.shares_memory(Held(np.arange(700), v, None, "euclidean").rough(v[:20], 0, 700, np.float32, room)[0], room)
+
+
+def test_local_fit_by_moments(monkeypatch):
+    """Beyond the vertices few fits go through their points, and the values are those of fits that do."""
+    dice = np.random.default_rng(7)
+    u = np.concatenate([np.round(dice.gamma(2, 1, 6000), 2), dice.gamma(2, 1, 6000)])
+    w = np.sin(u) + 0.1 * u * u + dice.normal(size=len(u))
+    seen, fit = [0], np.linalg.lstsq
+
+    def counted(*args, **named):
+        seen[0] += 1
+        return fit(*args, **named)
+
+    monkeypatch.setattr(np.linalg, "lstsq", counted)
+    found = prep.local_fit(u, w, vertices=200)
+    assert seen[0] == 0
+    order = np.lexsort((w, u))
+    x, y, many = u[order], w[order], int(len(u) * 0.3 + 1e-5)
+    at, values = x[np.linspace(0, len(u) - 1, 200).round().astype(int)], []
+    for p in at:
+        low = next(i for i in range(len(x) - many + 1) if i == len(x) - many or x[i + many] - p >= p - x[i])
+        d = x[low : low + many] - p
+        root = np.sqrt((1 - (np.abs(d) / np.abs(d).max()) ** 3) ** 3)
+        values.append(fit(np.stack([root, root * d, root * d * d], axis=1), y[low : low + many] * root, rcond=None)[0][0])
+    places = np.unique(at, return_index=True)[1]
+    assert np.abs(found - np.interp(u, at[places], np.array(values)[places])).max() < 1e-8
+
+
+def test_batches_are_ranked_together(spark):
+    """Features by batch: the rows are read as often with five batches as with two, and ranked as batch by batch."""
+    counts = spark.range(6000).selectExpr("id % 50 as cell", "pmod(hash(id), 40) as feature", "cast(pmod(hash(id, 7), 9) + 1 as double) as x").groupBy("cell", "feature").agg(F.sum("x").alias("x"))
+    cells = lambda n: spark.range(50).selectExpr("id as cell", f"id % {n} as batch")
+    reads = lambda n: prep.features_by_batch(counts, cells(n), 12)._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6000")
+    assert reads(5) == reads(2)
+    ranks = {}
+    for b in range(5):
+        own = cells(5).where(F.col("batch") == b)
+        for r in prep.stabilised_features(prep.keep_cells(counts, own), 12, 10).where("chosen").collect():
+            ranks.setdefault(r["feature"], []).append(r["place"])
+    found = {r["feature"]: (r["batches"], r["rank"]) for r in prep.features_by_batch(counts, cells(5), 12).collect()}
+    assert found == {f: (len(p), float(np.median(p))) for f, p in ranks.items()}
