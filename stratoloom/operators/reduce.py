@@ -175,6 +175,15 @@ def row_z_scores(v: Column, guard: float = 0.0) -> Column:
     return once(mean, lambda m: once(std(m), lambda s: F.transform(v, lambda x: (x - m) / (s + guard))))
 
 
+def _taken_off(v: np.ndarray, part: np.ndarray, effect: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """Vectors less their batches' effects (clusters, batches, dimensions) by their shares in the clusters: a product a batch, nothing is held for each point, cluster and dimension."""
+    out = v.copy()
+    for i in np.unique(batch):
+        own = batch == i
+        out[own] -= part[own] @ effect[:, i]
+    return out
+
+
 def correct_batches(vectors: DataFrame, clusters: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 10, inner: int = 20, tol: float = 1e-4, seed: int = 0) -> DataFrame:
     """(cell, v): batch effects removed by soft clusters and a linear correction in each (cell, v, batch).
 
@@ -219,8 +228,7 @@ def correct_batches(vectors: DataFrame, clusters: int | None = None, theta: floa
         part = np.ones((len(v), 0))
         z = v
         for e, centre, log_pull in state["past"]:
-            part = soft(unit(z), batch, centre, log_pull)[0]
-            z = v - np.einsum("nk,nkd->nd", part, e[:, batch].transpose(1, 0, 2))
+            z = _taken_off(v, soft(unit(z), batch, centre, log_pull)[0], e, batch)
         return z
 
     def sums(centre: np.ndarray, log_pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
