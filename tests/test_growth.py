@@ -107,3 +107,23 @@ def test_effects_are_taken_off_by_products():
     assert peak < 8 * v.nbytes
     want = v - np.array([part[i] @ effect[:, batch[i]] for i in range(len(v))])
     assert np.abs(found - want).max() < 1e-12
+
+
+def test_samples_share_their_neighbours(spark, monkeypatch):
+    """Alignment of four samples: all points meet all once, the others are those few with too few neighbours in a sample; the score stays."""
+    dice = np.random.default_rng(9)
+    rows = [(int(i), dice.normal(size=3).tolist(), int(i % 3)) for i in range(150)] + [(int(i), dice.normal(size=3).tolist(), 0) for i in range(150, 190)]
+    points = spark.createDataFrame(rows, "cell long, v array<double>, batch int")
+    compared, knn = [], geometry_metrics.knn
+
+    def counted(left, right, *rest, **named):
+        compared.append(left.count())
+        return knn(left, right, *rest, **named)
+
+    monkeypatch.setattr(geometry_metrics, "knn", counted)
+    found = geometry_metrics.alignment_score(points, 5).first()[0]
+    assert compared[0] == 190 and len(compared) <= 5 and sum(compared[1:]) < 150
+    compared.clear()
+    monkeypatch.setattr(geometry_metrics, "SPARE", 0)
+    assert abs(found - geometry_metrics.alignment_score(points, 5).first()[0]) < 1e-12
+    assert compared == [150] * 4
