@@ -6,54 +6,147 @@ the driver are the products of its columns, a few dozen numbers squared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut_anew, release
+from ..lineage import cut, cut_anew, release
 from . import cluster, reduce
 
 
+#: Rows of a matrix that a task multiplies at once, at most; and pairs of rows, or steps to them, on average.
+ROWS, STEPS = 8192, 1 << 22
+#: Entries of a column that travel as one row, on average.
+PIECE = 1 << 16
+
+
+def _block(name: str, blocks: int) -> Column:
+    """The block of a node."""
+    return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+
+
+def _met(gamma: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a block's entries (src, c, w, n) and the columns (to, column, other, x, m) they are in: pairs of rows and their affinity above that of rows apart."""
+
+    def meet(own: pd.DataFrame, columns: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(columns):
+            columns = columns.sort_values("column", kind="stable")
+            many = columns["other"].map(len).to_numpy()
+            other, x, m = (np.concatenate(columns[name].to_numpy()) for name in ("other", "x", "m"))
+            names, first = np.unique(columns["column"].to_numpy(), return_index=True)
+            size = np.add.reduceat(many, first)
+            start = np.cumsum(size) - size
+            ends, to, back = np.unique(other, return_index=True, return_inverse=True)
+            norm = m[to]
+            own = own.sort_values(["src", "c"], ignore_index=True)
+            src, w, n = (own[name].to_numpy() for name in ("src", "w", "n"))
+            at = np.searchsorted(names, own["c"].to_numpy())
+            steps = np.cumsum(size[at])
+            rows = np.flatnonzero(np.diff(src, prepend=src[0] - 1))
+            low = 0
+            while low < len(src):
+                # whole rows, about so many steps
+                high = np.searchsorted(steps, steps[low] + STEPS, side="right")
+                later = rows[np.searchsorted(rows, high, side="right") - 1] if high < len(src) else len(src)
+                high = later if later > low else np.append(rows, len(src))[np.searchsorted(rows, low, side="right")]
+                length = size[at[low:high]]
+                entry = np.repeat(np.arange(low, high), length)
+                place = np.arange(len(entry)) - np.repeat(np.cumsum(length) - length, length) + start[at[entry]]
+                name, row = np.unique(src[low:high], return_inverse=True)
+                i, j, s = cluster._links(row[entry - low], back[place], w[entry] * x[place], len(name), len(ends))
+                apart = n[low + np.searchsorted(src[low:high], name)][i] + norm[j]
+                out.append(pd.DataFrame({"src": name[i], "dst": ends[j], "w": np.exp(-gamma * np.maximum(apart - 2 * s, 0.0)) - np.exp(-gamma * apart)}))
+                low = high
+        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "w": []})
+
+    return meet
+
+
 def row_affinity(edges: DataFrame, gamma: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """exp(-gamma * squared distance) of the rows of an adjacency (src, dst, w): pairs (src, dst, w) and nodes (cell, e).
 
     Of two nodes without a common neighbour the affinity is e times e, whatever
     else; pairs hold what those with one have above that, and each node with
     itself.  Every node of an end of an edge is a row, and nothing dense is made.
+    A column goes once to each block of rows that has an entry in it; pairs are
+    summed there.
     """
-    held = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    ends = edges.select(F.col("src").alias("cell")).unionAll(edges.select(F.col("dst").alias("cell"))).distinct()
+    held = cut(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    ends = held.select(F.col("src").alias("cell")).unionAll(held.select(F.col("dst").alias("cell"))).distinct()
     squares = held.groupBy(F.col("src").alias("cell")).agg(F.sum(F.col("w") * F.col("w")).alias("n"))
     nodes = cut_anew(ends.join(squares, "cell", "left").fillna(0.0, ["n"]))
-    dot = held.join(held.select(F.col("src").alias("other"), "dst", F.col("w").alias("w2")), "dst").groupBy("src", F.col("other").alias("dst")).agg(F.sum(F.col("w") * F.col("w2")).alias("s"))
-    both = dot.join(nodes.select(F.col("cell").alias("src"), F.col("n").alias("n1")), "src").join(nodes.select(F.col("cell").alias("dst"), F.col("n").alias("n2")), "dst")
-    apart = F.col("n1") + F.col("n2")
-    above = F.exp(-gamma * F.greatest(apart - 2 * F.col("s"), F.lit(0.0))) - F.exp(-gamma * apart)
-    return both.select("src", "dst", above.alias("w")), nodes.select("cell", F.exp(-gamma * F.col("n")).alias("e"))
+    rows, steps, top = held.groupBy("dst").agg(F.count("*").alias("d")).agg(F.count("*"), F.sum(F.col("d") * F.col("d")), F.max("d")).first()
+    blocks, pieces = max(1, math.ceil((rows or 0) / ROWS), math.ceil((steps or 0) / STEPS)), max(1, math.ceil((top or 0) / PIECE))
+    whole = held.join(nodes.select(F.col("cell").alias("src"), "n"), "src")
+    own = cut_anew(whole.select(_block("src", blocks).alias("block"), "src", F.col("dst").alias("c"), F.col("w").cast("double").alias("w"), "n"))
+    lists = own.groupBy("c", F.pmod(F.xxhash64("src", F.lit(1)), F.lit(pieces)).alias("piece")).agg(F.collect_list(F.struct("src", "w", "n")).alias("e"))
+    columns = lists.select("c", F.col("e.src").alias("other"), F.col("e.w").alias("x"), F.col("e.n").alias("m"))
+    sent = columns.join(own.select("c", "block").distinct(), "c").select(F.col("block").alias("to"), F.col("c").alias("column"), "other", "x", "m")
+    pairs = own.groupBy("block").cogroup(sent.groupBy("to")).applyInPandas(_met(gamma), "src long, dst long, w double")
+    return pairs, nodes.select("cell", F.exp(-gamma * F.col("n")).alias("e"))
+
+
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    """A block's pairs in one row: the different ends, and sorted by the first, the places of both ends and the weight."""
+    part = part.sort_values(["src", "dst"], ignore_index=True)
+    row, i = np.unique(part["src"].to_numpy(), return_inverse=True)
+    col, j = np.unique(part["dst"].to_numpy(), return_inverse=True)
+    return pd.DataFrame({"block": part["block"].iloc[:1], "rows": [row.tobytes()], "cols": [col.tobytes()], "i": [i.astype(np.int32).tobytes()], "j": [j.astype(np.int32).tobytes()], "w": [part["w"].to_numpy().tobytes()]})
+
+
+def _product(width: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a packed block and the numbers (cell, v0, v1...) of its columns: (cell, y)."""
+
+    def multiply(held: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return pd.DataFrame({"cell": [], "y": []})
+        row, col, i, j, w = (np.frombuffer(held[name].iloc[0], kind) for name, kind in (("rows", np.int64), ("cols", np.int64), ("i", np.int32), ("j", np.int32), ("w", np.float64)))
+        x, y = np.zeros((len(col), width)), np.zeros((len(row), width))
+        x[np.searchsorted(col, sent["cell"].to_numpy())] = sent[[f"v{c}" for c in range(width)]].to_numpy()
+        for low in range(0, len(i), 1 << 18):
+            at = i[low : low + (1 << 18)]
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            y[at[first]] += np.add.reduceat(w[low : low + len(at), None] * x[j[low : low + len(at)]], first, axis=0)
+        return pd.DataFrame({"cell": row, "y": list(y)})
+
+    return multiply
 
 
 class Operator:
-    """D^-1/2 (W + e e') D^-1/2 for symmetric pairs W (src, dst, w) and numbers e of nodes (cell, e); D holds the row sums."""
+    """D^-1/2 (W + e e') D^-1/2 for symmetric pairs W (src, dst, w) and numbers e of nodes (cell, e); D holds the row sums.
+
+    Pairs lie packed in blocks of rows and stay where they are; a product sends
+    each node's numbers once to every block with a pair that ends in it.
+    """
 
     def __init__(self, pairs: DataFrame, nodes: DataFrame) -> None:
         total = nodes.agg(F.sum("e")).first()[0] or 0.0
+        pairs = cut_anew(pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
+        blocks = max(1, math.ceil(nodes.count() / ROWS), math.ceil(pairs.count() / STEPS))
         sums = pairs.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("w"))
+        sent = pairs.groupBy(F.col("dst").alias("cell")).agg(F.collect_set(_block("src", blocks)).alias("to"))
         degree = F.coalesce("w", F.lit(0.0)) + F.col("e") * total
         scale = F.when(degree > 0, 1 / F.sqrt(degree)).otherwise(0.0)
-        self.nodes = cut_anew(nodes.join(sums, "cell", "left").select("cell", scale.alias("scale"), (F.col("e") * scale).alias("u"), F.sqrt(degree).alias("root")))
-        ends = lambda name, to: self.nodes.select(F.col("cell").alias(name), F.col("scale").alias(to))
-        self.pairs = cut_anew(pairs.join(ends("src", "s1"), "src").join(ends("dst", "s2"), "dst").select("src", "dst", (F.col("w") * F.col("s1") * F.col("s2")).alias("w")))
+        self.nodes = cut_anew(nodes.join(sums, "cell", "left").join(sent, "cell", "left").select("cell", scale.alias("scale"), (F.col("e") * scale).alias("u"), F.sqrt(degree).alias("root"), "to"))
+        self.tasks = min(blocks, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.held = pairs.select(_block("src", blocks).alias("block"), "src", "dst", "w").repartition(self.tasks, "block").groupBy("block").applyInPandas(_packed, "block int, rows binary, cols binary, i binary, j binary, w binary")
+        # dealt by block and kept so: a product doesn't move them
+        self.held = self.held.repartition(self.tasks, "block").persist(StorageLevel.DISK_ONLY)
 
     def times(self, x: DataFrame, along: np.ndarray) -> DataFrame:
         """(cell, y): the product with (cell, u, v), where ``along`` holds the sums of u times each column of v."""
         width = len(along)
-        sides = self.pairs.join(x.select(F.col("cell").alias("dst"), "v"), "dst")
-        sums = sides.groupBy(F.col("src").alias("cell")).agg(*[F.sum(F.col("w") * F.get("v", i)).alias(f"y{i}") for i in range(width)])
-        there = x.select("cell", "u").join(sums, "cell", "left")
-        return there.select("cell", F.array(*[F.coalesce(f"y{i}", F.lit(0.0)) + F.col("u") * float(along[i]) for i in range(width)]).alias("y"))
+        scaled = x.select("cell", "v").join(self.nodes.select("cell", "scale", "to"), "cell")
+        sent = scaled.select(F.explode("to").alias("block"), "cell", *[(F.col("scale") * F.get("v", i)).alias(f"v{i}") for i in range(width)]).repartition(self.tasks, "block")
+        sums = self.held.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(_product(width), "cell long, y array<double>")
+        there = x.select("cell", "u").join(self.nodes.select("cell", "scale"), "cell").join(sums, "cell", "left")
+        return there.select("cell", F.array(*[F.coalesce(F.col("scale") * F.get("y", i), F.lit(0.0)) + F.col("u") * float(along[i]) for i in range(width)]).alias("y"))
 
 
 def _mapped(rows: DataFrame, turn: np.ndarray, wide: int) -> DataFrame:
@@ -141,6 +234,7 @@ def embedding(edges: DataFrame, k: int, gamma: float = 1.0, tol: float = 1e-7, s
     """The k largest eigenvalues of the normalised affinity of an adjacency's rows, and (cell, v): eigenvectors over the root of the degrees."""
     operator = Operator(*row_affinity(edges, gamma))
     values, vectors = largest(operator, k, tol, seed=seed)
+    operator.held.unpersist()
     scaled = vectors.join(operator.nodes.select("cell", "scale"), "cell").select("cell", F.transform("v", lambda x: x * F.col("scale")).alias("v"))
     return values, cut_anew(scaled)
 

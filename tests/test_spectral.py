@@ -111,3 +111,33 @@ def test_vectors_query(spark, small):
     square = (w * w).sum(axis=1)
     a = np.exp(-np.maximum(square[:, None] + square - 2 * w @ w.T, 0)) / np.sqrt(np.outer(d, d))
     assert sorted(rows) == ids and np.abs(got.T @ a @ got - np.diag(values)).max() < 1e-5
+
+
+def test_nodes_are_sent_to_blocks(spark, monkeypatch):
+    """Many small blocks give numpy's pairs and product; pairs stay where they lie, and a node goes to a block once, not to each pair."""
+    monkeypatch.setattr(spectral, "ROWS", 16)
+    monkeypatch.setattr(spectral, "STEPS", 2000)
+    monkeypatch.setattr(spectral, "PIECE", 8)
+    edges, _ = planted(spark, [40, 30, 50], 4)
+    ids, w = dense(edges.collect())
+    pairs, nodes = spectral.row_affinity(edges, 0.5)
+    found, at = np.zeros_like(w), {c: i for i, c in enumerate(ids)}
+    for r in pairs.collect():
+        found[at[r["src"]], at[r["dst"]]] += r["w"]
+    square = (w * w).sum(axis=1)
+    e = np.exp(-0.5 * square)
+    want = np.exp(-0.5 * np.maximum(square[:, None] + square - 2 * w @ w.T, 0)) - np.outer(e, e)
+    assert np.abs(found - want).max() < 1e-12
+    operator = spectral.Operator(pairs, nodes)
+    v = np.random.default_rng(1).normal(size=(len(ids), 3))
+    d = (want + np.outer(e, e)).sum(axis=1)
+    x = spark.createDataFrame([(c, float(e[i] / np.sqrt(d[i])), v[i].tolist()) for i, c in enumerate(ids)], "cell long, u double, v array<double>")
+    product = operator.times(x, (e / np.sqrt(d)) @ v)
+    got = {r["cell"]: r["y"] for r in product.collect()}
+    assert np.abs([got[c] for c in ids] - ((want + np.outer(e, e)) / np.sqrt(np.outer(d, d))) @ v).max() < 1e-10
+    blocks = operator.held.count()
+    assert 8 <= blocks and sum(len(r["to"]) for r in operator.nodes.collect()) <= len(ids) * blocks < pairs.count()
+    plan = product._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, line in enumerate(plan) if "InMemoryTableScan" in line)
+    above = max(i for i, line in enumerate(plan[:scan]) if "FlatMapCoGroups" in line)
+    assert not any("Exchange" in line or "Shuffle" in line for line in plan[above:scan])
