@@ -8,6 +8,7 @@ from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ PRIME = (1 << 31) - 1
 SIDE_BY_SIDE = 128
 #: Edges of a resolution's graph that one task may hold: levels of so few are finished in a task a resolution, by the same rule, with the same labels.
 HELD = 1 << 21
+#: Edges of a block that stays in place, at most; fewer where many resolutions send their labels to it.
+BLOCK = 1 << 17
 
 
 def kmeans(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -98,20 +101,70 @@ def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -
     return sums.select((F.col("inner") / F.col("m2") - resolution * F.col("dd") / (F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
-def _proposals(edges: DataFrame, now: DataFrame, total: float, within: bool) -> DataFrame:
-    """(r, cell, k, mine, target, margin): each node's move of largest gain, of those that gain; ``within``: of nodes alone, inside their home."""
-    sums = now.groupBy("r", "cluster").agg(F.sum("k").alias("s"), F.count("*").alias("many"))
-    own = now.join(sums, ["r", "cluster"]).withColumnRenamed("cluster", "mine").withColumnRenamed("s", "s_mine")
-    far = now.select("r", F.col("cell").alias("dst"), "cluster", F.col("home").alias("there"))
-    links = edges.join(far, [c for c in ("r", "dst") if c in edges.columns]).groupBy("r", F.col("src").alias("cell"), "cluster", "there").agg(F.sum("w").alias("inside"))
-    offers = links.join(own, ["r", "cell"]).join(sums.select("r", "cluster", "s"), ["r", "cluster"])
-    if within:
-        offers = offers.where((F.col("there") == F.col("home")) & (F.col("many") == 1))
-    here, cost = F.col("cluster") == F.col("mine"), F.col("r") * F.col("k") / F.lit(total)
-    gain = F.col("inside") - cost * (F.col("s") - F.when(here, F.col("k")).otherwise(0.0))
-    best = offers.groupBy("r", "cell", "k", "mine", "s_mine").agg(F.max(F.when(~here, F.struct(gain.alias("gain"), (-F.col("cluster")).alias("least")))).alias("best"), F.max(F.when(here, F.col("inside"))).alias("held"))
-    stay = F.coalesce("held", F.lit(0.0)) - cost * (F.col("s_mine") - F.col("k"))
-    return best.select("r", "cell", "k", "mine", (-F.col("best.least")).alias("target"), (F.col("best.gain") - stay).alias("margin")).where(F.col("margin") > 1e-12 * F.col("k"))
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    """A block's edges in one row: sorted by the first end."""
+    names = [c for c in ("at", "src", "dst", "w") if c in part.columns]
+    part = part.sort_values([c for c in names if c != "w"])
+    return pd.DataFrame({"block": part["block"].iloc[:1], **{c: [part[c].to_numpy().tobytes()] for c in names}})
+
+
+def _offers(total: float, within: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of a packed block of edges and the nodes at their ends: ``_proposals`` of the block's nodes, in numpy."""
+
+    def offer(held: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: [] for c in ("r", "cell", "k", "mine", "target", "margin")})]
+        if len(held):
+            kinds = {"at": np.float64, "src": np.int64, "dst": np.int64, "w": np.float64}
+            edge = {c: np.frombuffer(held[c].iloc[0], kinds[c]) for c in kinds if c in held.columns}
+            for r, node in sent.groupby("r"):
+                node = node.sort_values("cell")
+                cell, k, label, home, s, many = (node[c].to_numpy() for c in ("cell", "k", "cluster", "home", "s", "many"))
+                # of other resolutions' nodes or of some that are settled there are none
+                src, dst, w = (edge[c] if "at" not in edge else edge[c][edge["at"] == r] for c in ("src", "dst", "w"))
+                i, j = np.searchsorted(cell, src), np.searchsorted(cell, dst)
+                names, first, c = np.unique(label, return_index=True, return_inverse=True)
+                if within:
+                    seen = (home[i] == home[j]) & (many[i] == 1)
+                    i, j, w = i[seen], j[seen], w[seen]
+                of, to, inside = _links(i, c[j], w, len(cell), len(names))
+                here = to == c[of]
+                stay = np.zeros(len(cell))
+                stay[of[here]] = inside[here]
+                gain = (inside - r * k[of] / total * s[first[to]])[~here]
+                of, to = of[~here], to[~here]
+                best = _best(of, gain)
+                x, to = of[best], to[best]
+                margin = gain[best] - (stay[x] - r * k[x] / total * (s[x] - k[x]))
+                gains = margin > 1e-12 * k[x]
+                x, to = x[gains], to[gains]
+                out.append(pd.DataFrame({"r": float(r), "cell": cell[x], "k": k[x], "mine": label[x], "target": names[to], "margin": margin[gains]}))
+        return pd.concat(out[1:]) if len(out) > 1 else out[0]
+
+    return offer
+
+
+class Blocks:
+    """Edges in both directions, packed in blocks by their first ends: they stay where they are while nodes' labels come to them."""
+
+    def __init__(self, edges: DataFrame, resolutions: int) -> None:
+        own = "r" in edges.columns
+        of = lambda end: F.pmod(F.xxhash64(*(["r"] if own else []), end), F.lit(blocks)).cast("int")
+        blocks = max(1, math.ceil(edges.count() / min(BLOCK, (BLOCK << 5) // (1 if own else resolutions))))
+        self.key = ["r", "cell"] if own else ["cell"]
+        self.tasks = min(blocks, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        columns = [*([F.col("r").alias("at")] if own else []), "src", "dst", "w"]
+        held = edges.select(of("src").alias("block"), *columns).repartition(self.tasks, "block").groupBy("block").applyInPandas(_packed, "block int, " + ("at binary, " if own else "") + "src binary, dst binary, w binary")
+        self.held = held.repartition(self.tasks, "block").persist(StorageLevel.DISK_ONLY)
+        # a node goes to its own block and to those of its neighbours
+        ends = F.explode(F.array(of("src"), of("dst"))).alias("block")
+        self.to = cut_anew(edges.select(*self.key[:-1], F.col("dst").alias("cell"), ends).groupBy(*self.key).agg(F.collect_set("block").alias("to")))
+
+    def proposals(self, now: DataFrame, total: float, within: bool) -> DataFrame:
+        """(r, cell, k, mine, target, margin): each node's move of largest gain, of those that gain; ``within``: of nodes alone, inside their home."""
+        sums = now.groupBy("r", "cluster").agg(F.sum("k").alias("s"), F.count("*").alias("many"))
+        state = now.join(sums, ["r", "cluster"]).join(self.to, self.key)
+        sent = state.select(F.explode("to").alias("block"), "r", "cell", "k", "cluster", "home", "s", "many").repartition(self.tasks, "block")
+        return self.held.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(_offers(total, within), "r double, cell long, k double, mine long, target long, margin double")
 
 
 def _draw(turn: int) -> Column:
@@ -141,14 +194,14 @@ def _accepted(proposals: DataFrame, total: float, turn: int) -> DataFrame:
     return both.where(F.col("margin") - F.col("r") * F.col("k") * others / F.lit(total) > 1e-12 * F.col("k")).select("r", "cell", "target")
 
 
-def _moved(edges: DataFrame, now: DataFrame, total: float, within: bool = False) -> tuple[DataFrame, list[float]]:
+def _moved(blocks: Blocks, now: DataFrame, total: float, within: bool = False) -> tuple[DataFrame, list[float]]:
     """Nodes (r, cell, k, cluster, home) after moves until none gains, and the resolutions r at which any moved.
 
     Every round raises the modularity at each open resolution, so it ends.
     """
     still, moved, turn, before = [], None, 0, None
     while True:
-        found = cut_anew(_proposals(edges, now, total, within))
+        found = cut_anew(blocks.proposals(now, total, within))
         active = sorted(row["r"] for row in found.select("r").distinct().collect())  # resolutions
         still.append(now.where(~F.col("r").isin(active)))
         moved = active if moved is None else moved
@@ -176,7 +229,8 @@ def _climbed(edges: DataFrame, start: DataFrame, total: float, refine: bool) ->
             out.append(named(at, now))
             first = first if first is not None else [row["r"] for row in now.where("moved").select("r").distinct().collect()]  # resolutions
             break
-        now, moved = _moved(level, nodes, total)
+        blocks = Blocks(level, nodes.select("r").distinct().count())
+        now, moved = _moved(blocks, nodes, total)
         first = moved if first is None else first
         going = F.col("r").isin(moved)
         out.append(named(at.where(~going), now.where(~going)))
@@ -185,9 +239,10 @@ def _climbed(edges: DataFrame, start: DataFrame, total: float, refine: bool) ->
         at, now = at.where(going), cut_anew(now.where(going))
         part = now.withColumn("part", F.col("cluster"))
         if refine:
-            parts, grown = _moved(level, now.select("r", "cell", "k", F.col("cell").alias("cluster"), F.col("cluster").alias("home")), total, within=True)
+            parts, grown = _moved(blocks, now.select("r", "cell", "k", F.col("cell").alias("cluster"), F.col("cluster").alias("home")), total, within=True)
             # where nothing grew together, communities become nodes
             part = cut_anew(parts.select("r", "cell", "k", F.col("home").alias("cluster"), F.when(F.col("r").isin(grown), F.col("cluster")).otherwise(F.col("home")).alias("part")))
+        blocks.held.unpersist()
         end = lambda name, out: part.select("r", F.col("cell").alias(name), F.col("part").alias(out))  # noqa: E731, B023
         at = cut_anew(at.join(end("node", "to"), ["r", "node"]).select("r", "cell", F.col("to").alias("node")))
         level = level.join(end("src", "p"), [c for c in ("r", "src") if c in level.columns]).join(end("dst", "q"), ["r", "dst"])

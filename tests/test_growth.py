@@ -127,3 +127,33 @@ def test_samples_share_their_neighbours(spark, monkeypatch):
     monkeypatch.setattr(geometry_metrics, "SPARE", 0)
     assert abs(found - geometry_metrics.alignment_score(points, 5).first()[0]) < 1e-12
     assert compared == [150] * 4
+
+
+def test_edges_stay_in_blocks(spark, monkeypatch):
+    """A round of moves sends a node to a block once and moves no edge; several blocks propose what one does."""
+    dice = np.random.default_rng(10)
+    src, dst = dice.integers(0, 60, 900), dice.integers(0, 60, 900)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(src, dst, strict=True) if a != b} | {(int(b), int(a)) for a, b in zip(src, dst, strict=True) if a != b})
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double").cache()
+    degree = edges.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("k"))
+    now = degree.selectExpr("1.0D AS r", "cell", "k", "cell % 30 AS cluster", "0L AS home").cache()
+    found = {}
+    for size in (1 << 17, 200):
+        monkeypatch.setattr(cluster, "BLOCK", size)
+        blocks = cluster.Blocks(edges, 1)
+        proposals = blocks.proposals(now, float(len(pairs)), False)
+        plan = proposals._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 2 and sum(len(r["to"]) for r in blocks.to.collect()) <= 60 * blocks.held.count()
+        found[size] = sorted(map(tuple, proposals.collect())), blocks.held.count()
+    assert found[200][0] == found[1 << 17][0] and found[200][1] > 4
+    near, label = {}, {a: a % 30 for a, _ in pairs}
+    for a, b in pairs:
+        near.setdefault(a, []).append(label[b])
+    size = {c: sum(len(near[a]) for a in near if label[a] == c) for c in set(label.values())}
+    want = []
+    for a, seen in near.items():
+        gain = lambda c: seen.count(c) - len(seen) / len(pairs) * (size[c] - (len(seen) if c == label[a] else 0))  # noqa: B023, E731
+        best = max((c for c in set(seen) if c != label[a]), key=lambda c: (gain(c), -c))
+        if gain(best) - gain(label[a]) > 1e-9:
+            want.append((a, best))
+    assert [(p[1], p[4]) for p in found[200][0]] == sorted(want)
