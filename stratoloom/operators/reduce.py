@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from . import prep
 
 #: Share of the way that a round of batch correction goes.
 DAMPED = 0.25
+#: Counts of a block that stays in place, on average; fewer while blocks are few.
+BLOCK = 1 << 22
 
 
 def added(parts: DataFrame) -> np.ndarray:
@@ -77,6 +81,52 @@ def turned(rows: DataFrame, turn: np.ndarray, key: str) -> DataFrame:
     return rows.select(key, "v").mapInPandas(multiply, f"{key} {kind}, v array<double>")
 
 
+class Blocks:
+    """Counts (cell, feature, x), packed in blocks of whole features: they stay where they are, and vectors come to them.
+
+    A feature's vector goes to one block, a cell's to each block that has the cell;
+    cells' sums are partly added in the blocks.
+    """
+
+    def __init__(self, counts: DataFrame) -> None:
+        many = counts.count()
+        blocks = max(1, math.ceil(many / BLOCK), min(12, math.ceil(16 * many / BLOCK)))
+        self.tasks = min(blocks, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.kind = {end: counts.schema[end].dataType.simpleString() for end in ("feature", "cell")}
+        rows = counts.select(F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int").alias("block"), "feature", "cell", F.col("x").cast("double").alias("x"))
+        held = rows.repartition(self.tasks, "block").groupBy("block").applyInPandas(_packed, f"block int, i binary, j binary, x binary, feature array<{self.kind['feature']}>, cell array<{self.kind['cell']}>")
+        self.held = held.repartition(self.tasks, "block").persist(StorageLevel.DISK_ONLY)
+        self.ends = {end: cut(self.held.select(F.col("block").alias("to"), F.posexplode(end).alias("place", end))) for end in self.kind}
+
+    def sums(self, side: DataFrame, width: int, on: str, by: str) -> DataFrame:
+        """(by, v): sums of x times the vectors of one end of the counts, for the other end."""
+
+        def multiply(held: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+            if not len(held):
+                return pd.DataFrame({c: [] for c in (by, *columns)})
+            place = {end: np.frombuffer(held[name].iloc[0], np.int32) for end, name in (("feature", "i"), ("cell", "j"))}
+            v = np.zeros((len(held[on].iloc[0]), width))
+            v[sent["place"].to_numpy()] = sent[columns].to_numpy()
+            names, x = held[by].iloc[0], np.frombuffer(held["x"].iloc[0])
+            return pd.DataFrame({by: names} | {c: np.bincount(place[by], x * v[place[on], i], len(names)) for i, c in enumerate(columns)})
+
+        columns = [f"v{i}" for i in range(width)]
+        sent = self.ends[on].join(side.select(on, "v"), on).select("to", "place", *[F.get("v", i).alias(c) for i, c in enumerate(columns)]).repartition(self.tasks, "to")
+        parts = self.held.groupBy("block").cogroup(sent.groupBy("to")).applyInPandas(multiply, f"{by} {self.kind[by]}, " + ", ".join(f"{c} double" for c in columns))
+        # a feature is whole in its block
+        return cut(parts.select(by, F.array(*columns).alias("v")) if by == "feature" else parts.groupBy(by).agg(F.array(*[F.sum(c) for c in columns]).alias("v")))
+
+    def release(self) -> None:
+        """Gives up the blocks, which nothing reads again."""
+        self.held.unpersist()
+
+
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    """A block's counts in one row: places of both ends and numbers; and the ends by their places."""
+    (i, feature), (j, cell) = pd.factorize(part["feature"]), pd.factorize(part["cell"])
+    return pd.DataFrame({"block": part["block"].iloc[:1], "i": [i.astype(np.int32).tobytes()], "j": [j.astype(np.int32).tobytes()], "x": [part["x"].to_numpy().tobytes()], "feature": [list(feature)], "cell": [list(cell)]})
+
+
 class Lsi:
     """Latent semantic indexing: TF-IDF, L1 norm, logarithm, singular vectors, row z-scores, the first dropped.
 
@@ -105,13 +155,15 @@ class Lsi:
         weighed = cut(self._weigh(counts))
         names = weighed.select("feature").distinct()
         width = min(self.k + 10, names.count())
+        blocks = Blocks(weighed)
         # the same start wherever features are: numbers drawn by the hash of their names
         draw = [F.sqrt(-2 * F.log((F.pmod(F.xxhash64("feature", F.lit(f"{self.seed}a{i}")), F.lit(1 << 30)) + 0.5) / float(1 << 30))) * F.cos(2 * np.pi * F.pmod(F.xxhash64("feature", F.lit(f"{self.seed}b{i}")), F.lit(1 << 30)) / float(1 << 30)) for i in range(width)]
         basis, width = self._orthogonal(names.select("feature", F.array(*draw).alias("v")))
         for step in range(6):  # power steps of X'X, orthogonal again after each
-            there = self._sum(weighed, basis, width, "feature", "cell")
-            basis, width = self._orthogonal(self._sum(weighed, there, width, "cell", "feature"), 1 + (step == 5))
-        _, _, g = moments(self._sum(weighed, basis, width, "feature", "cell"))
+            there = blocks.sums(basis, width, "feature", "cell")
+            basis, width = self._orthogonal(blocks.sums(there, width, "cell", "feature"), 1 + (step == 5))
+        _, _, g = moments(blocks.sums(basis, width, "feature", "cell"))
+        blocks.release()
         values, turn = np.linalg.eigh(g)
         self.load = cut(turned(basis, turn[:, np.argsort(-values)[: self.k]], "feature"))
         # a vector's largest loading is positive
@@ -120,12 +172,6 @@ class Lsi:
         self.k = len(ends)  # fewer, if the counts have no more independent columns
         return self
 
-    @staticmethod
-    def _sum(weighed: DataFrame, side: DataFrame, width: int, on: str, by: str) -> DataFrame:
-        """Sums of x times the vectors of one end of the counts, for the other end."""
-        joined = weighed.join(side.select(on, F.col("v").alias("b")), on)
-        return cut(joined.groupBy(by).agg(F.array(*[F.sum(F.col("x") * F.get("b", i)) for i in range(width)]).alias("v")))
-
     @staticmethod
     def _orthogonal(rows: DataFrame, times: int = 1) -> tuple[DataFrame, int]:
         """Orthonormal columns that span the same, by the Gram matrix, and how many (twice to the last digits)."""

@@ -157,3 +157,20 @@ def test_edges_stay_in_blocks(spark, monkeypatch):
         if gain(best) - gain(label[a]) > 1e-9:
             want.append((a, best))
     assert [(p[1], p[4]) for p in found[200][0]] == sorted(want)
+
+
+def test_counts_stay_in_blocks(spark, monkeypatch):
+    """Sums over counts by either end: vectors go once to a block, features' to one, and the sums are numpy's."""
+    monkeypatch.setattr(reduce, "BLOCK", 1600)
+    dice = np.random.default_rng(11)
+    x = dice.integers(1, 9, (20, 90)) * (dice.random((20, 90)) < 0.7)
+    rows = [(int(i), f"f{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
+    blocks = reduce.Blocks(spark.createDataFrame(rows, "cell long, feature string, x double"))
+    assert blocks.held.count() > 4 and blocks.ends["feature"].count() == 90 and blocks.ends["cell"].count() <= 20 * blocks.held.count() < len(rows)
+    b = dice.normal(size=(90, 3))
+    there = blocks.sums(spark.createDataFrame([(f"f{j}", b[j].tolist()) for j in range(90)], "feature string, v array<double>"), 3, "feature", "cell")
+    got = {r["cell"]: r["v"] for r in there.collect()}
+    assert np.abs([got[i] for i in range(20)] - x @ b).max() < 1e-10
+    back = {r["feature"]: r["v"] for r in blocks.sums(there, 3, "cell", "feature").collect()}
+    assert len(back) == 90 and np.abs([back[f"f{j}"] for j in range(90)] - x.T @ (x @ b)).max() < 1e-9
+    blocks.release()
