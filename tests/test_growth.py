@@ -174,3 +174,23 @@ def test_counts_stay_in_blocks(spark, monkeypatch):
     back = {r["feature"]: r["v"] for r in blocks.sums(there, 3, "cell", "feature").collect()}
     assert len(back) == 90 and np.abs([back[f"f{j}"] for j in range(90)] - x.T @ (x @ b)).max() < 1e-9
     blocks.release()
+
+
+def test_words_stay_with_their_texts(spark, monkeypatch):
+    """Weights of texts' words are those of their counts, whatever the ids and texts, and no exchange deals rows of words by cell."""
+    monkeypatch.setattr(prep, "TEXTS", 64)
+    dice = np.random.default_rng(3)
+    rows = [(int(i) % 50, " ".join(dice.choice(["Ab", "ab", "ÄÖ", "c", "", "d\n", "e\tf", f"w{i}"], int(dice.integers(1, 30))))) for i in range(70)]
+    rows += [(60, None), (61, ""), (62, "   "), (63, "ab"), (64, "ab " * 500)]
+    texts = spark.createDataFrame(rows, "cell long, text string")
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    counts = texts.select("cell", F.explode(words).alias("feature")).groupBy("cell", "feature").agg(F.count("*").cast("double").alias("x"))
+    found = prep.tfidf_texts(texts)
+    want = {r[:2]: r[2] for r in map(tuple, prep.tfidf(counts, len(rows), "documents").collect())}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and all(abs(want[r[:2]] - r[2]) < 1e-12 for r in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(grp" in plan and "hashpartitioning(cell" not in plan
+    one = prep.tfidf_texts(spark.createDataFrame([(1, "x X"), (2, "x")], "cell long, text string"))
+    assert sorted(map(tuple, one.collect())) == [(1, "x", 0.0), (2, "x", 0.0)]
+    assert prep.tfidf_texts(texts.where("cell > 100")).collect() == []
