@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,12 @@ from . import graph, neighbours, reduce
 PRIME = (1 << 31) - 1
 #: Resolutions that a search tries in the same joins; it changes the time, not the result.
 SIDE_BY_SIDE = 128
-#: Edges of a resolution's graph that one task may hold: levels of so few are finished in a task a resolution, by the same rule, with the same labels.
-HELD = 1 << 21
+#: Edges of a resolution's graph that one task may hold: graphs and levels of so few are finished in a task a resolution, by the same rule, with the same labels.
+HELD = 3 << 20
+#: What a job costs besides its climbs, in edges of a graph that is climbed meanwhile.
+A_JOB = 400_000
+#: Times that all may climb from where they are.
+CLIMBS = 16
 #: Edges of a block that stays in place, at most; fewer where many resolutions send their labels to it.
 BLOCK = 1 << 17
 
@@ -262,10 +268,13 @@ def _links(src: np.ndarray, to: np.ndarray, w: np.ndarray, n: int, many: int) ->
     """Of edges from ``src`` (below n) to communities ``to`` (below many): each pair once, sorted, with its summed weight."""
     if not len(src):
         return src, to, w
-    key, bits = src * many + to, len(src).bit_length()
+    key, bits = src.astype(np.int64) * many + to, len(src).bit_length()
     if (n * many).bit_length() + bits <= 62:  # an edge's place travels in the key, which is faster than sorting places
-        packed = np.sort((key << bits) + np.arange(len(src)))
-        key, place = packed >> bits, packed & ((1 << bits) - 1)
+        key <<= bits
+        key += np.arange(len(src))
+        key.sort()
+        place = key & ((1 << bits) - 1)
+        key >>= bits
     else:
         place = np.argsort(key, kind="stable")
         key = key[place]
@@ -282,28 +291,73 @@ def _best(of: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return top[np.diff(of[top], prepend=-1) != 0]
 
 
-def _moved_held(src: np.ndarray, dst: np.ndarray, w: np.ndarray, node: pd.DataFrame, r: float, total: float, within: bool = False) -> tuple[np.ndarray, bool]:
-    """As ``_moved``, in numpy: the labels of a graph's nodes, whose edges go by the nodes' places."""
-    cell, k, label, home = (node[c].to_numpy() for c in ("cell", "k", "cluster", "home"))
-    label, turn = label.copy(), 0
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size, one stretch after another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _upto_rank(end: np.ndarray, rank: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each proposal the degrees of those of the same end that rank alike or lower."""
+    names, at = np.unique(end, return_inverse=True)
+    return np.bincount(at * 33 + rank, k, 33 * len(names)).reshape(-1, 33).cumsum(axis=1)[at, rank]
+
+
+def _added(key: np.ndarray, inside: np.ndarray, more: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their sums after changes, with sorted keys as well; sums of 0 go."""
+    at = np.searchsorted(key, more)
+    old = np.zeros(len(more), bool)
+    old[at < len(key)] = key[at[at < len(key)]] == more[at < len(key)]
+    at = at[old]
+    inside[at] += change[old]
+    gone, new = at[inside[at] == 0], ~old & (change != 0)
+    if len(gone):
+        kept = np.ones(len(key), bool)
+        kept[gone] = False
+        key, inside = key[kept], inside[kept]
+    if new.any():
+        at = np.searchsorted(key, more[new])
+        key, inside = np.insert(key, at, more[new]), np.insert(inside, at, change[new])
+    return key, inside
+
+
+def _moved_held(cell: np.ndarray, edge: tuple[np.ndarray, np.ndarray, np.ndarray], k: np.ndarray, label: np.ndarray, home: np.ndarray, r: float, total: float, within: bool = False) -> tuple[np.ndarray, bool]:
+    """As ``_moved``, in numpy: the labels of a graph's nodes, whose edges (src, dst, w) go by the nodes' places and are sorted by dst.
+
+    Links of nodes to communities are summed once; a round takes the links of those that
+    moved from one community to the other.  Weights are whole numbers, so sums stay exact.
+    """
+    n, turn = len(cell), 0
+    names, c = np.unique(label, return_inverse=True)
+    s, many = np.bincount(c, k), np.bincount(c)
+    src, dst, w = edge
+    if within:
+        seen = home[src] == home[dst]
+        src, dst, w = src[seen], dst[seen], w[seen]
+    if not len(src):
+        return label, False
+    size = np.bincount(dst, minlength=n)
+    start, share, bits = np.cumsum(size) - size, r * k / total, len(names).bit_length()
+    of, to, inside = _links(src, c[dst], w, n, len(names))
+    key = (of << bits) + to
     while True:
-        names, c = np.unique(label, return_inverse=True)
-        s, many = np.bincount(c, k), np.bincount(c)
-        seen = (home[src] == home[dst]) & (many[c[src]] == 1) if within else np.ones(len(src), bool)
-        of, to, inside = _links(src[seen], c[dst[seen]], w[seen], len(cell), len(names))
-        here = to == c[of]
-        held = np.zeros(len(cell))
-        held[of[here]] = inside[here]
-        gain = (inside - r * k[of] / total * s[to])[~here]
-        of, to = of[~here], to[~here]
-        order = _best(of, gain)
-        x, to = of[order], to[order]
-        margin = gain[order] - (held[x] - r * k[x] / total * (s[c[x]] - k[x]))
-        open_ = margin > 1e-12 * k[x]
-        x, to, margin, mine = x[open_], to[open_], margin[open_], c[x[open_]]
-        if not len(x):
-            return label, turn > 0
-        draw = _bits(cell[x], turn)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        gain, here = share[of], to == c[of]
+        gain *= s[to]
+        np.subtract(inside, gain, out=gain)
+        stay = np.zeros(n)
+        stay[of[here]] = inside[here]
+        gain[here] = -np.inf
+        x, top = of[first], np.maximum.reduceat(gain, first)
+        margin = top - (stay[x] - share[x] * (s[c[x]] - k[x]))
+        open_ = np.flatnonzero((margin > 1e-12 * k[x]) & (many[c[x]] == 1 if within else True))
+        if not len(open_):
+            return names[c], turn > 0
+        links = np.diff(first, append=len(of))[open_]
+        at, row = _spans(first[open_], links), np.repeat(np.arange(len(open_)), links)
+        best = np.flatnonzero(gain[at] == top[open_][row])
+        to = to[at[best[np.diff(row[best], prepend=-1) != 0]]]
+        x, margin = x[open_], margin[open_]
+        mine, draw = c[x], _bits(cell[x], turn)
         place = np.empty(len(x), np.int64)
         place[np.lexsort((cell[x], draw, margin))] = np.arange(len(x))
         role = np.full(len(names), -1)
@@ -311,87 +365,157 @@ def _moved_held(src: np.ndarray, dst: np.ndarray, w: np.ndarray, node: pd.DataFr
         np.maximum.at(role, to, 2 * place + 1)
         kept = (role[mine] % 2 == 0) & (role[to] % 2 == 1)
         x, to, margin, mine, rank = x[kept], to[kept], margin[kept], mine[kept], np.maximum(np.frexp(draw[kept].astype(float))[1], 1)
-        sums = []
-        for end in (mine, to):
-            t = np.zeros((len(names), 33))
-            np.add.at(t, (end, rank), k[x])
-            sums.append(t.cumsum(axis=1)[end, rank])
-        happens = margin - r * k[x] * (sums[0] + sums[1] - 2 * k[x]) / total > 1e-12 * k[x]
-        label[x[happens]] = names[to[happens]]
+        others = _upto_rank(mine, rank, k[x]) + _upto_rank(to, rank, k[x]) - 2 * k[x]
+        happens = margin - r * k[x] * others / total > 1e-12 * k[x]
+        x, to, mine = x[happens], to[happens], mine[happens]
+        c[x] = to
+        for sums, by in ((s, k[x]), (many, 1)):
+            np.subtract.at(sums, mine, by)
+            np.add.at(sums, to, by)
+        at = _spans(start[x], size[x])
+        node, new, change = _links(np.tile(src[at], 2), np.repeat(np.concatenate([mine, to]), np.tile(size[x], 2)), np.concatenate([-w[at], w[at]]), n, len(names))
+        key, inside = _added(key, inside, (node << bits) + new, change)
+        of, to = key >> bits, key & ((1 << bits) - 1)
         turn += 1
 
 
+def _climb(cell: np.ndarray, edge: tuple[np.ndarray, np.ndarray, np.ndarray], k: np.ndarray, label: np.ndarray, r: float, total: float, refine: bool) -> tuple[np.ndarray, bool]:
+    """As ``_climbed``, in numpy, of one resolution's graph: the nodes' labels, and whether any node moved at once."""
+    at, first = np.arange(len(cell)), None
+    while True:
+        none = np.zeros(len(cell), np.int64)
+        found, moved = _moved_held(cell, edge, k, label, none, r, total)
+        first = moved if first is None else first
+        if not moved:
+            return found[at], first
+        part = found
+        if refine:
+            parts, grown = _moved_held(cell, edge, k, cell, found, r, total, within=True)
+            part = parts if grown else found
+        cell, one, of = np.unique(part, return_index=True, return_inverse=True)
+        k, label, at = np.bincount(of, k), found[one], of[at]
+        p, q = of[edge[0]], of[edge[1]]
+        q, p, w = _links(q[p != q], p[p != q], edge[2][p != q], len(cell), len(cell))
+        edge = p, q, w
+
+
 def _climbed_held(total: float, refine: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """As ``_climbed``, in numpy, of one resolution's graph: a function of its nodes and edges."""
+    """``_climb`` as a function of a resolution's nodes and edges."""
 
     def climb(node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         if not len(node):
             return pd.DataFrame({"r": [], "cell": [], "cluster": [], "moved": []})
-        node, r, first = node.sort_values("cell", ignore_index=True), float(node["r"].iloc[0]), None
-        cells, at = node["cell"].to_numpy(), np.arange(len(node))
-        src, dst, w = (edge[c].to_numpy() for c in ("src", "dst", "w"))
-        while True:
-            ids = node["cell"].to_numpy()
-            i, j = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-            label, moved = _moved_held(i, j, w, node, r, total)
-            first = moved if first is None else first
-            if not moved:
-                return pd.DataFrame({"r": r, "cell": cells, "cluster": label[at], "moved": first})
-            part = label
-            if refine:
-                parts, grown = _moved_held(i, j, w, node.assign(cluster=ids, home=label), r, total, within=True)
-                part = parts if grown else label
-            outer = pd.DataFrame({"cell": part, "k": node["k"], "cluster": label}).groupby("cell", as_index=False).agg(k=("k", "sum"), cluster=("cluster", "first"))
-            node, at = outer.assign(home=0), np.searchsorted(outer["cell"].to_numpy(), part)[at]
-            p, q = part[i], part[j]
-            merged = pd.DataFrame({"src": p[p != q], "dst": q[p != q], "w": w[p != q]}).groupby(["src", "dst"], as_index=False)["w"].sum()
-            src, dst, w = (merged[c].to_numpy() for c in ("src", "dst", "w"))
+        node, r = node.sort_values("cell"), float(node["r"].iloc[0])
+        cell, k, label = (node[c].to_numpy() for c in ("cell", "k", "cluster"))
+        label, moved = _climb(cell, _by_end(cell, edge), k, label, r, total, refine)
+        return pd.DataFrame({"r": r, "cell": cell, "cluster": label, "moved": moved})
 
     return climb
 
 
+def _by_end(cell: np.ndarray, edge: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (src, dst, w) by the places of their ends among the sorted nodes, sorted by dst."""
+    dst, src, w = _links(np.searchsorted(cell, edge["dst"]), np.searchsorted(cell, edge["src"]), edge["w"].to_numpy(), len(cell), len(cell))
+    return src, dst, w
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A graph of at most HELD edges in one row: its nodes, and its edges as in ``_by_end``."""
+    edge = pd.concat([pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "w": np.zeros(0)}), *batches], ignore_index=True)
+    cell = np.unique(edge["src"].to_numpy())
+    src, dst, w = _by_end(cell, edge)
+    yield pd.DataFrame({"cell": [cell.tobytes()], "src": [src.astype(np.int32).tobytes()], "dst": [dst.astype(np.int32).tobytes()], "w": [w.tobytes()]})
+
+
+def _all_climbs(graph: tuple[bytes, bytes, bytes, bytes], r: float, total: float, refine: bool) -> pd.DataFrame:
+    """(resolution, cell, cluster) of a graph in one row: climbs from single nodes until no node moves at once; communities are named by their least cell."""
+    cell, src, dst, w = (np.frombuffer(x, kind) for x, kind in zip(graph, (np.int64, np.int32, np.int32, np.float64), strict=True))
+    k, label, moved, turn = np.bincount(src, w, len(cell)), cell, True, 0
+    while moved and turn < CLIMBS:
+        label, moved = _climb(cell, (src, dst, w), k, label, r, total, refine)
+        turn += 1
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    return pd.DataFrame({"resolution": r, "cell": cell, "cluster": cell[first][of]})
+
+
+class Graph:
+    """Edges (src, dst, w) in both directions whose communities are looked for, with weights rounded to 2^-24 of the largest, so that sums are exact, whatever their order.
+
+    Loops and nodes without edges don't count.
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        edges = cut(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
+        top = edges.agg(F.max("w")).first()[0] or 1.0
+        self.edges = cut(edges.groupBy("src", "dst").agg(F.sum(F.round(F.col("w") / F.lit(top) * (1 << 24))).alias("w")).where("w > 0"))
+        self.count, total = self.edges.agg(F.count("*"), F.sum("w")).first()
+        self.total = float(total or 1.0)
+
+    @cached_property
+    def shared(self) -> Broadcast:
+        """The graph in one row, of 12 bytes an edge, sent to every executor."""
+        row = self.edges.coalesce(1).mapInPandas(_whole, "cell binary, src binary, dst binary, w binary").first()
+        return self.edges.sparkSession.sparkContext.broadcast(tuple(map(bytes, row)))
+
+    def communities_at(self, resolutions: list[float], refine: bool = True) -> DataFrame:
+        """(resolution, cell, cluster); see ``communities_at``."""
+        tried = [float(r) for r in sorted(set(resolutions))]
+        return self._in_tasks(tried, refine) if self.count <= HELD else self._in_joins(tried, refine)
+
+    def _in_tasks(self, tried: list[float], refine: bool) -> DataFrame:
+        """A task a resolution."""
+        shared, total = self.shared, self.total
+
+        def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for i in b["id"]:
+                    yield _all_climbs(shared.value, tried[i], total, refine)
+
+        return self.edges.sparkSession.range(0, len(tried), 1, len(tried)).mapInPandas(climb, "resolution double, cell long, cluster long")
+
+    def _in_joins(self, tried: list[float], refine: bool) -> DataFrame:
+        """All resolutions in the same joins and aggregations, for graphs of any size."""
+        rows = self.edges.sparkSession.createDataFrame([(r,) for r in tried], "r double")
+        degree = self.edges.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("k"))
+        state = cut_anew(degree.crossJoin(F.broadcast(rows)).select("r", "cell", "k", F.col("cell").alias("cluster"), F.lit(0).cast("long").alias("home")))  # a row a resolution is sent
+        out = []
+        for _ in range(CLIMBS):
+            found, moved = _climbed(self.edges, state, self.total, refine)
+            labels = cut_anew(found)
+            if not moved:
+                out.append(labels)
+                break
+            going = F.col("r").isin(moved)
+            out.append(labels.where(~going))
+            state = state.where(going).drop("cluster").join(labels, ["r", "cell"]).select("r", "cell", "k", "cluster", "home")
+        else:
+            out.append(labels.where(going))
+        whole = fold(DataFrame.unionAll, out)
+        names = whole.groupBy("r", "cluster").agg(F.min("cell").alias("name"))
+        return whole.join(names, ["r", "cluster"]).select(F.col("r").alias("resolution"), "cell", F.col("name").alias("cluster"))
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, refine: bool = True) -> DataFrame:
     """(cell, cluster): communities of high modularity, over edges (src, dst, w) in both directions; named by their least cell."""
     return communities_at(edges, [resolution], refine).select("cell", "cluster")
 
 
 def communities_at(edges: DataFrame, resolutions: list[float], refine: bool = True) -> DataFrame:
-    """(resolution, cell, cluster): communities at several resolutions, all in the same joins and aggregations, for graphs of any size.
+    """(resolution, cell, cluster): communities at several resolutions, of graphs of any size.
 
     Points move to the neighbouring community of largest gain until none gains, many at
     a time; then communities become points, and so on, and all over until no point gains
     by moving (Louvain's method).  With ``refine``, the default, communities are split,
     before they become points, into parts that grew together from single points and move
-    as wholes from there (Leiden's).  Loops and nodes without edges don't count.  Weights
-    are rounded to 2^-24 of the largest, so that sums are exact, whatever their order.
+    as wholes from there (Leiden's).  Up to HELD edges a task finds a resolution's, beyond
+    that all are found in the same joins, by the same rule; see ``Graph``.
     """
-    edges = cut(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
-    top = edges.agg(F.max("w")).first()[0] or 1.0
-    edges = cut(edges.groupBy("src", "dst").agg(F.sum(F.round(F.col("w") / F.lit(top) * (1 << 24))).alias("w")).where("w > 0"))
-    total = float(edges.agg(F.sum("w")).first()[0] or 1.0)
-    tried = edges.sparkSession.createDataFrame([(float(r),) for r in sorted(set(resolutions))], "r double")
-    degree = edges.groupBy(F.col("src").alias("cell")).agg(F.sum("w").alias("k"))
-    state = cut_anew(degree.crossJoin(F.broadcast(tried)).select("r", "cell", "k", F.col("cell").alias("cluster"), F.lit(0).cast("long").alias("home")))  # a row a resolution is sent
-    out = []
-    for _ in range(16):
-        found, moved = _climbed(edges, state, total, refine)
-        labels = cut_anew(found)
-        if not moved:
-            out.append(labels)
-            break
-        going = F.col("r").isin(moved)
-        out.append(labels.where(~going))
-        state = state.where(going).drop("cluster").join(labels, ["r", "cell"]).select("r", "cell", "k", "cluster", "home")
-    else:
-        out.append(labels.where(going))
-    whole = fold(DataFrame.unionAll, out)
-    names = whole.groupBy("r", "cluster").agg(F.min("cell").alias("name"))
-    return whole.join(names, ["r", "cluster"]).select(F.col("r").alias("resolution"), "cell", F.col("name").alias("cluster"))
+    return Graph(edges).communities_at(resolutions, refine)
 
 
-def counts_at(edges: DataFrame, resolutions: list[float], refine: bool = True) -> tuple[DataFrame, dict[float, int]]:
-    """``communities_at``, written once, and the number of communities at each resolution."""
-    found = cut(communities_at(edges, resolutions, refine))
+def counts_at(graph: Graph, resolutions: list[float], refine: bool = True) -> tuple[DataFrame, dict[float, int]]:
+    """A graph's communities, written once, and the number of communities at each resolution."""
+    found = cut(graph.communities_at(resolutions, refine))
     return found, {r["resolution"]: r["n"] for r in found.groupBy("resolution").agg(F.count_distinct("cluster").alias("n")).collect()}  # a row a resolution
 
 
@@ -401,9 +525,9 @@ def communities_of(edges: DataFrame, wanted: int, low: float = 0.1, high: float
     From the highest down, ``SIDE_BY_SIDE`` steps in the same joins, until the number is met.  Where none gives the number, this raises.
     """
     steps = [low + k * step for k in range(math.ceil((high - low) / step - 1e-9))][::-1]
-    edges = cut(edges)
+    held = Graph(edges)
     for first in range(0, len(steps), SIDE_BY_SIDE):
-        found, many = counts_at(edges, steps[first : first + SIDE_BY_SIDE], refine)
+        found, many = counts_at(held, steps[first : first + SIDE_BY_SIDE], refine)
         hit = [r for r, n in many.items() if n == wanted]
         if hit:
             return found.where(F.col("resolution") == max(hit)).select("cell", "cluster")
@@ -419,13 +543,14 @@ def _halves(low: float, high: float, depth: int) -> list[float]:
 def communities_near(edges: DataFrame, wanted: int, low: float = 0.0, high: float = 3.0, max_steps: int = 30, tolerance: int = 0, refine: bool = True) -> DataFrame:
     """(cell, cluster) by bisection of the resolution until the clusters are ``wanted``, give or take ``tolerance``; after ``max_steps`` the last ones.
 
-    All resolutions that the next five bisections may come to are tried in the same joins.
+    All resolutions that the next few bisections may come to are tried side by side.
     """
-    edges, many = cut(edges), {}
+    held, many = Graph(edges), {}
+    ahead = 5
     for _ in range(max_steps):
         mid = low + (high - low) / 2
         if mid not in many:
-            found, many = counts_at(edges, _halves(low, high, 5), refine)
+            found, many = counts_at(held, _halves(low, high, ahead), refine)
         n = many.get(mid, 0)
         if n > wanted + tolerance:
             high = mid

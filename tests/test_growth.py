@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stratoloom.operators import cluster, geometry_metrics, graph, neighbours, prep, reduce
@@ -194,3 +195,40 @@ def test_words_stay_with_their_texts(spark, monkeypatch):
     one = prep.tfidf_texts(spark.createDataFrame([(1, "x X"), (2, "x")], "cell long, text string"))
     assert sorted(map(tuple, one.collect())) == [(1, "x", 0.0), (2, "x", 0.0)]
     assert prep.tfidf_texts(texts.where("cell > 100")).collect() == []
+
+
+def two_way(dice, nodes, pairs):
+    """Random edges in both directions, most of them inside three groups, as a table with weights."""
+    src, dst = dice.integers(0, nodes, pairs), dice.integers(0, nodes, pairs)
+    near = (src != dst) & ((src % 3 == dst % 3) | (dice.random(pairs) < 0.1))
+    e = np.unique(np.concatenate([np.stack([src, dst], 1)[near], np.stack([dst, src], 1)[near]]), axis=0)
+    return pd.DataFrame({"src": e[:, 0] * 7, "dst": e[:, 1] * 7, "w": 1.0 + (e.sum(axis=1) % 3)})
+
+
+def test_rounds_take_what_moved(monkeypatch):
+    """A round in numpy sums the links of what moved, not all edges again; what it keeps is what summing anew gives."""
+    edge = two_way(np.random.default_rng(12), 600, 9000)
+    degree = edge.groupby("src")["w"].sum()
+    node = pd.DataFrame({"r": 1.5, "cell": degree.index, "k": degree.to_numpy(), "cluster": degree.index, "home": 0})
+    summed, links = [], cluster._links
+
+    def counted(src, *rest):
+        summed.append(len(src))
+        return links(src, *rest)
+
+    monkeypatch.setattr(cluster, "_links", counted)
+    found = cluster._climbed_held(float(edge["w"].sum()), True)(node, edge)
+    assert len(summed) > 20 and sum(summed) < len(summed) * len(edge) / 4 and found["cluster"].nunique() < 60
+    key, inside = np.array([2, 3, 7, 9]), np.array([1.0, 2.0, 3.0, 4.0])
+    key, inside = cluster._added(key, inside, np.array([1, 3, 7, 8, 11]), np.array([5.0, -2.0, 1.0, 0.0, 6.0]))
+    assert key.tolist() == [1, 2, 7, 9, 11] and inside.tolist() == [5.0, 1.0, 4.0, 4.0, 6.0]
+
+
+def test_small_graphs_climb_in_one_job(spark, monkeypatch):
+    """All climbs of a graph that a task may hold happen in its task: nothing is joined, and the labels are those of the joins."""
+    edges = spark.createDataFrame(two_way(np.random.default_rng(13), 60, 400))
+    plan = cluster.communities_at(edges, [0.5, 1.0, 2.0])
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.rdd.getNumPartitions() == 3
+    here = sorted(map(tuple, plan.collect()))
+    monkeypatch.setattr(cluster, "HELD", 100)
+    assert sorted(map(tuple, cluster.communities_at(edges, [0.5, 1.0, 2.0]).collect())) == here
