@@ -540,13 +540,21 @@ def _halves(low: float, high: float, depth: int) -> list[float]:
     return [mid, *_halves(low, mid, depth - 1), *_halves(mid, high, depth - 1)] if depth else []
 
 
+def _ahead(held: Graph) -> int:
+    """How many bisections are tried ahead: where a resolution is a task, what finds most of them in a time on so many cores."""
+    if held.count > HELD:
+        return 5
+    cores = held.edges.sparkSession.sparkContext.defaultParallelism
+    return min(range(1, 6), key=lambda d: (A_JOB + -(-(2**d - 1) // cores) * held.count) / d)
+
+
 def communities_near(edges: DataFrame, wanted: int, low: float = 0.0, high: float = 3.0, max_steps: int = 30, tolerance: int = 0, refine: bool = True) -> DataFrame:
     """(cell, cluster) by bisection of the resolution until the clusters are ``wanted``, give or take ``tolerance``; after ``max_steps`` the last ones.
 
     All resolutions that the next few bisections may come to are tried side by side.
     """
     held, many = Graph(edges), {}
-    ahead = 5
+    ahead = _ahead(held)
     for _ in range(max_steps):
         mid = low + (high - low) / 2
         if mid not in many:

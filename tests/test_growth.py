@@ -232,3 +232,14 @@ def test_small_graphs_climb_in_one_job(spark, monkeypatch):
     here = sorted(map(tuple, plan.collect()))
     monkeypatch.setattr(cluster, "HELD", 100)
     assert sorted(map(tuple, cluster.communities_at(edges, [0.5, 1.0, 2.0]).collect())) == here
+
+
+def test_bisections_ahead(spark, monkeypatch):
+    """Where a resolution costs a task much, no more are tried ahead than cores pay for, with the same result."""
+    edges, tried, counts = spark.createDataFrame(two_way(np.random.default_rng(14), 60, 400)), [], cluster.counts_at
+    monkeypatch.setattr(cluster, "counts_at", lambda g, r, *rest: (tried.append(len(r)), counts(g, r, *rest))[1])
+    wide = sorted(map(tuple, cluster.communities_near(edges, 6, max_steps=6).collect()))
+    assert tried[0] == 31
+    tried.clear()
+    monkeypatch.setattr(cluster, "A_JOB", 0)
+    assert sorted(map(tuple, cluster.communities_near(edges, 6, max_steps=6).collect())) == wide and max(tried) == 7
