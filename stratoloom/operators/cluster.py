@@ -291,11 +291,6 @@ def _best(of: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return top[np.diff(of[top], prepend=-1) != 0]
 
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places from each start on, as many as its size, one stretch after another."""
-    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-
-
 def _upto_rank(end: np.ndarray, rank: np.ndarray, k: np.ndarray) -> np.ndarray:
     """For each proposal the degrees of those of the same end that rank alike or lower."""
     names, at = np.unique(end, return_inverse=True)
@@ -353,7 +348,7 @@ def _moved_held(cell: np.ndarray, edge: tuple[np.ndarray, np.ndarray, np.ndarray
         if not len(open_):
             return names[c], turn > 0
         links = np.diff(first, append=len(of))[open_]
-        at, row = _spans(first[open_], links), np.repeat(np.arange(len(open_)), links)
+        at, row = neighbours.spans(first[open_], links), np.repeat(np.arange(len(open_)), links)
         best = np.flatnonzero(gain[at] == top[open_][row])
         to = to[at[best[np.diff(row[best], prepend=-1) != 0]]]
         x, margin = x[open_], margin[open_]
@@ -372,7 +367,7 @@ def _moved_held(cell: np.ndarray, edge: tuple[np.ndarray, np.ndarray, np.ndarray
         for sums, by in ((s, k[x]), (many, 1)):
             np.subtract.at(sums, mine, by)
             np.add.at(sums, to, by)
-        at = _spans(start[x], size[x])
+        at = neighbours.spans(start[x], size[x])
         node, new, change = _links(np.tile(src[at], 2), np.repeat(np.concatenate([mine, to]), np.tile(size[x], 2)), np.concatenate([-w[at], w[at]]), n, len(names))
         key, inside = _added(key, inside, (node << bits) + new, change)
         of, to = key >> bits, key & ((1 << bits) - 1)

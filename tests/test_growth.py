@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from stratoloom.operators import cluster, geometry_metrics, graph, neighbours, prep, reduce
@@ -243,3 +244,42 @@ def test_bisections_ahead(spark, monkeypatch):
     tried.clear()
     monkeypatch.setattr(cluster, "A_JOB", 0)
     assert sorted(map(tuple, cluster.communities_near(edges, 6, max_steps=6).collect())) == wide and max(tried) == 7
+
+
+def test_pairs_that_share_stay_in_their_task(spark, monkeypatch):
+    """Bandwidths: points that share neighbours are met, counted and measured in one task, slice by slice, and are those that brute force finds."""
+    v, k = np.random.default_rng(17).normal(size=(200, 4)), 6
+    points = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "cell long, v array<double>")
+    d = distances(v, v, "euclidean")
+    np.fill_diagonal(d, np.inf)
+    near = np.zeros((200, 200), int)
+    np.put_along_axis(near, np.argsort(d, axis=1, kind="stable")[:, : k - 1], 1, axis=1)
+    np.fill_diagonal(d, 0)
+    shared, want = near @ near.T, []
+    for i in range(200):
+        met = np.flatnonzero(shared[i])
+        taken = [j for j in met if (shared[i][met] < shared[i][j]).sum() <= k]
+        want.append(np.mean(sorted(d[i][taken])[::-1][:k]))
+    for size in (1 << 26, 0):
+        monkeypatch.setattr(neighbours, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(neighbours, "BLOCK", 60)
+        monkeypatch.setattr(graph, "PAIRS", 1 << 22 if size else 300)
+        found = graph.bandwidths(neighbours.knn(points, points, k - 1, itself=False), points, k)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+        got = {r["cell"]: r["bw"] for r in found.collect()}
+        assert [got[i * 3] for i in range(200)] == pytest.approx(want, abs=1e-12)
+
+
+def test_candidates_stay_in_their_task(spark, monkeypatch):
+    """Weighted neighbours: the candidates of a point are ranked where they are found, also slice by slice, with the same result."""
+    dice = np.random.default_rng(18)
+    reps = tuple(spark.createDataFrame([(i, dice.normal(size=4).tolist()) for i in range(150)], "cell long, v array<double>") for _ in range(2))
+    rows = lambda: sorted(map(tuple, graph.weighted_neighbours(reps, 5, 20, 4).select("src", "dst", "place", "w", "dist").collect()))
+    whole = rows()
+    assert len(whole) == 750 and all(0 < r[3] <= 1 + 1e-9 for r in whole)
+    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "LISTS", 2000)
+    assert [r[:3] for r in rows()] == [r[:3] for r in whole]
+    assert "Window" not in graph.weighted_neighbours(reps, 5, 20, 4)._jdf.queryExecution().optimizedPlan().toString()
