@@ -448,7 +448,7 @@ class Graph:
 
     @cached_property
     def shared(self) -> Broadcast:
-        """The graph in one row, of 12 bytes an edge, sent to every executor."""
+        """The graph in one row, of 16 bytes an edge, sent to every executor."""
         row = self.edges.coalesce(1).mapInPandas(_whole, "cell binary, src binary, dst binary, w binary").first()
         return self.edges.sparkSession.sparkContext.broadcast(tuple(map(bytes, row)))
 
